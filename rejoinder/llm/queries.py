@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import packing, separators
+from rejoinder.llm import block_naming, ngram_join, packing, separators
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,12 +33,28 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_token_counts(spark, documents(spark, sf_dir), tokenizer())
 
 
+@query
+def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_naming.exact_duplicates(documents(spark, sf_dir)).drop("row")
+
+
+ORACLE["op5_block_naming"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+  doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256 FROM d"""
+
+
 @query
 def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised_pieces(documents(spark, sf_dir), tokenizer())
     return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
 
 
+@query
+def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one vectorised step handles at most (a longer text is handled alone).
@@ -40,7 +41,7 @@ def text_slices(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int
     """Row ranges of a string column with about ``most`` bytes of text each; a longer text gets a range of its own."""
     if len(column) == 0:
         return
-    sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0)).astype(np.int64)
+    sizes = np.asarray(pc.fill_null(pc.binary_length(column), 0)).astype(np.int64)
     first, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if i > first and total + n > most:
