@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import block_naming, ngram_join, packing, separators
+from rejoinder.llm import block_naming, ngram_join, packing, separators, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -55,6 +55,12 @@ def op9_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
 
 
+@query
+def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.capture_histories(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 
