@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import block_naming, ngram_join, packing, separators, warc
+from rejoinder.llm import block_naming, licenses, ngram_join, packing, separators, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -33,6 +33,43 @@ def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.document_token_counts(spark, documents(spark, sf_dir), tokenizer())
 
 
+@query
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir))
+
+
+def _license_sql() -> str:
+    """The same by comparing every block with every template."""
+    split = r"regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    words = f"list_filter({split.format('lower(coalesce(text, \'\'))')}, lambda w: w <> '')"
+    rows = []
+    for label, texts in licenses.TEMPLATES.items():
+        for t in texts:
+            own = licenses.word_list(t)
+            rows.append(f"('{label}', {own!r}, {-(-4 * len(own) // 5)})")
+    places = ", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r}) AS p{k}" for k, p in enumerate(licenses.PHRASES))
+    names = list(licenses.PHRASES.values())
+    base = "list_sort(list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{n}' END" for k, n in enumerate(names)) + "], lambda x: x IS NOT NULL))"
+    every = "list_concat(" + ", ".join(f"p{k}" for k in range(len(names))) + ")"
+    return f"""
+WITH t(label, tw, need) AS (VALUES {", ".join(rows)}),
+d AS (SELECT doc_id, text, {words} AS w FROM documents),
+p AS (SELECT doc_id, len(w) AS n_words, {places} FROM d),
+l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM d),
+b AS (SELECT doc_id, list_distinct({split.format("line")}) AS bw FROM l),
+m AS (SELECT doc_id, label, max(len(list_intersect(bw, tw)) / len(tw)) AS c FROM b JOIN t ON len(list_intersect(bw, tw)) >= need GROUP BY ALL),
+a AS (SELECT doc_id, list(label) AS added, max(c) AS best FROM m GROUP BY ALL),
+q AS (SELECT doc_id, n_words, {every} AS every, {base} AS base FROM p)
+SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word,
+  array_to_string(base, ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(base, coalesce(added, [])))), ',') AS labels,
+  CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+FROM q LEFT JOIN a USING (doc_id)"""
+
+
+ORACLE["op2_license_scan"] = _license_sql()
+
+
 @query
 def op5_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_duplicates(documents(spark, sf_dir)).drop("row")
