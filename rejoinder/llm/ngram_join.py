@@ -3,7 +3,7 @@
 A document's set is its distinct word shingles, as 64-bit hashes of the words. Hashed into groups, a set becomes a
 point: the counts of its groups. The overlap of two sets is at most the sum of their points' coordinate minima, and
 for a box of points at most the sum over the box's upper corner, so an R-tree over the points yields every pair that
-can reach the threshold, and surviving pairs are verified on the sets themselves.
+can reach the threshold. Surviving pairs are bounded again by points of more groups and verified on the sets.
 
 In so many dimensions one tree over all documents would visit nearly every leaf, so points are first dealt to trees
 by key: two sets at or over the threshold share at least one of the first n - ceil(t * n) + 1 shingles of each, in
@@ -31,14 +31,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.llm.components import components
-from rejoinder.llm.shared import mixed, shuffle_partitions, span_hashes, stored, text_slices
+from rejoinder.llm.shared import mixed, release, shuffle_partitions, span_hashes, stored, text_slices
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUPS = 128
+#: Shingles of a set for each group of its fine point, and pairs and documents that may be broadcast to find texts.
+FINE, SMALL = 4, 400_000
+#: Pairs of one set that are verified in one task, on average.
+TOGETHER = 64
 #: Slots of the frequency table and of its parts: 4 MB in all, whatever the input.
 SLOTS, SLOT_PART = 1 << 19, 1 << 13
 LEAF = 32
-SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary"
+#: Sets beyond this size have points without a bound.
+LARGE = 4_000_000
+SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary, fine binary"
 
 
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -97,6 +103,14 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return out[0], out[1]
 
 
+def _fine_point(h: np.ndarray) -> bytes:
+    """Counts of about a quarter as many groups as shingles; folding it gives the counts of fewer groups."""
+    groups = GROUPS
+    while groups * FINE < len(h):
+        groups *= 2
+    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2").tobytes()
+
+
 def _own(docs: DataFrame) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
@@ -155,6 +169,7 @@ def sketches(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, de
                         batch.column(0).slice(a, len(n)), batch.column(1).slice(a, len(n)), pa.array(n),
                         sums, more,
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array([p.tobytes() for p in points], pa.binary()),
+                        pa.array([_fine_point(h[at[i] : at[i + 1]]) for i in range(len(n))], pa.binary()),
                     ],
                     names=[c.split()[0] for c in SKETCH.split(", ")],
                 )
@@ -193,6 +208,8 @@ def _tree_pairs(numerator: int, denominator: int):
         def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
             ids, sizes, labels = (rows.column(c).to_numpy() for c in ("id", "n", "label"))
             points = np.frombuffer(b"".join(rows.column("point").to_pylist()), dtype="<u2").reshape(len(ids), GROUPS)
+            if sizes.max() > LARGE:  # counts may be cut off at the type's end: no bound for these
+                points = np.where((sizes > LARGE)[:, None], np.uint32(1 << 31), points.astype(np.uint32))
             a, b = [], []
             if len(ids) <= LEAF:  # the tree is one leaf
                 x, y = np.nonzero((ids[:, None] < ids) & (labels[:, None] != labels))
@@ -228,9 +245,19 @@ def _tree_pairs(numerator: int, denominator: int):
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
-    """Pairs (a, b of representatives) whose sets reach the threshold. Sets are made anew for these documents."""
-    wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    wanted = stored(reps.join(wanted, "id", "left_semi"), "wanted")
+    """Pairs (a, b of representatives) whose sets reach the threshold. Sets are made anew for these documents.
+
+    The pairs of one a are verified against its set where it is; many of them are dealt to several tasks. So a set is
+    sent once for each pair that it is the b of, and once for each of these tasks as a.
+    """
+    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("tasks"))
+    dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("tasks")).alias("task"))
+    held = counts.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
+    uses = stored(dealt.select("a", F.col("b").alias("id"), "task", F.lit(1).alias("role")).unionByName(held.select("a", "id", "task", "role")), "uses")
+    wanted = stored(reps.join(uses.select("id").distinct(), "id", "left_semi"), "wanted")
+    ids = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_key")).distinct()
+    if wanted.count() <= SMALL:
+        wanted, ids = F.broadcast(wanted), F.broadcast(ids)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,22 +266,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, nu
                 own = pa.array([h[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), sums, more, own], names=["n", "sig1", "sig2", "shingles"])
 
-    ids = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_key")).distinct()
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_key"), F.col("text").cast("string").alias("text"))
     made = texts.join(ids, "doc_key", "left_semi").select("text").mapInArrow(sets, "n long, sig1 long, sig2 long, shingles binary")
-    own = stored(made.join(wanted, ["n", "sig1", "sig2"]).select("id", "shingles").dropDuplicates(["id"]), "sets")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("left")), "a").join(own.select(F.col("id").alias("b"), F.col("shingles").alias("right")), "b")
+    own = made.join(wanted, ["n", "sig1", "sig2"]).select("id", "shingles")
+    if uses.count() <= SMALL:
+        uses = F.broadcast(uses)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, left = None, None
         for batch in batches:
-            keep = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                met = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = denominator * met >= numerator * (len(x) + len(y) - met)
-            yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(keep)) for c in (0, 1)], names=["a", "b"])
+            a, b = [], []
+            for x, task, role, id_, own in zip(*(batch.column(c).to_pylist() for c in ("a", "task", "role", "id")), batch.column("shingles"), strict=True):
+                right = np.frombuffer(own.as_buffer(), np.uint64)
+                if role == 0:
+                    held, left = (x, task), right.copy()
+                    continue
+                if held != (x, task):
+                    raise ValueError(f"the set of {x} is missing")
+                met = len(np.intersect1d(left, right, assume_unique=True))
+                if denominator * met >= numerator * (len(left) + len(right) - met):
+                    a.append(x), b.append(id_)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    return both.select("a", "b", "left", "right").mapInArrow(check, "a long, b long")
+    rows = own.join(uses, "id").repartition(shuffle_partitions(docs.sparkSession), "a", "task").sortWithinPartitions("a", "task", "role")
+    return rows.select("a", "task", "role", "id", "shingles").mapInArrow(check, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
@@ -267,11 +302,15 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     repeated = groups.filter("copies > 1").drop("copies")
     members = stored(small.join(repeated, ["n", "sig1", "sig2"], "left").withColumn("class_row", F.coalesce("class_row", "row")), "members")
     reps = members.filter("row = class_row and n > 0").select(F.col("row").alias("id"), "doc_id", "n", "sig1", "sig2")
-    points = stored(sketch.join(reps.select(F.col("id").alias("row")), "row", "left_semi").select(F.col("row").alias("id"), "n", "keys", "point"), "points")
+    others = members.filter("row <> class_row or n = 0").select("row")
+    points = sketch.select(F.col("row").alias("id"), "n", "point", "fine")
 
     # keys that two representatives or more share; each is led by its smallest
-    keyed = points.select(F.explode("keys").alias("key"), "id").repartition(parts, "key").sortWithinPartitions("key", "id")
+    keyed = sketch.select("row", "keys").join(others, "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
+    keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "id")
     met = stored(keyed.mapInArrow(_shared_keys, "key long, id long, lead long"), "sharedkeys")
+    del keyed
+    release(spark)
     partner = met.filter("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
     bound = _bounded(stored(partner.select(F.col("lead").alias("a"), F.col("id").alias("b")), "partners"), points, numerator, denominator)
     links = stored(_verified(stored(bound, "pairs"), docs, reps, words, numerator, denominator), "links")
@@ -280,10 +319,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     known = stored(components(links), "known")
     labelled = met.select("key", "id").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
     labelled = stored(labelled, "labelled")
+    release(spark)
     mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rows = labelled.join(mixed_keys, "key").join(points.drop("keys"), "id").select("key", "id", "n", "label", "point")
+    rows = labelled.join(mixed_keys, "key").join(points, "id").select("key", "id", "n", "label", "point")
     open_ = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_tree_pairs(numerator, denominator), "a long, b long").distinct()
-    more = _verified(stored(open_, "pairs"), docs, reps, words, numerator, denominator)
+    more = _verified(stored(_bounded(stored(open_, "open"), points, numerator, denominator), "pairs"), docs, reps, words, numerator, denominator)
     links = stored(links.unionByName(more), "links")
 
     final = components(links)
@@ -321,15 +361,19 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bounded(pairs: DataFrame, points: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """Pairs whose summed coordinate minima can reach the threshold."""
-    own = points.select("id", "n", "point")
-    both = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("point").alias("p1")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("point").alias("p2")), "b")
+    """Pairs whose summed coordinate minima, of the fine points, can reach the threshold."""
+    own = points.select("id", "n", "fine")
+    both = pairs.join(own.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("fine").alias("p1")), "a").join(own.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("fine").alias("p2")), "b")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u2").reshape(-1, GROUPS) for c in ("p1", "p2"))
             sizes = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            fits = (numerator + denominator) * np.minimum(x, y).sum(1, dtype=np.int64) >= numerator * sizes
+            fits = np.zeros(batch.num_rows, dtype=bool)
+            for i, (x, y) in enumerate(zip(batch.column("p1"), batch.column("p2"), strict=True)):
+                x, y = (np.frombuffer(p.as_buffer(), dtype="<u2").astype(np.int64) for p in (x, y))
+                d = min(len(x), len(y))
+                x, y = (p.reshape(-1, d).sum(0) if len(p) > d else p for p in (x, y))
+                fits[i] = (numerator + denominator) * np.minimum(x, y).sum() >= numerator * sizes[i]
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(fits)) for c in ("a", "b")], names=["a", "b"])
 
     return both.mapInArrow(keep, "a long, b long")
