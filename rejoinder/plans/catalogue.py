@@ -1,12 +1,16 @@
-"""The named queries of the engine with their DuckDB equivalents."""
+"""The named queries of the engine, each operator on the nearest of the driver's tables, with DuckDB equivalents."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rejoinder.functions import text as t
+from rejoinder.operators import agreement, reports, sampling, scoring, stats, triples
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -15,7 +19,7 @@ def query(sql: str | None = None):
     """Register a query under its function's name."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
         if sql:
             ORACLE[f.__name__] = sql
         return f
@@ -23,13 +27,531 @@ def query(sql: str | None = None):
     return add
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role").agg(F.count("*").alias("n"))
-
-
 def queries():
     return QUERIES
 
 
 def oracle_sql():
     return ORACLE
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reply triples of conversations with text features, by role and kind of reply."""
+    got = _replies(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    kind = F.when(t.has_question("mid"), "question").otherwise("statement")
+    return got.withColumns({"kind": kind, "words": t.word_count("post", 0)}).groupBy("pre_role", "kind").agg(F.count("*").alias("n"), F.avg("words").alias("mean_words"), F.count_if(t.caps_abuse("pre")).alias("n_caps"))
+
+
+# Triples and joins ------------------------------------------------------------------------------------------------
+
+
+def _utterances(c: DataFrame) -> DataFrame:
+    """Turns as utterances: each replies to the one before."""
+    prev = F.lag("turn").over(W.partitionBy("conv_id").orderBy("turn"))
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.format_string("%06d", "turn"))
+    back = F.when(prev.isNotNull(), F.concat_ws(":", F.col("conv_id").cast("string"), F.format_string("%06d", prev)))
+    return c.select(key.alias("utterance_id"), F.col("conv_id").alias("conversation_id"), F.col("role").alias("speaker"), back.alias("reply_to"), F.col("turn").alias("timestamp"), "text")
+
+
+def _replies(c: DataFrame) -> DataFrame:
+    u = _utterances(c)
+    chain = triples.reply_chain(u)
+    texts = u.select("utterance_id", "text", "timestamp")
+    pre = texts.select(F.col("utterance_id").alias("pre_id"), t.clean("text").alias("pre"), F.col("timestamp").alias("pre_turn"))
+    post = texts.select(F.col("utterance_id").alias("post_id"), t.clean("text").alias("post"), F.col("timestamp").alias("post_turn"))
+    rows = chain.join(pre, "pre_id").join(post, "post_id").withColumn("mid", t.clean("text")).filter(t.is_valid("pre", "mid", "post"))
+    return rows.select(F.col("conversation_id").alias("conv_id"), F.col("pre_speaker").alias("pre_role"), "pre_turn", F.col("timestamp").alias("turn"), "post_turn", "pre", "mid", "post")
+
+
+CLEAN = r"trim(regexp_replace(coalesce({}, ''), '\s+', ' ', 'g'))"
+
+
+@query(rf"""
+WITH c AS (SELECT *, lag(turn) OVER w AS pt, lag(role) OVER w AS pr, lag(text) OVER w AS px FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT c.*, (SELECT min(x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = c.pr AND x.turn > c.turn) AS nt FROM c WHERE pr <> role)
+SELECT r.conv_id, pr AS pre_role, pt AS pre_turn, r.turn, nt AS post_turn, length({CLEAN.format("px")}) AS pre_len, length({CLEAN.format("r.text")}) AS mid_len, length({CLEAN.format("p.text")}) AS post_len
+FROM r JOIN conversations p ON p.conv_id = r.conv_id AND p.turn = nt
+WHERE length({CLEAN.format("px")}) >= 20 AND length({CLEAN.format("r.text")}) >= 20 AND length({CLEAN.format("p.text")}) >= 20""")
+def triples_reply(tab):
+    return _replies(tab("conversations")).select("conv_id", "pre_role", "pre_turn", "turn", "post_turn", F.length("pre").alias("pre_len"), F.length("mid").alias("mid_len"), F.length("post").alias("post_len"))
+
+
+@query("""
+WITH o AS (SELECT conv_id, arg_min(role, turn) AS owner FROM conversations GROUP BY conv_id),
+c AS (SELECT c.*, owner FROM conversations c JOIN o USING (conv_id)),
+r AS (SELECT *, (SELECT min(x.turn) FROM c x WHERE x.conv_id = c.conv_id AND x.turn > c.turn AND x.role = c.owner) AS next_turn FROM c WHERE role <> owner),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM r WHERE next_turn IS NOT NULL AND length(text) >= 20)
+SELECT conv_id, turn, role, owner, next_turn FROM n WHERE k <= 3""")
+def triples_owner_cap3(tab):
+    c = tab("conversations")
+    owner = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("owner"))
+    rows = triples.owner_next(c.join(owner, "conv_id"), "conv_id", ["turn"], "role", "owner", ["turn"])
+    rows = triples.first_n(rows.filter(F.col("next").isNotNull() & (F.length("text") >= 20)), "conv_id", ["turn"])
+    return rows.select("conv_id", "turn", "role", "owner", F.col("next.turn").alias("next_turn"))
+
+
+@query("""
+WITH e AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type FROM events),
+i AS (SELECT * FROM e WHERE event_type = 'error'), v AS (SELECT * FROM e WHERE event_type = 'view')
+SELECT i.event_id, (SELECT arg_max(v.event_id, struct_pack(a := v.us, b := v.event_id)) FROM v WHERE v.user_id = i.user_id AND v.us < i.us AND i.us - v.us <= 172800000000) AS pre_id,
+  (SELECT arg_min(v.event_id, struct_pack(a := v.us, b := v.event_id)) FROM v WHERE v.user_id = i.user_id AND v.us > i.us) AS post_id
+FROM i""")
+def triples_asof_48h(tab):
+    e = tab("events").select("event_id", "user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"), "event_type")
+    asked, rows = e.filter("event_type = 'error'").drop("event_type"), e.filter("event_type = 'view'").select("user_id", "us", F.col("event_id").alias("id"))
+    return triples.as_of(asked, rows, "user_id").select("event_id", F.col("pre.id").alias("pre_id"), F.col("post.id").alias("post_id"))
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, turn, coalesce(text, '') AS a, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS b FROM conversations),
+x AS (SELECT *, CASE WHEN length(b) > 0 AND length(a) > length(b) + 20 THEN trim(substr(a, length(b) + 1)) ELSE a END AS d FROM c)
+SELECT conv_id, turn, length(substr(d, 1, 3000)) AS n, md5(substr(d, 1, 3000)) AS h FROM x""")
+def lag_added_content(tab):
+    c = tab("conversations").withColumn("before", F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")))
+    added = t.added_content("before", "text")
+    return c.select("conv_id", "turn", F.length(added).alias("n"), F.md5(added).alias("h"))
+
+
+@query("""
+WITH p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) AS n, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS nr, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations)
+SELECT p.conv_id, p.turn, nt AS next_turn, (SELECT min(x.turn) FROM conversations x WHERE x.conv_id = p.conv_id AND x.role = p.role AND x.turn > p.nt) AS post_turn FROM p
+WHERE n >= 3 AND nr <> role AND EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = p.conv_id AND x.role = p.role AND x.turn > p.nt)""")
+def legacy_aba(tab):
+    return triples.turn_pairs(tab("conversations"), "conv_id", ["turn"], "role", ["turn"]).select("conv_id", "turn", F.col("next.turn").alias("next_turn"), F.col("post.turn").alias("post_turn"))
+
+
+@query("SELECT d.doc_id, coalesce(l.quality, -1) AS quality, coalesce(l.toxic, -1) AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def reply_left_lookup(tab):
+    once = triples.one_per_key(tab("labels"), "doc_id", ["quality", "toxic"])
+    return tab("documents").select("doc_id").join(once, "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(-1)).alias("quality"), F.coalesce("toxic", F.lit(-1)).alias("toxic"))
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def semi_targets(tab):
+    return tab("documents").select("doc_id", "lang").join(tab("labels"), "doc_id", "left_semi")
+
+
+@query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def anti_phase1(tab):
+    return scoring.pending(tab("documents").select(F.col("doc_id").alias("record_id"), "lang"), tab("labels").select(F.col("doc_id").alias("record_id"))).select(F.col("record_id").alias("doc_id"), "lang")
+
+
+@query("SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS known FROM documents")
+def mark_known(tab):
+    return reports.marked(tab("documents").select("doc_id"), tab("labels"), "doc_id", "known")
+
+
+RATINGS = "(SELECT l_orderkey AS record_id, l_linenumber AS rater, avg(1 + l_quantity % 5) AS s, avg(1 + l_partkey % 5) AS s2, min(l_returnflag) AS style FROM lineitem WHERE l_linenumber <= 3 GROUP BY ALL)"
+
+
+def _ratings(tab) -> DataFrame:
+    li = tab("lineitem").filter("l_linenumber <= 3")
+    return li.groupBy(F.col("l_orderkey").alias("record_id"), F.col("l_linenumber").alias("rater")).agg(F.avg(1 + F.col("l_quantity") % 5).alias("s"), F.avg(1 + F.col("l_partkey") % 5).alias("s2"), F.min("l_returnflag").alias("style"))
+
+
+def _long(tab) -> DataFrame:
+    return agreement.long_form(_ratings(tab), "record_id", "rater", ["s", "s2"])
+
+
+@query(f"SELECT a.record_id, a.s AS r1, b.s AS r2, c.s AS r3 FROM {RATINGS} a JOIN {RATINGS} b USING (record_id) JOIN {RATINGS} c USING (record_id) WHERE a.rater = 1 AND b.rater = 2 AND c.rater = 3")
+def rater_threeway(tab):
+    wide = _ratings(tab).groupBy("record_id").pivot("rater", [1, 2, 3]).agg(F.first("s", True))
+    return wide.toDF("record_id", "r1", "r2", "r3").na.drop()
+
+
+# Scalars ----------------------------------------------------------------------------------------------------------
+
+
+@query("""
+SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'peer' WHEN user_id % 3 = 1 THEN 'domain_expert' WHEN event_type IN ('error', 'signup') THEN 'formal_authority' ELSE 'peer_editor' END AS role,
+  CASE WHEN event_type IN ('error', 'signup') THEN 3 WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS severity, CASE WHEN user_id % 3 = 2 THEN 'semi_public' ELSE 'public' END AS visibility FROM events""")
+def role_severity_visibility(tab):
+    kind = F.when(F.col("event_type") == "error", "warning").when(F.col("event_type") == "signup", "restriction").when(F.col("event_type") == "purchase", "positive_reinforcement").otherwise("reframe")
+    e = tab("events").withColumns({"platform": F.when(F.col("user_id") % 3 == 0, "reddit").when(F.col("user_id") % 3 == 1, "stackexchange").otherwise("wikipedia"), "kind": kind})
+    return e.select("event_id", t.role("platform", "kind").alias("role"), t.severity("kind").alias("severity"), t.visibility("platform").alias("visibility"))
+
+
+@query(r"""
+WITH d AS (SELECT doc_id, lower(text) AS x FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(x, 'warn|vandal|block|spam|uw-') THEN 'warning' WHEN regexp_matches(x, 'revert| rv |undid|undo') THEN 'restriction'
+  WHEN regexp_matches(x, 'welcome|thanks') THEN 'positive_reinforcement' ELSE 'reframe' END AS kind FROM d""")
+def wiki_types(tab):
+    return tab("documents").select("doc_id", t.wiki_type("text").alias("kind"))
+
+
+@query("SELECT doc_id, printf('%s_%06d', lang, row_number() OVER (ORDER BY lang, doc_id) - 1) AS record_id FROM documents")
+def surrogate_key(tab):
+    return triples.numbered(tab("documents").select("doc_id", "lang"), ["lang", "doc_id"], F.col("lang")).select("doc_id", "record_id")
+
+
+
+
+@query(rf"""
+WITH d AS (SELECT doc_id, text, {CLEAN.format("text")} AS c FROM documents), w AS (SELECT *, list_filter(string_split(c, ' '), lambda x: x <> '') AS w FROM d)
+SELECT doc_id, md5(c) AS cleaned, CASE WHEN len(w) > 0 THEN len(w) END AS words, CASE WHEN length(trim(text)) > 0 THEN length(text) END AS chars,
+  coalesce(len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) >= 2)) / nullif(len(list_filter(w, lambda x: length(x) >= 2)), 0) > 0.30, false) AS caps_abuse,
+  round(coalesce(len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) >= 2)) / nullif(len(w), 0), 0), 6) AS caps_share, contains(text, '?') AS question FROM w""")
+def text_features(tab):
+    return tab("documents").select("doc_id", F.md5(t.clean("text")).alias("cleaned"), t.word_count("text").alias("words"), t.char_count("text").alias("chars"), t.caps_abuse("text").alias("caps_abuse"), F.round(t.caps_share("text"), 6).alias("caps_share"), t.has_question("text").alias("question"))
+
+
+@query(r"""
+WITH a AS (SELECT page_id, regexp_replace(regexp_replace(html, '<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', ' ', 'gis'), '<[^>]*>', ' ', 'gs') AS x FROM pages)
+SELECT page_id, md5(trim(regexp_replace(replace(replace(replace(replace(replace(replace(x, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g'))) AS h FROM a""")
+def html_text(tab):
+    return tab("pages").select("page_id", F.md5(t.html_text("html")).alias("h"))
+
+
+@query("SELECT event_id, trim(replace('<' || event_type || '><t' || (user_id % 7) || '>', '><', ' '), '<>') AS tags FROM events")
+def parse_tags(tab):
+    return tab("events").select("event_id", t.tag_list(F.concat(F.lit("<"), "event_type", F.lit("><t"), (F.col("user_id") % 7).cast("string"), F.lit(">"))).alias("tags"))
+
+
+@query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{\"event\":' || event_id || ',\"missing\":null}' AS blob FROM events")
+def json_props(tab):
+    return tab("events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"), triples.metadata(event=F.col("event_id"), missing=F.lit(None).cast("string")).alias("blob"))
+
+
+@query("""
+WITH g AS (SELECT event_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 6e7 AS m FROM events)
+SELECT event_id, CASE WHEN m IS NULL THEN 'unknown' WHEN m <= 60 THEN 'immediate' WHEN m <= 1440 THEN 'same_day' ELSE 'delayed' END AS timing FROM g""")
+def timing_bucket(tab):
+    before = F.lag("ts").over(W.partitionBy("user_id").orderBy("ts", "event_id"))
+    return tab("events").select("event_id", t.timing(t.minutes_between(before, "ts")).alias("timing"))
+
+
+@query("""
+WITH u AS (SELECT event_id, count(*) OVER (PARTITION BY user_id) AS total, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS prior, floor((max(epoch_us(ts)) OVER (PARTITION BY user_id) - min(epoch_us(ts)) OVER (PARTITION BY user_id)) / 86400000000) AS days FROM events)
+SELECT event_id, total, prior, CASE WHEN days <= 30 THEN 'newcomer' WHEN days <= 365 THEN 'regular' ELSE 'veteran' END AS tenure FROM u""")
+def user_history(tab):
+    got = reports.user_history(tab("events"), "user_id", "ts", "event_id")
+    return got.select("event_id", F.col("user_n_interventions_in_sample").alias("total"), F.col("user_prior_interventions_in_sample").cast("long").alias("prior"), F.col("user_tenure_estimate_category").alias("tenure"))
+
+
+@query("SELECT doc_id, '<row' || chr(10) || '  Id=\"' || doc_id || '\"' || chr(10) || '  Lang=\"' || lang || '\"' || chr(10) || '/>' AS shown FROM documents")
+def xml_row_format(tab):
+    line = F.concat(F.lit('<row Id="'), F.col("doc_id").cast("string"), F.lit('" Lang="'), "lang", F.lit('" />'))
+    return tab("documents").select("doc_id", t.formatted_xml_row(line).alias("shown"))
+
+
+@query("SELECT vec_id, round_even(x * 2, 0) / 2 AS half, CASE WHEN x < 0.01 THEN 'negligible' WHEN x < 0.06 THEN 'small' WHEN x < 0.14 THEN 'medium' ELSE 'large' END AS effect, CASE WHEN x < 0.001 THEN '***' WHEN x < 0.01 THEN '**' WHEN x < 0.05 THEN '*' ELSE 'ns' END AS stars FROM (SELECT vec_id, (vec_id % 40) / 8.0::DOUBLE AS x FROM embeddings)")
+def labels_and_rounding(tab):
+    e = tab("embeddings").select("vec_id", ((F.col("vec_id") % 40) / 8.0).alias("x"))
+    return e.select("vec_id", t.round_half("x").alias("half"), t.effect_label("x").alias("effect"), t.stars("x").alias("stars"))
+
+
+# Filters, funnels, groupings --------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH d AS (SELECT doc_id % 1000 > 0 AS a, lower(trim(text)) NOT IN ('[deleted]', '[removed]', '') AS b, NOT regexp_matches(lower(source), 'bot|automoderator|spam|moderationbot') AS c, length(text) BETWEEN 50 AND 5000 AS e FROM documents),
+s AS (SELECT count(*) AS n0, count(*) FILTER (a) AS n1, count(*) FILTER (a AND b) AS n2, count(*) FILTER (a AND b AND c) AS n3, count(*) FILTER (a AND b AND c AND e) AS n4 FROM d)
+SELECT unnest([0, 1, 2, 3, 4]) AS stage_no, unnest(['all', 'id', 'no_placeholder', 'no_bot', 'length']) AS stage, unnest([n0, n1, n2, n3, n4]) AS n FROM s""")
+def quality_funnel(tab):
+    steps = {"id": F.col("doc_id") % 1000 > 0, "no_placeholder": ~t.is_placeholder("text"), "no_bot": ~t.is_bot("source"), "length": F.length("text").between(50, 5000)}
+    return sampling.funnel(tab("documents"), steps)
+
+
+@query("""
+SELECT d.lang, d.source, GROUPING(d.lang, d.source) AS level, count(*) AS n, count(*) FILTER (toxic = 1) AS n_toxic, round(100.0 * count(*) FILTER (toxic = 1) / count(*), 6) AS pct_toxic
+FROM documents d JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((), (d.lang), (d.source), (d.lang, d.source))""")
+def departure_grouping_sets(tab):
+    j = tab("documents").select("doc_id", "lang", "source").join(tab("labels"), "doc_id")
+    return reports.rates_by_sets(j, ["lang", "source"], {"toxic": F.col("toxic") == 1}).withColumn("pct_toxic", F.round("pct_toxic", 6))
+
+
+@query("SELECT l_returnflag AS g, count(*) AS n, round(avg(l_quantity), 6) AS l_quantity_mean, round(stddev_samp(l_quantity), 6) AS l_quantity_sd, round(avg(l_discount), 6) AS l_discount_mean, round(stddev_samp(l_discount), 6) AS l_discount_sd FROM lineitem GROUP BY 1")
+def descriptive(tab):
+    d = stats.descriptive(tab("lineitem").withColumnRenamed("l_returnflag", "g"), "g", ["l_quantity", "l_discount"])
+    return d.select("g", "n", *[F.round(c, 6).alias(c) for c in d.columns[2:]])
+
+
+@query("SELECT l_returnflag AS a, l_linestatus AS b, round(avg(l_quantity), 3) AS mean, round(stddev_samp(l_quantity), 3) AS std, count(l_quantity) AS count FROM lineitem GROUP BY 1, 2")
+def crosstab(tab):
+    li = tab("lineitem").withColumnsRenamed({"l_returnflag": "a", "l_linestatus": "b"})
+    return stats.crosstab(li, "a", "b", "l_quantity").select("a", "b", F.round("mean", 3).alias("mean"), F.round("std", 3).alias("std"), "count")
+
+
+@query("SELECT event_type, median(value) AS median FROM events GROUP BY 1")
+def medians(tab):
+    return stats.medians(tab("events"), "event_type", "value")
+
+
+@query("SELECT event_type, count(value) AS n, round(quantile_cont(value, 0.05), 6) AS p5, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+def percentiles(tab):
+    p = stats.percentiles(tab("events"), "value", [5, 50, 95], ["event_type"])
+    return p.select("event_type", "n", *[F.round(c, 6).alias(c) for c in ("p5", "p50", "p95")])
+
+
+@query("SELECT 'l_quantity' AS column, count(l_quantity) AS count, round(avg(l_quantity), 6) AS mean, round(stddev_samp(l_quantity), 6) AS std, min(l_quantity) AS min, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50, quantile_cont(l_quantity, 0.75) AS p75, max(l_quantity) AS max FROM lineitem")
+def describe(tab):
+    d = stats.describe(tab("lineitem"), ["l_quantity"])
+    return d.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
+
+
+@query("SELECT l_returnflag, round(100.0 * avg((l_discount = 0)::INT), 6) AS pct_floor, round(100.0 * avg((l_discount = 0.1)::INT), 6) AS pct_ceiling FROM lineitem GROUP BY 1")
+def floor_ceiling(tab):
+    return tab("lineitem").groupBy("l_returnflag").agg(F.round(100.0 * F.avg((F.col("l_discount") == 0).cast("int")), 6).alias("pct_floor"), F.round(100.0 * F.avg((F.col("l_discount") == 0.1).cast("int")), 6).alias("pct_ceiling"))
+
+
+@query("""
+WITH b(bucket, low, high) AS (VALUES (0, 0.0::DOUBLE, 0.02::DOUBLE), (1, 0.02::DOUBLE, 0.05::DOUBLE), (2, 0.05::DOUBLE, 0.2::DOUBLE), (3, 0.2::DOUBLE, 1.001::DOUBLE))
+SELECT bucket, low, high, count(l_discount) AS n, (SELECT count(l_discount) FROM lineitem) AS total FROM b LEFT JOIN lineitem ON l_discount >= low AND l_discount < high GROUP BY ALL""")
+def confidence_buckets(tab):
+    return stats.buckets(tab("lineitem"), "l_discount", [0.0, 0.02, 0.05, 0.2, 1.001])
+
+
+@query("SELECT l_discount, count(*) AS count FROM lineitem GROUP BY 1")
+def value_hist(tab):
+    return tab("lineitem").groupBy("l_discount").count()
+
+
+@query("""
+SELECT d.lang, count(*) AS n, count(*) FILTER (l.quality IS NULL) AS n_malformed, count(*) FILTER (l.quality = 0) AS n_invalid, count(*) FILTER (l.quality = 1) AS n_valid FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1""")
+def audit_counts(tab):
+    j = tab("documents").select("doc_id", "lang").join(tab("labels"), "doc_id", "left")
+    return j.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("quality").isNull()).alias("n_malformed"), F.count_if(F.col("quality") == 0).alias("n_invalid"), F.count_if(F.col("quality") == 1).alias("n_valid"))
+
+
+@query("""
+WITH v AS (SELECT l_suppkey, l_returnflag AS value, count(*) AS votes FROM lineitem GROUP BY 1, 2)
+SELECT l_suppkey, value, votes FROM v QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY votes DESC, value) = 1""")
+def mode_tiebreak(tab):
+    return agreement.plurality(tab("lineitem").withColumnRenamed("l_returnflag", "value"), ["l_suppkey"], "value")
+
+
+@query("SELECT min(ts)::VARCHAR AS first, max(ts)::VARCHAR AS last, count(DISTINCT user_id) AS users, array_to_string(list_sort(list(DISTINCT event_type)), ',') AS kinds FROM events")
+def report_header(tab):
+    return tab("events").agg(F.min("ts").cast("string").alias("first"), F.max("ts").cast("string").alias("last"), F.count_distinct("user_id").alias("users"), F.array_join(F.array_sort(F.collect_set("event_type")), ",").alias("kinds"))
+
+
+# Samples, splits, sets --------------------------------------------------------------------------------------------
+
+DRAW = "md5('42|' || doc_id)"
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN length(text) >= 2000 THEN 0 ELSE 1 END, {DRAW}, doc_id) AS k FROM documents)
+SELECT doc_id, lang FROM r JOIN (VALUES ('en', 40), ('de', 20), ('fr', 10000)) q(lang, target) USING (lang) WHERE k <= target""")
+def sample_quota_pref(tab):
+    docs = tab("documents")
+    targets = docs.sparkSession.createDataFrame([("en", 40), ("de", 20), ("fr", 10000)], "lang string, target int")
+    return sampling.quota_sample(docs, targets, ["lang"], "doc_id", F.length("text") >= 2000).select("doc_id", "lang")
+
+
+@query(f"""
+WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), p AS (SELECT *, CAST(round_even(n / (SELECT sum(n) FROM c) * 137, 0) AS BIGINT) AS t FROM c),
+q AS (SELECT lang, t + CASE WHEN row_number() OVER (ORDER BY n DESC, lang) = 1 THEN 137 - (SELECT sum(t) FROM p) ELSE 0 END AS target FROM p),
+r AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {DRAW}, doc_id) AS k FROM documents)
+SELECT doc_id, lang FROM r JOIN q USING (lang) WHERE k <= target""")
+def sample_proportional(tab):
+    return sampling.proportional_sample(tab("documents").select("doc_id", "lang"), ["lang"], 137, "doc_id")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source, lang ORDER BY {DRAW}, doc_id) AS k, count(*) OVER (PARTITION BY source, lang) AS n FROM documents)
+SELECT doc_id, k <= CASE WHEN n >= 5 THEN round_even(n * 0.15, 0) ELSE 0 END AS is_holdout FROM r""")
+def holdout(tab):
+    return sampling.holdout(tab("documents"), ["source", "lang"], 0.15, "doc_id").select("doc_id", "is_holdout")
+
+
+SPLITS = f"""
+r AS (SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY {DRAW}, doc_id) AS k, count(*) OVER (PARTITION BY source, lang) AS n FROM documents),
+s AS (SELECT *, greatest(1, round_even(n * 0.1, 0)) AS tenth FROM r),
+v AS (SELECT *, CASE WHEN 2 * tenth >= n THEN greatest(1, (n - 1) // 2) ELSE tenth END AS val FROM s), w AS (SELECT *, CASE WHEN 2 * tenth >= n THEN greatest(1, n - 1 - val) ELSE tenth END AS test FROM v),
+x AS (SELECT doc_id, CASE WHEN n < 3 THEN 'train' WHEN k <= val THEN 'val' WHEN k <= val + test THEN 'test' ELSE 'train' END AS split FROM w)"""
+
+
+@query(f"WITH {SPLITS} SELECT doc_id, split FROM x")
+def split_801010(tab):
+    return sampling.split_801010(tab("documents"), ["source", "lang"], "doc_id").select("doc_id", "split")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY {DRAW}, doc_id) AS k, count(*) OVER (PARTITION BY source) AS n FROM documents)
+SELECT doc_id, CASE WHEN n < 3 THEN 'train' WHEN k <= greatest(1, round_even(n * 0.2, 0)) THEN 'val' ELSE 'train' END AS split FROM r""")
+def split_8020(tab):
+    return sampling.split_8020(tab("documents"), ["source"], "doc_id").select("doc_id", "split")
+
+
+@query(f"WITH {SPLITS} SELECT doc_id, count(DISTINCT split) AS n_splits FROM x GROUP BY 1 HAVING count(DISTINCT split) > 1")
+def overlap_check(tab):
+    return sampling.overlaps(sampling.split_801010(tab("documents"), ["source", "lang"], "doc_id"), "doc_id")
+
+
+@query("SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 10")
+def topk_low(tab):
+    return tab("events").orderBy("value", "event_id").limit(10).select("event_id", "value")
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' UNION SELECT doc_id FROM labels")
+def union_distinct(tab):
+    return tab("documents").filter("lang = 'en'").select("doc_id").union(tab("labels").select("doc_id")).distinct()
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' INTERSECT SELECT doc_id FROM labels")
+def intersect_ids(tab):
+    return tab("documents").filter("lang = 'en'").select("doc_id").intersect(tab("labels").select("doc_id"))
+
+
+@query("SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels")
+def except_ids(tab):
+    return tab("documents").filter("lang = 'en'").select("doc_id").subtract(tab("labels").select("doc_id"))
+
+
+@query("SELECT source, doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) = 1")
+def distinct_on(tab):
+    return triples.one_per_key(tab("documents").select("source", "doc_id", "lang", "n_chars"), "source", [F.desc("n_chars"), "doc_id"]).select("source", "doc_id", "lang")
+
+
+# Statistics -------------------------------------------------------------------------------------------------------
+
+
+def _kruskal_sql(table: str, g: str, v: str) -> str:
+    return f"""(WITH x AS (SELECT {g} AS g, {v} AS v FROM {table}), r AS (SELECT g, v, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS r FROM x),
+ s AS (SELECT g, sum(r) AS s, count(*)::DOUBLE AS m FROM r GROUP BY g), t AS (SELECT sum(c * c * c - c) AS t FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY v)), n AS (SELECT sum(m) AS n, count(*) AS k, sum(s * s / m) AS q FROM s)
+ SELECT (12 / (n * (n + 1)) * q - 3 * (n + 1)) / (1 - t / (n * n * n - n)) AS h, k, n FROM n, t)"""
+
+
+@query(f"SELECT round(h, 4) AS h, k::INT AS k, n::BIGINT AS n, round((h - k + 1) / (n - k), 6) AS eta2 FROM {_kruskal_sql('lineitem', 'l_returnflag', 'l_quantity')}")
+def kruskal(tab):
+    return stats.kruskal(tab("lineitem"), "l_returnflag", "l_quantity").select(F.round("h", 4).alias("h"), "k", "n", F.round("eta2", 6).alias("eta2"))
+
+
+@query("""
+WITH p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT event_type AS g FROM events) a, (SELECT DISTINCT event_type AS g FROM events) b WHERE a.g < b.g),
+x AS (SELECT a, b, event_type = a AS is_a, value AS v FROM p JOIN events ON event_type = a OR event_type = b),
+r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2.0 AS r FROM x),
+s AS (SELECT a, b, sum(CASE WHEN is_a THEN r END) AS ra, count(*) FILTER (is_a)::DOUBLE AS na, count(*)::DOUBLE AS n FROM r GROUP BY a, b),
+t AS (SELECT a, b, sum(c * c * c - c) AS t FROM (SELECT a, b, v, count(*)::DOUBLE AS c FROM x GROUP BY a, b, v) GROUP BY a, b)
+SELECT a, b, na::BIGINT AS n_a, (n - na)::BIGINT AS n_b, round(ra - na * (na + 1) / 2, 1) AS u,
+ round((greatest(ra - na * (na + 1) / 2, na * (n - na) - (ra - na * (na + 1) / 2)) - na * (n - na) / 2 - 0.5) / sqrt(na * (n - na) / 12 * ((n + 1) - t / (n * (n - 1)))), 6) AS z FROM s JOIN t USING (a, b)""")
+def mann_whitney(tab):
+    return stats.pairwise_mann_whitney(tab("events"), "event_type", "value").select("a", "b", "n_a", "n_b", F.round("u", 1).alias("u"), F.round("z", 6).alias("z"))
+
+
+@query("""
+WITH r AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS x, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS y FROM lineitem)
+SELECT round(corr(x, y), 6) AS rho, count(*) AS n FROM r""")
+def spearman(tab):
+    return stats.spearman(tab("lineitem"), "l_quantity", "l_extendedprice").select(F.round("rho", 6).alias("rho"), "n")
+
+
+@query("SELECT a, b, round(CASE WHEN a = b THEN 1.0 ELSE r END, 6) AS r FROM (SELECT unnest(['l_quantity', 'l_quantity', 'l_discount', 'l_discount']) AS a, unnest(['l_quantity', 'l_discount', 'l_quantity', 'l_discount']) AS b, corr(l_quantity, l_discount) AS r FROM lineitem)")
+def pearson_matrix(tab):
+    return stats.pearson_matrix(tab("lineitem"), ["l_quantity", "l_discount"]).withColumn("r", F.round("r", 6))
+
+
+@query()
+def pca_corr(tab):
+    return stats.pca(tab("lineitem"), ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
+
+
+COMPLETE = f"(SELECT record_id, rater, dim, score FROM (SELECT record_id, rater, unnest(['s', 's2']) AS dim, unnest([s, s2]) AS score FROM {RATINGS}))"
+ICC = f"""
+WITH l AS {COMPLETE}, f AS (SELECT l.* FROM l JOIN (SELECT record_id, dim FROM l GROUP BY ALL HAVING count(*) = 3) USING (record_id, dim)),
+m AS (SELECT *, avg(score) OVER (PARTITION BY dim) AS g, avg(score) OVER (PARTITION BY dim, record_id) AS p, avg(score) OVER (PARTITION BY dim, rater) AS c FROM f),
+q AS (SELECT dim, count(*) / 3.0 AS n, sum((p - g) * (p - g)) AS ss, sum((c - g) * (c - g)) AS sr, sum((score - g) * (score - g)) AS st FROM m GROUP BY dim),
+e AS (SELECT dim, n, ss / (n - 1) AS ms, sr / 2 AS mr, (st - ss - sr) / ((n - 1) * 2) AS me FROM q)
+"""
+
+
+@query(ICC + "SELECT dim, n::BIGINT AS n, round((ms - me) / (ms + 2 * me + 3 * (mr - me) / n), 6) AS icc_2_1, round((ms - me) / (ms + (mr - me) / n), 6) AS icc_2_k FROM e")
+def icc(tab):
+    return agreement.icc(_long(tab), 3, ["dim"]).select("dim", "n", F.round("icc_2_1", 6).alias("icc_2_1"), F.round("icc_2_k", 6).alias("icc_2_k"))
+
+
+@query(f"""
+WITH c AS (SELECT record_id, style, count(*) AS m FROM {RATINGS} GROUP BY ALL), s AS (SELECT record_id, sum(m * m) AS mm FROM c GROUP BY 1 HAVING sum(m) = 3),
+p AS (SELECT style, sum(m) AS m FROM c WHERE record_id IN (SELECT record_id FROM s) GROUP BY 1), o AS (SELECT count(*) AS n, avg((mm - 3) / 6.0) AS po FROM s)
+SELECT n, round((po - pe) / (1 - pe), 6) AS kappa FROM (SELECT n, po, (SELECT sum(m * m) FROM p) / (n * n * 9.0) AS pe FROM o)""")
+def fleiss_kappa(tab):
+    r = _ratings(tab).select("record_id", F.col("style").alias("category"))
+    return agreement.fleiss_kappa(r, 3).select("n", F.round("kappa", 6).alias("kappa"))
+
+
+@query(f"""
+WITH l AS {COMPLETE}, d AS (SELECT a.rater AS rater_a, b.rater AS rater_b, a.dim, avg((a.score = b.score)::INT) AS e, avg((abs(a.score - b.score) <= 1)::INT) AS w FROM l a JOIN l b ON a.record_id = b.record_id AND a.dim = b.dim AND a.rater < b.rater GROUP BY ALL)
+SELECT rater_a, rater_b, round(avg(e), 6) AS exact, round(avg(w), 6) AS within_1 FROM d GROUP BY ALL""")
+def pairwise_agreement(tab):
+    return agreement.pairwise_agreement(_long(tab)).select("rater_a", "rater_b", F.round("exact", 6).alias("exact"), F.round("within_1", 6).alias("within_1"))
+
+
+@query(f"WITH d AS (SELECT record_id, dim, max(score) - min(score) AS d FROM {COMPLETE} GROUP BY ALL) SELECT record_id, max((d > 1.5)::INT) = 1 AS flagged FROM d GROUP BY 1")
+def disagreements(tab):
+    return agreement.disagreements(_long(tab))
+
+
+@query(f"""
+WITH m AS (SELECT record_id, round_even(avg(s) * 2, 0) / 2 AS s FROM {RATINGS} GROUP BY 1), v AS (SELECT record_id, style, count(*) AS n FROM {RATINGS} GROUP BY ALL)
+SELECT m.record_id, s, style FROM m JOIN v USING (record_id) QUALIFY row_number() OVER (PARTITION BY m.record_id ORDER BY n DESC, style) = 1""")
+def consensus(tab):
+    r = _ratings(tab)
+    means = r.groupBy("record_id").agg(t.round_half(F.avg("s")).alias("s"))
+    return means.join(agreement.plurality(r, ["record_id"], "style"), "record_id").select("record_id", "s", "style")
+
+
+PAIRS = f"(SELECT a.record_id, a.style, a.s AS model, b.s AS human FROM {RATINGS} a JOIN {RATINGS} b USING (record_id) WHERE a.rater = 1 AND b.rater = 2)"
+
+
+def _pairs(tab) -> DataFrame:
+    r = _ratings(tab)
+    a, b = r.filter("rater = 1").select("record_id", "style", F.col("s").alias("model")), r.filter("rater = 2").select("record_id", F.col("s").alias("human"))
+    return a.join(b, "record_id")
+
+
+@query(f"""
+SELECT style, count(*) AS n, round(avg(abs(model - human)), 6) AS mae, round(avg(model - human), 6) AS bias, round(stddev_samp(model - human), 6) AS sd, round(avg(model - human) + 1.96 * stddev_samp(model - human), 6) AS loa_high,
+ round(avg((abs(model - human) <= 0.5)::INT), 6) AS within_half, round(corr(model, human), 6) AS pearson FROM {PAIRS} GROUP BY 1 HAVING count(*) >= 3""")
+def agreement_by_group(tab):
+    m = agreement.model_agreement(_pairs(tab), ["style"])
+    return m.select("style", "n", *[F.round(c, 6).alias(c) for c in ("mae", "bias", "sd", "loa_high", "within_half", "pearson")])
+
+
+@query(f"SELECT record_id, (model + human) / 2 AS mean, model - human AS diff FROM {PAIRS}")
+def bland_altman(tab):
+    return agreement.bland_altman(_pairs(tab), ["record_id"])
+
+
+@query(ICC + "SELECT CASE WHEN min(k) >= 0.70 THEN 'GOOD' WHEN min(k) >= 0.60 AND avg(k) >= 0.70 THEN 'ACCEPTABLE' WHEN min(k) < 0.60 THEN 'POOR' ELSE 'ACCEPTABLE' END AS verdict FROM (SELECT (ms - me) / (ms + (mr - me) / n) AS k FROM e)")
+def verdict(tab):
+    return agreement.verdict(agreement.icc(_long(tab), 3, ["dim"])).select("verdict")
+
+
+@query(f"SELECT 'l_linestatus' AS \"group\", round(a.h, 4) AS h4, round(b.h, 4) AS h3 FROM {_kruskal_sql('lineitem', 'l_linestatus', '(l_quantity % 5 + l_linenumber) / 2')} a, {_kruskal_sql('lineitem', 'l_linestatus', 'l_quantity % 5')} b")
+def sensitivity(tab):
+    li = tab("lineitem").withColumns({"x": F.col("l_quantity") % 5, "respect": F.col("l_linenumber").cast("double")})
+    return reports.sensitivity(li, ["l_linestatus"], ["x", "respect"]).select("group", F.round("h4", 4).alias("h4"), F.round("h3", 4).alias("h3"))
+
+
+@query("SELECT event_type, n, round(mean, 6) AS mean FROM (SELECT event_type, count(*) AS n, avg(value) AS mean FROM events GROUP BY 1)")
+def interval_95(tab):
+    return stats.interval_95(tab("events"), "event_type", "value").select("event_type", "n", F.round("mean", 6).alias("mean"))
+
+
+# Scoring and streams ----------------------------------------------------------------------------------------------
+
+
+@query("""
+WITH d AS (SELECT doc_id, CAST(round_even((1 + (n_chars % 19) / 4.0) * 2, 0) / 2 AS DOUBLE) AS s, n_chars % 7 = 0 AS broken FROM documents)
+SELECT doc_id, CASE WHEN NOT broken AND s <= 5 THEN s END AS empathy, CASE WHEN NOT broken AND s <= 5 THEN 1.0::DOUBLE END AS confidence, NOT broken AND s <= 5 AS is_parsed FROM d""")
+def parse_scores(tab):
+    value = (1 + (F.col("n_chars") % 19) / 4.0).cast("string")
+    parts = [F.concat(F.lit(f'"{d}": '), value) for d in scoring.DIMENSIONS]
+    body = F.concat(F.lit("```json\n{"), F.concat_ws(", ", *parts), F.lit(', "confidence": 1.7'), F.when(F.col("n_chars") % 7 == 0, "").otherwise("}"), F.lit("\n```"))
+    return scoring.parsed_reply(tab("documents").select("doc_id", body.alias("raw_response"))).select("doc_id", "empathy", "confidence", "is_parsed")
+
+
+@query()
+def score_stub(tab):
+    d = tab("documents")
+    records = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("platform"), F.lit("reframe").alias("intervention_type"), F.lit("peer").alias("intervener_role"), F.substring("text", 1, 200).alias("pre_intervention_text"), F.substring("text", 201, 200).alias("intervention_text"), F.substring("text", 401, 200).alias("post_intervention_text"))
+    return scoring.scored(records, scoring.stub_scorer).select("record_id", *scoring.DIMENSIONS, "confidence", "invalid_triple")
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def event_windows(tab):
+    from rejoinder.streaming.scoring_stream import windowed_counts
+
+    w = windowed_counts(tab("events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "value")
+    return w.select(F.col("start").cast("string").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
