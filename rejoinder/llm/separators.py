@@ -29,6 +29,7 @@ from rejoinder.llm.word_bpe import encode_column, worker_bpe
 END = 49407
 SHARD_TOKENS = 1 << 24
 BLOCK_TOKENS = 1 << 20
+BLOCKS_A_TASK = 16
 MANIFEST = "stream string, doc_id long, ordinal long, shard int, path string, n_tokens long"
 
 
@@ -94,7 +95,8 @@ def separator_scan(shards: DataFrame, folder: str, end: int = END, block_tokens:
                 arrays = [pa.array([stream]), pa.array([shard], pa.int32()), pa.array([at], pa.int64()), pa.array([len(tokens)], pa.int64()), pa.array([places], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["stream", "shard", "at", "size", "separators"])
 
-    found = blocks.repartition("stream", "shard", "at").mapInArrow(search, found_type)
+    tasks = max(shards.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // BLOCKS_A_TASK))  # a number, or small rows would be put together
+    found = blocks.repartition(tasks, "stream", "shard", "at").mapInArrow(search, found_type)
     order = W.partitionBy("stream").orderBy("shard", "at")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     scanned = (
@@ -122,4 +124,4 @@ def document_token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str,
     shards = manifest.filter(F.col("path").isNotNull()).select("stream", "shard", "path", "n_tokens")
     counted = separator_scan(shards, first[0] if first else "file:///tmp", block_tokens=block_tokens)
     names = manifest.filter(F.col("path").isNull()).select("stream", "ordinal", "doc_id")
-    return names.join(counted, ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "start", "n_tokens")
+    return names.hint("merge").join(counted, ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "start", "n_tokens")

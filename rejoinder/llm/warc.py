@@ -178,7 +178,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 store.create_dir(top)
                 yield _batch([_write_run(store, f"{top}/{uuid.uuid4().hex}.run", sorted(lines))], RUN)
 
-    spread = archives.select("path", "folder").repartition("path")
+    spread = archives.select("path", "folder").repartition(max(1, archives.count()), "path")  # a number, or small rows would be put together
     return stored(spread.mapInArrow(read, RUN).withColumn("folder", F.lit(folder)), "runmanifest")
 
 
