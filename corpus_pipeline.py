@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns documents, the last one token pieces with their places. Of rows
 that repeat a doc_id and its normalised text one is kept by the second stage. Rows with one doc_id and different
-texts are documents of their own, except that the third stage drops them together if it drops one of them.
+texts are documents of their own. Null texts are empty; empty tables give no rows; extra columns stay until packing.
 """
 
 from __future__ import annotations
@@ -46,10 +46,17 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies, that with the smallest doc_id. Documents without words stay."""
-    found = ngram_join.near_duplicates(docs).filter("n_shingles > 0 and not (component_id <=> doc_id)")
-    gone = stored(found.select(F.coalesce("doc_id", F.lit(-1)).alias("__id")).distinct(), "near")
-    return docs.withColumn("__id", F.coalesce("doc_id", F.lit(-1))).join(gone, "__id", "left_anti").select(docs.columns)
+    """One document of each component of near copies, that with the smallest doc_id. Documents without words stay.
+
+    Rows are told apart by a number that is written with them, so that a shared or null doc_id decides nothing.
+    """
+    rows = stored(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = ngram_join.near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text")).filter("n_shingles > 0")
+    found = stored(found.select(F.col("doc_id").alias("__row"), "component_id"), "near")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").cast("long").alias("id"), F.col("__row").alias("row")))
+    stays = found.join(rows.select("__row", "doc_id"), "__row").groupBy("component_id").agg(least.alias("least")).select(F.col("least.row").alias("__row"))
+    gone = stored(found.join(stays, "__row", "left_anti").select("__row"), "gone")
+    return rows.join(gone, "__row", "left_anti").select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
