@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import shuffle_partitions, stored
+from rejoinder.llm.shared import in_small_batches, shuffle_partitions, stored
 
 BLOCK = 8192
 #: Runs of these become one space: tab to carriage return, and space.
@@ -67,6 +67,7 @@ def _name_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """A row per block: row, doc_id, n_blocks, i, sha (of the whole normalised text, with block 0), name."""
     spark = docs.sparkSession
+    in_small_batches(spark)
     parts = shuffle_partitions(spark)
     counts = _blocks(docs, block, False).groupBy(F.xxhash64("block").alias("key")).agg(F.count("*").alias("n"))
     counts = stored(counts.filter("n > 1"), "blockcounts")

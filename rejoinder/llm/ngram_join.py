@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rejoinder.llm.components import components
-from rejoinder.llm.shared import mixed, release, shuffle_partitions, span_hashes, stored, text_slices
+from rejoinder.llm.shared import in_small_batches, mixed, release, shuffle_partitions, span_hashes, stored, text_slices
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
 GROUPS = 128
@@ -144,6 +144,7 @@ def slot_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 def sketches(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Per document: the size and a 128-bit sum of its set, its keys (the first shingles in order) and its point."""
+    in_small_batches(docs.sparkSession)
     table = slot_counts(docs, words)
     mean = max(1.0, float(table.mean()))
     # the excess over what a slot holds by chance; counts within three deviations are alike

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import scratch, stored
+from rejoinder.llm.shared import in_small_batches, scratch, stored
 from rejoinder.llm.word_bpe import encode_column, worker_bpe
 
 END = 49407
@@ -71,6 +71,7 @@ def write_streams(docs: DataFrame, tokenizer: str, end: int = END, shard_tokens:
                 yield from flush(False)
         yield from flush(True)
 
+    in_small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stored(own.mapInArrow(write, MANIFEST), "manifest").withColumn("folder", F.lit(folder))
 

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Characters of text that one vectorised step handles at most (a longer text is handled alone).
 CHUNK_CHARS = 1 << 18
+#: Bytes of rows that go to a Python worker at once; a longer row goes alone.
+BATCH_BYTES = 4 << 20
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -34,6 +36,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_small_batches(spark: SparkSession) -> None:
+    """Have the session's Arrow batches hold at most BATCH_BYTES, whatever the length of texts: JVM and worker each hold one.
+
+    It lasts for the session, since operators are lazy; a smaller bound that is set already stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def release(spark: SparkSession) -> None:
     """Have the JVM collect its garbage, so that the shuffle files of steps that are over are removed."""
     gc.collect()

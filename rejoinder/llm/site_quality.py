@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import CHUNK_CHARS, stored
+from rejoinder.llm.shared import CHUNK_CHARS, in_small_batches, stored
 
 SAMPLE = 20_000
 SMALL = 100_000
@@ -116,6 +116,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(list(features(texts.tolist())))
 
+    in_small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texts.join(F.broadcast(chosen), "doc_id").select(of("text").alias("x"), "y").limit(sample).toPandas()
     return fit(np.array(got["x"].tolist()).reshape(-1, KINDS + 2), got["y"].to_numpy(dtype=np.float64))
@@ -124,6 +125,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
 def with_evidence(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -> DataFrame:
     """Adds __logit, __host and __path."""
 
+    in_small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def logit(texts: pd.Series) -> pd.Series:
         return pd.Series(evidence.logit(texts.tolist()))

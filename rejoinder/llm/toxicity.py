@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rejoinder.llm.shared import in_small_batches
+
 SAMPLE = 8_000
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
@@ -131,6 +133,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted of every document, from its text alone."""
 
+    in_small_batches(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(texts))

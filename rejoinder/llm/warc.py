@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import scratch, stored
+from rejoinder.llm.shared import in_small_batches, scratch, stored
 
 #: Captures between two entries of a run's sparse index, the runs that one merge reads, captures of an archive, ranges.
 SPARSE, FAN_IN = 512, 256
@@ -84,6 +84,7 @@ def _stamp(page_id: int | None) -> str:
 
 def write_archives(pages: DataFrame, least_bytes: int = 0, records: int = RECORDS, level: int = 3) -> DataFrame:
     """Write the archives; returns their written manifest: path, n, folder."""
+    in_small_batches(pages.sparkSession)
     folder = scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select("*", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"))

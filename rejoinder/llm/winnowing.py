@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import BASE, INVERSE, mixed, powers, shuffle_partitions
+from rejoinder.llm.shared import BASE, INVERSE, in_small_batches, mixed, powers, shuffle_partitions
 
 K, WINDOW = 24, 96
 BUCKETS = 4096
@@ -159,4 +159,5 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame
                 held = None if ahead else (doc, text, bucket, own)
         yield given(out)
 
+    in_small_batches(docs.sparkSession)
     return next_documents(docs).select("doc_id", "text", "bucket", "ahead").mapInArrow(run, OUT)
