@@ -1,7 +1,7 @@
 """Document quality by hierarchical empirical Bayes.
 
-A logistic model over a text's character make-up gives each document's own evidence. Its probabilities are summed by
-host and by path below it; each host's rate is shrunk toward the global one and each path's toward its host's, the
+A logistic model over a text's character make-up and its repetition of words, pairs of words and lines gives each
+document's own evidence. Its probabilities are summed by host and by path below it; each host's rate is shrunk toward the global one and each path's toward its host's, the
 more the fewer documents it has. How much is told by the data: the prior's strength is what makes the spread of
 rates between sites, beyond that of their documents, come out (method of moments). A document's posterior is its own
 evidence times the ratio of its path's rate to the global rate.
@@ -9,7 +9,8 @@ evidence times the ratio of its path's rate to the global rate.
 Sites are summed by partial aggregates, so a host with a third of all rows is no burden; the joined table of sites
 is broadcast only while it has at most ``SMALL`` rows, else joined by shuffle.
 
-Defined cases: a null or empty text has the features of no characters; a null host or path is a site of its own;
+Defined cases: a null or empty text has the features of no characters, and one without two words or lines repeats
+none; a null host or path is a site of its own;
 without labels of both kinds the evidence is the share of label 1 (everything is kept without any); rows with the
 same doc_id are judged each for itself; an empty table gives no rows; added columns have names with a leading "__",
 so extra columns keep theirs.
@@ -24,12 +25,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import CHUNK_CHARS, in_small_batches, stored
+from rejoinder.llm.shared import BASE, CHUNK_CHARS, in_small_batches, mixed, span_hashes, stored
 
 SAMPLE = 20_000
 SMALL = 100_000
 THRESHOLD = 0.5
 KINDS = 14
+#: Words, pairs of neighbouring words and lines: for each how few are distinct, and the share of the commonest one;
+#: then the share of words that are the same as the word before.
+REPEATS = 7
+FEATURES = KINDS + 2 + REPEATS
 
 
 def _kind_of_byte() -> np.ndarray:
@@ -60,9 +65,47 @@ def _kind_of_byte() -> np.ndarray:
 BYTE_KIND = _kind_of_byte()
 
 
+def _runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values; ``first`` marks where a text begins, which no run goes over."""
+    before = np.concatenate([[False], inside[:-1]])
+    starts = np.flatnonzero(inside & (~before | first))
+    after, last = np.concatenate([inside[1:], [False]]), np.concatenate([first[1:], [True]])
+    return starts, np.flatnonzero(inside & (~after | last)) + 1
+
+
+def _repeats(hashes: np.ndarray, text: np.ndarray, count: int) -> np.ndarray:
+    """Two columns by text: 1 - log distinct / log all, and the root of the commonest one's share; 0 below two."""
+    _, at, often = np.unique(mixed(hashes + text.astype(np.uint64) * np.uint64(BASE)), return_index=True, return_counts=True)
+    n = np.bincount(text, minlength=count)
+    distinct, most = np.bincount(text[at], minlength=count), np.zeros(count, dtype=np.int64)
+    np.maximum.at(most, text[at], often)
+    some = n >= 2
+    n, distinct, most = np.where(some, n, 2), np.where(some, distinct, 2), np.where(some, most, 0)
+    return np.column_stack([1 - np.log(distinct) / np.log(n), np.sqrt(most / n)])
+
+
+def repetition(data: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """REPEATS columns of texts whose bytes stand in a row in ``data``, n of each."""
+    whose, first = np.repeat(np.arange(len(n)), n), np.zeros(len(data), dtype=bool)
+    first[(np.cumsum(n) - n)[n > 0]] = True
+    out = []
+    begins, ends = _runs((data != 32) & ((data < 9) | (data > 13)), first)
+    words, text = mixed(span_hashes(data, begins, ends)), whose[begins]
+    out.append(_repeats(words, text, len(n)))
+    pair = text[1:] == text[:-1]
+    again = np.bincount(text[1:][pair & (words[1:] == words[:-1])], minlength=len(n))
+    again = np.sqrt(again / np.maximum(1, np.bincount(text[1:][pair], minlength=len(n))))
+    out.append(_repeats((words[:-1] * np.uint64(BASE) + words[1:])[pair], text[1:][pair], len(n)))
+    starts, ends = _runs(data != 10, first)
+    written = np.searchsorted(begins, starts) < np.searchsorted(begins, ends)  # lines that hold a word
+    starts, ends = starts[written], ends[written]
+    out.append(_repeats(mixed(span_hashes(data, starts, ends)), whose[starts], len(n)))
+    return np.column_stack([*out, again])
+
+
 def features(texts: list[str | None]) -> np.ndarray:
-    """Square roots of the shares of KINDS kinds of characters, mean word length and log length, of each text."""
-    out = np.zeros((len(texts), KINDS + 2))
+    """Of each text square roots of the shares of KINDS kinds of characters, mean word length, log length, repetition."""
+    out = np.zeros((len(texts), FEATURES))
     at = 0
     while at < len(texts):
         stop, size = at, 0
@@ -71,11 +114,13 @@ def features(texts: list[str | None]) -> np.ndarray:
             stop += 1
         own = [(t or "").encode("utf-8", "surrogatepass") for t in texts[at:stop]]
         n = np.array([len(t) for t in own], dtype=np.int64)
-        kinds = BYTE_KIND[np.frombuffer(b"".join(own), dtype=np.uint8)]
+        data = np.frombuffer(b"".join(own), dtype=np.uint8)
+        kinds = BYTE_KIND[data]
         counts = np.bincount(np.repeat(np.arange(len(own)), n) * KINDS + kinds, minlength=len(own) * KINDS).reshape(-1, KINDS)
         out[at:stop, :KINDS] = np.sqrt(counts / np.maximum(1, n)[:, None])
         out[at:stop, KINDS] = np.minimum(4, (n - counts[:, 3] - counts[:, 4]) / (counts[:, 3] + counts[:, 4] + 1) / 10)
         out[at:stop, KINDS + 1] = np.log1p(n) / 10
+        out[at:stop, KINDS + 2 :] = repetition(data, n)
         at = stop
     return out
 
@@ -93,7 +138,7 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> Evidence:
     """Logistic regression by Newton's method."""
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 1.0
-        return Evidence(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(KINDS + 2))
+        return Evidence(float(np.log((share + 1e-6) / (1 - share + 1e-6))), np.zeros(FEATURES))
     a = np.column_stack([np.ones(len(y)), x])
     w = np.zeros(a.shape[1])
     penalty = ridge * len(y) * np.eye(len(w)) / 10
@@ -119,7 +164,7 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     in_small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     got = texts.join(F.broadcast(chosen), "doc_id").select(of("text").alias("x"), "y").limit(sample).toPandas()
-    return fit(np.array(got["x"].tolist()).reshape(-1, KINDS + 2), got["y"].to_numpy(dtype=np.float64))
+    return fit(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["y"].to_numpy(dtype=np.float64))
 
 
 def with_evidence(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -> DataFrame:

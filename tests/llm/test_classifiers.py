@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from rejoinder.llm import site_quality, toxicity
@@ -80,3 +81,36 @@ def test_quality_of_odd_rows(spark):
 def test_features_do_not_depend_on_the_batch():
     texts = ["abc DEF!! | 12", "", None, "é" * 10, "#$%&*" * 9]
     assert np.allclose(site_quality.features(texts), np.vstack([site_quality.features([t]) for t in texts]))
+
+
+def kind_of_junk(text):
+    words = text.split()
+    if any(f"{c}{c}{c}" in text for c in "#$%&*"):
+        return "symbols"
+    if " | " in text:
+        return "tables"
+    if "!!" in text:
+        return "shouting"
+    return "repetition" if len(words) >= 8 and len(set(words)) < 0.6 * len(words) else "other"
+
+
+def test_every_kind_of_junk_is_rejected():
+    docs, labels = (pq.read_table(f"/root/testdata/sf0.1/{n}.parquet").to_pandas() for n in ("documents", "labels"))
+    known = docs.merge(labels, on="doc_id")
+    held = known["doc_id"] % 3 == 0
+    x, y = site_quality.features(known["text"].tolist()), known["quality"].to_numpy(dtype=float)
+    known["kept"] = site_quality.fit(x[~held], y[~held]).logit(known["text"].tolist()) >= 0
+    junk, clean = known[held & (y == 0)], known[held & (y == 1)]
+    kept = junk["kept"].groupby(junk["text"].map(kind_of_junk)).agg(["mean", "size"])
+    for kind in ("symbols", "tables", "shouting", "repetition"):
+        assert kept.loc[kind, "size"] >= 20 and kept.loc[kind, "mean"] <= 0.05, kept
+    assert clean["kept"].mean() > 0.99
+
+
+def test_repetition_is_seen_over_the_whole_text():
+    plain = " ".join(f"w{i}" for i in range(400))
+    at = site_quality.KINDS + 2
+    got = site_quality.features([plain, plain + " De" * 4000, "Rech.\nLes Rech.\n" * 50, "a a b b c c", None, "alone", "", " \n "])[:, at:]
+    assert (got[0, [0, 2, 6]] == 0).all() and (got[[4, 5, 6, 7]] == 0).all()
+    assert got[1, 0] > 0.2 and got[1, 1] > 0.9 and got[1, 6] > 0.9  # behind 400 words of their own
+    assert got[2, 4] > 0.8 and np.isclose(got[3, 6] ** 2, 3 / 5)
