@@ -4,6 +4,10 @@ Documents are summed to cells of source, language and topic. The cells' token we
 that each margin's weights meet its target shares, for a fixed number of rounds. A document's probability is that of
 its cell, weight over tokens times ``budget``, at most 1, and it stays if a number drawn from its doc_id is lower.
 
+A cell whose probability is cut at 1 gives less than its weight, and no other cell makes up for it, so the sample's
+margins then miss their targets; ``margins`` tells by how much. With ``capped=False`` the budget is lowered until no
+cell is cut, and the expected margins are those of the weights.
+
 A hot source is one row per language and topic after the partial sums, so nothing is dealt by source. While there
 are at most ``SMALL`` cells, raking runs in one task without any shuffle and the cells are broadcast; beyond that its
 windows are dealt by margin value and the join is by shuffle.
@@ -84,27 +88,43 @@ def tempered(cells: DataFrame, column: str, power: float) -> DataFrame:
     return cells.join(shares.drop("t"), column)
 
 
-def mixed_cells(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS) -> DataFrame:
-    """Per cell: __source, __lang, __topic, tokens, documents, weight, probability. docs: as with_cells gives them."""
+def mixed_cells(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET, rounds: int = ROUNDS, capped: bool = True) -> DataFrame:
+    """Per cell: __source, __lang, __topic, tokens, documents, weight, probability. docs: as with_cells gives them.
+
+    capped: cut probabilities at 1, else lower the budget to the smallest tokens over weight.
+    """
     cells = stored(docs.groupBy("__source", "__lang", "__topic").agg(F.sum("__tokens").alias("tokens"), F.count("*").alias("documents")), "cells")
     margins = {}
     for name, power in powers.items():
         cells = tempered(cells, f"__{name}", power)
         margins[f"__{name}"] = f"target___{name}"
     raked = rake(cells, margins, rounds=rounds)
+    if not capped:
+        raked = stored(raked, "uncapped")
+        least = raked.filter("tokens > 0 AND weight > 0").agg(F.min(F.col("tokens") / F.col("weight"))).first()[0]
+        budget = min(budget, least) if least is not None else budget
     share = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(budget) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0))
     return stored(raked.select("__source", "__lang", "__topic", "tokens", "documents", "weight", F.round(share, 9).alias("probability")), "mixed")
 
 
+def margins(cells: DataFrame, names: tuple[str, ...] = ("__source", "__lang", "__topic")) -> DataFrame:
+    """margin, value, target, achieved, gap: target and expected token shares, gap their ratio less 1. cells: as mixed_cells gives them."""
+    each = F.explode(F.array(*[F.struct(F.lit(n.removeprefix("__")).alias("margin"), F.col(n).alias("value")) for n in names])).alias("m")
+    own = cells.select(each, F.col("weight").alias("w"), (F.col("tokens") * F.col("probability")).alias("e")).groupBy("m.margin", "m.value").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
+    whole = own.groupBy("margin").agg(F.sum("w").alias("ws"), F.sum("e").alias("es"))
+    got = own.join(whole, "margin").select("margin", "value", F.try_divide("w", "ws").alias("target"), F.try_divide("e", "es").alias("achieved"))
+    return got.withColumn("gap", F.try_divide("achieved", "target") - 1)
+
+
 def draw(doc_id: Column, seed: str = "mix") -> Column:
     """A number from [0, 1), the same for the same doc_id wherever it is computed."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET) -> DataFrame:
-    """docs with their cells' columns, __probability and __kept."""
+def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET, capped: bool = True) -> DataFrame:
+    """docs with their cells' columns, __probability and __kept. capped: as in mixed_cells."""
     own = with_cells(docs)
-    cells = mixed_cells(own.select("__source", "__lang", "__topic", "__tokens"), powers, budget)
+    cells = mixed_cells(own.select("__source", "__lang", "__topic", "__tokens"), powers, budget, capped=capped)
     known = cells.select("__source", "__lang", "__topic", F.col("probability").alias("__probability"))
     if cells.count() <= SMALL:
         known = F.broadcast(known)

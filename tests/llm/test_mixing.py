@@ -29,3 +29,14 @@ def test_probabilities_follow_the_cells(spark):
     got = mixing.sampled(spark.createDataFrame(rows, SCHEMA), {"source": 0.5}, 0.6).groupBy("source").agg(F.avg(F.col("__kept").cast("int")).alias("rate"), F.first("__probability").alias("p")).collect()
     assert all(abs(r["rate"] - r["p"]) < 0.06 for r in got)
     assert {r["source"]: r["p"] for r in got}["small"] == 1.0
+
+
+def test_expected_margins_meet_their_targets_without_the_cap(spark):
+    rows = [(i, "w " * (30 + 40 * (i % 7)), "hot" if i % 3 == 0 else f"s{i % 11}", ("en", "de", "fr")[i % 5 % 3], 1, "q") for i in range(3000)]
+    own = mixing.with_cells(spark.createDataFrame(rows, SCHEMA))
+    capped, free = (mixing.margins(mixing.mixed_cells(own, capped=c)).toPandas() for c in (True, False))
+    assert capped["gap"].abs().max() > 0.01  # what the cap costs is told
+    assert set(free["margin"]) == {"source", "lang", "topic"} and free["gap"].abs().max() < 1e-6
+    targets = mixing.tempered(own.groupBy("__source").agg(F.sum("__tokens").alias("tokens")), "__source", mixing.TEMPER["source"]).toPandas().set_index("__source")["target___source"]
+    got = free[free["margin"] == "source"].set_index("value")["achieved"]
+    assert (got - targets).abs().max() < 1e-4
