@@ -2,8 +2,10 @@
 
 Each k-gram of code points has a rolling hash; of every window of consecutive hashes the smallest one is chosen, the
 rightmost of equal ones, and kept with its position. Two texts that share k + window - 1 code points in a row share
-a chosen hash, and its positions tell where. A text too short for a window gives its smallest hash, one shorter than
-k the hash of the whole; an empty text has the empty fingerprint.
+a chosen hash, and its positions tell where. A short text has a window that its first three quarters fill, so that it
+shares a hash with the text whatever its last quarter is replaced by; from 4/3 k code points on (32 at k = 24) these
+hold a k-gram, and below that an edited text may share none. One shorter than k gives the hash of the whole; an empty
+text has the empty fingerprint. A smaller window chooses all that a larger one does, so texts of any length compare.
 
 ``next_documents`` pairs each document with the next one in doc_id order in one shuffle of the texts: rows go to
 buckets of the key's range, the first row of each bucket also goes to the bucket before as its look-ahead, and each
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 
 from rejoinder.llm.shared import BASE, INVERSE, in_small_batches, mixed, powers, shuffle_partitions
 
-K, WINDOW = 24, 96
+K, WINDOW = 24, 16
 BUCKETS = 4096
 #: Code points hashed in one step; windows that go over its end are made in the next.
 STEP = 1 << 20
@@ -55,11 +57,17 @@ def window_minima(values: np.ndarray, window: int) -> np.ndarray:
     return np.minimum(suffix[: n - window + 1], prefix[window - 1 : n])
 
 
-def winnow(text: str, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Chosen hashes (HASH_BITS wide) and their positions, in order of position."""
+def window_of(n: int, k: int = K, window: int = WINDOW) -> int:
+    """The window of a text of n code points: at most the k-grams of what is left of it when its last quarter goes."""
+    return max(1, min(window, n - n // 4 - k + 1))
+
+
+def winnow(text: str, k: int = K, window: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Chosen hashes (HASH_BITS wide) and their positions, in order of position. window: window_of the text if none."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     if not len(points):
         return np.empty(0, np.uint64), np.empty(0, np.int64)
+    window = window or window_of(len(points), k)
     k = min(k, len(points))
     top = np.uint64((1 << PLACE_BITS) - 1)
     hashes, places, at = [], [], 0
@@ -127,7 +135,7 @@ def next_documents(docs: DataFrame) -> DataFrame:
     return both.repartition(parts, "bucket").sortWithinPartitions("bucket", "ahead", "doc_id", "text")
 
 
-def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW) -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, window: int | None = None) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness (OUT).
 
     The edited text has its last quarter replaced by as many of the first code points of the next document.

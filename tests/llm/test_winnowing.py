@@ -61,3 +61,17 @@ def test_empty_and_alone(spark):
     assert winnowing.fingerprints(spark.createDataFrame([], SCHEMA)).count() == 0
     one = winnowing.fingerprints(spark.createDataFrame([(4, "abcdefgh", 1, 1, 1)], SCHEMA)).collect()
     assert one[0].edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and one[0].near_next == 1.0
+
+
+def test_short_edited_texts_stay_alike():
+    rnd = random.Random(7)
+    likes = []
+    for n in [*range(32, 119), *range(60, 119), *range(119, 250, 5)]:
+        text, other = ("".join(rnd.choice("abcdefgh ") for _ in range(n)) for _ in range(2))
+        edited = text[: n - n // 4] + other[: n // 4]
+        a, b = winnowing.winnow(text), winnowing.winnow(edited)
+        likes.append((n, winnowing.likeness(a[0], b[0])))
+        assert likes[-1][1] > 0, n  # three quarters are unchanged
+        if n >= 60:
+            assert len(set(a[0].tolist())) >= 2, n
+    assert np.mean([x < 1 for _, x in likes]) > 0.9 and np.std([x for n, x in likes if n >= 119]) < 0.15
