@@ -1,12 +1,14 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text, a template the words of a license statement. A block meets a template if it holds at
-least ``containment`` of the template's distinct words. All words are put in one order, rarest in the corpus first
-(counted over all blocks; words of no template meet nothing and need no place). The join then finds every such pair
-from few words: a block that meets a template holds one of its first |T| - ceil(c |T|) + 1 words (prefix), has at
-least ceil(c |T|) words of templates (length), and after a word met at place i of the template and j of the block at
-most min(|T| - i, |B| - j) words can be shared (position). What is left is verified on the sets. The word list and
-the templates' prefixes are bounded by the templates given, which is why they can be broadcast.
+A block is a line of a text, or a run of words over line ends that is half as long again as a template (so a statement
+that is wrapped, with comment marks or some words between, is one block); a template is the words of a license
+statement. A block meets a template if it holds at least ``containment`` of the template's distinct words. All words
+are put in one order, rarest in the corpus first (counted over all texts; words of no template meet nothing and need
+no place). A text can only have such a block if it meets the template as a whole, and the join finds every such pair
+from few words: the text holds one of the template's first |T| - ceil(c |T|) + 1 words (prefix), has at least
+ceil(c |T|) words of templates (length), and after a word met at place i of the template and j of the text at most
+min(|T| - i, |B| - j) words can be shared (position). What is left is verified on the sets, then block by block. The
+word list and the templates' prefixes are bounded by the templates given, which is why they can be broadcast.
 
 Beside it, ``phrases`` counts every place where given phrases stand, which the join's labels are added to.
 
@@ -45,39 +47,63 @@ def word_list(text: str) -> list[str]:
     return list(dict.fromkeys("".join(c if c.isalnum() or ord(c) > 127 else " " for c in low).split()))
 
 
-def _blocks(docs: DataFrame) -> DataFrame:
-    """row and words of each line."""
-    own = docs.select("row", F.explode(F.split("text", "\n")).alias("block"))
-    return own.select("row", F.split(F.lower("block"), SEPARATORS).alias("words"))
+def span_of(text: str) -> int:
+    """Places that a template's words may take over line ends: half as many again as it has, repeated ones too."""
+    low = "".join(c if c.isalnum() or ord(c) > 127 else " " for c in text).split()
+    return len(low) + len(low) // 2
+
+
+def _windows(hits: Column, span: Column) -> Column:
+    """The most distinct words among hits (i, w) that stand within ``span`` places, null without any."""
+
+    def held(hit: Column, k: Column) -> Column:
+        near = F.filter(F.slice(hits, k + 1, span), lambda x: x["i"] < hit["i"] + span)
+        return F.size(F.array_distinct(F.transform(near, lambda x: x["w"])))
+
+    return F.array_max(F.transform(hits, held))
+
+
+def _best_block(text: Column, template: Column, span: Column) -> Column:
+    """The most of a template's distinct words in a line of the text, or in ``span`` words of it that follow each other."""
+    lines = F.transform(F.split(text, "\n"), lambda line: F.size(F.array_intersect(F.split(F.lower(line), SEPARATORS), template)))
+    words = F.split(F.lower(text), SEPARATORS)
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(template, x["w"]))
+    # an array of one names the hits, so that they are found once
+    windows = F.element_at(F.transform(F.array(hits), lambda own: _windows(own, span)), 1)
+    return F.greatest(F.array_max(lines), F.coalesce(windows, F.lit(0)))
 
 
 def template_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """row, label and containment of every block and template that meet. docs: row, text (not null)."""
-    sets = [(label, word_list(t)) for label, ts in templates.items() for t in ts]
-    sets = [(label, words) for label, words in sets if words]
-    vocabulary = sorted({w for _, words in sets for w in words})
+    """row, label and containment of every text and template of which a block meets. docs: row, text (not null)."""
+    sets = [(label, word_list(t), span_of(t)) for label, ts in templates.items() for t in ts]
+    sets = [(label, words, span) for label, words, span in sets if words]
+    vocabulary = sorted({w for _, words, _ in sets for w in words})
     listed = F.array(*[F.lit(w) for w in vocabulary])
-    blocks = _blocks(docs)
-    held = blocks.select(F.explode(F.array_intersect(listed, "words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    texts = docs.select("row", "text", F.split(F.lower("text"), SEPARATORS).alias("words"))
+    held = texts.select(F.explode(F.array_intersect(listed, "words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = {r["word"]: r["n"] for r in held.collect()}  # at most one row per word of the templates
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
 
     rows = []
-    for k, (label, words) in enumerate(sets):
+    for label, words, span in sets:
         words = sorted(words, key=place.get)
         need = math.ceil(containment * len(words) - 1e-9)
-        rows += [(w, i, k, label, len(words), need, words) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefixes = docs.sparkSession.createDataFrame(rows, "word string, i int, template int, label string, size int, need int, words array<string>")
+        rows += [(w, i, label, len(words), need, span, words) for i, w in enumerate(words[: len(words) - need + 1])]
+    prefixes = docs.sparkSession.createDataFrame(rows, "word string, i int, label string, size int, need int, span int, template array<string>")
 
     prefix_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words"))  # in the order of all words
-    found = blocks.filter(F.arrays_overlap("words", prefix_words)).select("row", ordered.alias("block"))
-    met = found.select("row", "block", F.posexplode("block").alias("j", "word")).join(F.broadcast(prefixes), "word")
-    fits = (F.size("block") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("block") - F.col("j")) + F.least("i", "j") >= F.col("need"))
-    shared = F.size(F.array_intersect("block", "words"))
-    kept = met.filter(fits).select("row", "label", "size", "need", shared.alias("shared")).filter("shared >= need")
-    return kept.groupBy("row", "label").agg(F.max(F.col("shared") / F.col("size")).alias("containment"))
+    found = texts.filter(F.arrays_overlap("words", prefix_words)).select("row", "text", ordered.alias("own"))
+    places = F.filter(F.transform("own", lambda w, j: F.struct(w.alias("word"), j.alias("j"))), lambda x: F.array_contains(prefix_words, x["word"]))
+    met = found.select("row", "text", "own", F.inline(places)).join(F.broadcast(prefixes), "word")
+    fits = (F.size("own") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("own") - F.col("j")) + F.least("i", "j") >= F.col("need"))
+    shared = F.array_intersect("own", "template")
+    # of the words that bring a text and a template together the first one does
+    pairs = met.filter(fits).filter((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("word")))
+    best = pairs.select("row", "label", "size", "need", _best_block(F.col("text"), F.col("template"), F.col("span")).alias("shared"))
+    kept = best.groupBy("row", "label").agg(F.max(F.when(F.col("shared") >= F.col("need"), F.col("shared") / F.col("size"))).alias("containment"))
+    return kept.filter("containment IS NOT NULL")
 
 
 def phrases(docs: DataFrame, given: dict[str, str] = PHRASES) -> DataFrame:

@@ -1,5 +1,6 @@
 import math
 import re
+import textwrap
 
 from rejoinder.llm import licenses
 
@@ -39,3 +40,19 @@ def test_equals_brute_force(spark):
     got = licenses.license_scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(brute(r[0], r[1])) for r in rows)
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_wrapped_notices_are_found(spark):
+    rows, want = [], []
+    for label, ts in licenses.TEMPLATES.items():
+        for t in ts:
+            for width in (24, 40, 60):
+                for mark, end in (("", "\n"), (" * ", "\n"), ("# ", "\r\n"), ("dnl ", "\n\n")):
+                    text = end.join(mark + line for line in textwrap.wrap(t, width))
+                    rows.append((len(rows), f"One line before.\n{text}{end}One line after.", "l", 1, 1.0))
+                    want.append(label)
+    apart = "\n".join(w + " x" * 60 for w in licenses.word_list(licenses.TEMPLATES["bsd"][0]))  # its words, but no notice
+    rows.append((len(rows), apart, "l", 1, 1.0))
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert [(rows[i][1], label) for i, label in enumerate(want) if label not in got[i].labels.split(",")] == []
+    assert got[len(want)].labels == "" and got[len(want)].score == 0
