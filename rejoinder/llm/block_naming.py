@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import in_small_batches, shuffle_partitions, stored
+from rejoinder.llm.shared import in_small_batches, shuffle_partitions, stored, trimmed
 
 BLOCK = 8192
 #: Runs of these become one space: tab to carriage return, and space.
@@ -78,7 +78,7 @@ def block_names(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     salt = F.when(F.col("hot"), F.pmod(F.hash("row"), F.col("salts"))).otherwise(F.lit(0))
     dealt = dealt.withColumn("sha", F.when(F.col("i") == 0, F.col("sha"))).withColumn("salt", salt)
     task = dealt.repartition(parts, "key", "salt").sortWithinPartitions("block")
-    named = stored(task.select("row", "doc_id", "n_blocks", "i", "sha", "hot", "block").mapInArrow(_name_sorted, NAMED), "blocknames")
+    named = stored(task.select("row", "doc_id", "n_blocks", "i", "sha", "hot", "block").mapInArrow(trimmed(_name_sorted), NAMED), "blocknames")
     shown = named.filter(F.col("hot").isNotNull()).select("name", F.col("hot").alias("block"))
     first = shown.groupBy("block").agg(F.min("name").alias("common"))
     same = shown.join(first, "block").filter(F.col("name") != F.col("common")).select("name", "common")

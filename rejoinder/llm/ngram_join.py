@@ -8,7 +8,9 @@ can reach the threshold. Surviving pairs are bounded again by points of more gro
 In so many dimensions one tree over all documents would visit nearly every leaf, so points are first dealt to trees
 by key: two sets at or over the threshold share at least one of the first n - ceil(t * n) + 1 shingles of each, in
 any one order of all shingles. The order puts frequent shingles last (by a table of counts over all documents of a
-fixed size), so common passages rarely give a key. A key's documents form one tree.
+fixed size), so common passages rarely give a key. A key's documents form one tree; those of a key with more than
+``TREE`` rows are cut into parts, and each two parts form a tree. Two documents that share several keys are left to
+the first that both carry, and pairs are bounded by up to CARRIED groups where they come out.
 
 Links between copies are not expanded. Documents with one and the same set are a class with one representative.
 For each representative its likeliest partner (that which leads most of its keys) is verified first; the components
@@ -16,7 +18,8 @@ of these links are then known, and the trees search only pairs that lie in diffe
 can still change a component. A key whose documents are all in one component needs no tree.
 
 Defined cases: a null text is empty; without words a document has no set and is linked with nothing; with fewer
-words than a shingle takes, the whole sequence is the one shingle; rows with the same doc_id are told apart by row,
+words than a shingle takes, the whole sequence is the one shingle; a very long text is one set like any other, made in
+a step of its own; rows with the same doc_id are told apart by row,
 and components are named by the smallest doc_id in them (null only if all are null); extra columns are ignored.
 """
 
@@ -28,22 +31,26 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.llm.components import components
-from rejoinder.llm.shared import in_small_batches, mixed, release, shuffle_partitions, span_hashes, stored, text_slices
+from rejoinder.llm.shared import in_small_batches, mixed, release, shuffle_partitions, span_hashes, stored, text_slices, trimmed
 
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUPS = 128
+#: Groups of a tree's points and of the points that a key's rows carry at most; a fine point has no such end.
+GROUPS, CARRIED = 128, 1024
+#: A count in a point's byte that stands for this one or any larger, so it bounds nothing.
+FULL = 255
 #: Shingles of a set for each group of its fine point, and pairs and documents that may be broadcast to find texts.
 FINE, SMALL = 4, 400_000
+#: Keys before a row's own that it carries, and rows of a key that one tree holds at most.
+BEFORE, TREE = 8, 20_000
 #: Pairs of one set that are verified in one task, on average.
 TOGETHER = 64
 #: Slots of the frequency table and of its parts: 4 MB in all, whatever the input.
 SLOTS, SLOT_PART = 1 << 19, 1 << 13
 LEAF = 32
-#: Sets beyond this size have points without a bound.
-LARGE = 4_000_000
 SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary, fine binary"
 
 
@@ -103,12 +110,25 @@ def _signatures(h: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
     return out[0], out[1]
 
 
-def _fine_point(h: np.ndarray) -> bytes:
-    """Counts of about a quarter as many groups as shingles; folding it gives the counts of fewer groups."""
+def _point(h: np.ndarray, most: int | None = None) -> bytes:
+    """Counts of about a quarter as many groups as shingles, a byte each; folding it gives the counts of fewer groups."""
     groups = GROUPS
-    while groups * FINE < len(h):
+    while groups * FINE < len(h) and groups != most:
         groups *= 2
-    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), 65535).astype("<u2").tobytes()
+    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8).tobytes()
+
+
+def _counts(point: bytes, groups: int) -> np.ndarray:
+    """A point folded to this many groups (a divisor of its own)."""
+    own = np.frombuffer(point, dtype=np.uint8).astype(np.int64)
+    own[own == FULL] = 1 << 40
+    return own.reshape(-1, groups).sum(0)
+
+
+def _can_reach(x: bytes, y: bytes, sizes: int, numerator: int, denominator: int) -> bool:
+    """Whether the summed minima of two points, in as many groups as both have, allow the threshold."""
+    d = min(len(x), len(y))
+    return (numerator + denominator) * int(np.minimum(_counts(x, d), _counts(y, d)).sum()) >= numerator * sizes
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -135,7 +155,7 @@ def slot_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.astype("<i8").tobytes() for v in sums.values()], pa.binary())], names=["part", "counts"])
 
     kind = "part long, counts binary"
-    summed = docs.select(F.col("text").cast("string")).mapInArrow(count, kind).repartition(SLOTS // SLOT_PART, "part").mapInArrow(add, kind)
+    summed = docs.select(F.col("text").cast("string")).mapInArrow(trimmed(count), kind).repartition(SLOTS // SLOT_PART, "part").mapInArrow(trimmed(add), kind)
     table = np.zeros(SLOTS, dtype=np.int64)
     for part, counts in summed.collect():  # SLOTS / SLOT_PART rows
         table[part * SLOT_PART : (part + 1) * SLOT_PART] = np.frombuffer(counts, dtype="<i8")
@@ -143,7 +163,11 @@ def slot_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
-    """Per document: the size and a 128-bit sum of its set, its keys (the first shingles in order) and its point."""
+    """Per document: the size and a 128-bit sum of its set, its keys (the first shingles in order) and its point.
+
+    point has at most CARRIED groups; fine is the point of more groups where a set has need of them, else null. The
+    table is written.
+    """
     in_small_batches(docs.sparkSession)
     table = slot_counts(docs, words)
     mean = max(1.0, float(table.mean()))
@@ -163,19 +187,23 @@ def sketches(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, de
                 first = place < np.repeat(n - need + 1, n)
                 keys = h[order][first].view(np.int64)
                 sums, more = _signatures(h, at)
-                points = np.minimum(np.bincount(doc * GROUPS + (h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=len(n) * GROUPS), 65535).reshape(-1, GROUPS).astype("<u2")
+                points = [_point(h[at[i] : at[i + 1]], CARRIED) for i in range(len(n))]
+                fine = [_point(h[at[i] : at[i + 1]]) if n[i] > FINE * CARRIED else None for i in range(len(n))]
                 offsets = np.concatenate([[0], np.cumsum(np.where(n > 0, n - need + 1, 0))]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, len(n)), batch.column(1).slice(a, len(n)), pa.array(n),
                         sums, more,
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array([p.tobytes() for p in points], pa.binary()),
-                        pa.array([_fine_point(h[at[i] : at[i + 1]]) for i in range(len(n))], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys)), pa.array(points, pa.binary()),
+                        pa.array(fine, pa.binary()),
                     ],
                     names=[c.split()[0] for c in SKETCH.split(", ")],
                 )
 
-    return _own(docs).mapInArrow(sketch, SKETCH)
+    try:
+        return stored(_own(docs).mapInArrow(trimmed(sketch), SKETCH), "sketches")
+    finally:
+        shared.destroy()
 
 
 class CountVectorTree:
@@ -203,48 +231,122 @@ class CountVectorTree:
 
 
 def _tree_pairs(numerator: int, denominator: int):
-    """Over rows (key, id, n, label, point) sorted by key: the pairs of each key that its tree leaves."""
+    """Over rows (key, x, y, part, id, n, label, before, point) sorted by key, x, y: the pairs of each key that its tree leaves.
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-            ids, sizes, labels = (rows.column(c).to_numpy() for c in ("id", "n", "label"))
-            points = np.frombuffer(b"".join(rows.column("point").to_pylist()), dtype="<u2").reshape(len(ids), GROUPS)
-            if sizes.max() > LARGE:  # counts may be cut off at the type's end: no bound for these
-                points = np.where((sizes > LARGE)[:, None], np.uint32(1 << 31), points.astype(np.uint32))
-            a, b = [], []
-            if len(ids) <= LEAF:  # the tree is one leaf
-                x, y = np.nonzero((ids[:, None] < ids) & (labels[:, None] != labels))
-                fits = (numerator + denominator) * np.minimum(points[x], points[y]).sum(1, dtype=np.int64) >= numerator * (sizes[x] + sizes[y])
-                yield pa.RecordBatch.from_arrays([pa.array(ids[x[fits]]), pa.array(ids[y[fits]])], names=["a", "b"])
-                return
-            tree = CountVectorTree(points, sizes)
-            for i in range(len(ids)):
-                hit = tree.search(points[i], int(sizes[i]), numerator, denominator)
-                hit = hit[(ids[hit] > ids[i]) & (labels[hit] != labels[i])]
-                a += [int(ids[i])] * len(hit)
-                b += ids[hit].tolist()
-                if len(a) > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                    a, b = [], []
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    A pair that meets at an earlier key of both (one that both carry) is left to that key, so that two documents
+    that share many keys come out about once. Of a key that is dealt over several trees (x, y are numbers of parts of
+    its rows) each finds the pairs between its two parts. Trees of one leaf are searched together.
+    """
+
+    def met_before(before: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=bool)
+        for at in range(0, len(i), 10_000):
+            a, b = before[i[at : at + 10_000]], before[j[at : at + 10_000]]
+            out[at : at + 10_000] = ((a[:, :, None] == b[:, None, :]) & (a != 0)[:, :, None]).any((1, 2))
+        return out
+
+    def found(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Pairs of whole trees; starts: the first row of each."""
+        ids, sizes, labels, part, x, y = (rows.column(c).to_numpy() for c in ("id", "n", "label", "part", "x", "y"))
+        given = rows.column("point").to_pylist()
+        width = np.fromiter(map(len, given), dtype=np.int64, count=len(given))
+        points = np.empty((len(ids), GROUPS), dtype=np.int32)
+        plain = width == GROUPS
+        points[plain] = np.frombuffer(b"".join([p for p in given if len(p) == GROUPS]), dtype=np.uint8).reshape(-1, GROUPS)
+        points[plain] = np.where(points[plain] == FULL, 1 << 24, points[plain])
+        for i in np.flatnonzero(~plain).tolist():
+            points[i] = np.minimum(_counts(given[i], GROUPS), 1 << 24)
+        before = np.zeros((len(ids), BEFORE), dtype=np.int64)
+        lists = rows.column("before").combine_chunks()
+        counts = np.asarray(pc.list_value_length(lists))
+        before[np.repeat(np.arange(len(ids)), counts), np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)] = pc.list_flatten(lists).to_numpy()
+
+        def apart(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            return (labels[i] != labels[j]) & (ids[i] != ids[j]) & ((x[i] == y[i]) | (part[i] != part[j]))
+
+        def kept(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            """Those of the pairs i, j (bounded in GROUPS already) that belong to this key and can reach the threshold."""
+            first = ~met_before(before, i, j)
+            i, j = i[first], j[first]
+            more = np.flatnonzero((width[i] > GROUPS) & (width[j] > GROUPS))
+            fits = np.ones(len(i), dtype=bool)
+            for k in more.tolist():
+                fits[k] = _can_reach(given[i[k]], given[j[k]], int(sizes[i[k]] + sizes[j[k]]), numerator, denominator)
+            a, b = ids[i[fits]], ids[j[fits]]
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+        ends = np.append(starts[1:], len(ids))
+        tree = np.repeat(np.arange(len(starts)), ends - starts)
+        leaf = (ends - starts <= LEAF)[tree]
+        for d in range(1, LEAF):
+            i = np.flatnonzero((tree[:-d] == tree[d:]) & leaf[:-d])
+            if not len(i):
+                break
+            j = i + d
+            total, least = sizes[i] + sizes[j], np.minimum(sizes[i], sizes[j])
+            fits = apart(i, j) & ((numerator + denominator) * least >= numerator * total)
+            i, j, total = i[fits], j[fits], total[fits]
+            fits = np.zeros(len(i), dtype=bool)
+            for at in range(0, len(i), 8192):
+                met = np.minimum(points[i[at : at + 8192]], points[j[at : at + 8192]]).sum(1, dtype=np.int64)
+                fits[at : at + 8192] = (numerator + denominator) * met >= numerator * total[at : at + 8192]
+            if fits.any():
+                yield kept(i[fits], j[fits])
+        for first, end in zip(starts.tolist(), ends.tolist(), strict=True):
+            if end - first <= LEAF:
+                continue
+            box, held, n = CountVectorTree(points[first:end], sizes[first:end]), [], 0
+            for i in range(first, end):
+                hit = box.search(points[i], int(sizes[i]), numerator, denominator) + first
+                hit = hit[hit > i]
+                hit = hit[apart(np.full(len(hit), i), hit)]
+                held.append((np.full(len(hit), i), hit))
+                n += len(hit)
+                if n > 50_000:
+                    yield kept(*map(np.concatenate, zip(*held, strict=True)))
+                    held, n = [], 0
+            if n:
+                yield kept(*map(np.concatenate, zip(*held, strict=True)))
 
-        held: list[pa.RecordBatch] = []
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last tree so far, which may go on
+        last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[-1].column("key")[-1].as_py() != key[x]:
-                    yield from found(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(x, y - x))
+            key, x, y = (batch.column(c).to_numpy() for c in ("key", "x", "y"))
+            starts = np.flatnonzero((key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+            goes_on, shift = held and last == (int(key[0]), int(x[0]), int(y[0])), sum(b.num_rows for b in held)
+            last = int(key[-1]), int(x[-1]), int(y[-1])
+            begins = [0, *([shift] if held and not goes_on else []), *(starts + shift).tolist()]
+            open_ = begins.pop()
+            if not begins:
+                held.append(batch)
+                continue
+            yield from found(pa.Table.from_batches([*held, batch.slice(0, open_ - shift)]), np.array(begins))
+            held = [batch.slice(open_ - shift)]
         if held:
-            yield from found(pa.Table.from_batches(held))
+            yield from found(pa.Table.from_batches(held), np.zeros(1, dtype=np.int64))
 
     return pairs
 
 
+def _tree_rows(rows: DataFrame, most: int = TREE) -> DataFrame:
+    """rows (key, id, n, label, before, point) with x, y, part: a tree's rows are those of one key, x and y.
+
+    A key with more than ``most`` rows is cut into parts by a hash of the id, and each two parts (and each alone) make
+    a tree, so no task holds more than about two parts, whatever the key's share of all rows.
+    """
+    counts = rows.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > most)
+    counts = stored(counts.select("key", F.ceil(F.col("rows") / F.lit(most)).cast("int").alias("parts")), "hotkeys", wave=True)
+    dealt = rows.join(counts, "key", "left")
+    part = F.when(F.col("parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("parts"))).cast("int")
+    own = dealt.withColumn("part", part)
+    others = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    own = own.withColumn("other", F.explode(others)).withColumns({"x": F.least("part", "other"), "y": F.greatest("part", "other")})
+    return own.select("key", "x", "y", "part", "id", "n", "label", "before", "point")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, numerator: int, denominator: int) -> DataFrame:
     """Pairs (a, b of representatives) whose sets reach the threshold. Sets are made anew for these documents.
 
@@ -254,8 +356,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, nu
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(TOGETHER)).cast("int").alias("tasks"))
     dealt = pairs.join(counts, "a").select("a", "b", F.pmod(F.hash("b"), F.col("tasks")).alias("task"))
     held = counts.select("a", F.col("a").alias("id"), F.explode(F.sequence(F.lit(0), F.col("tasks") - 1)).alias("task"), F.lit(0).alias("role"))
-    uses = stored(dealt.select("a", F.col("b").alias("id"), "task", F.lit(1).alias("role")).unionByName(held.select("a", "id", "task", "role")), "uses")
-    wanted = stored(reps.join(uses.select("id").distinct(), "id", "left_semi"), "wanted")
+    uses = stored(dealt.select("a", F.col("b").alias("id"), "task", F.lit(1).alias("role")).unionByName(held.select("a", "id", "task", "role")), "uses", wave=True)
+    wanted = stored(reps.join(uses.select("id").distinct(), "id", "left_semi"), "wanted", wave=True)
     ids = wanted.select(F.coalesce("doc_id", F.lit(-1)).alias("doc_key")).distinct()
     if wanted.count() <= SMALL:
         wanted, ids = F.broadcast(wanted), F.broadcast(ids)
@@ -268,7 +370,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, nu
                 yield pa.RecordBatch.from_arrays([pa.array(np.diff(at)), sums, more, own], names=["n", "sig1", "sig2", "shingles"])
 
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_key"), F.col("text").cast("string").alias("text"))
-    made = texts.join(ids, "doc_key", "left_semi").select("text").mapInArrow(sets, "n long, sig1 long, sig2 long, shingles binary")
+    made = texts.join(ids, "doc_key", "left_semi").select("text").mapInArrow(trimmed(sets), "n long, sig1 long, sig2 long, shingles binary")
     own = made.join(wanted, ["n", "sig1", "sig2"]).select("id", "shingles")
     if uses.count() <= SMALL:
         uses = F.broadcast(uses)
@@ -290,47 +392,49 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, nu
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     rows = own.join(uses, "id").repartition(shuffle_partitions(docs.sparkSession), "a", "task").sortWithinPartitions("a", "task", "role")
-    return rows.select("a", "task", "role", "id", "shingles").mapInArrow(check, "a long, b long")
+    return rows.select("a", "task", "role", "id", "shingles").mapInArrow(trimmed(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """A row per document: row, doc_id, n_shingles, component_id, and class_row (equal for documents with one set)."""
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)
-    sketch = stored(sketches(docs, words, numerator, denominator), "sketches")
+    sketch = sketches(docs, words, numerator, denominator)
     small = sketch.select("row", "doc_id", "n", "sig1", "sig2")
-    groups = stored(small.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("row").alias("class_row"), F.count("*").alias("copies")), "classes")
+    groups = stored(small.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("row").alias("class_row"), F.count("*").alias("copies")), "classes", wave=True)
     repeated = groups.filter("copies > 1").drop("copies")
-    members = stored(small.join(repeated, ["n", "sig1", "sig2"], "left").withColumn("class_row", F.coalesce("class_row", "row")), "members")
+    members = stored(small.join(repeated, ["n", "sig1", "sig2"], "left").withColumn("class_row", F.coalesce("class_row", "row")), "members", wave=True)
     reps = members.filter("row = class_row and n > 0").select(F.col("row").alias("id"), "doc_id", "n", "sig1", "sig2")
     others = members.filter("row <> class_row or n = 0").select("row")
-    points = sketch.select(F.col("row").alias("id"), "n", "point", "fine")
+    points = sketch.select(F.col("row").alias("id"), "n", "point", F.coalesce("fine", "point").alias("fine"))
 
     # keys that two representatives or more share; each is led by its smallest
     keyed = sketch.select("row", "keys").join(others, "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "id")
-    met = stored(keyed.mapInArrow(_shared_keys, "key long, id long, lead long"), "sharedkeys")
+    met = stored(keyed.mapInArrow(trimmed(_shared_keys), "key long, id long, lead long"), "sharedkeys")
     del keyed
     release(spark)
     partner = met.filter("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("n")).groupBy("id").agg(F.max_by("lead", F.struct("n", -F.col("lead"))).alias("lead"))
-    bound = _bounded(stored(partner.select(F.col("lead").alias("a"), F.col("id").alias("b")), "partners"), points, numerator, denominator)
-    links = stored(_verified(stored(bound, "pairs"), docs, reps, words, numerator, denominator), "links")
+    bound = _bounded(stored(partner.select(F.col("lead").alias("a"), F.col("id").alias("b")), "partners", wave=True), points, numerator, denominator)
+    links = stored(_verified(stored(bound, "pairs", wave=True), docs, reps, words, numerator, denominator), "links", wave=True)
 
     # what the trees must still tell apart
-    known = stored(components(links), "known")
+    known = stored(components(links), "known", wave=True)
     labelled = met.select("key", "id").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = stored(labelled, "labelled")
+    labelled = stored(labelled, "labelled", wave=True)
     release(spark)
     mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
-    rows = labelled.join(mixed_keys, "key").join(points, "id").select("key", "id", "n", "label", "point")
-    open_ = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_tree_pairs(numerator, denominator), "a long, b long").distinct()
-    more = _verified(stored(_bounded(stored(open_, "open"), points, numerator, denominator), "pairs"), docs, reps, words, numerator, denominator)
-    links = stored(links.unionByName(more), "links")
+    before = F.collect_list("key").over(W.partitionBy("id").orderBy("key").rowsBetween(-BEFORE, -1))
+    rows = labelled.join(mixed_keys, "key").withColumn("before", before).join(points.drop("fine"), "id").select("key", "id", "n", "label", "before", "point")
+    rows = _tree_rows(stored(rows, "treerows"))
+    open_ = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(trimmed(_tree_pairs(numerator, denominator)), "a long, b long").distinct()
+    more = _verified(stored(_bounded(stored(open_, "open", wave=True), points, numerator, denominator), "pairs", wave=True), docs, reps, words, numerator, denominator)
+    links = stored(links.unionByName(more), "links", wave=True)
 
     final = components(links)
     own = members.join(final.select(F.col("node").alias("class_row"), "component"), "class_row", "left").withColumn("component", F.coalesce("component", "class_row"))
-    own = stored(own, "labels")
-    named = stored(own.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1"), "named")
+    own = stored(own, "labels", wave=True)
+    named = stored(own.groupBy("component").agg(F.min("doc_id").alias("least"), F.count("*").alias("size")).filter("size > 1"), "named", wave=True)
     return own.join(named, "component", "left").select("row", "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("size").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "class_row")
 
 
@@ -368,13 +472,9 @@ def _bounded(pairs: DataFrame, points: DataFrame, numerator: int, denominator: i
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes = batch.column("n1").to_numpy() + batch.column("n2").to_numpy()
-            fits = np.zeros(batch.num_rows, dtype=bool)
-            for i, (x, y) in enumerate(zip(batch.column("p1"), batch.column("p2"), strict=True)):
-                x, y = (np.frombuffer(p.as_buffer(), dtype="<u2").astype(np.int64) for p in (x, y))
-                d = min(len(x), len(y))
-                x, y = (p.reshape(-1, d).sum(0) if len(p) > d else p for p in (x, y))
-                fits[i] = (numerator + denominator) * np.minimum(x, y).sum() >= numerator * sizes[i]
+            sizes = (batch.column("n1").to_numpy() + batch.column("n2").to_numpy()).tolist()
+            both = zip(sizes, batch.column("p1").to_pylist(), batch.column("p2").to_pylist(), strict=True)
+            fits = np.array([_can_reach(x, y, n, numerator, denominator) for n, x, y in both], dtype=bool)
             yield pa.RecordBatch.from_arrays([pc.filter(batch.column(c), pa.array(fits)) for c in ("a", "b")], names=["a", "b"])
 
-    return both.mapInArrow(keep, "a long, b long")
+    return both.mapInArrow(trimmed(keep), "a long, b long")

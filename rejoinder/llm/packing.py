@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import in_small_batches, stored
+from rejoinder.llm.shared import in_small_batches, stored, trimmed
 from rejoinder.llm.word_bpe import encode_column, worker_bpe
 
 CAPACITY = 4096
@@ -54,7 +54,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY,
 
     in_small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(cut, PIECES)
+    return own.mapInArrow(trimmed(cut), PIECES)
 
 
 def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import in_small_batches, scratch, stored
+from rejoinder.llm.shared import in_small_batches, scratch, stored, trimmed
 from rejoinder.llm.word_bpe import encode_column, worker_bpe
 
 END = 49407
@@ -73,7 +73,7 @@ def write_streams(docs: DataFrame, tokenizer: str, end: int = END, shard_tokens:
 
     in_small_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return stored(own.mapInArrow(write, MANIFEST), "manifest").withColumn("folder", F.lit(folder))
+    return stored(own.mapInArrow(trimmed(write), MANIFEST), "manifest").withColumn("folder", F.lit(folder))
 
 
 def separator_scan(shards: DataFrame, folder: str, end: int = END, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -97,7 +97,7 @@ def separator_scan(shards: DataFrame, folder: str, end: int = END, block_tokens:
                 yield pa.RecordBatch.from_arrays(arrays, names=["stream", "shard", "at", "size", "separators"])
 
     tasks = max(shards.sparkSession.sparkContext.defaultParallelism, -(-blocks.count() // BLOCKS_A_TASK))  # a number, or small rows would be put together
-    found = blocks.repartition(tasks, "stream", "shard", "at").mapInArrow(search, found_type)
+    found = blocks.repartition(tasks, "stream", "shard", "at").mapInArrow(trimmed(search), found_type)
     order = W.partitionBy("stream").orderBy("shard", "at")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     scanned = (

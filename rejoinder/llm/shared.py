@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 CHUNK_CHARS = 1 << 18
 #: Bytes of rows that go to a Python worker at once; a longer row goes alone.
 BATCH_BYTES = 4 << 20
+#: What functions of this subpackage keep between tasks of a worker, emptied when a task ends.
+CACHES: list[dict] = []
+LIBC = ctypes.CDLL(None)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -28,11 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors."""
+def stored(df: DataFrame, name: str, wave: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: the lineage ends there and survives lost executors.
+
+    wave: for tables of numbers only, which are small beside the texts: write them in one wave of tasks, a file for
+    each core at most, rather than a small file for each shuffle partition.
+    """
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if wave else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -53,6 +61,39 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with as many underscores behind as make it differ from all columns and the others."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def trim() -> None:
+    """Give memory that this worker has freed back to the system: a worker outlives its tasks, and so would its peak."""
+    pa.default_memory_pool().release_unused()
+    for have in CACHES:
+        have.clear()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
+def trimmed(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """work, with ``trim`` when its task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    run.__name__ = work.__name__  # as plans show it
+    return run
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,15 +112,20 @@ def text_slices(column: pa.Array, most: int = CHUNK_CHARS) -> Iterator[tuple[int
     yield first, len(sizes)
 
 
-def powers(n: int, base: int, have: dict = {}) -> np.ndarray:  # noqa: B006  kept for the worker's life
-    """base**0 .. base**(n-1) modulo 2**64."""
+POWERS: dict[int, np.ndarray] = {}
+CACHES.append(POWERS)
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """base**0 .. base**(n-1) modulo 2**64; kept until the task ends, up to 4 MB a base."""
+    have = POWERS
     got = have.get(base)
     if got is None or len(got) < n:
         size = 1 << max(12, int(n - 1).bit_length())
         got = np.full(size, base, dtype=np.uint64)
         got[0] = 1
         got = np.multiply.accumulate(got)
-        if size <= 1 << 22:
+        if size <= 1 << 19:
             have[base] = got
     return got[:n]
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import in_small_batches, scratch, stored
+from rejoinder.llm.shared import in_small_batches, scratch, stored, trimmed
 
 #: Captures between two entries of a run's sparse index, the runs that one merge reads, captures of an archive, ranges.
 SPARSE, FAN_IN = 512, 256
@@ -114,7 +114,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, records: int = RECORD
             file.close()
             yield _batch([(path, n)], "path string, n long")
 
-    return stored(rows.mapInArrow(write, "path string, n long").withColumn("folder", F.lit(folder)), "archives")
+    return stored(rows.mapInArrow(trimmed(write), "path string, n long").withColumn("folder", F.lit(folder)), "archives")
 
 
 def parse_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -180,7 +180,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield _batch([_write_run(store, f"{top}/{uuid.uuid4().hex}.run", sorted(lines))], RUN)
 
     spread = archives.select("path", "folder").repartition(max(1, archives.count()), "path")  # a number, or small rows would be put together
-    return stored(spread.mapInArrow(read, RUN).withColumn("folder", F.lit(folder)), "runmanifest")
+    return stored(spread.mapInArrow(trimmed(read), RUN).withColumn("folder", F.lit(folder)), "runmanifest")
 
 
 class LoserTree:
@@ -252,7 +252,7 @@ def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, ranges: int | None = None)
 
         n = -(-n // fan_in)
         grouped = runs.select(F.pmod(F.xxhash64("path"), F.lit(n)).alias("g"), "path").repartition(n, "g")
-        runs = stored(grouped.mapInArrow(longer, RUN).withColumn("folder", F.lit(folder)), "runmanifest")
+        runs = stored(grouped.mapInArrow(trimmed(longer), RUN).withColumn("folder", F.lit(folder)), "runmanifest")
         n = runs.count()
     total = runs.agg(F.sum("n")).first()[0] or 0
     ranges = min(RANGES, ranges or max(1, total // RECORDS * 4, spark.sparkContext.defaultParallelism))
@@ -293,7 +293,7 @@ def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, ranges: int | None = None)
         if own:
             yield from merged(number, own)
 
-    return parts.mapInArrow(merge, CAPTURE + ", range_no long")
+    return parts.mapInArrow(trimmed(merge), CAPTURE + ", range_no long")
 
 
 def capture_histories(pages: DataFrame, least_bytes: int = 0, records: int = RECORDS) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import BASE, INVERSE, in_small_batches, mixed, powers, shuffle_partitions
+from rejoinder.llm.shared import BASE, INVERSE, in_small_batches, mixed, powers, shuffle_partitions, trimmed
 
 K, WINDOW = 24, 16
 BUCKETS = 4096
@@ -168,4 +168,4 @@ def fingerprints(docs: DataFrame, k: int = K, window: int | None = None) -> Data
         yield given(out)
 
     in_small_batches(docs.sparkSession)
-    return next_documents(docs).select("doc_id", "text", "bucket", "ahead").mapInArrow(run, OUT)
+    return next_documents(docs).select("doc_id", "text", "bucket", "ahead").mapInArrow(trimmed(run), OUT)

@@ -24,7 +24,9 @@ SAFE = 0x180
 UNSAFE = (0x130,)
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 WHITE = {*range(9, 14), 0x20, 0x85, 0xA0}
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
+#: Pieces whose ids a worker keeps; beyond, it begins anew.
+KNOWN = 1 << 17
 
 
 def _byte_of() -> dict[str, int]:
@@ -142,7 +144,7 @@ class WordBpe:
             return np.empty(0, np.uint32), np.zeros(len(starts) + 1, np.int64)
         keys = span_hashes(low, first, last) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         codes, distinct = pd.factorize(keys)
-        if self.pieces > 2_000_000:
+        if self.pieces > KNOWN:
             self.forget()
         where = np.empty(len(distinct), dtype=np.int64)
         where[codes[::-1]] = np.arange(len(codes) - 1, -1, -1)
