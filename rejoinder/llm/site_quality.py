@@ -1,19 +1,25 @@
 """Document quality by hierarchical empirical Bayes.
 
 A logistic model over a text's character make-up and its repetition of words, pairs of words and lines gives each
-document's own evidence. Its probabilities are summed by host and by path below it; each host's rate is shrunk toward the global one and each path's toward its host's, the
-more the fewer documents it has. How much is told by the data: the prior's strength is what makes the spread of
-rates between sites, beyond that of their documents, come out (method of moments). A document's posterior is its own
-evidence times the ratio of its path's rate to the global rate.
+document's own evidence, a probability. Grouped sums of these by path and host give the spread of probabilities
+within paths, between the paths of a host and between hosts (nested analysis of variance, method of moments). Each
+host's rate is shrunk toward the global one and each path's toward its host's, the more the fewer documents it has and
+the less such sites differ beyond chance: where sites don't differ at all, every rate is the global one and only a
+document's own evidence counts. A site's rate counts as known no better than as many labels would tell it.
 
-Sites are summed by partial aggregates, so a host with a third of all rows is no burden; the joined table of sites
-is broadcast only while it has at most ``SMALL`` rows, else joined by shuffle.
+A document's posterior is its own evidence times the ratio of its path's odds to the global odds; for that its own
+probability is taken out of its path's and host's sums, so it doesn't count twice.
+
+The host and path are columns that the caller names. Sites are summed by partial aggregates, so a host with a third
+of all rows is no burden; the joined table of sites is broadcast only while it has at most ``SMALL`` rows, else joined
+by shuffle.
 
 Defined cases: a null or empty text has the features of no characters, and one without two words or lines repeats
-none; a null host or path is a site of its own;
+none; a very long text is featured whole, in a step of its own; a null host or path is a site of its own;
 without labels of both kinds the evidence is the share of label 1 (everything is kept without any); rows with the
-same doc_id are judged each for itself; an empty table gives no rows; added columns have names with a leading "__",
-so extra columns keep theirs.
+same doc_id are judged each for itself and each counts for its site; documents with equal posteriors are kept or go
+alike; an empty table gives no rows; added columns have names with a leading "__" and, where the input has such a
+column already, as many underscores behind as make it a new one (``added``).
 """
 
 from __future__ import annotations
@@ -25,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import BASE, CHUNK_CHARS, in_small_batches, mixed, span_hashes, stored
+from rejoinder.llm.shared import BASE, CHUNK_CHARS, free_names, in_small_batches, mixed, span_hashes, stored
 
 SAMPLE = 20_000
 SMALL = 100_000
@@ -167,48 +173,97 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
     return fit(np.array(got["x"].tolist()).reshape(-1, FEATURES), got["y"].to_numpy(dtype=np.float64))
 
 
+NAMES = ("__logit", "__host", "__path", "__host_rate", "__path_rate", "__posterior")
+
+
+def added(docs: DataFrame) -> dict[str, str]:
+    """The names that ``judged`` gives its columns on these documents, by their names in NAMES without underscores."""
+    return {n.strip("_"): own for n, own in zip(NAMES, free_names(docs.columns, *NAMES), strict=True)}
+
+
 def with_evidence(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -> DataFrame:
-    """Adds __logit, __host and __path."""
+    """Adds __logit, __host and __path (or as ``added`` names them)."""
 
     in_small_batches(docs.sparkSession)
+    to = added(docs)
 
     @F.pandas_udf("double")
     def logit(texts: pd.Series) -> pd.Series:
         return pd.Series(evidence.logit(texts.tolist()))
 
-    return docs.withColumns({"__logit": logit(F.col("text").cast("string")), "__host": F.coalesce(host.cast("string"), F.lit("\x00")), "__path": F.coalesce(path.cast("string"), F.lit("\x00"))})
+    return docs.withColumns({to["logit"]: logit(F.col("text").cast("string")), to["host"]: F.coalesce(host.cast("string"), F.lit("\x00")), to["path"]: F.coalesce(path.cast("string"), F.lit("\x00"))})
+
 
+@dataclass
+class Spread:
+    """The global mean and the variances of rates: between hosts, between a host's paths, and of a single label."""
 
-def _strength(rates: DataFrame) -> tuple[float, float]:
-    """Global mean and prior strength of a table of sites (n, p: sum of probabilities) by the method of moments."""
-    total = rates.agg(F.sum("n").alias("n"), F.sum("p").alias("p"), F.count("*").alias("sites"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
-    if not total["n"]:
-        return 0.5, 1.0
-    mean = min(1 - 1e-6, max(1e-6, total["p"] / total["n"]))
-    spread = rates.agg(F.sum(F.col("n") * F.pow(F.col("p") / F.col("n") - F.lit(mean), 2))).first()[0]
-    free = total["n"] - total["nn"] / total["n"]
-    between = (spread - (total["sites"] - 1) * mean * (1 - mean)) / free if free > 0 else 0.0
-    return mean, float(np.clip(mean * (1 - mean) / max(between, 1e-9) - 1, 1.0, 1e6))
+    mean: float
+    hosts: float
+    paths: float
+    label: float
+
+    def rates(self, n: Column, p: Column, host_n: Column, host_p: Column, squares: Column) -> tuple[Column, Column]:
+        """Posterior rates of a host and its path. squares: the sum of squared sizes of the host's paths."""
+        own = F.lit(self.paths) * F.try_divide(squares, host_n * host_n) + F.try_divide(F.lit(self.label), host_n)
+        host = F.lit(self.mean) + F.coalesce(F.lit(self.hosts) / (F.lit(self.hosts) + own) * (F.try_divide(host_p, host_n) - F.lit(self.mean)), F.lit(0.0))
+        own = F.try_divide(F.lit(self.label), n)
+        path = host + F.coalesce(F.lit(self.paths) / (F.lit(self.paths) + own) * (F.try_divide(p, n) - host), F.lit(0.0))
+        return tuple(F.least(F.greatest(r, F.lit(1e-6)), F.lit(1 - 1e-6)) for r in (host, path))
+
+
+def site_sums(scored: DataFrame) -> DataFrame:
+    """Per __host and __path: n, p and pp (documents, sum of probabilities, of their squares), and the host's n, p, squares."""
+    p = 1 / (1 + F.exp(-F.col("__logit")))
+    paths = stored(scored.groupBy("__host", "__path").agg(F.count("*").cast("double").alias("n"), F.sum(p).alias("p"), F.sum(p * p).alias("pp")), "paths")
+    hosts = paths.groupBy("__host").agg(F.sum("n").alias("host_n"), F.sum("p").alias("host_p"), F.sum(F.col("n") * F.col("n")).alias("squares"))
+    return stored(paths.join(hosts, "__host"), "sites")
+
+
+def spread(sites: DataFrame) -> Spread:
+    """Moments of a nested one-way layout of unequal sizes."""
+    n, p, mean = F.col("n"), F.col("p"), F.col("p") / F.col("n")
+    t = sites.agg(F.sum(n).alias("n"), F.sum(p).alias("p"), F.count("*").alias("paths"), F.sum("pp").alias("pp"), F.sum(p * mean).alias("by_path"), F.sum(n * mean * (1 - mean)).alias("label"), F.sum(n * n).alias("nn"), F.sum(n * n / F.col("host_n")).alias("nn_host")).first()
+    h = sites.groupBy("__host").agg(F.first("host_n").alias("n"), F.first("host_p").alias("p")).agg(F.count("*").alias("hosts"), F.sum(F.col("p") * F.col("p") / F.col("n")).alias("by_host"), F.sum(F.col("n") * F.col("n")).alias("nn")).first()
+    if not t["n"]:
+        return Spread(0.5, 0.0, 0.0, 0.25)
+    total, whole = t["n"], t["p"] * t["p"] / t["n"]
+    mean = min(1 - 1e-6, max(1e-6, t["p"] / total))
+    within = max(0.0, t["pp"] - t["by_path"]) / max(1.0, total - t["paths"])
+    free = total - t["nn_host"]
+    paths = max(0.0, (t["by_path"] - h["by_host"] - (t["paths"] - h["hosts"]) * within) / free) if free > 1e-9 * total else 0.0
+    free = total - h["nn"] / total
+    hosts = max(0.0, (h["by_host"] - whole - (h["hosts"] - 1) * within - paths * (t["nn_host"] - t["nn"] / total)) / free) if free > 1e-9 * total else 0.0
+    return Spread(mean, float(hosts), float(paths), max(1e-6, t["label"] / total))
 
 
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """Posterior rate of each __host, __path (columns host_rate, path_rate), and the global mean."""
-    p = 1 / (1 + F.exp(-F.col("__logit")))
-    paths = stored(scored.groupBy("__host", "__path").agg(F.count("*").alias("n"), F.sum(p).alias("p")), "paths")
-    hosts = paths.groupBy("__host").agg(F.sum("n").alias("n"), F.sum("p").alias("p"))
-    mean, host_strength = _strength(hosts)
-    _, path_strength = _strength(paths)
-    rate = (F.col("p") + host_strength * mean) / (F.col("n") + host_strength)
-    joined = paths.join(hosts.select("__host", rate.alias("host_rate")), "__host")
-    return stored(joined.select("__host", "__path", "host_rate", ((F.col("p") + path_strength * F.col("host_rate")) / (F.col("n") + path_strength)).alias("path_rate")), "sites"), mean
+    sites = site_sums(scored)
+    found = spread(sites)
+    host, path = found.rates(*map(F.col, ("n", "p", "host_n", "host_p", "squares")))
+    return sites.select("__host", "__path", host.alias("host_rate"), path.alias("path_rate")), found.mean
+
 
+def judged(docs: DataFrame, evidence: Evidence, host: Column, path: Column, texts: bool = True) -> DataFrame:
+    """docs with __logit, __host, __path, __host_rate, __path_rate (both without the document itself) and __posterior.
 
-def judged(docs: DataFrame, evidence: Evidence, host: Column, path: Column) -> DataFrame:
-    """docs with __logit, __host, __path, host_rate, path_rate as __host_rate and __path_rate, and __posterior."""
+    texts: whether the texts are wanted. Without them the evidence is computed once and written; with them it is
+    computed again rather than writing all texts.
+    """
+    to = added(docs)
     scored = with_evidence(docs, evidence, host, path)
-    sites, mean = site_posteriors(scored.select("__host", "__path", "__logit"))
-    sites = sites.withColumnsRenamed({"host_rate": "__host_rate", "path_rate": "__path_rate"})
+    if not texts:
+        scored = stored(scored.drop("text"), "evidence")
+    sites = site_sums(scored.select(F.col(to["logit"]).alias("__logit"), F.col(to["host"]).alias("__host"), F.col(to["path"]).alias("__path")))
+    found = spread(sites)
+    inner = free_names([*scored.columns, *to.values()], "__site")[0]
+    sites = sites.select(F.col("__host").alias(to["host"]), F.col("__path").alias(to["path"]), F.struct("n", "p", "host_n", "host_p", "squares").alias(inner))
     if sites.count() <= SMALL:
         sites = F.broadcast(sites)
-    odds = F.log(F.col("__path_rate") / (1 - F.col("__path_rate"))) - float(np.log(mean / (1 - mean)))
-    return scored.join(sites, ["__host", "__path"], "left").withColumn("__posterior", 1 / (1 + F.exp(-F.least(F.greatest(F.col("__logit") + odds, F.lit(-40.0)), F.lit(40.0)))))
+    site, own = {k: F.col(inner)[k] for k in ("n", "p", "host_n", "host_p", "squares")}, 1 / (1 + F.exp(-F.col(to["logit"])))
+    others = site["n"] - 1, site["p"] - own, site["host_n"] - 1, site["host_p"] - own, site["squares"] - 2 * site["n"] + 1
+    rates = dict(zip(("host_rate", "path_rate"), found.rates(*others), strict=True))
+    odds = F.log(F.col(to["path_rate"]) / (1 - F.col(to["path_rate"]))) - float(np.log(found.mean / (1 - found.mean)))
+    joined = scored.join(sites, [to["host"], to["path"]], "left").withColumns({to[k]: v for k, v in rates.items()}).drop(inner)
+    return joined.withColumn(to["posterior"], 1 / (1 + F.exp(-F.least(F.greatest(F.col(to["logit"]) + odds, F.lit(-40.0)), F.lit(40.0)))))
