@@ -94,25 +94,28 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 @query
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.sampled(documents(spark, sf_dir))
+    mixed = mixing.sampled(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), texts=False)
     return mixed.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
 
 
-def _mixing_sql(documents: str = "documents") -> str:
-    """Raking unrolled: a window for each margin and round."""
-    steps = ["r0 AS MATERIALIZED (SELECT *, tokens::DOUBLE AS weight, sum(tokens::DOUBLE) OVER () AS total FROM k)"]
-    for i in range(3 * mixing.ROUNDS):
-        c = ("source", "lang", "topic")[i % 3]
-        steps.append(f"r{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight), CASE WHEN sum(weight) OVER (PARTITION BY {c}) > 0 THEN weight * total * t_{c} / sum(weight) OVER (PARTITION BY {c}) ELSE weight END AS weight FROM r{i})")
-    shares = "".join(f", h_{c} AS (SELECT {c}, pow(sum(tokens)::DOUBLE, {p}) AS t FROM g GROUP BY {c}), s_{c} AS (SELECT {c}, CASE WHEN sum(t) OVER () > 0 THEN t / sum(t) OVER () ELSE 0.0 END AS t_{c} FROM h_{c})" for c, p in mixing.TEMPER.items())
+def _mixing_sql(documents: str = "documents", rounds: int = 40) -> str:
+    """Bounded raking unrolled: a window for each margin and round."""
+    steps, names = ["r0 AS MATERIALIZED (SELECT *, b * tokens AS weight FROM k, lowered)"], ("source", "lang", "topic")
+    for i in range(3 * rounds):
+        c = names[i % 3]
+        steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight, held, free), CASE WHEN free > 0 THEN weight * greatest(b * whole * t_{c} - held, 0) / free WHEN held > 0 THEN weight * b * whole * t_{c} / held ELSE weight END AS weight
+  FROM (SELECT *, sum(CASE WHEN weight >= tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {c}) AS held, sum(CASE WHEN weight >= tokens THEN 0 ELSE weight END) OVER (PARTITION BY {c}) AS free FROM r{i}))""")
+    shares = "".join(f", h_{c} AS (SELECT {c}, sum(tokens)::DOUBLE AS n, pow(sum(tokens)::DOUBLE, {p}) AS t FROM g GROUP BY {c}), s_{c} AS (SELECT {c}, n, CASE WHEN sum(t) OVER () > 0 THEN t / sum(t) OVER () ELSE 0.0 END AS t_{c} FROM h_{c})" for c, p in mixing.TEMPER.items())
+    least = " UNION ALL ".join(f"SELECT n / (whole * t_{c}) AS b FROM s_{c}, total WHERE t_{c} > 0" for c in names)
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS x FROM {documents}),
 w AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(x, ' | ') THEN 'tables' WHEN length(x) < 400 THEN 'notes' WHEN length(x) > 6000 THEN 'long reads' ELSE 'articles' END AS topic,
   len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM d),
-g AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::BIGINT AS tokens FROM w GROUP BY ALL){shares},
-k AS (SELECT * FROM g JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic)),
+g AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM w GROUP BY ALL), total AS (SELECT sum(tokens) AS whole FROM g){shares},
+lowered AS (SELECT least({mixing.BUDGET}, min(b)) AS b FROM ({least})),
+k AS (SELECT g.*, t_source, t_lang, t_topic, whole FROM g JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic), total),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, {mixing.BUDGET} * weight / tokens) ELSE 1.0 END AS probability FROM r{3 * mixing.ROUNDS})
+p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM r{3 * rounds})
 SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(probability, 6) AS probability,
   ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < round(probability, 9) AS kept
 FROM w JOIN p USING (source, lang, topic)"""
@@ -124,7 +127,7 @@ ORACLE["op6_raked_mixture"] = _mixing_sql()
 @query
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    got = site_quality.judged(docs, site_quality.learn(docs, labels), F.col("source"), F.col("lang"))
+    got = site_quality.judged(docs.select("doc_id", "text", "source", "lang"), site_quality.learn(docs, labels), F.col("source"), F.col("lang"), texts=False)
     return got.select("doc_id", F.col("source").alias("host"), F.col("lang").alias("path"), F.col("__logit").alias("evidence"), F.col("__host_rate").alias("host_rate"), F.col("__path_rate").alias("path_rate"), F.col("__posterior").alias("posterior"), (F.col("__posterior") >= site_quality.THRESHOLD).alias("kept"))
 
 

@@ -77,24 +77,33 @@ def test_run_does_what_the_stages_say(spark):
     tokens = defaultdict(float)
     for i in rest:
         tokens[cell(*left[i])] += len(re.findall(r"[^\x20\x09-\x0D]+", left[i][0]))
-    total, weight = sum(tokens.values()), dict(tokens)
-    target = []
+    total, target = sum(tokens.values()), []
     for k, power in enumerate(mixing.TEMPER.values()):
         margin = defaultdict(float)
         for c, n in tokens.items():
             margin[c[k]] += n
         whole = sum(n**power for n in margin.values())
-        target.append({v: n**power / whole for v, n in margin.items()})
-    for _ in range(mixing.ROUNDS):
+        target.append({v: (n**power / whole, n) for v, n in margin.items()})
+    budget = min([mixing.BUDGET] + [n / (total * t) for own in target for t, n in own.values() if t])
+    weight = {c: budget * n for c, n in tokens.items()}
+    for _ in range(60):
         for k in range(3):
-            margin = defaultdict(float)
+            held, free = defaultdict(float), defaultdict(float)
             for c, w in weight.items():
-                margin[c[k]] += w
-            weight = {c: w * total * target[k][c[k]] / margin[c[k]] if margin[c[k]] > 0 else w for c, w in weight.items()}
+                if w >= tokens[c]:
+                    held[c[k]] += tokens[c]
+                else:
+                    free[c[k]] += w
+            for c, w in weight.items():
+                want = budget * total * target[k][c[k]][0]
+                if free[c[k]] > 0:
+                    weight[c] = w * max(want - held[c[k]], 0) / free[c[k]]
+                elif held[c[k]] > 0:
+                    weight[c] = w * want / held[c[k]]
 
     def stays(i):
         c = cell(*left[i])
-        p = min(1.0, mixing.BUDGET * weight[c] / tokens[c]) if tokens[c] else 1.0
+        p = min(1.0, weight[c] / tokens[c]) if tokens[c] else 1.0
         return int(hashlib.md5(f"mix|{i}".encode()).hexdigest()[:13], 16) / 2**52 < round(p, 9)
 
     want = {i for i in rest if stays(i)}
