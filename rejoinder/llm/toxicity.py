@@ -1,20 +1,28 @@
 """A toxicity classifier with counterfactual regularisation.
 
 A logistic model over the words of a text, with an L1 penalty, fitted on labelled documents. For each labelled
-sentence that names a group, its counterfactuals swap the term for the others of its list, and the fit penalises the
-squared change of the score, so that a mere mention of a group says nothing about toxicity, however the labels lie.
-
-Fitting takes a bounded sample: ``SAMPLE`` labelled rows, smallest hash of doc_id first. Scoring covers whole texts.
-
-Defined cases: a null or empty text has the score of no words; rows with the same doc_id are scored each for itself,
-and labels of an id that repeats count once, the largest; a null doc_id is never labelled and never held out; without
+sentence that names a group, its counterfactuals swap the term for the others of its list; a labelled document that
+names none gets a neutral mention of one group put into one of its sentences (chosen by the text's checksum), and that
+mention is swapped through its list too. The fit penalises the squared change of the score from the text to each of
+these, so that a mere mention of a group says nothing about toxicity, however the labels lie.
+
+Fitting takes a bounded sample: ``SAMPLE`` labelled rows, smallest hash of doc_id first, and of their words the
+``VOCABULARY`` that most of these rows hold. Words and swaps are found on the executors; the driver gets numbers of
+words. Scoring covers whole texts.
+
+Defined cases: a null or empty text has the score of no words; a very long text counts each word once like any other;
+rows with the same doc_id are scored each for itself, the sample takes one of them (smallest hash of the text), and
+labels of an id that repeats count once, the largest; a null doc_id is never labelled and never held out; without
 both labels in the sample all scores are the share of label 1 (0 without any); an empty table gives no rows; extra
 columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -23,9 +31,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rejoinder.llm.shared import in_small_batches
+from rejoinder.llm.shared import in_small_batches, stored
 
-SAMPLE = 8_000
+SAMPLE, VOCABULARY = 8_000, 1 << 14
 FOLDS = 5
 WORD = re.compile(r"[^\W\d_]+")
 SENTENCE = re.compile(r"[.!?\n]+")
@@ -47,91 +55,122 @@ def words(text: str | None) -> set[str]:
 class Model:
     bias: float
     weights: dict[str, float] = field(default_factory=dict)
+    swaps: int = 0  # counterfactuals that the fit penalised
 
     def score(self, texts: Iterable[str | None]) -> np.ndarray:
         get = self.weights.get
-        z = np.array([self.bias + sum(map(get, words(t) & self.weights.keys())) for t in texts], dtype=np.float64)
+        z = np.array([self.bias + math.fsum(map(get, words(t) & self.weights.keys())) for t in texts], dtype=np.float64)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def _swaps(text: str, vocabulary: dict[str, int], others: dict[str, list[str]]) -> list[list[tuple[int, float]]]:
-    """Changes of the text's features when a term of one of its sentences is swapped throughout that sentence."""
+#: A change of a text: the word that goes and the one that comes (or none), and whether it began with a mention put in.
+Change = tuple[str | None, str | None, bool]
+
+
+def counterfactuals(text: str | None, identities: list[list[str]] = IDENTITIES) -> list[Change]:
+    """The changes of a text's word set by swaps of the terms in its sentences, or of a mention that is put in."""
+    others = {t: [o for o in group if o != t] for group in identities for t in group}
     everywhere = [words(s) for s in SENTENCE.split(text or "")]
-    found = []
+    found: list[Change] = []
     for own in everywhere:
-        for term in own & others.keys():
+        for term in sorted(own & others.keys()):
             stays = sum(term in s for s in everywhere) > 1
             for other in others[term]:
-                change = [] if stays else [(vocabulary[term], -1.0)]
-                if not any(other in s for s in everywhere):
-                    change.append((vocabulary[other], 1.0))
-                if change:
+                change = None if stays else term, None if any(other in s for s in everywhere) else other, False
+                if change[0] or change[1]:
                     found.append(change)
+    if not found and identities and any(everywhere) and not any(own & others.keys() for own in everywhere):
+        pick = zlib.crc32((text or "").encode("utf-8", "surrogatepass"))
+        group = identities[pick % len(identities)]
+        term = group[pick // len(identities) % len(group)]
+        found = [(None, term, True), *((term, other, True) for other in others[term])]
     return found
 
 
-def fit(texts: list[str], labels: np.ndarray, l1: float = 0.0015, swap: float = 2.0, identities: list[list[str]] = IDENTITIES, least: int = 4, rounds: int = 400) -> Model:
+def fit(texts: list[str], labels: np.ndarray, identities: list[list[str]] = IDENTITIES, least: int = 4, **options) -> Model:
+    """fit_sets on texts. Words of fewer than ``least`` texts aren't features; group terms always are."""
+    sets = [words(t) for t in texts]
+    counts = Counter(w for s in sets for w in s)
+    names = {w for w, n in counts.items() if n >= least} | {t for group in identities for t in group}
+    vocabulary = {w: i for i, w in enumerate(sorted(names))}
+    changes = Counter(c for t in texts for c in counterfactuals(t, identities))
+    return fit_sets([[vocabulary[w] for w in s if w in vocabulary] for s in sets], labels, vocabulary, changes, **options)
+
+
+def fit_sets(sets: list[Iterable[int]], labels: np.ndarray, vocabulary: dict[str, int], changes: dict[Change, int], l1: float = 0.0015, swap: float = 2.0, rounds: int = 400) -> Model:
     """Minimise mean log loss + swap * mean squared counterfactual change + l1 * |weights| by FISTA.
 
-    Words of fewer than ``least`` texts aren't features; group terms always are. Classes weigh alike.
+    The mean is taken over the swaps of terms that stand in the texts and over those of mentions that were put in,
+    each for itself. sets: numbers of each text's words. Classes weigh alike.
     """
     y = np.asarray(labels, dtype=np.float64)
     if len(y) == 0 or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    sets = [words(t) for t in texts]
-    names, counts = np.unique(np.array([w for s in sets for w in sorted(s)], dtype=object), return_counts=True)
-    terms = {t for group in identities for t in group}
-    vocabulary = {w: i for i, w in enumerate(sorted({*names[counts >= least].tolist(), *terms}))}
-    rows, columns = [], []
-    for i, s in enumerate(sets):
-        own = [vocabulary[w] for w in s if w in vocabulary]
-        rows += [i] * len(own)
-        columns += own
-    rows, columns, n, d = np.array(rows, dtype=np.int64), np.array(columns, dtype=np.int64), len(y), len(vocabulary)
-    others = {t: [o for o in group if o != t] for group in identities for t in group}
-    r2, c2, v2, changes = [], [], [], 0
-    for t in texts:
-        for change in _swaps(t, vocabulary, others):
-            for c, v in change:
-                r2.append(changes), c2.append(c), v2.append(v)
-            changes += 1
-    r2, c2, v2 = np.array(r2, dtype=np.int64), np.array(c2, dtype=np.int64), np.array(v2)
+    n, d = len(y), len(vocabulary)
+    per_row = np.array([len(s) for s in sets], dtype=np.int64)
+    rows, columns = np.repeat(np.arange(n), per_row), np.concatenate([np.asarray(s, dtype=np.int64) for s in sets])
+    totals = {kind: sum(m for c, m in changes.items() if c[2] == kind) for kind in (False, True)}
+    listed = sorted(changes.items(), key=lambda x: (x[0][2], str(x[0][0]), str(x[0][1])))
+    share = np.array([m / totals[c[2]] for c, m in listed])
+    gone, come = (np.array([vocabulary[c[k]] if c[k] else d for c, _ in listed], dtype=np.int64) for k in (0, 1))
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (n - y.sum()))
-    per_row = np.bincount(rows, minlength=n)
-    step = 1 / (0.25 * float((weight * (per_row + 1)).sum()) + (4 * swap if changes else 0) + 1e-9)
+    step = 1 / (0.25 * float((weight * (per_row + 1)).sum()) + 4 * swap * sum(m > 0 for m in totals.values()) + 1e-9)
     w, b, wz, bz, t = np.zeros(d), 0.0, np.zeros(d), 0.0, 1.0
     for _ in range(rounds):
         z = np.bincount(rows, weights=wz[columns], minlength=n) + bz
         g = weight * (1 / (1 + np.exp(-z)) - y)
         grad = np.bincount(columns, weights=g[rows], minlength=d)
-        if changes:
-            delta = np.bincount(r2, weights=v2 * wz[c2], minlength=changes)
-            grad += 2 * swap / changes * np.bincount(c2, weights=v2 * delta[r2], minlength=d)
+        if listed:
+            known = np.append(wz, 0.0)  # a word that doesn't come or go weighs nothing
+            delta = 2 * swap * share * (known[come] - known[gone])
+            grad += (np.bincount(come, weights=delta, minlength=d + 1) - np.bincount(gone, weights=delta, minlength=d + 1))[:d]
         new = wz - step * grad
         new = np.sign(new) * np.maximum(np.abs(new) - step * l1, 0)
         bias = bz - step * float(g.sum())
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         wz, bz, w, b, t = new + (t - 1) / t2 * (new - w), bias + (t - 1) / t2 * (bias - b), new, bias, t2
-    listed = sorted(vocabulary, key=vocabulary.get)
-    return Model(float(b), {listed[i]: float(w[i]) for i in np.flatnonzero(w).tolist()})
+    names = sorted(vocabulary, key=vocabulary.get)
+    return Model(float(b), {names[i]: float(w[i]) for i in np.flatnonzero(w).tolist()}, sum(totals.values()) if swap else 0)
 
 
 def fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % FOLDS
 
 
-def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, **options) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, identities: list[list[str]] = IDENTITIES, least: int = 4, **options) -> Model:
     """Fit on labelled rows outside fold 0, at most ``sample`` of them."""
+    in_small_batches(docs.sparkSession)
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).na.drop().groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.filter(fold() != 0).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+    @F.pandas_udf("struct<words:array<string>,swaps:array<struct<gone:string,come:string,put:boolean>>>")
+    def found(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"words": [sorted(words(t)) for t in texts], "swaps": [[{"gone": a, "come": b, "put": c} for a, b, c in counterfactuals(t, identities)] for t in texts]})
+
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), "doc_id").orderBy("doc_id", "text").limit(sample).toPandas()  # both sides at most ``sample`` rows
-    return fit([t or "" for t in got["text"].tolist()], got["y"].to_numpy(), **options)
+    joined = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    # one row of those that share a doc_id, by the hash of its text
+    first = joined.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash"))
+    own = stored(joined.select("doc_id", "y", F.xxhash64("text").alias("hash"), found("text").alias("f")), "labelled")
+    own = own.join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "y", "f.*")
+    own = stored(own, "labelledwords", wave=True)
+    counts = own.select(F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.col("n") >= least)
+    names = {r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(VOCABULARY).collect()} | {t for group in identities for t in group}
+    vocabulary = {w: i for i, w in enumerate(sorted(names))}
+    swaps = own.select(F.explode("swaps").alias("s")).groupBy("s.gone", "s.come", "s.put").agg(F.count("*").alias("n")).collect()  # bounded by the lists' pairs
+
+    @F.pandas_udf("array<int>")
+    def numbers(sets: pd.Series) -> pd.Series:
+        get = vocabulary.get
+        return pd.Series([[i for i in map(get, s) if i is not None] for s in sets])
+
+    got = own.select("doc_id", "y", numbers("words").alias("w")).toPandas().sort_values("doc_id", kind="stable")
+    return fit_sets(got["w"].tolist(), got["y"].to_numpy(), vocabulary, {(r["gone"], r["come"], r["put"]): r["n"] for r in swaps}, **options)
 
 
 def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, held_out, score, predicted of every document, from its text alone."""
+    """doc_id, held_out, score, predicted of every document, from its text alone, and n_swaps of the model's fit."""
 
     in_small_batches(docs.sparkSession)
 
@@ -141,4 +180,4 @@ def toxicity_scores(docs: DataFrame, model: Model) -> DataFrame:
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     scored = own.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), score("text").alias("score"))
-    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return scored.withColumns({"predicted": (F.col("score") >= 0.5).cast("int"), "n_swaps": F.lit(model.swaps).cast("long")})

@@ -44,6 +44,39 @@ def test_swaps_shrink_what_a_mention_says():
     assert auc(yh, fair.score(held)) > 0.8
 
 
+def test_a_planted_mention_moves_the_query_s_own_model_less(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    planted = docs.join(labels, "doc_id").withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" Muslim and native."))).otherwise(F.col("text"))).select(docs.columns)
+    plain, fair = (toxicity.learn(planted, labels, swap=s) for s in (0.0, 2.0))
+    assert plain.swaps == 0 and fair.swaps > labels.filter("doc_id > 0").count() / 2  # texts without a term get one
+    mentions = ["", *(t for group in toxicity.IDENTITIES for t in group)]
+    assert np.ptp(plain.score(mentions)) > 0.2 and np.ptp(fair.score(mentions)) < 0.5 * np.ptp(plain.score(mentions))
+    own = toxicity.learn(docs, labels)
+    assert own.swaps > 0 and np.ptp(own.score(mentions)) < 0.05
+    assert toxicity.toxicity_scores(docs.limit(3), own).select("n_swaps").distinct().collect()[0][0] == own.swaps
+
+
+def test_the_fit_meets_the_conditions_of_its_minimum():
+    texts, y = sentences(random.Random(3), 400)
+    model = toxicity.fit(texts, y, swap=1.0, rounds=5000)
+    sets, changes = [toxicity.words(t) for t in texts], [c for t in texts for c in toxicity.counterfactuals(t)]
+    kinds = {k: sum(c[2] == k for c in changes) for k in (False, True)}
+    weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
+
+    def value(weights, bias):  # by brute force
+        z = np.array([bias + sum(weights.get(w, 0.0) for w in s) for s in sets])
+        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
+        moved = sum((weights.get(b, 0.0) * bool(b) - weights.get(a, 0.0) * bool(a)) ** 2 / kinds[k] for a, b, k in changes)
+        return loss + moved + 0.0015 * sum(map(abs, weights.values()))
+
+    least = value(model.weights, model.bias)
+    for word in ("muslim", "christian", "vile", "wax", "jewish"):
+        for step in (-0.02, 0.02):
+            assert value({**model.weights, word: model.weights.get(word, 0.0) + step}, model.bias) > least - 1e-9
+    assert min(value(model.weights, model.bias + s) for s in (-0.02, 0.02)) > least - 1e-9
+
+
 def test_held_out_accuracy_and_odd_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("score", F.lit("x"))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
@@ -69,6 +102,57 @@ def test_quality_is_shrunk_by_site(spark):
     assert rate["bad"] < rate["one"] < mean < rate["big"]  # one document says less than a hundred
 
 
+def test_bad_and_good_sites_turn_decisions(spark):
+    """Against brute force: documents with the same evidence go where their site is bad and stay where it is good."""
+    rnd = np.random.default_rng(7)
+    rows = [(h, q, float(rnd.normal(m, 1.0))) for h, m in (("good", 4.0), ("bad", -3.5), ("mid", 1.5)) for q in ("a", "b") for _ in range(150)] + [("new", "a", 0.3)]
+    rows += [("good", "a", -0.2), ("bad", "a", 0.2), ("bad", "b", 0.2), ("good", "b", -0.2)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, __host string, __path string, __logit double")
+    sums = site_quality.site_sums(frame)
+    found = site_quality.spread(sums)
+    p = np.array([1 / (1 + np.exp(-r[2])) for r in rows])
+    host, path = np.array([r[0] for r in rows]), np.array([f"{r[0]}/{r[1]}" for r in rows])
+    n, mean = len(p), p.mean()
+    means = {g: p[path == g].mean() for g in set(path)}
+    size = {g: int((path == g).sum()) for g in set(path)}
+    hosts = {g: p[host == g].mean() for g in set(host)}
+    within = sum(((p[path == g] - m) ** 2).sum() for g, m in means.items()) / (n - len(means))
+    nested = sum(s * s / (host == g.split("/")[0]).sum() for g, s in size.items())
+    paths = max(0, sum(size[g] * (m - hosts[g.split("/")[0]]) ** 2 for g, m in means.items()) - (len(means) - len(hosts)) * within) / (n - nested)
+    sizes = {g: (host == g).sum() for g in hosts}
+    between = sum(sizes[g] * (m - mean) ** 2 for g, m in hosts.items()) - (len(hosts) - 1) * within - paths * (nested - sum(s * s for s in size.values()) / n)
+    between = max(0, between) / (n - sum(s * s for s in sizes.values()) / n)
+    assert np.allclose([found.mean, found.paths, found.hosts], [mean, paths, between], rtol=1e-9, atol=1e-12) and between > 0.05
+    label = sum(size[g] * m * (1 - m) for g, m in means.items()) / n
+    docs = frame.select("doc_id", F.col("__host").alias("source"), F.col("__path").alias("lang"), F.col("__logit").alias("z"), F.lit("x").alias("__posterior"))
+    evidence = site_quality.Evidence(0.0, np.zeros(site_quality.FEATURES))
+    got = judged_by(docs, evidence)
+    for i, r in enumerate(rows):
+        k, o = size[path[i]] - 1, sizes[host[i]] - 1
+        h_mean = (hosts[host[i]] * (o + 1) - p[i]) / o if o else mean
+        squares = sum((s - (g == path[i])) ** 2 for g, s in size.items() if g.split("/")[0] == host[i])
+        trust = between / (between + paths * squares / o**2 + label / o) if o else 0
+        want = mean + trust * (h_mean - mean)
+        if k:
+            want += paths / (paths + label / k) * ((means[path[i]] * (k + 1) - p[i]) / k - want)
+        assert abs(got[i]["path_rate"] - want) < 1e-9
+    last = [got[len(rows) - j]["posterior"] >= 0.5 for j in (4, 3, 2, 1)]
+    assert last == [True, False, False, True] and got[600 + 300]["posterior"] >= 0.5
+
+
+def judged_by(docs, evidence):
+    """judged with the given logits in place of evidence from texts."""
+    real = site_quality.with_evidence
+    try:
+        site_quality.with_evidence = lambda d, e, h, q: d.withColumns({"__logit": F.col("z"), "__host": h, "__path": q})
+        to = site_quality.added(docs)
+        assert to["posterior"] == "__posterior_"  # the input has a column of the first name
+        got = site_quality.judged(docs, evidence, F.col("source"), F.col("lang"))
+        return {r["doc_id"]: {"path_rate": r["__path_rate"], "posterior": r["__posterior_"], "own": r["__posterior"]} for r in got.collect()}
+    finally:
+        site_quality.with_evidence = real
+
+
 def test_quality_of_odd_rows(spark):
     odd = spark.createDataFrame([(1, None, 0.1, "a", 1), (1, "", 0.1, None, 1), (None, "x" * 3_000_000, 0.1, "a", 1)], SCHEMA)
     none = spark.createDataFrame([], "doc_id long, quality int")
