@@ -2,12 +2,19 @@
 
 ``tokenised_pieces`` turns documents into pieces of at most ``capacity`` tokens; ``pack`` places pieces in bins.
 Packing deals pieces to parts of bounded size by hash, packs each part by best-fit decreasing and bounds its bin
-count from below by dual feasible functions. Parts whose count exceeds their bound have a gap: the pieces of their
-bins that aren't full are exchanged (dealt anew, to fewer parts) and packed again, with those of every other part's
-emptiest bins, and the new placement is taken if it needs fewer bins. Each round's placement is a written table; no step gathers more than one part.
-
-Defined cases: a null text is empty and gives one piece, the end token; an empty table gives no rows; rows with the
-same doc_id are packed each for itself; extra columns are ignored; a null doc_id is kept as null.
+count from below by dual feasible functions. Parts whose count exceeds their bound have a gap: the bins of theirs that
+aren't full, and every other part's emptiest bins, are exchanged. Groups of parts, dealt by hash anew each round, put
+these bins' pieces together and pack them again, and each group for itself takes its new placement, as a part of its
+own, if that needs fewer bins. Rounds go on as long as any group gains; each one's placement is a written table, and
+no step gathers more than one part, or a group of the few parts whose numbers hash alike.
+
+Every part that is left is certified as it then is: the number of its bins, and the count that no packing of its
+pieces can go below. The same is told of all pieces together, from the counts of their lengths.
+
+Defined cases: a null text is empty and gives one piece, the end token; a very long text is tokenised in segments that
+end at white space and cut into pieces; pieces of equal length are placed in order of row and piece; an empty table
+gives no rows; rows with the same doc_id are packed each for itself; extra columns are ignored; a null doc_id is kept
+as null.
 """
 
 from __future__ import annotations
@@ -27,10 +34,10 @@ from rejoinder.llm.word_bpe import encode_column, worker_bpe
 CAPACITY = 4096
 END = 1
 #: Pieces that one task packs, on average.
-PART = 20_000
-ROUNDS = 6
+PART = 4_000
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
-PLACED = "doc_id long, row long, piece int, start long, length long, ids_crc32 long, part long, bin long, offset long, free long, emptiest boolean, part_bins long, part_bound long"
+PLACED = PIECES + ", part long, bin long, offset long, free long"
+CERTIFIED = "part long, part_bins long, part_bound long, most_free long"
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -88,14 +95,17 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
+    """bound_of_counts of these lengths."""
+    return bound_of_counts(np.bincount(lengths, minlength=capacity + 1)[: capacity + 1], capacity) if len(lengths) else 0
+
+
+def bound_of_counts(count: np.ndarray, capacity: int = CAPACITY) -> int:
     """The largest bound of three families of dual feasible functions; no packing needs fewer bins.
 
     The identity; for each k, items over capacity - k count 1 and those below k count 0; for each q, the rounding
-    x -> x if (q + 1) x is a multiple of the capacity, else floor((q + 1) x / capacity) / q.
+    x -> x if (q + 1) x is a multiple of the capacity, else floor((q + 1) x / capacity) / q. count: by length.
     """
-    if not len(lengths):
-        return 0
-    count = np.bincount(lengths, minlength=capacity + 1)[: capacity + 1].astype(np.int64)
+    count = count.astype(np.int64)
     size = np.arange(capacity + 1, dtype=np.int64)
     best = -(-int((count * size).sum()) // capacity)
     items, tokens = np.cumsum(count), np.cumsum(count * size)
@@ -110,42 +120,63 @@ def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     return best
 
 
-def _packed(part: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    part = part.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
-    bins, offsets, free = best_fit_decreasing(part["length"].to_numpy(), capacity)
-    return part.assign(bin=bins, offset=offsets, free=free[bins], emptiest=free[bins] == free.max(), part_bins=len(free), part_bound=lower_bound(part["length"].to_numpy(), capacity))
+COLUMNS = [c.split()[0] for c in PLACED.split(", ")]
+
+
+def _packed(pieces: pd.DataFrame, part: int, capacity: int) -> pd.DataFrame:
+    pieces = pieces.sort_values(["length", "row", "piece"], ascending=[False, True, True], kind="stable")
+    bins, offsets, free = best_fit_decreasing(pieces["length"].to_numpy(), capacity)
+    return pieces.assign(part=part, bin=bins, offset=offsets, free=free[bins])[COLUMNS]
+
+
+def certificates(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """CERTIFIED of each part of a placement: its bins, their lower bound and the room in its emptiest bin."""
+
+    def certify(own: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"part": [own["part"].iloc[0]], "part_bins": [own["bin"].nunique()], "part_bound": [lower_bound(own["length"].to_numpy(), capacity)], "most_free": [own["free"].max()]})
+
+    return placed.select("part", "bin", "length", "free").groupBy("part").applyInPandas(certify, CERTIFIED)
+
+
+def _exchanged(open_: DataFrame, groups: int, round_: int, capacity: int) -> DataFrame:
+    """Open bins' pieces, packed anew by groups of parts where that takes fewer bins, else as they were."""
 
+    def exchange(own: pd.DataFrame) -> pd.DataFrame:
+        old, group = len(own[["part", "bin"]].drop_duplicates()), int(own["group"].iloc[0])
+        new = _packed(own, (round_ << 40) + group, capacity)
+        return new if new["bin"].nunique() < old else own[COLUMNS]
 
-def _dealt(pieces: DataFrame, n: int, part_size: int, round_: int, capacity: int) -> DataFrame:
-    parts = max(1, -(-n // part_size))
-    part = F.pmod(F.xxhash64("row", "piece", F.lit(round_)), F.lit(parts)) + F.lit(round_ << 40)
-    columns = [c.split()[0] for c in PLACED.split(", ")]
-    return pieces.withColumn("part", part).groupBy("part").applyInPandas(lambda p: _packed(p, capacity)[columns], PLACED)
+    dealt = open_.withColumn("group", F.pmod(F.xxhash64("part", F.lit(round_)), F.lit(groups)))
+    return dealt.groupBy("group").applyInPandas(exchange, PLACED)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, part_size: int = PART) -> DataFrame:
     """Place pieces (PIECES; each length from 1 to capacity) in bins.
 
-    Adds sequence_id, offset, and part_bins and part_bound: the bins of the part that placed the piece and the
-    count that no packing of that part can go below.
+    Adds sequence_id, offset, part; part_bins and part_bound of that part, total_bins and total_bound of all pieces:
+    the bins, and the count that no packing of these pieces can go below.
     """
     pieces = stored(pieces, "pieces")
-    n = pieces.count()
-    closed, current = [], stored(_dealt(pieces, n, part_size, 0, capacity), "packed")
-    parts = -(-n // part_size)
-    for round_ in range(1, ROUNDS + 1):
-        gap = ((F.col("part_bins") > F.col("part_bound")) | F.col("emptiest")) & (F.col("free") > 0)
-        open_ = current.filter(gap)
-        n_open, old = open_.agg(F.count("*"), F.count_distinct("part", "bin")).first()
-        if not n_open or parts <= 1:
+    parts = max(1, -(-pieces.count() // part_size))
+    dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)))
+    first = dealt.groupBy("part").applyInPandas(lambda p: _packed(p, int(p["part"].iloc[0]), capacity), PLACED)
+    current, round_ = stored(first, "packed"), 0
+    while True:
+        known = stored(certificates(current, capacity), "certificates", wave=True)
+        bins, n_parts = known.agg(F.sum("part_bins"), F.count("*")).first()
+        if round_ and bins >= before or n_parts <= 1:  # the last round gained nothing, or there is none to exchange with
             break
-        parts = -(-n_open // part_size)
-        again = stored(_dealt(open_.select(*[c.split()[0] for c in PIECES.split(", ")]), n_open, part_size, round_, capacity), "packed")
-        new = again.agg(F.count_distinct("part", "bin")).first()[0]
-        if new >= old:
+        before, round_ = bins, round_ + 1
+        judged = current.join(known, "part")
+        gives = (F.col("free") > 0) & ((F.col("part_bins") > F.col("part_bound")) | (F.col("free") == F.col("most_free")))
+        n_open = judged.filter(gives).count()
+        if not n_open:
             break
-        closed.append(current.filter(~gap))
-        current = again
-    for c in closed:
-        current = current.unionByName(c)
-    return current.withColumn("sequence_id", F.col("part") * F.lit(1 << 20) + F.col("bin")).drop("part", "bin", "free", "emptiest")
+        again = _exchanged(judged.filter(gives).select(*COLUMNS), -(-n_open // part_size), round_, capacity)
+        current = stored(judged.filter(~gives).select(*COLUMNS).unionByName(again), "packed")
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in current.groupBy("length").agg(F.count("*")).collect():  # at most a row for each length
+        counts[length] = n
+    total = bound_of_counts(counts, capacity) if counts.any() else 0
+    placed = current.join(known.drop("most_free"), "part")
+    return placed.withColumns({"sequence_id": F.col("part") * F.lit(1 << 20) + F.col("bin"), "total_bins": F.lit(bins or 0).cast("long"), "total_bound": F.lit(total).cast("long")}).drop("bin", "free")

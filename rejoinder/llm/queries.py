@@ -134,7 +134,7 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_certified_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenised_pieces(documents(spark, sf_dir), tokenizer())
-    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part", "part_bins", "part_bound", "total_bins", "total_bound")
 
 
 @query

@@ -120,3 +120,21 @@ def test_packing_is_whole_and_gapless(spark, library):
         assert at <= 4096
     assert len(bins) <= packing.lower_bound(np.array([r.length for r in got])) + 2
     assert docs.select(F.count("*")).first()[0] == len(rows)
+
+
+def test_every_part_is_certified_as_it_is_left(spark):
+    rnd = random.Random(4)
+    lengths = [rnd.choice([9, 15, 17, 18, 23, 31, 33, 40, 49, 64]) for _ in range(1500)]
+    rows = [(i, i, 0, 0, n, 7) for i, n in enumerate(lengths)]
+    got = packing.pack(spark.createDataFrame(rows, packing.PIECES), 64, part_size=100).toPandas()
+    assert sorted(got["length"]) == sorted(lengths) and got["row"].is_unique
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["length"].sum() <= 64 and own["offset"].tolist() == [0, *np.cumsum(own["length"])[:-1]]
+    for _, own in got.groupby("part"):
+        assert own["sequence_id"].nunique() == own["part_bins"].iloc[0] >= own["part_bound"].iloc[0] == packing.lower_bound(own["length"].to_numpy(), 64)
+        assert own[["part_bins", "part_bound"]].drop_duplicates().shape[0] == 1 and len(own) <= 600  # a few parts
+    total = got["sequence_id"].nunique()
+    assert (got["total_bins"] == total).all() and (got["total_bound"] == packing.lower_bound(np.array(lengths), 64)).all()
+    apart = sum(packing.best_fit_decreasing(own["length"].to_numpy(), 64)[0].max() + 1 for _, own in got.assign(p=got["row"] * 7919 % 15).groupby("p"))
+    assert got["part"].max() >= 1 << 40 and total < apart  # exchanges were taken, and they gain over parts left alone
