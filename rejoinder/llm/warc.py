@@ -1,17 +1,21 @@
 """WARC archives and their globally ordered capture index.
 
 ``write_archives`` writes one gzip member per record: a response with its payload, or a revisit that names the
-response with the same payload. ``read_archives`` parses the archives again and gives each one's captures as a run,
-sorted by URL key and timestamp, in a file of its own. ``merge_runs`` cuts the key space into ranges and merges all
-runs' parts of a range with a loser tree, reading each run forward from the place that its sparse index gives, so a
-task holds one line of each run. With more runs than ``FAN_IN``, groups of runs are first merged to longer runs.
+response with the same payload (told by SHA-256; SHA-1 is what the format's headers state). ``read_archives`` parses
+the archives again and gives each one's captures as a run, sorted by URL key, timestamp and page, in a file of its
+own, with a sparse index: a row for every ``SPARSE`` captures. ``merge_runs`` cuts the order into ranges by these three
+(so the captures of one URL can lie in many ranges) and merges all runs' parts of a range with a loser tree, reading
+each run forward from the place that its sparse index gives, so a task holds one line of each run. With more runs than
+``FAN_IN``, groups of runs are first merged to longer runs, in a task for each core at least while runs last.
 
 Files lie in the folder that the cluster shares; their names hold a random part and only those in written manifests
 are read, so what a lost or repeated task left behind is ignored.
 
-Defined cases: a null html is an empty payload; a null url has the key "" and a null page_id is kept (it never is the
+Defined cases: a null html is an empty payload; a very long one is one record, which a task holds; a null url has the
+key "" and a null page_id is kept (it never is the
 response while its payload has a page_id); rows with the same page_id are captures each for itself, and those that
-repeat the response's page_id and payload are responses too; an empty table gives no rows; extra columns are ignored.
+repeat the response's page_id and payload are responses too; captures that are equal in all three keep the order of
+their runs' names; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.llm.shared import in_small_batches, scratch, stored, trimmed
@@ -34,7 +39,8 @@ from rejoinder.llm.shared import in_small_batches, scratch, stored, trimmed
 SPARSE, FAN_IN = 512, 256
 EPOCH = 1_704_067_200
 CAPTURE = "url_key string, ts string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long"
-RUN = "path string, n long, keys array<string>, places array<long>"
+#: A row for each entry of a run's sparse index; the first one, at place 0, has the run's number of captures.
+RUN = "path string, n long, key string, place long"
 RECORDS, RANGES = 50_000, 4096
 
 
@@ -55,7 +61,7 @@ def url_key(url: str | None) -> str:
 
 
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"string": pa.string(), "long": pa.int64(), "array<string>": pa.list_(pa.string()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"string": pa.string(), "long": pa.int64()}
     fields = [c.split() for c in schema.split(", ")]
     columns = list(zip(*rows, strict=True)) if rows else [()] * len(fields)
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[f[0] for f in fields])
@@ -87,11 +93,11 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, records: int = RECORD
     in_small_batches(pages.sparkSession)
     folder = scratch(pages.sparkSession, "warc")
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "utf-8")
-    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select("*", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("size"))
-    groups = own.groupBy("sha1", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")).select("*", F.sha2("payload", 256).alias("same"), F.length("payload").cast("long").alias("size"))
+    groups = own.groupBy("same", "size").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
     groups = stored(groups.filter((F.col("n") > 1) & (F.col("size") >= least_bytes)).drop("n"), "payloadgroups")
     refers_to = F.when(~F.col("top").eqNullSafe(F.col("page_id")), F.col("top"))
-    rows = own.join(groups, ["sha1", "size"], "left").select("page_id", "url", "payload", F.unhex("sha1").alias("sha1"), refers_to.alias("refers_to"))
+    rows = own.join(groups, ["same", "size"], "left").select("page_id", "url", "payload", F.unhex(F.sha1("payload")).alias("sha1"), refers_to.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -119,37 +125,39 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, records: int = RECORD
 
 def parse_archive(stream, chunk: int = 1 << 20) -> Iterator[tuple[int, dict[str, str], bytes]]:
     """Offset, headers and block of each record of a file of gzip members; holds one record at a time."""
-    member, text, at, begin = zlib.decompressobj(31), b"", 0, 0
+    member, parts, at, begin = zlib.decompressobj(31), [], 0, 0
     data = stream.read(chunk)
     while data:
-        text += member.decompress(data)
+        parts.append(member.decompress(data))
         at += len(data) - len(member.unused_data)
         if not member.eof:
             data = stream.read(chunk)
             continue
         data = member.unused_data or stream.read(chunk)
-        head, _, rest = text.partition(b"\r\n\r\n")
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
         headers = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
         yield begin, headers, rest[: int(headers["Content-Length"])]
-        member, text, begin = zlib.decompressobj(31), b"", at
+        member, parts, begin = zlib.decompressobj(31), [], at
 
 
-def _write_run(store, path: str, lines: Iterator[str]) -> tuple[str, int, list[str], list[int]]:
-    keys, places, place, n = [], [], 0, 0
+def _write_run(store, path: str, lines: Iterator[str]) -> list[tuple[str, int | None, str, int]]:
+    """Write the lines; the rows (RUN) of the run's sparse index."""
+    entries, place, n = [], 0, 0
     with store.open_output_stream(path, compression=None) as f:
         held: list[bytes] = []
         for line in lines:
             if n % SPARSE == 0:
                 f.write(b"".join(held))
                 held = []
-                keys.append(line.split("\x02", 1)[0])
-                places.append(place)
+                entries.append([path, None, line.split("\x02", 1)[0], place])
             own = (line + "\n").encode()
             held.append(own)
             place += len(own)
             n += 1
         f.write(b"".join(held))
-    return path, n, keys, places
+    if entries:
+        entries[0][1] = n
+    return [tuple(e) for e in entries]
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -177,7 +185,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                         lines.append(f"{key}\x01{_stamp(page_id)}\x01{page_id if page_id is not None else -1:020d}\x02" + json.dumps([page_id, size, digest, h["WARC-Type"], refers, path.rsplit("/", 1)[1], offset]))
                 store, top = fs.FileSystem.from_uri(folder)
                 store.create_dir(top)
-                yield _batch([_write_run(store, f"{top}/{uuid.uuid4().hex}.run", sorted(lines))], RUN)
+                yield _batch(_write_run(store, f"{top}/{uuid.uuid4().hex}.run", sorted(lines)), RUN)
 
     spread = archives.select("path", "folder").repartition(max(1, archives.count()), "path")  # a number, or small rows would be put together
     return stored(spread.mapInArrow(trimmed(read), RUN).withColumn("folder", F.lit(folder)), "runmanifest")
@@ -236,8 +244,10 @@ def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, ranges: int | None = None)
     """All captures (CAPTURE) with range_no: ordered by url_key and ts within a range, and ranges in order."""
     spark = runs.sparkSession
     first = runs.select("folder").first()
-    folder = first[0] if first else "file:///tmp"
-    n = runs.count()
+    if first is None:
+        return spark.createDataFrame([], CAPTURE + ", range_no long")
+    folder, cores = first[0], spark.sparkContext.defaultParallelism
+    n = runs.filter("place = 0").count()
     while n > fan_in:  # groups of runs to longer ones first
         def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             from pyarrow import fs
@@ -248,21 +258,24 @@ def merge_runs(runs: DataFrame, fan_in: int = FAN_IN, ranges: int | None = None)
                 for g, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     groups.setdefault(g, []).append(path)
             for paths in groups.values():
-                yield _batch([_write_run(store, f"{top}/{uuid.uuid4().hex}.run", iter(LoserTree([_lines(store, p, 0, "", None) for p in sorted(paths)])))], RUN)
+                yield _batch(_write_run(store, f"{top}/{uuid.uuid4().hex}.run", iter(LoserTree([_lines(store, p, 0, "", None) for p in sorted(paths)]))), RUN)
 
-        n = -(-n // fan_in)
-        grouped = runs.select(F.pmod(F.xxhash64("path"), F.lit(n)).alias("g"), "path").repartition(n, "g")
+        n = max(-(-n // fan_in), min(cores, n // 2))
+        grouped = runs.filter("place = 0").select(F.pmod(F.xxhash64("path"), F.lit(n)).alias("g"), "path").repartition(n, "g")
         runs = stored(grouped.mapInArrow(trimmed(longer), RUN).withColumn("folder", F.lit(folder)), "runmanifest")
-        n = runs.count()
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    ranges = min(RANGES, ranges or max(1, total // RECORDS * 4, spark.sparkContext.defaultParallelism))
-    cuts = runs.select(F.explode("keys").alias("key")).repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"))
+        n = runs.filter("place = 0").count()
+    total = runs.agg(F.sum("n")).first()[0]
+    ranges = min(RANGES, ranges or max(1, total // RECORDS * 4, cores))
+    cuts = runs.select("key").repartitionByRange(ranges, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.min("key").alias("low"))
     lows = ["", *sorted({r[0] for r in cuts.select("low").collect()})[1:]]  # at most RANGES rows
-    # a run is read from its last sparse entry below the range; equal keys may begin there
     bounds = F.array(*[F.lit(x) for x in lows])
-    parts = runs.select("path", "keys", "places", F.posexplode(bounds).alias("range_no", "low"))
-    entry = F.greatest(F.lit(0), F.size(F.filter("keys", lambda k: k < F.col("low"))) - 1)
-    parts = parts.select(F.col("range_no").cast("long"), "path", F.coalesce(F.get("places", entry), F.lit(0)).alias("place"), "low", F.get(bounds, F.col("range_no") + 1).alias("high"))
+    # a run is read from its last sparse entry below the range; equal keys may begin there
+    entries = runs.select("path", "place", (F.size(F.filter(bounds, lambda low: low <= F.col("key"))) - 1).alias("range_no"))
+    last = entries.groupBy("path", "range_no").agg(F.max("place").alias("place"))
+    every = runs.filter("place = 0").select("path", F.explode(F.sequence(F.lit(0), F.lit(len(lows) - 1))).alias("range_no"))
+    below = W.partitionBy("path").orderBy("range_no").rowsBetween(W.unboundedPreceding, -1)
+    parts = every.join(last, ["path", "range_no"], "left").withColumn("place", F.coalesce(F.max("place").over(below), F.lit(0)))
+    parts = parts.select(F.col("range_no").cast("long"), "path", "place", F.get(bounds, F.col("range_no")).alias("low"), F.get(bounds, F.col("range_no") + 1).alias("high"))
     parts = parts.repartition(len(lows), "range_no").sortWithinPartitions("range_no", "path")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -44,3 +44,11 @@ def test_loser_tree():
 def test_url_key():
     assert warc.url_key("https://www.B.a.org:443/P?z=1&a=2#x") == "org,a,b)/p?a=2&z=1"
     assert warc.url_key(None) == ""
+
+
+def test_captures_of_one_url_lie_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SPARSE", 8)
+    pages = spark.createDataFrame([(i, "http://hot.org/", f"body {i}", "p", 1, 1) for i in range(400)], SCHEMA).repartition(2)
+    got = warc.merge_runs(warc.read_archives(warc.write_archives(pages, records=50)), ranges=6).collect()
+    assert len(got) == 400 and len({r.range_no for r in got}) >= 4 and len({r.url_key for r in got}) == 1
+    assert [r.page_id for r in sorted(got, key=lambda r: (r.range_no, r.ts))] == list(range(400))
