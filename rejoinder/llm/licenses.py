@@ -1,19 +1,22 @@
 """License scan: an exact set-similarity join of text blocks with license templates, in DataFrame functions only.
 
-A block is a line of a text, or a run of words over line ends that is half as long again as a template (so a statement
-that is wrapped, with comment marks or some words between, is one block); a template is the words of a license
-statement. A block meets a template if it holds at least ``containment`` of the template's distinct words. All words
-are put in one order, rarest in the corpus first (counted over all texts; words of no template meet nothing and need
-no place). A text can only have such a block if it meets the template as a whole, and the join finds every such pair
-from few words: the text holds one of the template's first |T| - ceil(c |T|) + 1 words (prefix), has at least
-ceil(c |T|) words of templates (length), and after a word met at place i of the template and j of the text at most
-min(|T| - i, |B| - j) words can be shared (position). What is left is verified on the sets, then block by block. The
-word list and the templates' prefixes are bounded by the templates given, which is why they can be broadcast.
+A template is the words of a license statement. A block is a run of words of a text, over line ends, that begins with
+a word of the template and is half as long again as it (so a statement that is wrapped, with comment marks or some
+words between, is one block). A block meets a template if it holds at least ``containment`` of the template's distinct
+words, among them those that tell it from its neighbours (``must``), and none of those that only a neighbour has
+(``bar``). All words are put in one order, rarest in the corpus first (counted over all texts; words of no template
+meet nothing and need no place). A text can only have such a block if it meets the template as a whole, and the join
+finds every such pair from few words: the text holds one of the template's first |T| - ceil(c |T|) + 1 words (prefix),
+has at least ceil(c |T|) words of templates (length), and after a word met at place i of the template and j of the text
+at most min(|T| - i, |B| - j) words can be shared (position). What is left is verified on the sets, then block by
+block. The word list and the templates' prefixes are bounded by the templates given, which is why they can be broadcast.
 
 Beside it, ``phrases`` counts every place where given phrases stand, which the join's labels are added to.
 
 Defined cases: a null text is empty: no words, no labels, score 0; an empty table gives no rows; rows with the same
-doc_id are scanned each for itself; a null doc_id is kept; extra columns are ignored.
+doc_id are scanned each for itself; a null doc_id is kept; a very long text is scanned whole, and blocks are made only
+where words of a template stand; of templates with one label the largest containment counts; extra columns are
+ignored. Only A-Z are lower-cased.
 """
 
 from __future__ import annotations
@@ -29,16 +32,20 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
 #: Phrases and their labels (fixed values).
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Statements of public licenses by label.
 TEMPLATES = {
     "mit": ["released under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
     "apache-2": ["Licensed under the Apache License, Version 2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"],
     "cc-by-nc": ["Licensed under CC BY-NC 4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
     "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License"],
-    "gpl-3": ["licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
+    "gpl-3": ["licensed under the GNU General Public License, version 3", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"],
     "bsd": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
     "mpl-2": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"],
 }
+#: Words of a template that tell it from other licenses' statements, and words that it must not have, by label.
+MUST = {"mit": {"mit"}, "apache-2": {"apache", "2"}, "cc-by-nc": {"nc", "noncommercial"}, "cc-by": {"attribution"}, "gpl-3": {"gnu", "3"}, "mpl-2": {"mozilla", "2"}}
+BAR = {"cc-by-nc": {"sa", "nd", "sharealike", "noderivatives", "noderivs"}, "cc-by": {"noncommercial", "sharealike", "noderivatives", "noderivs"}, "gpl-3": {"lesser", "affero"}}
 
 
 def word_list(text: str) -> list[str]:
@@ -53,55 +60,62 @@ def span_of(text: str) -> int:
     return len(low) + len(low) // 2
 
 
-def _windows(hits: Column, span: Column) -> Column:
-    """The most distinct words among hits (i, w) that stand within ``span`` places, null without any."""
+def rules(templates: dict[str, list[str]] = TEMPLATES) -> list[tuple[str, list[str], int, list[str], list[str]]]:
+    """label, words, span, must, bar of every template that has words."""
+    sets = [(label, word_list(t), span_of(t)) for label, ts in templates.items() for t in ts]
+    return [(label, words, span, sorted(MUST.get(label, set()) & set(words)), sorted(BAR.get(label, set()) - set(words))) for label, words, span in sets if words]
+
+
+def lower(text: Column | str) -> Column:
+    return F.translate(text, UPPER, LOWER)
 
-    def held(hit: Column, k: Column) -> Column:
-        near = F.filter(F.slice(hits, k + 1, span), lambda x: x["i"] < hit["i"] + span)
-        return F.size(F.array_distinct(F.transform(near, lambda x: x["w"])))
 
-    return F.array_max(F.transform(hits, held))
+def _best_block(words: Column, template: Column, span: Column, must: Column, bar: Column) -> Column:
+    """The most of a template's distinct words in a block of the text that has what it must and nothing that bars it."""
+    placed = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
+    hits = F.filter(placed, lambda x: F.array_contains(template, x["w"]) | F.array_contains(bar, x["w"]))
 
+    def best(own: Column) -> Column:
+        def held(hit: Column, k: Column) -> Column:
+            near = F.filter(F.slice(own, k + 1, span), lambda x: x["i"] < hit["i"] + span)
+            block = F.array_distinct(F.transform(near, lambda x: x["w"]))
+            fit = F.array_contains(template, hit["w"]) & ~F.arrays_overlap(block, bar) & (F.size(F.array_intersect(block, must)) == F.size(must))
+            return F.when(fit, F.size(block)).otherwise(F.lit(0))
+
+        return F.coalesce(F.array_max(F.transform(own, held)), F.lit(0))
 
-def _best_block(text: Column, template: Column, span: Column) -> Column:
-    """The most of a template's distinct words in a line of the text, or in ``span`` words of it that follow each other."""
-    lines = F.transform(F.split(text, "\n"), lambda line: F.size(F.array_intersect(F.split(F.lower(line), SEPARATORS), template)))
-    words = F.split(F.lower(text), SEPARATORS)
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda x: F.array_contains(template, x["w"]))
     # an array of one names the hits, so that they are found once
-    windows = F.element_at(F.transform(F.array(hits), lambda own: _windows(own, span)), 1)
-    return F.greatest(F.array_max(lines), F.coalesce(windows, F.lit(0)))
+    return F.element_at(F.transform(F.array(hits), best), 1)
 
 
 def template_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """row, label and containment of every text and template of which a block meets. docs: row, text (not null)."""
-    sets = [(label, word_list(t), span_of(t)) for label, ts in templates.items() for t in ts]
-    sets = [(label, words, span) for label, words, span in sets if words]
-    vocabulary = sorted({w for _, words, _ in sets for w in words})
+    sets = rules(templates)
+    vocabulary = sorted({w for _, words, *_ in sets for w in words})
     listed = F.array(*[F.lit(w) for w in vocabulary])
-    texts = docs.select("row", "text", F.split(F.lower("text"), SEPARATORS).alias("words"))
+    texts = docs.select("row", "text", F.split(lower("text"), SEPARATORS).alias("words"))
     held = texts.select(F.explode(F.array_intersect(listed, "words")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     counts = {r["word"]: r["n"] for r in held.collect()}  # at most one row per word of the templates
     order = sorted(vocabulary, key=lambda w: (counts.get(w, 0), w))
     place = {w: i for i, w in enumerate(order)}
 
     rows = []
-    for label, words, span in sets:
+    for label, words, span, must, bar in sets:
         words = sorted(words, key=place.get)
         need = math.ceil(containment * len(words) - 1e-9)
-        rows += [(w, i, label, len(words), need, span, words) for i, w in enumerate(words[: len(words) - need + 1])]
-    prefixes = docs.sparkSession.createDataFrame(rows, "word string, i int, label string, size int, need int, span int, template array<string>")
+        rows += [(w, i, label, len(words), need, span, words, must, bar) for i, w in enumerate(words[: len(words) - need + 1])]
+    prefixes = docs.sparkSession.createDataFrame(rows, "word string, i int, label string, size int, need int, span int, template array<string>, must array<string>, bar array<string>")
 
     prefix_words = F.array(*[F.lit(w) for w in sorted({r[0] for r in rows})])
     ordered = F.array_intersect(F.array(*[F.lit(w) for w in order]), F.col("words"))  # in the order of all words
-    found = texts.filter(F.arrays_overlap("words", prefix_words)).select("row", "text", ordered.alias("own"))
+    found = texts.filter(F.arrays_overlap("words", prefix_words)).select("row", "words", ordered.alias("own"))
     places = F.filter(F.transform("own", lambda w, j: F.struct(w.alias("word"), j.alias("j"))), lambda x: F.array_contains(prefix_words, x["word"]))
-    met = found.select("row", "text", "own", F.inline(places)).join(F.broadcast(prefixes), "word")
+    met = found.select("row", "words", "own", F.inline(places)).join(F.broadcast(prefixes), "word")
     fits = (F.size("own") >= F.col("need")) & (F.least(F.col("size") - F.col("i"), F.size("own") - F.col("j")) + F.least("i", "j") >= F.col("need"))
     shared = F.array_intersect("own", "template")
     # of the words that bring a text and a template together the first one does
     pairs = met.filter(fits).filter((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("word")))
-    best = pairs.select("row", "label", "size", "need", _best_block(F.col("text"), F.col("template"), F.col("span")).alias("shared"))
+    best = pairs.select("row", "label", "size", "need", _best_block(*map(F.col, ("words", "template", "span", "must", "bar"))).alias("shared"))
     kept = best.groupBy("row", "label").agg(F.max(F.when(F.col("shared") >= F.col("need"), F.col("shared") / F.col("size"))).alias("containment"))
     return kept.filter("containment IS NOT NULL")
 
@@ -111,7 +125,7 @@ def phrases(docs: DataFrame, given: dict[str, str] = PHRASES) -> DataFrame:
 
     Words stand in a string with two spaces before each and one at the ends, so neighbouring places share none.
     """
-    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower("text"), SEPARATORS, "  ")), F.lit(" "))
+    spaced = F.concat(F.lit(" "), F.trim(F.regexp_replace(lower("text"), SEPARATORS, "  ")), F.lit(" "))
     own = docs.withColumn("spaced", spaced)
     n_words = F.when(F.length("spaced") == 2, F.lit(0).cast("long")).otherwise(((F.length("spaced") - F.length(F.replace("spaced", F.lit(" "), F.lit("")))) / 2).cast("long"))
     own = own.withColumn("n_words", n_words)

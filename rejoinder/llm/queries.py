@@ -39,25 +39,22 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    """The same by comparing every block with every template."""
-    split = r"regexp_split_to_array({}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-    words = f"list_filter({split.format('lower(coalesce(text, \'\'))')}, lambda w: w <> '')"
-    rows = []
-    for label, texts in licenses.TEMPLATES.items():
-        for t in texts:
-            own = licenses.word_list(t)
-            rows.append(f"('{label}', {own!r}, {-(-4 * len(own) // 5)})")
+    """The same by trying every block of every text that holds enough of a template's words."""
+    low = f"translate(coalesce(text, ''), '{licenses.UPPER}', '{licenses.LOWER}')"
+    words = rf"list_filter(regexp_split_to_array({low}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+    rows = [f"('{label}', {own!r}, {-(-4 * len(own) // 5)}, {span}, {must!r}::VARCHAR[], {bar!r}::VARCHAR[])" for label, own, span, must, bar in licenses.rules()]
     places = ", ".join(f"list_filter(range(len(w)), lambda i: w[i + 1 : i + {len(p.split())}] = {p.split()!r}) AS p{k}" for k, p in enumerate(licenses.PHRASES))
     names = list(licenses.PHRASES.values())
     base = "list_sort(list_filter([" + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{n}' END" for k, n in enumerate(names)) + "], lambda x: x IS NOT NULL))"
     every = "list_concat(" + ", ".join(f"p{k}" for k in range(len(names))) + ")"
     return f"""
-WITH t(label, tw, need) AS (VALUES {", ".join(rows)}),
-d AS (SELECT doc_id, text, {words} AS w FROM documents),
+WITH t(label, tw, need, span, must, bar) AS (VALUES {", ".join(rows)}),
+d AS MATERIALIZED (SELECT doc_id, {words} AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, {places} FROM d),
-l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS line FROM d),
-b AS (SELECT doc_id, list_distinct({split.format("line")}) AS bw FROM l),
-m AS (SELECT doc_id, label, max(len(list_intersect(bw, tw)) / len(tw)) AS c FROM b JOIN t ON len(list_intersect(bw, tw)) >= need GROUP BY ALL),
+l AS MATERIALIZED (SELECT doc_id, w, list_distinct(w) AS dw FROM d),
+c AS (SELECT doc_id, w, t.* FROM l JOIN t ON len(list_intersect(dw, tw)) >= need),
+b AS (SELECT doc_id, label, tw, need, must, bar, w[i + 1 : i + span] AS block FROM (SELECT *, unnest(range(len(w))) AS i FROM c) WHERE list_contains(tw, w[i + 1])),
+m AS (SELECT doc_id, label, max(len(list_intersect(list_distinct(block), tw)) / len(tw)) AS c FROM b WHERE len(list_intersect(list_distinct(block), tw)) >= need AND list_has_all(block, must) AND NOT list_has_any(block, bar) GROUP BY ALL),
 a AS (SELECT doc_id, list(label) AS added, max(c) AS best FROM m GROUP BY ALL),
 q AS (SELECT doc_id, n_words, {every} AS every, {base} AS base FROM p)
 SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word,

@@ -18,14 +18,12 @@ def brute(doc_id, text):
         at += own
         base |= {label} if own else set()
     best, added = 0.0, set()
-    for line in low.split("\n"):
-        b = set(re.split(SEPS, line))
-        for label, ts in licenses.TEMPLATES.items():
-            for t in ts:
-                own = licenses.word_list(t)
-                if len(b & set(own)) >= math.ceil(0.8 * len(own) - 1e-9):
-                    added.add(label)
-                    best = max(best, len(b & set(own)) / len(own))
+    for label, own, span, must, bar in licenses.rules():
+        for i in range(len(w)):
+            block = set(w[i : i + span])
+            if w[i] in own and len(block & set(own)) >= math.ceil(0.8 * len(own) - 1e-9) and block >= set(must) and not block & set(bar):
+                added.add(label)
+                best = max(best, len(block & set(own)) / len(own))
     return (doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), 1.0 if base else best)
 
 
@@ -35,6 +33,8 @@ def test_equals_brute_force(spark):
         None, "", " ", "\x00\x7f", "Under the MIT License!", "under the mit license under the mit license", "cc by nc cc by nc cc-by-nc", "xcc by nc", "cc by ncx",
         "Licensed under CC BY-NC 4.0.", "Apache License, Version 2.0", "apache\nlicense version\n2", mit, mit.replace("Permission", "Leave"), " ".join(mit.split()[:9]), cc.upper(), "a\n" + cc + "\nunder the mit license",
         "This work is licensed under the GNU General Public License, version 3.", "é under the mit license é", "ünder the mit license", "word " * 50_000 + "cc by nc " + "word " * 50_000, "the the of a work is",
+        "Licensed under CC BY 4.0", "Licensed under CC BY-SA 4.0", cc.replace("Attribution", "Attribution-ShareAlike"), "This work is licensed under the GNU General Public License, version 2.", "Released under the Apache License",
+        "Licensed under the \u212aAPACHE License, Version 2.0", "licensed under the GNU Lesser General Public License, version 3", "x " * 40 + licenses.TEMPLATES["cc-by-nc"][1] + " y" * 40 + " " + cc,
     ]
     rows = [(i, t, "l", 1, 1.0) for i, t in enumerate(texts)] + [(None, cc, "l", 1, 1.0), (3, cc, "l", 1, 1.0), (3, cc, "l", 1, 1.0)]
     got = licenses.license_scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
@@ -56,3 +56,15 @@ def test_wrapped_notices_are_found(spark):
     got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert [(rows[i][1], label) for i, label in enumerate(want) if label not in got[i].labels.split(",")] == []
     assert got[len(want)].labels == "" and got[len(want)].score == 0
+
+
+def test_neighbouring_licenses_are_told_apart(spark):
+    cc = licenses.TEMPLATES["cc-by"][0]
+    given = {
+        "Licensed under CC BY 4.0": "", "Licensed under CC BY-NC 4.0": "cc-by-nc", "Licensed under CC BY-NC-SA 4.0": "cc-by-nc", cc: "cc-by", cc.replace("Attribution", "Attribution-NonCommercial"): "cc-by-nc",
+        "licensed under the GNU General Public License, version 2": "", "licensed under the GNU General Public License, version 3": "gpl-3", "Released under the Apache License": "", "Released under the MIT License": "mit",
+    }
+    rows = [(i, t, "l", 1, 1.0) for i, t in enumerate(given)]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    # "cc by nc" stands in the third, so its base label stays
+    assert [got[i] for i in range(len(rows))] == list(given.values())
