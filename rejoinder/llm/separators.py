@@ -8,8 +8,9 @@ blocks' summaries (separators so far, place of the last one) stitches documents
 Files lie in the folder that the cluster shares. Their names hold a random part and only those in the written
 manifest are read, so what a lost or repeated task left behind is ignored.
 
-Defined cases: the string of a special token in a text is ordinary text, so only ends are end ids; a null text is empty and counts 0 tokens; an empty table gives no rows; rows with the same doc_id are
-counted each for itself; tokens after the last end id are reported as a last document without an end.
+Defined cases: the string of a special token in a text is ordinary text, so only ends are end ids; a null text is empty and counts 0 tokens; a very long one may go over any
+number of blocks and shards; an empty table gives no rows; rows with the same doc_id are
+counted each for itself; extra columns are ignored; tokens after the last end id are reported as a last document without an end.
 """
 
 from __future__ import annotations
@@ -122,7 +123,9 @@ def document_token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str,
     """Per document: its stream and place there, and the tokens that the scan counted."""
     manifest = write_streams(docs, tokenizer, shard_tokens=shard_tokens)
     first = manifest.select("folder").first()
+    if first is None:
+        return spark.createDataFrame([], "doc_id long, stream string, ordinal long, start long, n_tokens long")
     shards = manifest.filter(F.col("path").isNotNull()).select("stream", "shard", "path", "n_tokens")
-    counted = separator_scan(shards, first[0] if first else "file:///tmp", block_tokens=block_tokens)
+    counted = separator_scan(shards, first[0], block_tokens=block_tokens)
     names = manifest.filter(F.col("path").isNull()).select("stream", "ordinal", "doc_id")
     return names.hint("merge").join(counted, ["stream", "ordinal"]).select("doc_id", "stream", "ordinal", "start", "n_tokens")

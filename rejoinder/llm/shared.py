@@ -24,10 +24,13 @@ LIBC = ctypes.CDLL(None)
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir; one below /tmp is set only where none is configured.
+    The folder is the session's spark.checkpoint.dir. Where none is configured, a local session (whose executors share
+    the driver's disk) takes one below /tmp, and any other raises an error.
     """
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         top = "file:///tmp/checkpoints"
     return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 

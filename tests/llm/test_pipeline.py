@@ -58,6 +58,20 @@ def test_stages_equal_brute_force_on_documents(spark):
     assert sorted(r.doc_id for r in near.select("doc_id").collect()) == sorted(i for i, n, c in brute(rows) if n == 0 or c == i)
 
 
+def test_extra_columns_keep_their_values_whatever_their_names(spark):
+    sf = "/root/testdata/sf0.001"
+    names = [*site_quality.NAMES, *mixing.NAMES, "__site", "__id", "__sha", "__other", "__row", "__n", "row", "key", "label", "component_id", "n", "id", "weight", "tokens"]
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("doc_id < 60 or doc_id % 9 = 0")
+    docs = docs.unionByName(docs.limit(5))  # rows that repeat, so that every way through a stage is taken
+    docs = docs.select("*", *[F.concat(F.lit(f"{n} of "), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        rows = got.collect()
+        assert rows and all(r[n] == f"{n} of {r.doc_id}" for r in rows for n in names), name
+    assert corpus_pipeline.pack(spark, docs, sf).count() >= docs.count()
+
+
 def test_run_does_what_the_stages_say(spark):
     sf = "/root/testdata/sf0.001"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
