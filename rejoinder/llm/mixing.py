@@ -1,13 +1,14 @@
 """Mixing sources to target weights by iterative proportional fitting, in DataFrame functions only.
 
-Documents are summed to cells of source, language and topic. The cells' token weights are raked: scaled in turn so
-that each margin's weights meet its target shares. A cell can't give more tokens than it has, so raking is bounded: a
-cell that would exceed its tokens is held at them and the others make up for it (what holds is a cell's factors'
-product, so it can come below its tokens again). The weights' sum is ``budget`` times all tokens, or less where a
-value of a margin hasn't the tokens for its target: then the most that it has allows. Rounds go on until all margins
-meet their targets to ``TOLERANCE``. If they stop coming nearer, as targets that contradict each other do, the budget
-is lowered a few times; what then remains is warned of, and ``margins`` states it. A document's probability is its
-cell's weight over its tokens, and it stays if a number drawn from its doc_id is lower.
+Documents are summed to cells of source, language and topic. The cells' token weights are raked: scaled in turn so that
+each margin's weights meet its target shares of ``budget`` times all tokens. A value of a margin that hasn't the tokens
+for its target gives all it has, and the margin's other values share what it lacks in proportion (``feasible``). Nor can
+a cell give more tokens than it has, so raking is bounded: a cell that would exceed its tokens is held at them and the
+others make up for it (what holds is a cell's factors' product, so it can come below its tokens again). Rounds go on
+until all margins meet their feasible targets to ``TOLERANCE``. If they stop coming nearer, as targets that contradict
+each other do, the budget is lowered a few times; what then remains is warned of. ``margins`` states what every value's
+expected tokens are beside its target. A document's probability is its cell's weight over its tokens, and it stays if a
+number drawn from its doc_id is lower.
 
 With ``capped`` probabilities are cut at 1 after unbounded raking instead, and no cell makes up for it.
 
@@ -120,26 +121,46 @@ def rake(cells: DataFrame, margins: dict[str, str], start: str = "tokens", round
     return _raked(stored(begin, "cells"), margins, rounds, small)[0].drop("total", "upper", "gap")
 
 
+def feasible(sums: DataFrame, budget: float, total: float) -> DataFrame:
+    """sums (margin, value, t, share) with feasible: share, but at most t / (budget * total), others of a margin making up.
+
+    A share is raised by its margin's factor, which a few sums over all values find: each may hold more values at what
+    they have, and raises the factor of the others.
+    """
+    cap, factors = F.col("t") / F.lit(budget * total), {}
+    while True:
+        raised = F.col("share") * F.coalesce(*[F.when(F.col("margin") == m, F.lit(f)) for m, f in factors.items()], F.lit(1.0))
+        held = raised > cap
+        now = {}
+        for r in sums.groupBy("margin").agg(F.sum(F.when(held, cap).otherwise(0.0)).alias("held"), F.sum(F.when(held, 0.0).otherwise(F.col("share"))).alias("free")).collect():  # a row a margin
+            now[r["margin"]] = max(factors.get(r["margin"], 1.0), (1 - r["held"]) / r["free"]) if r["free"] > 0 else factors.get(r["margin"], 1.0)
+        if all(f <= factors.get(m, 1.0) * (1 + 1e-12) for m, f in now.items()):
+            return sums.withColumn("feasible", F.least(raised, cap))
+        factors = now
+
+
 def rake_bounded(cells: DataFrame, margins: dict[str, str], budget: float = BUDGET, small: int = SMALL) -> DataFrame:
-    """Adds weight, at most tokens in each row: each margin's sums are its target shares of budget * all tokens.
+    """Adds weight, at most tokens in each row: each margin's sums are its feasible target shares of budget * all tokens.
 
-    The budget is lowered to what the values' tokens allow, and further if targets can't be met together.
+    The budget is lowered only if these can't be met together.
     """
     cells = stored(cells, "cells")
-    sums = _margin_sums(cells, list(margins), F.coalesce(*[F.when(F.col("m.margin") == c, F.col(t)) for c, t in margins.items()]))
-    total, most = sums.agg(F.sum(F.when(F.col("margin") == next(iter(margins)), F.col("t"))), F.min(F.when(F.col("share") > 0, F.col("t") / F.col("share")))).first()
+    sums = stored(_margin_sums(cells, list(margins), F.coalesce(*[F.when(F.col("m.margin") == c, F.col(t)) for c, t in margins.items()])), "margins", wave=True)
+    total = sums.agg(F.sum(F.when(F.col("margin") == next(iter(margins)), F.col("t")))).first()[0]
     if not total:
         return cells.withColumn("weight", F.lit(0.0))
-    budget = min(budget, most / total) if most is not None else budget
     for lowered in range(LOWERINGS + 1):
-        begin = cells.withColumns({"weight": F.lit(budget) * F.col("tokens"), "total": F.lit(budget * total), "upper": F.col("tokens").cast("double")})
-        now, gap, held = _raked(begin, margins, None, small)
+        begin, found = cells, feasible(sums, budget, total)
+        for column in margins:
+            begin = begin.join(found.filter(F.col("margin") == column).select(F.col("value").alias(column), F.col("feasible").alias(f"feasible_{column}")), column)
+        begin = stored(begin.withColumns({"weight": F.lit(budget) * F.col("tokens"), "total": F.lit(budget * total), "upper": F.col("tokens").cast("double")}), "begin", wave=True)
+        now, gap, held = _raked(begin, {c: f"feasible_{c}" for c in margins}, None, small)
         if gap <= TOLERANCE or not held or lowered == LOWERINGS:
             break
         budget *= LOWER
     if gap > 1e-6:
         warnings.warn(f"target weights contradict each other: a margin is off by {gap:.3g} of its target", stacklevel=2)
-    return now.withColumn("weight", F.least("weight", "upper")).drop("total", "upper", "gap")
+    return now.withColumn("weight", F.least("weight", "upper")).drop("total", "upper", "gap", *[f"feasible_{c}" for c in margins])
 
 
 def _margin_sums(cells: DataFrame, columns: list[str], share: Column | None = None) -> DataFrame:
@@ -192,15 +213,17 @@ def mixed_cells(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: floa
     cells, margins = with_targets(cells, powers, given), {k: f"target_{k}" for k in (*powers, *given)}
     raked, scale = (rake(cells, margins), budget) if capped else (rake_bounded(cells, margins, budget), 1.0)
     share = F.when(F.col("tokens") > 0, F.least(F.lit(1.0), F.lit(scale) * F.col("weight") / F.col("tokens"))).otherwise(F.lit(1.0))
-    return stored(raked.select("__source", "__lang", "__topic", "tokens", "documents", "weight", F.round(share, 9).alias("probability")), "mixed")
+    shares = [F.col(t).alias(f"target_{c.removeprefix('__')}") for c, t in margins.items()]
+    return stored(raked.select("__source", "__lang", "__topic", "tokens", "documents", "weight", F.round(share, 9).alias("probability"), *shares), "mixed", wave=True)
 
 
-def margins(cells: DataFrame, names: tuple[str, ...] = ("__source", "__lang", "__topic")) -> DataFrame:
+def margins(cells: DataFrame) -> DataFrame:
     """margin, value, target, achieved, gap: target and expected token shares, gap their ratio less 1. cells: as mixed_cells gives them."""
-    each = F.explode(F.array(*[F.struct(F.lit(n.removeprefix("__")).alias("margin"), F.col(n).alias("value")) for n in names])).alias("m")
-    own = cells.select(each, F.col("weight").alias("w"), (F.col("tokens") * F.col("probability")).alias("e")).groupBy("m.margin", "m.value").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
-    whole = own.groupBy("margin").agg(F.sum("w").alias("ws"), F.sum("e").alias("es"))
-    got = own.join(whole, "margin").select("margin", "value", F.try_divide("w", "ws").alias("target"), F.try_divide("e", "es").alias("achieved"))
+    names = [c.removeprefix("target_") for c in cells.columns if c.startswith("target_")]
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("margin"), F.col(f"__{n}").alias("value"), F.col(f"target_{n}").alias("target")) for n in names])).alias("m")
+    own = cells.select(each, (F.col("tokens") * F.col("probability")).alias("e")).groupBy("m.margin", "m.value").agg(F.first("m.target").alias("target"), F.sum("e").alias("e"))
+    whole = own.groupBy("margin").agg(F.sum("e").alias("es"))
+    got = own.join(whole, "margin").select("margin", "value", "target", F.try_divide("e", "es").alias("achieved"))
     return got.withColumn("gap", F.try_divide("achieved", "target") - 1)
 
 

@@ -95,21 +95,24 @@ def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
 
 
-def _mixing_sql(documents: str = "documents", rounds: int = 40) -> str:
+def _mixing_sql(documents: str = "documents", rounds: int = 60) -> str:
     """Bounded raking unrolled: a window for each margin and round."""
-    steps, names = ["r0 AS MATERIALIZED (SELECT *, b * tokens AS weight FROM k, lowered)"], ("source", "lang", "topic")
+    steps, names = [f"r0 AS MATERIALIZED (SELECT *, {mixing.BUDGET} AS b, {mixing.BUDGET} * tokens AS weight FROM k)"], ("source", "lang", "topic")
     for i in range(3 * rounds):
         c = names[i % 3]
         steps.append(f"""r{i + 1} AS MATERIALIZED (SELECT * EXCLUDE (weight, held, free), CASE WHEN free > 0 THEN weight * greatest(b * whole * t_{c} - held, 0) / free WHEN held > 0 THEN weight * b * whole * t_{c} / held ELSE weight END AS weight
   FROM (SELECT *, sum(CASE WHEN weight >= tokens THEN tokens ELSE 0 END) OVER (PARTITION BY {c}) AS held, sum(CASE WHEN weight >= tokens THEN 0 ELSE weight END) OVER (PARTITION BY {c}) AS free FROM r{i}))""")
-    shares = "".join(f", h_{c} AS (SELECT {c}, sum(tokens)::DOUBLE AS n, pow(sum(tokens)::DOUBLE, {p}) AS t FROM g GROUP BY {c}), s_{c} AS (SELECT {c}, n, CASE WHEN sum(t) OVER () > 0 THEN t / sum(t) OVER () ELSE 0.0 END AS t_{c} FROM h_{c})" for c, p in mixing.TEMPER.items())
-    least = " UNION ALL ".join(f"SELECT n / (whole * t_{c}) AS b FROM s_{c}, total WHERE t_{c} > 0" for c in names)
+    shares = "".join(
+        f""", h_{c} AS (SELECT {c}, sum(tokens)::DOUBLE AS n, pow(sum(tokens)::DOUBLE, {p}) AS t FROM g GROUP BY {c}), a_{c} AS (SELECT {c}, n / ({mixing.BUDGET} * whole) AS cap, t / sum(t) OVER () AS t FROM h_{c}, total WHERE t > 0),
+o_{c} AS (SELECT *, cap < t * (1 - coalesce(sum(cap) OVER (ORDER BY cap / t, {c} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(t) OVER (ORDER BY cap / t, {c} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS held FROM a_{c}),
+s_{c} AS (SELECT h_{c}.{c}, coalesce(CASE WHEN held THEN cap ELSE o_{c}.t * (SELECT (1 - coalesce(sum(cap) FILTER (held), 0)) / sum(t) FILTER (NOT held) FROM o_{c}) END, 0) AS t_{c} FROM h_{c} LEFT JOIN o_{c} USING ({c}))"""
+        for c, p in mixing.TEMPER.items()
+    )
     return f"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS source, coalesce(lang, chr(1)) AS lang, coalesce(text, '') AS x FROM {documents}),
 w AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(x, ' | ') THEN 'tables' WHEN length(x) < 400 THEN 'notes' WHEN length(x) > 6000 THEN 'long reads' ELSE 'articles' END AS topic,
   len(regexp_extract_all(x, '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM d),
 g AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM w GROUP BY ALL), total AS (SELECT sum(tokens) AS whole FROM g){shares},
-lowered AS (SELECT least({mixing.BUDGET}, min(b)) AS b FROM ({least})),
 k AS (SELECT g.*, t_source, t_lang, t_topic, whole FROM g JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic), total),
 {", ".join(steps)},
 p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM r{3 * rounds})

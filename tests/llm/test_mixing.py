@@ -40,3 +40,24 @@ def test_expected_margins_meet_their_targets_without_the_cap(spark):
     targets = mixing.tempered(own.groupBy("__source").agg(F.sum("__tokens").alias("tokens")), "__source", mixing.TEMPER["source"]).toPandas().set_index("__source")["target___source"]
     got = free[free["margin"] == "source"].set_index("value")["achieved"]
     assert (got - targets).abs().max() < 1e-4
+
+
+def test_a_rare_value_costs_the_others_nothing(spark):
+    """A topic that hasn't the tokens for its target gives all it has; the sample stays as large as the budget says."""
+    rows = [(i, "w " * (250 if i % 40 else 5), "a" if i % 3 else "b", ("en", "de")[i % 7 % 2], 1, "q") for i in range(2000)]
+    own = mixing.with_cells(spark.createDataFrame(rows, SCHEMA))
+    cells = mixing.mixed_cells(own, {"source": 0.8, "lang": 0.8, "topic": 0.1}, 0.7)
+    rare = cells.filter("__topic = 'notes'").toPandas()
+    tokens, kept = cells.agg(F.sum("tokens"), F.sum(F.col("tokens") * F.col("probability"))).first()
+    assert (rare["probability"] == 1).all() and abs(kept / tokens - 0.7) < 1e-6
+    gaps = mixing.margins(cells).toPandas().set_index(["margin", "value"])["gap"]
+    assert gaps["topic", "notes"] < -0.5  # told, as it can't be met
+    assert gaps[["source", "lang"]].abs().max() < 1e-6
+
+
+def test_given_targets_are_met(spark):
+    rows = [(i, "w " * (10 + i % 50), ("a", "b", "c")[i % 3], ("en", "de")[i % 2], 1, "q") for i in range(900)]
+    own = mixing.with_cells(spark.createDataFrame(rows, SCHEMA))
+    given = {"source": {"a": 2, "b": 1, "c": 1, "gone": 5}, "lang": {"en": 0.4, "de": 0.6}}
+    got = mixing.margins(mixing.mixed_cells(own, {}, 0.5, targets=given)).toPandas().set_index(["margin", "value"])["achieved"]
+    assert abs(got["source", "a"] - 0.5) < 1e-6 and abs(got["source", "c"] - 0.25) < 1e-6 and abs(got["lang", "de"] - 0.6) < 1e-6

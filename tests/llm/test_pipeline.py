@@ -97,8 +97,15 @@ def test_run_does_what_the_stages_say(spark):
         for c, n in tokens.items():
             margin[c[k]] += n
         whole = sum(n**power for n in margin.values())
-        target.append({v: (n**power / whole, n) for v, n in margin.items()})
-    budget = min([mixing.BUDGET] + [n / (total * t) for own in target for t, n in own.values() if t])
+        share, cap, held = {v: n**power / whole for v, n in margin.items()}, {v: n / (mixing.BUDGET * total) for v, n in margin.items()}, set()
+        while True:  # values without the tokens for their share give what they have
+            factor = (1 - sum(cap[v] for v in held)) / sum(share[v] for v in share if v not in held)
+            more = {v for v in share if v not in held and share[v] * factor > cap[v]}
+            if not more:
+                break
+            held |= more
+        target.append({v: cap[v] if v in held else share[v] * factor for v in share})
+    budget = mixing.BUDGET
     weight = {c: budget * n for c, n in tokens.items()}
     for _ in range(60):
         for k in range(3):
@@ -109,7 +116,7 @@ def test_run_does_what_the_stages_say(spark):
                 else:
                     free[c[k]] += w
             for c, w in weight.items():
-                want = budget * total * target[k][c[k]][0]
+                want = budget * total * target[k][c[k]]
                 if free[c[k]] > 0:
                     weight[c] = w * max(want - held[c[k]], 0) / free[c[k]]
                 elif held[c[k]] > 0:
