@@ -110,3 +110,8 @@ def verdict(iccs: DataFrame) -> DataFrame:
     m, a = F.col("min_icc"), F.col("mean_icc")
     code = F.when(m.isNull(), "UNKNOWN").when(m >= 0.70, "GOOD").when((m >= 0.60) & (a >= 0.70), "ACCEPTABLE").when(m < 0.60, "POOR").otherwise("ACCEPTABLE")
     return s.withColumn("verdict", code)
+
+
+def without_flagged(df: DataFrame, flag: str, yes: tuple[str, ...] = ("true", "1", "yes")) -> DataFrame:
+    """Rows whose flag, as a text of any case, isn't one of ``yes``; a null flag isn't."""
+    return df.filter(~F.coalesce(F.lower(F.trim(F.col(flag).cast("string"))).isin(*yes), F.lit(False)))

@@ -121,6 +121,11 @@ def rates_by_sets(df: DataFrame, keys: list[str], flags: dict[str, Column]) -> D
     return out.select(*keys, "level", "n", *[f"n_{k}" for k in flags], *[(100.0 * F.col(f"n_{k}") / F.col("n")).alias(f"pct_{k}") for k in flags])
 
 
+def matched(sample: DataFrame, labels: DataFrame, key: str = "record_id") -> tuple[DataFrame, DataFrame]:
+    """The sample with its labels, and the labels that no row of the sample has: to be reported, as they get lost."""
+    return sample.join(labels, key), labels.join(sample.select(key), key, "left_anti")
+
+
 def marked(df: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
     """Adds whether the key is in known."""
     own = known.select(key).distinct().withColumn(name, F.lit(True))
