@@ -10,7 +10,8 @@ block's bytes, are brought together afterwards. At most two such blocks for each
 mean document can exist, as their rows alone would else exceed all rows: that bounds what is broadcast.
 
 Defined cases: a null text is empty; the kept row of a group is that with the smallest doc_id (a null doc_id comes
-last), and of rows that repeat this doc_id exactly one; an empty table gives no rows; extra columns are ignored.
+last), and of rows that repeat this doc_id exactly one; a very long text is many blocks, which are dealt like any
+others; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -91,15 +92,15 @@ def identities(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     heads = names.filter("i = 0").select("row", "doc_id", "sha", "n_blocks", "name")
     level = names.filter("n_blocks > 1").select("row", "i", "n_blocks", "name")
     most = level.agg(F.max("n_blocks")).first()[0] or 1
-    done = heads.filter("n_blocks = 1").select("row", "name")
-    while most > 1:
+    done, met = heads.filter("n_blocks = 1").select("row", "name"), 1
+    while met < most:
         half = F.floor(F.col("i") / 2)
         pairs = level.groupBy("row", half.alias("i"), "n_blocks").agg(F.max(F.when(F.col("i") % 2 == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(F.col("i") % 2 == 1, F.col("name"))), F.lit(-1).cast("long")).alias("b"))
-        pairs = stored(pairs, "pairs")
-        given = stored(pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()), "pairnames")
-        level = stored(pairs.join(given, ["a", "b"]).select("row", "i", "n_blocks", "name"), "level")
-        most = -(-most // 2)
-    done = done.unionByName(level.select("row", "name"))
+        pairs = stored(pairs, "pairs", wave=True)
+        given = stored(pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id()), "pairnames", wave=True)
+        level, met = stored(pairs.join(given, ["a", "b"]).select("row", "i", "n_blocks", "name"), "level", wave=True), 2 * met
+        # a document is done at the depth of its own blocks; names of one depth are told apart by n_blocks from others
+        done, level = done.unionByName(level.filter(F.col("n_blocks") <= met).select("row", "name")), level.filter(F.col("n_blocks") > met)
     return heads.drop("name").join(done, "row")
 
 

@@ -23,5 +23,13 @@ def test_equals_brute_force(spark):
     assert all(r.doc_id == r.keep_id for r in kept)
 
 
+def test_long_texts(spark):
+    long = "ab " * 1_000_000
+    rows = [(1, long, "r", 7, 1), (2, long.replace(" ", "\t"), "r", 7, 1), (3, long + "x", "r", 7, 1), (4, "x" + long, "r", 7, 1), (5, "short", "r", 7, 1)]
+    got = exact_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
+    assert sorted(map(str, [(r.doc_id, r.text_sha256, r.group_size, r.keep_id) for r in got])) == sorted(map(str, brute(rows)))
+
+
 def test_empty(spark):
     assert exact_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
