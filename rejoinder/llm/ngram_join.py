@@ -18,8 +18,8 @@ of these links are then known, and the trees search only pairs that lie in diffe
 can still change a component. A key whose documents are all in one component needs no tree.
 
 Defined cases: a null text is empty; without words a document has no set and is linked with nothing; with fewer
-words than a shingle takes, the whole sequence is the one shingle; a very long text is one set like any other, made in
-a step of its own; rows with the same doc_id are told apart by row,
+words than a shingle takes, the whole sequence is the one shingle; a very long text is one set like any other, whose words are
+found in steps; rows with the same doc_id are told apart by row,
 and components are named by the smallest doc_id in them (null only if all are null); extra columns are ignored.
 """
 
@@ -51,9 +51,37 @@ TOGETHER = 64
 #: Slots of the frequency table and of its parts: 4 MB in all, whatever the input.
 SLOTS, SLOT_PART = 1 << 19, 1 << 13
 LEAF = 32
+#: Bytes of text that are cut to words at once.
+STEP = 1 << 19
 SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary, fine binary"
 
 
+def _white(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def _words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some bytes that end with white space, and where they begin.
+
+    Bytes are taken in steps that end at white space, so that a long text costs eight bytes a word and not many a byte.
+    """
+    hashes, begins, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + STEP)
+        while end < len(data) and not _white(data[end - 1 : end])[0]:
+            space = np.flatnonzero(_white(data[end : end + STEP]))
+            end = end + int(space[0]) + 1 if len(space) else min(len(data), end + STEP)
+        low = np.where((data[at:end] >= 65) & (data[at:end] <= 90), data[at:end] + 32, data[at:end])
+        white = _white(low)
+        edge = np.flatnonzero(white[1:] != white[:-1]) + 1
+        edge = np.concatenate([[0], edge]) if not white[0] else edge
+        first, last = edge[0::2], edge[1::2]
+        hashes.append(mixed(span_hashes(low, first, last) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+        begins.append(first + at)
+        at = end
+    return (np.concatenate(hashes), np.concatenate(begins)) if hashes else (np.empty(0, np.uint64), np.empty(0, np.int64))
+
+
 def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of all texts end to end, and each text's offsets.
 
@@ -61,14 +89,9 @@ def shingle_sets(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np
     """
     joined = np.frombuffer(b" ".join([*texts, b""]), dtype=np.uint8)
     ends = np.cumsum(np.array([len(t) + 1 for t in texts], dtype=np.int64))
-    low = np.where((joined >= 65) & (joined <= 90), joined + 32, joined)
-    white = (low == 32) | ((low >= 9) & (low <= 13))
-    edge = np.flatnonzero(white[1:] != white[:-1]) + 1
-    edge = np.concatenate([[0], edge]) if len(white) and not white[0] else edge
-    first, last = edge[0::2], edge[1::2]
+    word, first = _words(joined)
     if not len(first):
         return np.empty(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    word = mixed(span_hashes(low, first, last) + (last - first).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     doc = np.searchsorted(ends, first, side="right")
     n = np.bincount(doc, minlength=len(texts))
     at = np.concatenate([[0], np.cumsum(n)])

@@ -59,6 +59,33 @@ def test_equals_brute_force(spark):
         assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(str, brute(rows)))
 
 
+def test_long_texts_are_cut_to_words_in_steps(monkeypatch):
+    rnd = random.Random(6)
+    texts = [" ".join(rnd.choices(["a", "Bc", "x" * 90, "\u00e9t\u00e9"], k=n)).encode() for n in (0, 3, 400, 900)] + [b"y" * 700, b" \t" * 300, b"z" * 300 + b" " + b"z" * 300]
+    whole = ngram_join.shingle_sets(texts)
+    monkeypatch.setattr(ngram_join, "STEP", 64)
+    steps = ngram_join.shingle_sets(texts)
+    assert all((a == b).all() for a, b in zip(whole, steps, strict=True)) and whole[1][-1] > 700
+    assert np.diff(whole[1]).tolist() == [len(shingles(t.decode())) for t in texts]
+
+
+def test_long_texts_link(spark):
+    rnd = random.Random(8)
+    long = " ".join(f"w{rnd.randrange(60_000)}" for _ in range(300_000))
+    rows = [(5, long, 1, "k", 2), (3, long.replace("w1 ", "q1 "), 1, "k", 2), (9, " ".join(long.split()[:100_000]), 1, "k", 2), (1, "w1 w2", 1, "k", 2)]
+    got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {5: 3, 3: 3, 9: 9, 1: 1}
+
+
+def test_a_key_over_several_trees_loses_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "TREE", 12)
+    real = ngram_join._tree_rows
+    monkeypatch.setattr(ngram_join, "_tree_rows", lambda rows, most=12: real(rows, most))
+    rows = made(3, 200)
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(str, brute(rows)))
+
+
 def test_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
