@@ -20,7 +20,11 @@ INTERVENTION_WORDS = WARNING_WORDS + RESTRICTION_WORDS + POSITIVE_WORDS + ("civi
 INTERVENTION_TEMPLATES = ("{{uw-", "{{welcome", "{{warning", "{{bansummary", "{{indef-block", "{{blocked", "wp:civil")
 NAMESPACES = {1: "Talk", 3: "User talk", 5: "Wikipedia talk"}
 TALK_PREFIX = "User talk:"
-SPACE = r"(?U)[\s\x1c-\x1f]"
+#: White space of any script: the class is spelled out, as matching by property takes several times as long.
+_NO_BLANK = r"\x09-\x0D\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+SPACE = f"[ {_NO_BLANK}]"
+#: Runs of white space other than a single blank.
+RUN = f"[{_NO_BLANK}]{SPACE}*| {SPACE}+"
 
 
 def col(x: Column | str) -> Column:
@@ -29,22 +33,31 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without leading and trailing white space of any script."""
-    return F.regexp_replace(col(x), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(col(x), f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
 
 
 def clean(x: Column | str) -> Column:
     """White space collapsed to single spaces and trimmed; null gives ''."""
-    return F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(col(x), F.lit("")), RUN, " "))
 
 
 def words(x: Column | str) -> Column:
-    return F.filter(F.split(clean(x), " "), lambda w: w != "")
+    """The words of a text. Where several features need them, give them a column and use the functions that end in _of."""
+    return words_of(clean(x))
+
+
+def words_of(cleaned: Column | str) -> Column:
+    return F.array_remove(F.split(col(cleaned), " "), "")
+
+
+def count_of(own: Column | str, blank: int | None = None) -> Column:
+    n = F.size(col(own))
+    return F.when(n > 0, n).otherwise(F.lit(blank).cast("int"))
 
 
 def word_count(x: Column | str, blank: int | None = None) -> Column:
     """Words; a blank or null text gives ``blank``."""
-    n = F.size(words(x))
-    return F.when(n > 0, n).otherwise(F.lit(blank).cast("int"))
+    return count_of(words(x), blank)
 
 
 def char_count(x: Column | str) -> Column:
@@ -56,16 +69,24 @@ def _upper(w: Column) -> Column:
     return (w == F.upper(w)) & (w != F.lower(w))
 
 
+def caps_abuse_of(own: Column | str, share: float = 0.30) -> Column:
+    long_, shouted = (F.size(F.filter(col(own), f)) for f in (lambda w: F.length(w) >= 2, lambda w: (F.length(w) >= 2) & _upper(w)))
+    return F.when(long_ > 0, shouted / long_ > share).otherwise(F.lit(False))
+
+
 def caps_abuse(x: Column | str, share: float = 0.30) -> Column:
     """Over ``share`` of the words of two characters or more are upper case."""
-    long_ = F.filter(words(x), lambda w: F.length(w) >= 2)
-    return F.when(F.size(long_) > 0, F.size(F.filter(long_, _upper)) / F.size(long_) > share).otherwise(F.lit(False))
+    return caps_abuse_of(words(x), share)
+
+
+def caps_share_of(own: Column | str) -> Column:
+    n = F.size(col(own))
+    return F.when(n > 0, F.size(F.filter(col(own), lambda w: (F.length(w) >= 2) & _upper(w))) / n).otherwise(F.lit(0.0))
 
 
 def caps_share(x: Column | str) -> Column:
     """Upper-case words of two characters or more over all words; 0 without words."""
-    every = words(x)
-    return F.when(F.size(every) > 0, F.size(F.filter(every, lambda w: (F.length(w) >= 2) & _upper(w))) / F.size(every)).otherwise(F.lit(0.0))
+    return caps_share_of(words(x))
 
 
 def has_question(x: Column | str) -> Column:

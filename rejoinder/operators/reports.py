@@ -31,12 +31,13 @@ def features(sample: DataFrame, scores: DataFrame, include_malformed: bool = Fal
         df = df.filter(~bad)
     pre, mid, post = TEXTS
     meta = "platform_metadata"
+    df = df.withColumns({f"__{k}": t.words(x) for k, x in zip(("pre", "mid", "post"), TEXTS, strict=True)})  # once, as a projection of their own
     df = df.withColumns({
-        "prosociality_composite": F.bround(t.row_mean(*DIMS), 4), "pre_text_length": t.char_count(pre), "pre_word_count": t.word_count(pre), "pre_has_caps_abuse": t.caps_abuse(pre), "intervention_length": t.word_count(mid),
-        "intervention_has_question": t.has_question(mid), "post_text_length": t.char_count(post), "post_word_count": t.word_count(post), "scoring_mode": F.when(F.length(t.strip(F.coalesce(post, F.lit("")))) > 0, "text_scored").otherwise("outcome_only"),
+        "prosociality_composite": F.bround(t.row_mean(*DIMS), 4), "pre_text_length": t.char_count(pre), "pre_word_count": t.count_of("__pre"), "pre_has_caps_abuse": t.caps_abuse_of("__pre"), "intervention_length": t.count_of("__mid"),
+        "intervention_has_question": t.has_question(mid), "post_text_length": t.char_count(post), "post_word_count": t.count_of("__post"), "scoring_mode": F.when(F.length(t.strip(F.coalesce(post, F.lit("")))) > 0, "text_scored").otherwise("outcome_only"),
         "intervention_severity": t.severity("intervention_type"), "intervention_visibility": t.visibility("platform"), "intervention_timing": t.timing("response_time_minutes"), "response_time_category": t.timing("response_time_minutes"),
         "reddit_delta_awarded": F.when(F.col("platform") == "reddit", F.col("intervention_type") == "positive_reinforcement"), "se_post_score": F.expr(f"try_cast(get_json_object({meta}, '$.post_score') as double)"), "se_accepted_answer": F.get_json_object(meta, "$.accepted_answer_id").isNotNull(),
-    })
+    }).drop("__pre", "__mid", "__post")
     if "intervener_role" not in sample.columns:
         df = df.withColumn("intervener_role", t.strict_role("platform", "intervention_type"))
     return user_history(df).drop(*TEXTS, meta, "rationale", "raw_response")
@@ -141,7 +142,8 @@ def audit(scores: DataFrame, sample: DataFrame, dims: list[str]) -> dict[str, Da
     flags = {"malformed": F.col("malformed"), "invalid": F.col("invalid"), "valid": ~F.col("malformed") & ~F.col("invalid")}
     valid = j.filter("not malformed and not invalid")
     long = stats.unpivoted(j, dims).filter("value >= 1")
-    spread = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), *[F.percentile("value", q / 100).alias(f"p{q}") for q in (5, 10, 25, 50, 75, 90, 95)], (100 * F.avg((F.col("value") == 1).cast("double"))).alias("pct_floor"), (100 * F.avg((F.col("value") == 5).cast("double"))).alias("pct_ceiling"))
+    spread = long.groupBy("column").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), (100 * F.avg((F.col("value") == 1).cast("double"))).alias("pct_floor"), (100 * F.avg((F.col("value") == 5).cast("double"))).alias("pct_ceiling"))
+    spread = spread.join(stats.percentiles(long, "value", [5, 10, 25, 50, 75, 90, 95], ["column"]).drop("n"), "column")
     s = j.agg(F.count("*").alias("n"), F.count_if("malformed").alias("n_malformed"), F.count_if("invalid").alias("n_invalid"), F.count_if(~F.col("malformed") & ~F.col("invalid")).alias("n_valid"), F.count_if(~F.col("malformed") & ~F.col("invalid") & (F.col("confidence") < 0.5)).alias("n_low"))
     issues = F.array_compact(F.array(F.when(F.col("n_malformed") > 0.02 * F.col("n"), "malformed over 2%"), F.when(F.col("n_invalid") > 0.10 * F.col("n"), "invalid over 10%"), F.when(F.col("n_valid") < 50_000, "under 50000 valid"), F.when(F.col("n_low") > 0.10 * F.col("n_valid"), "low confidence over 10%")))
     return {"rates": rates_by_sets(j, ["platform", "intervention_type"], flags), "distribution": spread, "confidence": stats.buckets(valid, "confidence", [0, 0.5, 0.7, 0.9, 1.001]), "gate": s.withColumn("issues", issues).withColumn("go", F.size("issues") == 0)}

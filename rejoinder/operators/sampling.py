@@ -59,8 +59,20 @@ def draw(key: Column | str, seed: str | int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), t.col(key).cast("string")))
 
 
-def rank_in(strata: list[str], key: str, seed: str | int = 42, first: list[Column] | None = None) -> Column:
-    return F.row_number().over(W.partitionBy(*strata).orderBy(*(first or []), draw(key, seed), key))
+def ranked(df: DataFrame, strata: list[str], key: str, seed: str | int = 42, first: Column | None = None, rank: str = "__r", size: str = "__n") -> DataFrame:
+    """Adds each row's rank in its stratum (by first, draw, key) and the stratum's size.
+
+    Draws are uniform, so rows are dealt by stratum and the first digits of their draw and ranked there; the counts
+    of these buckets (4,096 a stratum at most, or twice with first) give what comes before. No task holds a stratum.
+    """
+    own = df.withColumns({"__s": F.struct(*strata), "__f": first if first is not None else F.lit(0), "__d": draw(key, seed)})
+    own = own.withColumn("__b", F.substring("__d", 1, 3))
+    counts = own.groupBy("__s", "__f", "__b").agg(F.count("*").alias("__m"))
+    every = W.partitionBy("__s")
+    before = F.coalesce(F.sum("__m").over(every.orderBy("__f", "__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("__s", "__f", "__b", before.alias("__before"), F.sum("__m").over(every).alias(size))
+    here = F.row_number().over(W.partitionBy("__s", "__f", "__b").orderBy("__d", key))
+    return own.withColumn("__here", here).join(counts, ["__s", "__f", "__b"]).withColumn(rank, F.col("__before") + F.col("__here")).drop("__s", "__f", "__d", "__b", "__before", "__here")
 
 
 def shuffled(df: DataFrame, key: str, seed: str | int = 42) -> DataFrame:
@@ -68,7 +80,7 @@ def shuffled(df: DataFrame, key: str, seed: str | int = 42) -> DataFrame:
 
 
 def sample_n(df: DataFrame, strata: list[str], n: int | Column, key: str, seed: str | int = 42) -> DataFrame:
-    return df.withColumn("__r", rank_in(strata, key, seed)).filter(F.col("__r") <= n).drop("__r")
+    return ranked(df, strata, key, seed).filter(F.col("__r") <= n).drop("__r", "__n")
 
 
 def rich() -> Column:
@@ -76,10 +88,10 @@ def rich() -> Column:
 
 
 def quota_sample(df: DataFrame, targets: DataFrame, strata: list[str], key: str, preferred: Column, seed: str | int = 42) -> DataFrame:
-    """Up to each stratum's target (columns strata, target): preferred rows first, others to fill up; in one window."""
+    """Up to each stratum's target (columns strata, target): preferred rows first, others to fill up."""
     known = df.join(F.broadcast(targets), strata)  # a row per listed stratum
     order = F.when(F.coalesce(preferred, F.lit(False)), 0).otherwise(1)
-    return known.withColumn("__r", rank_in(strata, key, seed, [order])).filter(F.col("__r") <= F.col("target")).drop("__r", "target")
+    return ranked(known, strata, key, seed, order).filter(F.col("__r") <= F.col("target")).drop("__r", "__n", "target")
 
 
 def target_table(spark, targets: dict = TARGETS, names=("platform", "intervention_type")) -> DataFrame:
@@ -99,31 +111,30 @@ def proportional_targets(counts: DataFrame, strata: list[str], total: int) -> Da
 
 def proportional_sample(df: DataFrame, strata: list[str], total: int, key: str, seed: str | int = 42) -> DataFrame:
     targets = proportional_targets(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, total)
-    return df.join(targets, strata).withColumn("__r", rank_in(strata, key, seed)).filter(F.col("__r") <= F.col("target")).drop("__r", "target")
+    return ranked(df.join(targets, strata), strata, key, seed).filter(F.col("__r") <= F.col("target")).drop("__r", "__n", "target")
 
 
 def holdout(df: DataFrame, strata: list[str], share: float, key: str, seed: str | int = 42, least: int = 5) -> DataFrame:
     """Adds is_holdout: round(n * share) rows of each stratum, halves to even; none of strata under ``least`` rows."""
-    n = F.count("*").over(W.partitionBy(*strata))
+    n = F.col("__n")
     take = F.when(n >= least, F.bround(n * share)).otherwise(0)
-    return df.withColumn("is_holdout", rank_in(strata, key, seed) <= take)
+    return ranked(df, strata, key, seed).withColumn("is_holdout", F.col("__r") <= take).drop("__r", "__n")
 
 
 def split_801010(df: DataFrame, strata: list[str], key: str, seed: str | int = 42) -> DataFrame:
     """Adds split: a tenth each for val and test, one at least; strata under three rows are all train."""
-    n = F.count("*").over(W.partitionBy(*strata))
+    n, r = F.col("__n"), F.col("__r")
     tenth = F.greatest(F.lit(1), F.bround(n * 0.1)).cast("long")
     tight = tenth * 2 >= n
     val = F.when(tight, F.greatest(F.lit(1), F.floor((n - 1) / 2))).otherwise(tenth)
     test = F.when(tight, F.greatest(F.lit(1), n - 1 - val)).otherwise(tenth)
-    r = rank_in(strata, key, seed)
-    return df.withColumn("split", F.when(n < 3, "train").when(r <= val, "val").when(r <= val + test, "test").otherwise("train"))
+    return ranked(df, strata, key, seed).withColumn("split", F.when(n < 3, "train").when(r <= val, "val").when(r <= val + test, "test").otherwise("train")).drop("__r", "__n")
 
 
 def split_8020(df: DataFrame, strata: list[str], key: str, seed: str | int = 42) -> DataFrame:
-    n = F.count("*").over(W.partitionBy(*strata))
+    n = F.col("__n")
     take = F.greatest(F.lit(1), F.bround(n * 0.2))
-    return df.withColumn("split", F.when(n < 3, "train").when(rank_in(strata, key, seed) <= take, "val").otherwise("train"))
+    return ranked(df, strata, key, seed).withColumn("split", F.when(n < 3, "train").when(F.col("__r") <= take, "val").otherwise("train")).drop("__r", "__n")
 
 
 def overlaps(df: DataFrame, key: str, split: str = "split") -> DataFrame:

@@ -1,8 +1,8 @@
 """Non-parametric statistics as lazy tables.
 
 Ranks never come from a sort of all rows in one task. Rows are first counted by value (and group); ranks are found
-over the distinct values, whose cumulative counts come from range partitions with offsets, so continuous columns with
-as many values as rows stay spread out.
+over the distinct values, whose cumulative counts come from key ranges with offsets, so continuous columns with as many
+values as rows stay spread out, within a group too.
 """
 
 from __future__ import annotations
@@ -13,22 +13,35 @@ from pyspark.sql import functions as F
 
 from rejoinder.functions import special
 from rejoinder.functions import text as t
+from rejoinder.operators.ranges import running
 
 ALPHA = 0.05
 
 
 def value_ranks(counts: DataFrame, value: str, n: str = "n", by: list[str] | None = None) -> DataFrame:
-    """Of distinct values with counts: the average rank of each value's rows. counts has a row per (by, value)."""
+    """Of distinct values (of each by) with counts: the average rank of each value's rows."""
+    return running(counts, [value], n, by, "__before").withColumn("rank", F.col("__before") + (F.col(n) + 1) / 2).drop("__before")
+
+
+def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | None = None) -> DataFrame:
+    """Per by: n and, under each name, the exact quantile with linear interpolation. Nulls of value don't count.
+
+    Rows are counted by value; cumulative counts over range partitions tell which values stand at the wanted places,
+    so no task holds a group's values. A group without values has n 0 and null quantiles.
+    """
     by = by or []
-    if by:  # each group's values in order; groups are result-sized
-        before = F.coalesce(F.sum(n).over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return counts.withColumn("rank", before + (F.col(n) + 1) / 2)
-    spark = counts.sparkSession
-    placed = counts.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), value).withColumn("__part", F.spark_partition_id())
-    sizes = placed.groupBy("__part").agg(F.sum(n).alias("__n"))
-    bases = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row per partition
-    before = F.coalesce(F.sum(n).over(W.partitionBy("__part").orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return placed.withColumn("__in", before).join(F.broadcast(bases), "__part").withColumn("rank", F.col("__base") + F.col("__in") + (F.col(n) + 1) / 2).drop("__part", "__in", "__base")
+    own = df.select(*[F.col(c).alias(f"__by{i}") for i, c in enumerate(by)], F.col(value).cast("double").alias("__v"))
+    keys = [f"__by{i}" for i in range(len(by))]
+    counts = own.groupBy(*keys, "__v").agg(F.count("__v").alias("__n"))
+    placed = running(counts, ["__v"], "__n", keys, "__start").withColumn("__g", F.struct(*keys) if keys else F.lit(0))
+    j = placed.join(placed.groupBy("__g").agg(F.sum("__n").alias("n")), "__g")
+    aggs = []
+    for name, q in qs.items():
+        place = (F.col("n") - 1) * F.lit(float(q))
+        low, high = (F.max(F.when((F.col("__n") > 0) & (F.col("__start") <= at) & (at < F.col("__start") + F.col("__n")), F.col("__v"))) for at in (F.floor(place), F.ceil(place)))
+        aggs.append((low + (high - low) * F.max(place - F.floor(place))).alias(name))
+    got = j.groupBy("__g", "n").agg(*aggs)
+    return got.select(*[F.col("__g")[f"__by{i}"].alias(c) for i, c in enumerate(by)], "n", *qs)
 
 
 def _counted(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
@@ -61,12 +74,11 @@ def pairwise_mann_whitney(df: DataFrame, group: str, value: str, least: int = 3,
     counts = _counted(df, group, value, least)
     names = counts.select("g").distinct()
     pairs = names.alias("x").join(names.alias("y"), F.col("x.g") < F.col("y.g")).select(F.col("x.g").alias("a"), F.col("y.g").alias("b"))  # groups, not rows
-    n_pairs = F.count("*").over(W.partitionBy(F.lit(1)))
-    pairs = pairs.withColumn("n_pairs", n_pairs)
-    rows = counts.join(F.broadcast(pairs), (F.col("g") == F.col("a")) | (F.col("g") == F.col("b")))
-    values = rows.groupBy("a", "b", "n_pairs", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("n_a"))
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("g"))
+    values = counts.join(sides, "g").groupBy("a", "b", "v").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("g") == F.col("a"), F.col("n")).otherwise(0)).alias("n_a"))
     ranked = value_ranks(values, "v", by=["a", "b"])
-    s = ranked.groupBy("a", "b", "n_pairs").agg(F.sum(F.col("n_a") * F.col("rank")).alias("r"), F.sum("n_a").alias("na"), F.sum("n").alias("n"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
+    s = ranked.groupBy("a", "b").agg(F.sum(F.col("n_a") * F.col("rank")).alias("r"), F.sum("n_a").alias("na"), F.sum("n").alias("n"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
+    s = s.withColumn("n_pairs", F.count("*").over(W.partitionBy(F.lit(1))))  # a row per pair
     na, n = F.col("na").cast("double"), F.col("n").cast("double")
     nb = n - na
     u = F.col("r") - na * (na + 1) / 2
@@ -125,8 +137,10 @@ def _components(spark, matrix, columns):
 
 def describe(df: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """column, count, mean, std, min, quartiles (exact, linear), max."""
-    long = unpivoted(df, columns, by)
-    return long.groupBy(*(by or []), "column").agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), *[F.percentile("value", q).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)], F.max("value").alias("max"))
+    long, keys = unpivoted(df, columns, by), [*(by or []), "column"]
+    plain = long.groupBy(F.struct(*keys).alias("g")).agg(F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    placed = quantiles(long, "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, keys)
+    return plain.join(placed.select(F.struct(*keys).alias("g"), "p25", "p50", "p75"), "g").select("g.*", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -136,7 +150,7 @@ def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None)
 
 
 def percentiles(df: DataFrame, value: str, qs: list[float], by: list[str] | None = None) -> DataFrame:
-    return df.groupBy(*(by or [])).agg(F.count(value).alias("n"), *[F.percentile(value, q / 100).alias(f"p{int(q)}") for q in qs])
+    return quantiles(df, value, {f"p{int(q)}": q / 100 for q in qs}, by)
 
 
 def descriptive(df: DataFrame, group: str, values: list[str]) -> DataFrame:
@@ -152,7 +166,7 @@ def crosstab(df: DataFrame, rows: str, columns: str, value: str) -> DataFrame:
 
 
 def medians(df: DataFrame, group: str, value: str) -> DataFrame:
-    return df.filter(F.col(group).isNotNull()).groupBy(group).agg(F.median(value).alias("median"))
+    return quantiles(df.filter(F.col(group).isNotNull()), value, {"median": 0.5}, [group]).drop("n")
 
 
 def buckets(df: DataFrame, value: str, edges: list[float]) -> DataFrame:

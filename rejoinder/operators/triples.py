@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.functions import text as t
+from rejoinder.operators.ranges import running
 
 HOURS_48 = 48 * 3_600_000_000
 MAX_PER_POST = 3
@@ -37,18 +38,19 @@ def reply_chain(utterances: DataFrame) -> DataFrame:
     u = utterances
     parents = u.select(F.col("utterance_id").alias("reply_to"), F.col("utterance_id").alias("pre_id"), F.col("speaker").alias("pre_speaker"))
     replies = u.filter(F.col("reply_to").isNotNull() & F.col("timestamp").isNotNull()).join(parents, "reply_to").filter(F.col("pre_speaker") != F.col("speaker"))
-    # replies and what their parents' speakers said, in one window by conversation and that speaker
-    asked = replies.select("conversation_id", F.col("pre_speaker").alias("who"), "timestamp", F.col("utterance_id").alias("asks"), "pre_id", F.lit(None).cast("struct<ts:long,id:string>").alias("said"))
-    said = u.filter(F.col("timestamp").isNotNull()).select("conversation_id", F.col("speaker").alias("who"), "timestamp", F.lit(None).cast("string").alias("asks"), F.lit(None).cast("string").alias("pre_id"), F.struct(F.col("timestamp").cast("long").alias("ts"), F.col("utterance_id").cast("string").alias("id")).alias("said"))
-    later = W.partitionBy("conversation_id", "who").orderBy("timestamp").rangeBetween(1, W.unboundedFollowing)
-    found = asked.withColumn("asks", F.col("asks").cast("string")).withColumn("pre_id", F.col("pre_id").cast("string")).unionByName(said)
-    # two candidates are enough: the parent can be one of them only
-    both = found.withColumn("first", F.min("said").over(later))
-    second = found.join(both.filter("asks is not null and first.id = pre_id").select("asks"), "asks", "left_semi")
-    easy = both.filter("asks is not null and first is not null and first.id <> pre_id").select(F.col("asks").alias("utterance_id"), F.col("first.id").alias("post_id"))
-    hard = second.select("asks", "conversation_id", "who", "timestamp", "pre_id").join(u.select("conversation_id", F.col("speaker").alias("who"), F.col("timestamp").alias("ts"), F.col("utterance_id").cast("string").alias("id")), ["conversation_id", "who"]).filter("ts > timestamp and id <> pre_id")
-    hard = hard.groupBy("asks").agg(F.min(F.struct("ts", "id")).alias("m")).select(F.col("asks").alias("utterance_id"), F.col("m.id").alias("post_id"))
-    return replies.withColumn("utterance_id", F.col("utterance_id").cast("string")).join(easy.unionByName(hard), "utterance_id")
+    # what each speaker said, with what they said next in case the first later one is the parent itself
+    order = W.partitionBy("conversation_id", "who").orderBy("timestamp", "id")
+    said = u.filter(F.col("timestamp").isNotNull()).select("conversation_id", F.col("speaker").alias("who"), F.col("timestamp").cast("long").alias("timestamp"), F.col("utterance_id").cast("string").alias("id"))
+    said = said.withColumn("said", F.struct("id", F.lead("id").over(order).alias("next")))
+    asked = replies.select("conversation_id", F.col("pre_speaker").alias("who"), F.col("timestamp").cast("long").alias("timestamp"), F.col("utterance_id").cast("string").alias("id"), F.col("pre_id").cast("string").alias("pre_id"), F.lit(None).cast("struct<id:string,next:string>").alias("said"))
+    both = asked.unionByName(said.select("conversation_id", "who", "timestamp", "id", F.lit(None).cast("string").alias("pre_id"), "said"))
+    # from the latest on: replies stand before what was said at the same time, so what came last so far is strictly later
+    back = W.partitionBy("conversation_id", "who").orderBy(F.desc("timestamp"), F.col("said").isNotNull(), F.desc("id")).rowsBetween(W.unboundedPreceding, -1)
+    first = F.last("said", ignorenulls=True).over(back)
+    found = both.withColumn("first", first).filter("pre_id is not null and first is not null")
+    post = F.when(F.col("first.id") == F.col("pre_id"), F.col("first.next")).otherwise(F.col("first.id"))
+    found = found.select(F.col("id").alias("utterance_id"), post.alias("post_id")).filter("post_id is not null")
+    return replies.withColumn("utterance_id", F.col("utterance_id").cast("string")).join(found, "utterance_id")
 
 
 def reddit_triples(utterances: DataFrame) -> DataFrame:
@@ -69,9 +71,10 @@ def reddit_triples(utterances: DataFrame) -> DataFrame:
 
 def owner_next(comments: DataFrame, thread: str, order: list[str], author: str, owner: str, payload: list[str]) -> DataFrame:
     """Comments by others with the owner's next comment by position (struct next: payload), null without one."""
-    ahead = W.partitionBy(thread).orderBy(*order).rowsBetween(1, W.unboundedFollowing)
+    # from the last on, so that the frame only grows
+    back = W.partitionBy(thread).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     own = F.when(F.col(author) == F.col(owner), F.struct(*payload))
-    return comments.withColumn("next", F.first(own, ignorenulls=True).over(ahead)).filter(F.col(author).isNotNull() & (F.col(author).cast("string") != "") & (F.col(author) != F.col(owner)))
+    return comments.withColumn("next", F.last(own, ignorenulls=True).over(back)).filter(F.col(author).isNotNull() & (F.col(author).cast("string") != "") & (F.col(author) != F.col(owner)))
 
 
 def first_n(df: DataFrame, key: str, order: list[str], n: int = MAX_PER_POST) -> DataFrame:
@@ -102,11 +105,13 @@ def as_of(events: DataFrame, rows: DataFrame, key: str, back_us: int = HOURS_48)
     kept = rows.select(key, "us", F.struct("us", "id", *payload).alias("row"))
     asked = events.select(key, "us", F.struct(*[c for c in events.columns if c not in (key, "us")]).alias("event"))
     both = asked.select("*", F.lit(None).cast(kept.schema["row"].dataType).alias("row")).unionByName(kept.select(key, "us", F.lit(None).cast(asked.schema["event"].dataType).alias("event"), "row"))
-    line = W.partitionBy(key).orderBy("us")
-    order = F.struct("row.us", "row.id")
-    pre = F.max_by("row", F.when(F.col("row").isNotNull(), order)).over(line.rangeBetween(-back_us, -1))
-    post = F.min_by("row", F.when(F.col("row").isNotNull(), order)).over(line.rangeBetween(1, W.unboundedFollowing))
-    return both.select(key, "us", "event", pre.alias("pre"), post.alias("post")).filter("event is not null").select(key, "us", "event.*", "pre", "post")
+    # events stand before rows of their own time, either way; frames only grow, whatever a key's share of all rows
+    of_row, every = F.col("row").isNotNull(), (W.unboundedPreceding, -1)
+    before = F.last("row", ignorenulls=True).over(W.partitionBy(key).orderBy("us", of_row, "row.id").rowsBetween(*every))
+    post = F.last("row", ignorenulls=True).over(W.partitionBy(key).orderBy(F.desc("us"), of_row, F.desc("row.id")).rowsBetween(*every))
+    found = both.select(key, "us", "event", before.alias("pre"), post.alias("post")).filter("event is not null")
+    near = F.when(F.col("us") - F.col("pre.us") <= F.lit(back_us), F.col("pre"))
+    return found.select(key, "us", "event.*", near.alias("pre"), "post")
 
 
 def talk_events(talk: DataFrame, cap: int = 10_000) -> DataFrame:
@@ -160,14 +165,8 @@ def wikipedia_triples_legacy(talk: DataFrame, cap: int = 2000) -> DataFrame:
 
 
 def numbered(df: DataFrame, order: list[str], prefix: Column, name: str = "record_id") -> DataFrame:
-    """A sequential key prefix_000000 over a total order, without a single task: ranks in range partitions are offset."""
-    spark = df.sparkSession
-    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sorted_ = df.withColumn("__order", F.struct(*order)).repartitionByRange(n, "__order").sortWithinPartitions("__order").withColumn("__id", F.monotonically_increasing_id())
-    placed = sorted_.withColumns({"__part": F.shiftright("__id", 33), "__row": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
-    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
-    offsets = sizes.select("__part", F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row per partition
-    return placed.join(F.broadcast(offsets), "__part").withColumn(name, F.format_string("%s_%06d", prefix, F.col("__base") + F.col("__row"))).drop("__order", "__id", "__part", "__row", "__base")
+    """A sequential key prefix_000000 over a total order, without a single task: places in key ranges are offset."""
+    return running(df, order, name="__place").withColumn(name, F.format_string("%s_%06d", prefix, "__place")).drop("__place")
 
 
 def unified(*parts: DataFrame) -> DataFrame:

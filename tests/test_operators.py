@@ -122,7 +122,8 @@ def test_score_features_and_reports(spark, tmp_path):
     sample = records(spark)
     scores = scoring.scored(sample, scoring.stub_scorer)
     scores = scores.withColumns({d: F.when(F.col("record_id") == "reddit_000007", -1.0).otherwise(1 + F.pmod(F.xxhash64("record_id", F.lit(d)), F.lit(9)) / 2.0) for d in scoring.DIMENSIONS}).withColumn("invalid_triple", F.col("record_id") == "reddit_000008")
-    df = reports.features(sample, scores)
+    reports.features(sample, scores).write.parquet(f"{tmp_path}/features")  # once: dozens of tables read it
+    df = spark.read.parquet(f"{tmp_path}/features")
     assert df.count() == 238 and df.filter("se_post_score = 4").count() == 238 and "pre_intervention_text" not in df.columns
     assert reports.features(sample, scores, include_malformed=True).count() == 239
     for name, table in reports.research_questions(df).items():
