@@ -259,7 +259,7 @@ def confidence_rank(x: Column | str) -> Column:
 
 
 def percent(n: Column | str, total: Column | str, none: str = "—") -> Column:
-    return F.when(col(total) > 0, F.format_string("%.1f%%", 100.0 * col(n) / col(total))).otherwise(none)
+    return F.when(col(total) > 0, F.format_string("%.1f%%", F.bround(100.0 * col(n) / col(total), 1))).otherwise(none)  # halves to even
 
 
 def _banded(x: Column | str, none: str, *bands: tuple[float | None, str]) -> Column:

@@ -470,3 +470,113 @@ WITH s AS (SELECT doc_id, ((n_chars % 19) + 100)::BIGINT AS i, (n_chars % 7)::BI
 def scoring_cost(tab):
     s = tab("documents").select((F.col("n_chars") % 19 + 100).alias("input_tokens"), (F.col("n_chars") % 7).alias("output_tokens"))
     return scoring.cost(s, 0.8, 4.0).withColumn("cost", F.round("cost", 9))
+
+
+# Scalars ----------------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS target, CASE doc_id % 6 WHEN 1 THEN 'Talk' WHEN 3 THEN 'User talk' WHEN 5 THEN 'Wikipedia talk' ELSE (doc_id % 6)::VARCHAR END AS namespace,
+ regexp_matches(lower(substr(text, 1, 300)), 'warn|vandal|block|spam|uw-|revert| rv |undid|undo|welcome|thanks|civil') OR regexp_matches(lower(text), '\{{\{{uw-|\{{\{{welcome|\{{\{{warning|\{{\{{bansummary|\{{\{{indef-block|\{{\{{blocked|wp:civil') AS is_intervention,
+ md5(CASE WHEN doc_id % 4 = 0 THEN substr({CLEAN.format('text')}, 1, 1500) WHEN {CLEAN.format('text')} = '' THEN 'Edit summary: ' || source ELSE 'Edit summary: ' || source || chr(10) || chr(10) || 'Article excerpt:' || chr(10) || substr({CLEAN.format('text')}, 1, 1500) END) AS edit FROM documents""")
+def wiki_scalars(tab):
+    d, i = tab("documents"), F.col("doc_id")
+    title = F.when(i % 3 == 0, F.concat(F.lit("User talk:"), "source")).otherwise(F.concat(F.lit("Talk:"), "source"))
+    comment = F.when(i % 4 == 0, F.lit(" \n")).otherwise(F.concat(F.lit("  "), "source"))
+    return d.select("doc_id", t.talk_target(title).alias("target"), t.namespace_name(i % 6).alias("namespace"), t.is_intervention(F.substring("text", 1, 300), "text").alias("is_intervention"), F.md5(t.article_edit(comment, "text")).alias("edit"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'warning' WHEN doc_id % 5 = 0 THEN 'positive_reinforcement' ELSE 'reframe' END AS kind, CASE doc_id % 4 WHEN 0 THEN source WHEN 1 THEN lang WHEN 2 THEN source END AS first,
+ ['reddit', 'stackexchange', 'wikipedia', 'other'][doc_id % 4 + 1] AS platform, ['reddit', 'stackexchange', 'wikipedia', 'zz'][doc_id % 4 + 1] || '_' || doc_id AS record_id,
+ CASE WHEN doc_id % 4 = 0 AND doc_id % 3 <> 2 THEN 'peer' WHEN doc_id % 4 = 1 AND doc_id % 3 = 1 THEN 'domain_expert' WHEN doc_id % 4 = 2 AND doc_id % 3 IN (0, 2) THEN 'formal_authority' WHEN doc_id % 4 = 2 THEN 'peer_editor' ELSE 'unknown' END AS strict_role FROM documents""")
+def id_scalars(tab):
+    d, i = tab("documents"), F.col("doc_id")
+    platform, short = (F.get(F.array(*map(F.lit, x)), (i % 4).cast("int")) for x in ([*PLATFORMS, "other"], ["bl", "mn", "di", "zz"]))
+    kind = F.get(F.array(*map(F.lit, ["warning", "reframe", "restriction"])), (i % 3).cast("int"))
+    first = t.first_truthy(F.when(i % 4 == 0, F.col("source")).otherwise(F.lit("")), F.when(i % 4 == 1, F.col("lang")), F.when(i % 4 == 2, F.col("source")))
+    return d.select("doc_id", t.reddit_type(i % 7 == 0, F.when(i % 5 == 0, "1∆").otherwise("none")).alias("kind"), first.alias("first"), t.platform_of(F.concat(platform, F.lit("_x_y"))).alias("platform"), t.blinded_to_platform(F.concat(short, F.lit("_"), i.cast("string"))).alias("record_id"), t.strict_role(platform, kind).alias("strict_role"))
+
+
+@query("""
+SELECT vec_id, CASE WHEN x < 0.5 THEN 'poor' WHEN x < 0.75 THEN 'moderate' WHEN x < 0.9 THEN 'good' ELSE 'excellent' END AS icc, CASE WHEN x < 0.2 THEN 'slight' WHEN x < 0.4 THEN 'fair' WHEN x < 0.6 THEN 'moderate' WHEN x < 0.8 THEN 'substantial' ELSE 'near-perfect' END AS kappa,
+ CASE WHEN vec_id % 40 > 0 THEN printf('%.1f%%', 100.0 * (vec_id % 9) / (vec_id % 40)) ELSE '—' END AS percent, repeat('█', round_even(x * 20, 0)::INT) || repeat('░', 20 - round_even(x * 20, 0)::INT) AS bar,
+ ['low', 'medium', 'high', 'low'][vec_id % 4 + 1] AS level, [1, 2, 3, 1][vec_id % 4 + 1]::INT AS rank FROM (SELECT vec_id, (vec_id % 40) / 40.0::DOUBLE AS x FROM embeddings)""")
+def label_scalars(tab):
+    e = tab("embeddings").select("vec_id", ((F.col("vec_id") % 40) / 40.0).alias("x"))
+    level = t.confidence_level(F.get(F.array(*map(F.lit, [" Low", "medium", "HIGH ", "?"])), (F.col("vec_id") % 4).cast("int")))
+    return e.select("vec_id", t.icc_label("x").alias("icc"), t.kappa_label("x").alias("kappa"), t.percent(F.col("vec_id") % 9, F.col("vec_id") % 40).alias("percent"), t.bar("x").alias("bar"), level.alias("level"), t.confidence_rank(level).alias("rank"))
+
+
+@query("SELECT doc_id, lang FROM documents QUALIFY row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || doc_id), doc_id) <= 25")
+def sample_n_each(tab):
+    return sampling.sample_n(tab("documents").select("doc_id", "lang"), ["lang"], 25, "doc_id")
+
+
+@query("SELECT doc_id, row_number() OVER (ORDER BY md5('42|' || doc_id), doc_id) - 1 AS place FROM documents")
+def shuffled_places(tab):
+    """Every row's place in the shuffled order."""
+    from rejoinder.operators.ranges import running
+
+    return running(tab("documents").select("doc_id", sampling.draw("doc_id").alias("d")), ["d", "doc_id"], name="place").select("doc_id", "place")
+
+
+@query(f"SELECT record_id, flagged, '' AS adj_s, '' AS adj_s2, '' AS adj_intervention_style, '' AS adjudicator_notes FROM (SELECT record_id, max(s) - min(s) > 1.5 OR max(s2) - min(s2) > 1.5 AS flagged FROM {RATINGS} GROUP BY 1) WHERE flagged")
+def adjudication_rows(tab):
+    from rejoinder.sources.sinks import adjudication_sheet
+
+    long = agreement.long_form(_ratings(tab), "record_id", "rater", ["s", "s2"])
+    return adjudication_sheet(agreement.disagreements(long).filter("flagged"), ["s", "s2"])
+
+
+@query(f"SELECT 'r' || rater AS rater, count(*) FILTER (s * 2 <> floor(s * 2)) AS off_grid_empathy, count(*) FILTER (s2 * 2 <> floor(s2 * 2)) AS off_grid_constructiveness, count(*) FILTER (record_id % 5 = 0) AS unlisted_styles FROM {RATINGS} GROUP BY 1")
+def form_problem_counts(tab):
+    from rejoinder.sources.readers import form_problems
+
+    style = F.when(F.col("record_id") % 5 == 0, "punative").otherwise("punitive")
+    form = rated(tab).withColumns({"intervention_style": style, "respect": F.lit(3.0), "social_cohesion": F.lit(None).cast("double")})
+    return form_problems(form).select("rater", "off_grid_empathy", "off_grid_constructiveness", "unlisted_styles")
+
+
+@query("""
+SELECT doc_id, CASE WHEN l.toxic = 1 THEN -1.0 ELSE 3.0 END::DOUBLE AS empathy, CASE WHEN l.toxic = 1 THEN -1.0 ELSE 0.5 END::DOUBLE AS confidence FROM documents LEFT JOIN (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1) l USING (doc_id)""")
+def sentinel_scores(tab):
+    bad = tab("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    value = F.when(F.coalesce(F.col("toxic") == 1, F.lit(False)), F.lit(None).cast("double"))
+    scores = tab("documents").select("doc_id").join(bad, "doc_id", "left").select("doc_id", *[value.otherwise(3.0).alias(d) for d in scoring.DIMENSIONS], value.otherwise(0.5).alias("confidence"))
+    return scoring.with_sentinels(scores).select("doc_id", "empathy", "confidence")
+
+
+# Unified records --------------------------------------------------------------------------------------------------
+
+
+@query(rf"""
+WITH c AS (SELECT *, lag(turn) OVER w AS pt, lag(role) OVER w AS pr, lag(text) OVER w AS px FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+r AS (SELECT c.*, (SELECT min(x.turn) FROM conversations x WHERE x.conv_id = c.conv_id AND x.role = c.pr AND x.turn > c.turn) AS nt FROM c WHERE pr <> role)
+SELECT 'reddit' AS platform, pr AS user_id, md5({CLEAN.format("px")}) AS pre, md5({CLEAN.format("r.text")}) AS mid, md5({CLEAN.format("p.text")}) AS post, CASE WHEN r.turn % 3 = 0 THEN 'warning' ELSE 'reframe' END AS intervention_type, round((nt - r.turn) / 60.0, 6) AS minutes, 'peer' AS intervener_role, r.conv_id::VARCHAR AS conversation, false AS removed
+FROM r JOIN conversations p ON p.conv_id = r.conv_id AND p.turn = nt WHERE length({CLEAN.format("px")}) >= 20 AND length({CLEAN.format("r.text")}) >= 20 AND length({CLEAN.format("p.text")}) >= 20""")
+def unified_replies(tab):
+    from rejoinder.operators import triples
+    from rejoinder.plans.catalogue import _utterances
+
+    u = _utterances(tab("conversations")).withColumns({"stickied": F.col("timestamp") % 3 == 0, "author_flair": F.lit(""), "conv_split": F.lit(None).cast("string"), "conv_has_removed_comment": F.lit(None).cast("boolean"), "score": F.lit(1)})
+    r = triples.unified(triples.reddit_triples(u))
+    meta = F.from_json("platform_metadata", "conversation_id string, conv_has_removed_comment boolean")
+    return r.select("platform", "user_id", *[F.md5(c).alias(k) for k, c in (("pre", "pre_intervention_text"), ("mid", "intervention_text"), ("post", "post_intervention_text"))], "intervention_type", F.round("response_time_minutes", 6).alias("minutes"), "intervener_role", meta["conversation_id"].alias("conversation"), meta["conv_has_removed_comment"].alias("removed"))
+
+
+@query(rf"""
+WITH o AS (SELECT conv_id, arg_min(role, turn) AS owner, arg_min(text, turn) AS body FROM conversations GROUP BY conv_id),
+c AS (SELECT conv_id, turn, role, text, owner, body FROM conversations JOIN o USING (conv_id) WHERE length(text) >= 20 AND length(trim(body)) >= 20 AND turn > 0),
+r AS (SELECT *, (SELECT min(x.turn) FROM c x WHERE x.conv_id = c.conv_id AND x.turn > c.turn AND x.role = c.owner) AS nt FROM c WHERE role <> owner),
+v AS (SELECT r.*, p.text AS answer, row_number() OVER (PARTITION BY r.conv_id ORDER BY r.turn) AS k FROM r JOIN conversations p ON p.conv_id = r.conv_id AND p.turn = r.nt WHERE length({CLEAN.format("r.text")}) >= 20 AND length({CLEAN.format("p.text")}) >= 20)
+SELECT conv_id::VARCHAR AS post_id, owner AS user_id, md5({CLEAN.format("body")}) AS pre, md5({CLEAN.format("text")}) AS mid, md5({CLEAN.format("answer")}) AS post, round((nt - turn)::DOUBLE, 6) AS minutes FROM v WHERE k <= 3""")
+def unified_comments(tab):
+    from rejoinder.operators import triples
+
+    c = tab("conversations")
+    posts = c.groupBy("conv_id").agg(F.min_by("role", "turn").alias("owner_user_id"), F.min_by("text", "turn").alias("body_text")).select(F.col("conv_id").cast("string").alias("post_id"), "owner_user_id", "body_text", F.lit(1).alias("post_type_id"), F.lit("4").alias("score"), F.lit("t").alias("title"))
+    at = F.date_format(F.timestamp_seconds(F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss")
+    comments = c.filter("turn > 0").select(F.format_string("%06d", "turn").alias("comment_id"), F.col("conv_id").cast("string").alias("post_id"), F.col("role").alias("user_id"), "text", at.alias("creation_date"))
+    r = triples.stackexchange_triples(posts, comments)
+    return r.select(F.get_json_object("platform_metadata", "$.post_id").alias("post_id"), "user_id", *[F.md5(x).alias(k) for k, x in (("pre", "pre_intervention_text"), ("mid", "intervention_text"), ("post", "post_intervention_text"))], F.round("response_time_minutes", 6).alias("minutes"))
