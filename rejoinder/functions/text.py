@@ -16,7 +16,7 @@ BOT_WORDS = ("bot", "automoderator", "spam", "moderationbot")
 WARNING_WORDS = ("warn", "vandal", "block", "spam", "uw-")
 RESTRICTION_WORDS = ("revert", " rv ", "undid", "undo")
 POSITIVE_WORDS = ("welcome", "thanks")
-INTERVENTION_WORDS = WARNING_WORDS + RESTRICTION_WORDS + POSITIVE_WORDS + ("civil",)
+INTERVENTION_WORDS = ("warn", "vandal", "block", "spam", "uw-", "revert", " rv ", "undid", "undo", "welcome", "thanks", "civil")
 INTERVENTION_TEMPLATES = ("{{uw-", "{{welcome", "{{warning", "{{bansummary", "{{indef-block", "{{blocked", "wp:civil")
 NAMESPACES = {1: "Talk", 3: "User talk", 5: "Wikipedia talk"}
 TALK_PREFIX = "User talk:"

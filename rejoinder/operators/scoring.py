@@ -20,15 +20,16 @@ REPLY = ", ".join(f"{d} string" for d in DIMENSIONS) + ", confidence string, inv
 
 
 def prompt() -> Column:
-    """The three texts of a record under their headings."""
+    """What a record's scorer is given: where and how someone was corrected, then the three texts under headings."""
 
-    def part(c):
-        return F.coalesce(t.strip(c), F.lit(""))
+    def part(heading, c):
+        return F.concat(F.lit(f"\n\n## {heading}\n"), F.coalesce(t.strip(c), F.lit("")))
 
-    return F.concat(
-        F.lit("PLATFORM: "), F.upper(F.coalesce("platform", F.lit("unknown"))), F.lit(" | INTERVENTION TYPE: "), F.coalesce("intervention_type", F.lit("unknown")), F.lit(" | INTERVENER ROLE: "), F.coalesce("intervener_role", F.lit("unknown")),
-        F.lit("\n\n━━ PRE-INTERVENTION TEXT ━━\n"), part("pre_intervention_text"), F.lit("\n\n━━ CORRECTIVE COMMUNICATION ━━\n"), part("intervention_text"), F.lit("\n\n━━ POST-INTERVENTION RESPONSE (score this) ━━\n"), part("post_intervention_text"), F.lit("\n"),
-    )
+    def known(c):
+        return F.coalesce(c, F.lit("unknown"))
+
+    where = F.concat(F.lit("Corrected on "), known("platform"), F.lit(" by a "), known("intervener_role"), F.lit(", in the form of a "), known("intervention_type"), F.lit("."))
+    return F.concat(where, part("Written before", "pre_intervention_text"), part("The correction", "intervention_text"), part("Written after, to be scored", "post_intervention_text"), F.lit("\n"))
 
 
 def parsed_reply(df: DataFrame, raw: str = "raw_response") -> DataFrame:

@@ -13,9 +13,20 @@ UTTERANCES = (
 )
 CONVERSATIONS = "map<string, struct<meta: struct<pair_id: string, has_removed_comment: boolean, split: string>>>"
 SPEAKERS = "map<string, struct<meta: struct<num_posts: long, num_comments: long>>>"
-POSTS = "Id PostTypeId ParentId AcceptedAnswerId CreationDate Score ViewCount Body OwnerUserId LastEditorUserId LastEditDate LastActivityDate Title Tags AnswerCount CommentCount ClosedDate ContentLicense".split()
-COMMENTS = "Id PostId Score Text CreationDate UserId UserDisplayName ContentLicense".split()
-HISTORY = "Id PostId PostHistoryTypeId CreationDate UserId UserDisplayName Comment Text RevisionGUID ContentLicense".split()
+# Attributes of the rows of each file, as the format has them (fixed values).
+POSTS = [
+    "Id", "PostTypeId", "ParentId", "AcceptedAnswerId", "CreationDate", "Score", "ViewCount", "Body", "OwnerUserId",
+    "LastEditorUserId", "LastEditDate", "LastActivityDate", "Title", "Tags", "AnswerCount", "CommentCount",
+    "ClosedDate", "ContentLicense",
+]
+COMMENTS = [
+    "Id", "PostId", "Score", "Text", "CreationDate", "UserId", "UserDisplayName", "ContentLicense",
+]
+HISTORY = [
+    "Id", "PostId", "PostHistoryTypeId", "CreationDate", "UserId", "UserDisplayName", "Comment", "Text",
+    "RevisionGUID", "ContentLicense",
+]
+#: Kinds of history rows that are moderation (fixed values).
 MODERATION = (10, 11, 12, 13, 14, 15, 19, 20)
 PAGES = "title string, ns string, id string, revision array<struct<id: string, parentid: string, timestamp: string, contributor: struct<username: string, id: string, ip: string>, comment: string, text: struct<_VALUE: string, _bytes: string>, sha1: string>>"
 FORM = "record_id string, rater_id string, empathy string, constructiveness string, respect string, social_cohesion string, intervention_style string, confidence_tier1 string, confidence_style string, notes string"

@@ -53,14 +53,20 @@ def text_report(tables: dict[str, DataFrame], most: int = 10_000) -> str:
 
 
 def append_column(df_path: str, spark, column: str, value: Column, needs: list[str]) -> bool:
-    """Add a column to a stored table unless it is there or its inputs are missing. Written beside, then swapped."""
+    """Add a column to a stored table unless it is there or its inputs are missing. Written beside, then swapped.
+
+    If a call ended between the two renames of the swap, the next one ends the swap first: the new table is whole then.
+    """
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (df_path, f"{df_path}.next", f"{df_path}.old"))
+    fs = old.getFileSystem(conf)
+    if not fs.exists(old) and fs.exists(aside):
+        fs.rename(new if fs.exists(new) else aside, old)
+    fs.delete(aside, True)
     df = spark.read.parquet(df_path)
     if column in df.columns or not set(needs) <= set(df.columns):
         return False
     df.withColumn(column, value).write.mode("overwrite").parquet(f"{df_path}.next")
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (df_path, f"{df_path}.next", f"{df_path}.old"))
-    fs = old.getFileSystem(conf)
     fs.rename(old, aside)
     fs.rename(new, old)
     fs.delete(aside, True)
