@@ -544,11 +544,17 @@ def parse_scores(tab):
     return scoring.parsed_reply(tab("documents").select("doc_id", body.alias("raw_response"))).select("doc_id", "empathy", "confidence", "is_parsed")
 
 
-@query()
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_PROMPT = "'Corrected on ' || source || ' by a peer, in the form of a reframe.'" + "".join(f" || chr(10) || chr(10) || '## {h}' || chr(10) || {_STRIPPED.format(f'substr(text, {at}, 200)')}" for h, at in (("Written before", 1), ("The correction", 201), ("Written after, to be scored", 401))) + " || chr(10)"
+
+
+@query(f"""
+WITH p AS (SELECT doc_id, {_PROMPT} AS p FROM documents), s AS (SELECT doc_id::VARCHAR AS record_id, least(5.0, 1.0 + (length(p) % 9) / 2.0)::DOUBLE AS x, length(p) < 150 AS invalid_triple, length(p) - length(replace(p, '?', '')) AS marks FROM p)
+SELECT record_id, {', '.join(f'x AS {d}' for d in scoring.DIMENSIONS)}, round(0.5 + (marks % 5) / 10.0, 6)::DOUBLE AS confidence, invalid_triple FROM s""")
 def score_stub(tab):
     d = tab("documents")
     records = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("platform"), F.lit("reframe").alias("intervention_type"), F.lit("peer").alias("intervener_role"), F.substring("text", 1, 200).alias("pre_intervention_text"), F.substring("text", 201, 200).alias("intervention_text"), F.substring("text", 401, 200).alias("post_intervention_text"))
-    return scoring.scored(records, scoring.stub_scorer).select("record_id", *scoring.DIMENSIONS, "confidence", "invalid_triple")
+    return scoring.scored(records, scoring.stub_scorer).select("record_id", *scoring.DIMENSIONS, F.round("confidence", 6).alias("confidence"), "invalid_triple")
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts)::VARCHAR AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")

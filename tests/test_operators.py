@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -148,3 +149,33 @@ def test_confidence_report(spark):
     for t_ in got.values():
         t_.count()
     assert reports.wide_ratings(long, ["empathy"]).count() == 9
+
+
+def test_one_key_of_200_000_rows_takes_no_square_of_them(spark):
+    n, began = 200_000, time.time()
+    line = spark.range(n).select(F.lit("u").alias("who"), (F.col("id") * 1_000_000).alias("us"), "id")
+    got = triples.as_of(line.filter("id % 2 = 1").withColumnRenamed("id", "event_id"), line.filter("id % 2 = 0"), "who")
+    assert got.agg(F.count_if(F.col("pre.id") == F.col("event_id") - 1), F.count_if(F.col("post.id") == F.col("event_id") + 1)).first() == (n // 2, n // 2 - 1)
+    comments = spark.range(n).select(F.lit("t").alias("thread"), "id", F.when(F.col("id") % 1000 == 999, "owner").otherwise("other").alias("author"), F.lit("owner").alias("owner"))
+    found = triples.owner_next(comments, "thread", ["id"], "author", "owner", ["id"])
+    assert found.agg(F.count("*"), F.count_if(F.col("next.id") == F.floor(F.col("id") / 1000) * 1000 + 999)).first() == (n - n // 1000, n - n // 1000)
+    said = spark.range(n).select(F.format_string("%06d", "id").alias("utterance_id"), F.lit("c").alias("conversation_id"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("speaker"), F.when(F.col("id") > 0, F.format_string("%06d", F.col("id") - 1)).alias("reply_to"), F.col("id").alias("timestamp"))
+    assert triples.reply_chain(said).agg(F.count("*"), F.count_if(F.col("post_id").cast("long") == F.col("timestamp") + 1)).first() == (n - 2, n - 2)
+    split = sampling.split_801010(spark.range(n).withColumn("g", F.lit("x")), ["g"], "id").groupBy("split").count()
+    assert dict(map(tuple, split.collect())) == {"train": n * 8 // 10, "val": n // 10, "test": n // 10}
+    values = spark.range(n).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("g"), (F.col("id") * 0.5).alias("v"))
+    assert stats.pairwise_mann_whitney(values, "g", "v").first().u == (n // 2) * (n // 2 - 1) / 2
+    assert stats.medians(values, "g", "v").orderBy("g").first()["median"] == (n - 2) / 4
+    assert time.time() - began < 300  # a square of the rows takes hours
+
+
+def test_ranks_do_not_depend_on_how_rows_are_dealt(spark):
+    rows = spark.range(50_000).select((F.col("id") % 3).cast("string").alias("g"), (F.xxhash64("id") % 9000 / 7.0).alias("v"))
+    want = rows.toPandas().groupby("g")["v"].quantile([0.1, 0.5, 0.9]).round(9).unstack().to_dict("index")
+    for parts in (1, 7):
+        got = stats.percentiles(rows.repartition(parts), "v", [10, 50, 90], ["g"]).collect()
+        assert {r.g: {0.1: round(r.p10, 9), 0.5: round(r.p50, 9), 0.9: round(r.p90, 9)} for r in got} == want
+    nulls = spark.createDataFrame([(None, 1.0), (None, 3.0), ("x", None)], "g string, v double")
+    assert sorted(map(tuple, stats.percentiles(nulls, "v", [50], ["g"]).collect()), key=str) == sorted([("x", 0, None), (None, 2, 2.0)], key=str)
+    own = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(40)], "id long, g string")
+    assert {r.g: r["n"] for r in sampling.split_801010(own, ["g"], "id").filter("split = 'val'").groupBy("g").agg(F.count("*").alias("n")).collect()} == {None: 2, "x": 2}
