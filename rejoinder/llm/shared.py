@@ -38,12 +38,12 @@ def scratch(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str, wave: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: the lineage ends there and survives lost executors.
 
-    wave: for tables of numbers only, which are small beside the texts: write them in fewer files, four shuffle
+    wave: for tables of numbers only, which are small beside the texts: write them in fewer files, 16 shuffle
     partitions to a task, but as many as there are cores at least.
     """
     spark = df.sparkSession
     path = scratch(spark, name)
-    (df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 4)) if wave else df).write.parquet(path)
+    (df.coalesce(max(spark.sparkContext.defaultParallelism, shuffle_partitions(spark) // 16)) if wave else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
