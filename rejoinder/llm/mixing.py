@@ -102,7 +102,7 @@ def _raked(cells: DataFrame, margins: dict[str, str], rounds: int | None, small:
             now = now.withColumn("gap", F.lit(0.0)) if i in (0, STRETCH - 1) else now
             for column, target in margins.items():
                 now = _scaled(now, column, target, in_place)
-                now = now if in_place else stored(now, "scaled", wave=True)  # a join with its own sums doubles the plan
+            now = now if in_place else stored(now, "scaled", wave=True)  # each join with its own sums doubles the plan
         now, done = stored(now, "raked"), done + STRETCH
         gap, full = now.agg(F.max("gap"), F.max(F.col("weight") >= F.col("upper"))).first()
         gap = gap or 0.0
