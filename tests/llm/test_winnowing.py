@@ -75,3 +75,14 @@ def test_short_edited_texts_stay_alike():
         if n >= 60:
             assert len(set(a[0].tolist())) >= 2, n
     assert np.mean([x < 1 for _, x in likes]) > 0.9 and np.std([x for n, x in likes if n >= 119]) < 0.15
+
+
+def test_long_texts_are_fingerprinted_whole(spark):
+    rnd = random.Random(9)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(2_500_000))
+    rows = [(1, long, 1, 1, 1), (2, long[: 2_000_000] + "x" * 500_000, 1, 1, 1), (3, None, 1, 1, 1)]
+    got = {r.doc_id: r for r in winnowing.fingerprints(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got[1].n_chars == 2_500_000 and 0.6 < got[1].near_next < 0.85 and got[2].near_next == 0.0
+    assert got[1].edited_sha256 == hashlib.sha256((long[: 1_875_000] + (long[:625_000])).encode()).hexdigest()
+    assert got[1].fingerprint == winnowing.as_string(*winnowing.winnow(long)) and len(got[1].fingerprint.split()) > 200_000
+    assert (got[3].n_chars, got[3].fingerprint) == (0, "")
