@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rejoinder.llm import block_naming, licenses, mixing, ngram_join, packing, separators, site_quality, toxicity, warc, winnowing
+from rejoinder.llm import block_naming, licenses, mixing, ngram_join, packing, periodic_runs, separators, site_quality, token_shards, toxicity, vector_codes, warc, winnowing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -148,6 +148,51 @@ def op10_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return captures.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "ts", "range_no")
 
 
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.periodic_runs(periodic_runs.with_planted_tails(documents(spark, sf_dir))))
+
+
+@query
+def op12_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shards = token_shards.write_shards(documents(spark, sf_dir), tokenizer())
+    first = shards.select("folder").first()
+    if first is None:
+        return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long, n_ends long")
+    return token_shards.read_documents(shards, first[0]).select("doc_id", F.col("place").alias("start"), "n_tokens", "ids_crc32", "n_ends")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = vector_codes.whole_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    coded, book = vector_codes.vector_codes(spark, rows)
+    return vector_codes.label_errors(coded).select("vec_id", F.lower(F.hex("codes")).alias("code"), "error", "label_error", F.lit(vector_codes.codebook_sha256(book)).alias("codebooks_sha256"))
+
+
+def _codes_sql(parts: int = vector_codes.PARTS, entries: int = vector_codes.ENTRIES, rounds: int = vector_codes.ROUNDS, scale: int = vector_codes.SCALE) -> str:
+    """The same by all distances of every round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""n{k} AS MATERIALIZED (SELECT r, part, x, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM
+  (SELECT r, part, x, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN b{k} USING (part)) GROUP BY r, part, x)""")
+        if k < rounds:
+            steps.append(f"""b{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m, c) AS c FROM b{k} LEFT JOIN
+  (SELECT part, entry, list(m ORDER BY i) AS m FROM (SELECT part, entry, i, CAST(floor(sum(v) / count(*)) AS BIGINT) AS m FROM (SELECT part, entry, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM n{k}) GROUP BY ALL) GROUP BY ALL) USING (part, entry))""")
+    return f"""
+WITH k AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) - 1 AS r, * FROM k),
+x AS MATERIALIZED (SELECT r, part, v[part * len(v) // {parts} + 1 : (part + 1) * len(v) // {parts}] AS x FROM o, range({parts}) AS p(part)),
+b0 AS MATERIALIZED (SELECT part, r AS entry, x AS c FROM x WHERE r < {entries}),
+{", ".join(steps)},
+s AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS sha FROM b{rounds}),
+e AS (SELECT r, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM n{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256 FROM o JOIN e USING (r), s"""
+
+
+ORACLE["op13_vector_codes"] = _codes_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return QUERIES
 

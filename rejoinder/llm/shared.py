@@ -47,6 +47,12 @@ def stored(df: DataFrame, name: str, wave: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of scratch that no later step reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def in_small_batches(spark: SparkSession) -> None:
     """Have the session's Arrow batches hold at most BATCH_BYTES, whatever the length of texts: JVM and worker each hold one.
 
