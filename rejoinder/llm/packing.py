@@ -5,8 +5,9 @@ Packing deals pieces to parts of bounded size by hash, packs each part by best-f
 count from below by dual feasible functions. Parts whose count exceeds their bound have a gap: the bins of theirs that
 aren't full, and every other part's emptiest bins, are exchanged. Groups of parts, dealt by hash anew each round, put
 these bins' pieces together and pack them again, and each group for itself takes its new placement, as a part of its
-own, if that needs fewer bins. Rounds go on as long as any group gains; each one's placement is a written table, and
-no step gathers more than one part, or a group of the few parts whose numbers hash alike.
+own, if that needs fewer bins. Rounds go on until all bins are as few as the bound of all pieces, or PATIENCE rounds in
+a row gain nothing; each one's placement is a written table, and no step gathers more than one part, or a group of the
+few parts whose numbers hash alike.
 
 Every part that is left is certified as it then is: the number of its bins, and the count that no packing of its
 pieces can go below. The same is told of all pieces together, from the counts of their lengths.
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 
 from rejoinder.llm.shared import in_small_batches, stored, trimmed
 from rejoinder.llm.word_bpe import encode_column, worker_bpe
+from rejoinder.operators.ranges import running
 
 CAPACITY = 4096
 END = 1
 #: Pieces that one task packs, on average.
 PART = 4_000
+#: Rounds in a row without a gain after which exchanges end. Each round deals parts anew.
+PATIENCE = 2
 PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECES + ", part long, bin long, offset long, free long"
-CERTIFIED = "part long, part_bins long, part_bound long, most_free long"
+CERTIFIED = "part long, part_bins long, part_bound long, most_free long, bin_numbers long"
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -130,10 +134,10 @@ def _packed(pieces: pd.DataFrame, part: int, capacity: int) -> pd.DataFrame:
 
 
 def certificates(placed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """CERTIFIED of each part of a placement: its bins, their lower bound and the room in its emptiest bin."""
+    """CERTIFIED of each part of a placement: its bins, their lower bound, the room in its emptiest bin, numbers to its highest bin's."""
 
     def certify(own: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"part": [own["part"].iloc[0]], "part_bins": [own["bin"].nunique()], "part_bound": [lower_bound(own["length"].to_numpy(), capacity)], "most_free": [own["free"].max()]})
+        return pd.DataFrame({"part": [own["part"].iloc[0]], "part_bins": [own["bin"].nunique()], "part_bound": [lower_bound(own["length"].to_numpy(), capacity)], "most_free": [own["free"].max()], "bin_numbers": [own["bin"].max() + 1]})
 
     return placed.select("part", "bin", "length", "free").groupBy("part").applyInPandas(certify, CERTIFIED)
 
@@ -157,16 +161,20 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_size: int = PART) ->
     the bins, and the count that no packing of these pieces can go below.
     """
     pieces = stored(pieces, "pieces")
-    parts = max(1, -(-pieces.count() // part_size))
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in pieces.groupBy("length").agg(F.count("*")).collect():  # at most a row for each length
+        counts[length] = n
+    total, parts = bound_of_counts(counts, capacity) if counts.any() else 0, max(1, -(-int(counts.sum()) // part_size))
     dealt = pieces.withColumn("part", F.pmod(F.xxhash64("row", "piece"), F.lit(parts)))
     first = dealt.groupBy("part").applyInPandas(lambda p: _packed(p, int(p["part"].iloc[0]), capacity), PLACED)
-    current, round_ = stored(first, "packed"), 0
+    current, round_, least, idle = stored(first, "packed"), 0, None, 0
     while True:
         known = stored(certificates(current, capacity), "certificates", wave=True)
         bins, n_parts = known.agg(F.sum("part_bins"), F.count("*")).first()
-        if round_ and bins >= before or n_parts <= 1:  # the last round gained nothing, or there is none to exchange with
+        idle = 0 if least is None or bins < least else idle + 1
+        if n_parts <= 1 or bins <= total or idle >= PATIENCE:  # none to exchange with, the fewest there can be, or no gain
             break
-        before, round_ = bins, round_ + 1
+        least, round_ = bins, round_ + 1
         judged = current.join(known, "part")
         gives = (F.col("free") > 0) & ((F.col("part_bins") > F.col("part_bound")) | (F.col("free") == F.col("most_free")))
         n_open = judged.filter(gives).count()
@@ -174,9 +182,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, part_size: int = PART) ->
             break
         again = _exchanged(judged.filter(gives).select(*COLUMNS), -(-n_open // part_size), round_, capacity)
         current = stored(judged.filter(~gives).select(*COLUMNS).unionByName(again), "packed")
-    counts = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in current.groupBy("length").agg(F.count("*")).collect():  # at most a row for each length
-        counts[length] = n
-    total = bound_of_counts(counts, capacity) if counts.any() else 0
-    placed = current.join(known.drop("most_free"), "part")
-    return placed.withColumns({"sequence_id": F.col("part") * F.lit(1 << 20) + F.col("bin"), "total_bins": F.lit(bins or 0).cast("long"), "total_bound": F.lit(total).cast("long")}).drop("bin", "free")
+    # each part's numbers follow those of the parts before, whatever the round that made it
+    numbered = running(known, ["part"], "bin_numbers", name="first_bin")
+    placed = current.join(numbered.drop("most_free", "bin_numbers"), "part")
+    return placed.withColumns({"sequence_id": F.col("first_bin") + F.col("bin"), "total_bins": F.lit(bins or 0).cast("long"), "total_bound": F.lit(total).cast("long")}).drop("bin", "free", "first_bin")

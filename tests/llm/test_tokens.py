@@ -138,3 +138,24 @@ def test_every_part_is_certified_as_it_is_left(spark):
     assert (got["total_bins"] == total).all() and (got["total_bound"] == packing.lower_bound(np.array(lengths), 64)).all()
     apart = sum(packing.best_fit_decreasing(own["length"].to_numpy(), 64)[0].max() + 1 for _, own in got.assign(p=got["row"] * 7919 % 15).groupby("p"))
     assert got["part"].max() >= 1 << 40 and total < apart  # exchanges were taken, and they gain over parts left alone
+
+
+def test_ten_rounds_and_more_of_exchanges(spark):
+    """Small parts and large pieces, where groups gain in round after round."""
+    rnd = random.Random(11)
+    lengths = [rnd.randint(900, 2600) for _ in range(4000)]
+    rounds = []
+    exchanged = packing._exchanged
+    packing._exchanged = lambda open_, groups, round_, capacity: rounds.append(round_) or exchanged(open_, groups, round_, capacity)
+    try:
+        got = packing.pack(spark.createDataFrame([(i, i, 0, 0, n, 7) for i, n in enumerate(lengths)], packing.PIECES), 4096, part_size=12).toPandas()
+    finally:
+        packing._exchanged = exchanged
+    assert max(rounds) >= 10
+    assert sorted(got["length"]) == sorted(lengths) and got["row"].is_unique
+    for _, own in got.groupby("sequence_id"):
+        own = own.sort_values("offset")
+        assert own["part"].nunique() == 1 and own["length"].sum() <= 4096 and own["offset"].tolist() == [0, *np.cumsum(own["length"])[:-1]]
+    for _, own in got.groupby("part"):
+        assert own["sequence_id"].nunique() == own["part_bins"].iloc[0] >= own["part_bound"].iloc[0] == packing.lower_bound(own["length"].to_numpy())
+    assert (got["total_bins"] == got["sequence_id"].nunique()).all() and (got["total_bound"] == packing.lower_bound(np.array(lengths))).all()
