@@ -32,49 +32,77 @@ def sentences(rnd, n):
 def test_swaps_shrink_what_a_mention_says():
     texts, y = sentences(random.Random(1), 1500)
     plain, fair = toxicity.fit(texts, y, swap=0.0), toxicity.fit(texts, y, swap=5.0)
+    assert max(plain.gap, fair.gap) <= toxicity.TOLERANCE  # what differs are the optima
     mention = [f"wa wb {g}" for g in ("muslim", "christian", "hindu")]
 
-    def gap(m):
+    def apart(m):
         return np.ptp(m.score(mention))
 
-    assert gap(plain) > 0.2 and gap(fair) < 0.2 * gap(plain)
+    assert apart(plain) > 0.1 and apart(fair) < 0.2 * apart(plain)
     held, yh = sentences(random.Random(2), 800)
     clean = [t for t, v in zip(held, yh, strict=True) if not v and "muslim" in t]
-    assert (fair.score(clean) >= 0.5).mean() < (plain.score(clean) >= 0.5).mean() or (plain.score(clean) >= 0.5).mean() == 0
-    assert auc(yh, fair.score(held)) > 0.8
+    assert (plain.score(clean) >= 0.5).mean() > 0.4 and (fair.score(clean) >= 0.5).mean() < 0.1
+    assert auc(yh, fair.score(held)) > auc(yh, plain.score(held)) - 0.01
 
 
-def test_a_planted_mention_moves_the_query_s_own_model_less(spark):
+def test_false_positives_on_neutral_mentions_fall_in_the_query_s_own_fit(spark):
+    """Mentions are planted in half of the toxic and a fifth of the clean documents; then clean ones outside the fit all get one."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
-    planted = docs.join(labels, "doc_id").withColumn("text", F.when(F.col("toxic") == 1, F.concat("text", F.lit(" Muslim and native."))).otherwise(F.col("text"))).select(docs.columns)
-    plain, fair = (toxicity.learn(planted, labels, swap=s) for s in (0.0, 2.0))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(10))
+    named = F.when(F.col("toxic") == 1, draw < 5).otherwise(draw < 2)
+    planted = docs.join(labels, "doc_id").withColumn("text", F.when(named, F.concat("text", F.lit(" Muslim and native."))).otherwise(F.col("text"))).select(docs.columns)
+    plain, fair = (toxicity.learn(planted, labels, swap=s) for s in (0.0, 8.0))
     assert plain.swaps == 0 and fair.swaps > labels.filter("doc_id > 0").count() / 2  # texts without a term get one
+    assert max(plain.gap, fair.gap) <= toxicity.TOLERANCE
+    clean = [r.text + " Muslim and native." for r in docs.join(labels.filter("toxic = 0"), "doc_id").filter(toxicity.fold() == 0).collect()]
+    before, after = (plain.score(clean) >= 0.5).mean(), (fair.score(clean) >= 0.5).mean()
+    assert before > 0.1 and after < 0.5 * before
     mentions = ["", *(t for group in toxicity.IDENTITIES for t in group)]
-    assert np.ptp(plain.score(mentions)) > 0.2 and np.ptp(fair.score(mentions)) < 0.5 * np.ptp(plain.score(mentions))
-    own = toxicity.learn(docs, labels)
-    assert own.swaps > 0 and np.ptp(own.score(mentions)) < 0.05
+    assert np.ptp(fair.score(mentions)) < 0.6 * np.ptp(plain.score(mentions))
+
+
+def test_the_penalty_acts_in_the_query_on_given_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    own, plain = toxicity.learn(docs, labels), toxicity.learn(docs, labels, swap=0.0)
+    terms = [t for group in toxicity.IDENTITIES for t in group]
+    assert own.swaps > 0 and max(own.gap, plain.gap) <= toxicity.TOLERANCE
+    assert any(own.weights.get(t) for t in terms)  # terms are weighed, since copies hold them
+    squares = [sum(m.weights.get(t, 0.0) ** 2 for t in terms) for m in (own, plain)]
+    assert squares[0] < squares[1] and np.ptp(own.score(["", *terms])) < 0.1
     assert toxicity.toxicity_scores(docs.limit(3), own).select("n_swaps").distinct().collect()[0][0] == own.swaps
 
 
 def test_the_fit_meets_the_conditions_of_its_minimum():
+    """The value by brute force, of copies as texts of their own; the fit as the query makes it."""
     texts, y = sentences(random.Random(3), 400)
-    model = toxicity.fit(texts, y, swap=1.0, rounds=5000)
-    sets, changes = [toxicity.words(t) for t in texts], [c for t in texts for c in toxicity.counterfactuals(t)]
-    kinds = {k: sum(c[2] == k for c in changes) for k in (False, True)}
+    model = toxicity.fit(texts, y)
     weight = np.where(y == 1, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
-
-    def value(weights, bias):  # by brute force
-        z = np.array([bias + sum(weights.get(w, 0.0) for w in s) for s in sets])
-        loss = float((weight * (np.logaddexp(0, z) - y * z)).sum())
-        moved = sum((weights.get(b, 0.0) * bool(b) - weights.get(a, 0.0) * bool(a)) ** 2 / kinds[k] for a, b, k in changes)
-        return loss + moved + 0.0015 * sum(map(abs, weights.values()))
+    terms = {t for group in toxicity.IDENTITIES for t in group}
+    parts = []  # text's words, label, weight; then pairs of words with weights
+    pairs = []
+    for t, label, own in zip(texts, y.tolist(), weight.tolist(), strict=True):
+        put, changes = toxicity.counterfactuals(t)
+        base, anchor = toxicity.words(t), toxicity.words(t) | ({put} if put else set())
+        copies = ([anchor] if put else []) + [(anchor - {a}) | ({b} if b else set()) for a, b in changes]
+        assert copies  # each text names a group or gets a mention
+        parts += [(base, label, own * (1 - toxicity.COPIES)), *((c, label, own * toxicity.COPIES / len(copies)) for c in copies)]
+        pairs += [(base if put and c is copies[0] else anchor, c, own / len(copies)) for c in copies]
+
+    def value(weights, bias):
+        z = lambda s: bias + sum(weights.get(w, 0.0) for w in s)
+        sig = lambda s: 1 / (1 + np.exp(-z(s)))
+        loss = sum(m * (np.logaddexp(0, z(s)) - label * z(s)) for s, label, m in parts)
+        moved = 2.0 * sum(m * (sig(a) - sig(b)) ** 2 for a, b, m in pairs)
+        return loss + moved + sum(toxicity.RIDGE / 2 * v * v if k in terms else toxicity.L1 * abs(v) for k, v in weights.items())
 
     least = value(model.weights, model.bias)
     for word in ("muslim", "christian", "vile", "wax", "jewish"):
         for step in (-0.02, 0.02):
-            assert value({**model.weights, word: model.weights.get(word, 0.0) + step}, model.bias) > least - 1e-9
-    assert min(value(model.weights, model.bias + s) for s in (-0.02, 0.02)) > least - 1e-9
+            assert value({**model.weights, word: model.weights.get(word, 0.0) + step}, model.bias) > least
+    assert min(value(model.weights, model.bias + s) for s in (-0.02, 0.02)) > least
+    assert model.gap <= toxicity.TOLERANCE
 
 
 def test_held_out_accuracy_and_odd_rows(spark):
