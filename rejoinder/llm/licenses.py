@@ -3,8 +3,8 @@
 A template is the words of a license statement. A block is a run of words of a text, over line ends, that begins with
 a word of the template and is half as long again as it (so a statement that is wrapped, with comment marks or some
 words between, is one block). A block meets a template if it holds at least ``containment`` of the template's distinct
-words, among them those that tell it from its neighbours (``must``), and none of those that only a neighbour has
-(``bar``). All words are put in one order, rarest in the corpus first (counted over all texts; words of no template
+words. It tells the license if among them are those that tell it from its neighbours (``must``), and none of those that
+only a neighbour has (``bar``); blocks that meet a template without that are reported beside. All words are put in one order, rarest in the corpus first (counted over all texts; words of no template
 meet nothing and need no place). A text can only have such a block if it meets the template as a whole, and the join
 finds every such pair from few words: the text holds one of the template's first |T| - ceil(c |T|) + 1 words (prefix),
 has at least ceil(c |T|) words of templates (length), and after a word met at place i of the template and j of the text
@@ -70,26 +70,33 @@ def lower(text: Column | str) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def _best_block(words: Column, template: Column, span: Column, must: Column, bar: Column) -> Column:
-    """The most of a template's distinct words in a block of the text that has what it must and nothing that bars it."""
+def _best_blocks(words: Column, template: Column, span: Column, must: Column, bar: Column) -> Column:
+    """The most of a template's distinct words in any block of the text (met), and in one that tells the license (told).
+
+    A block that tells it has what it must and nothing that bars it.
+    """
     placed = F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("w")))
     hits = F.filter(placed, lambda x: F.array_contains(template, x["w"]) | F.array_contains(bar, x["w"]))
 
-    def best(own: Column) -> Column:
+    def sizes(own: Column) -> Column:
         def held(hit: Column, k: Column) -> Column:
             near = F.filter(F.slice(own, k + 1, span), lambda x: x["i"] < hit["i"] + span)
             block = F.array_distinct(F.transform(near, lambda x: x["w"]))
-            fit = F.array_contains(template, hit["w"]) & ~F.arrays_overlap(block, bar) & (F.size(F.array_intersect(block, must)) == F.size(must))
-            return F.when(fit, F.size(block)).otherwise(F.lit(0))
+            shared = F.when(F.array_contains(template, hit["w"]), F.size(F.array_intersect(block, template))).otherwise(F.lit(0))
+            tells = ~F.arrays_overlap(block, bar) & (F.size(F.array_intersect(block, must)) == F.size(must))
+            return F.struct(shared.alias("met"), F.when(tells, shared).otherwise(F.lit(0)).alias("told"))
 
-        return F.coalesce(F.array_max(F.transform(own, held)), F.lit(0))
+        return F.transform(own, held)
 
-    # an array of one names the hits, so that they are found once
-    return F.element_at(F.transform(F.array(hits), best), 1)
+    # arrays of one name the hits and their sizes, so that each is found once
+    each = F.element_at(F.transform(F.array(hits), sizes), 1)
+    top = lambda own, name: F.coalesce(F.array_max(F.transform(own, lambda x: x[name])), F.lit(0)).alias(name)
+    return F.element_at(F.transform(F.array(each), lambda own: F.struct(top(own, "met"), top(own, "told"))), 1)
 
 
 def template_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """row, label and containment of every text and template of which a block meets. docs: row, text (not null)."""
+    """Of every text and license with a block that meets a template: row, label, met (the largest containment) and
+    containment (that of blocks that tell the license from its neighbours; null without). docs: row, text (not null)."""
     sets = rules(templates)
     vocabulary = sorted({w for _, words, *_ in sets for w in words})
     listed = F.array(*[F.lit(w) for w in vocabulary])
@@ -115,9 +122,9 @@ def template_matches(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATE
     shared = F.array_intersect("own", "template")
     # of the words that bring a text and a template together the first one does
     pairs = met.filter(fits).filter((F.size(shared) >= F.col("need")) & (F.element_at(shared, 1) == F.col("word")))
-    best = pairs.select("row", "label", "size", "need", _best_block(*map(F.col, ("words", "template", "span", "must", "bar"))).alias("shared"))
-    kept = best.groupBy("row", "label").agg(F.max(F.when(F.col("shared") >= F.col("need"), F.col("shared") / F.col("size"))).alias("containment"))
-    return kept.filter("containment IS NOT NULL")
+    best = pairs.select("row", "label", "size", "need", _best_blocks(*map(F.col, ("words", "template", "span", "must", "bar"))).alias("best"))
+    enough = lambda name: F.max(F.when(F.col(f"best.{name}") >= F.col("need"), F.col(f"best.{name}") / F.col("size")))
+    return best.groupBy("row", "label").agg(enough("met").alias("met"), enough("told").alias("containment")).filter("met IS NOT NULL")
 
 
 def phrases(docs: DataFrame, given: dict[str, str] = PHRASES) -> DataFrame:
@@ -148,16 +155,17 @@ def phrases(docs: DataFrame, given: dict[str, str] = PHRASES) -> DataFrame:
 
 
 def license_scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, given: dict[str, str] = PHRASES, containment: float = CONTAINMENT) -> DataFrame:
-    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
+    """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, met_labels, met_score.
 
-    score is the largest containment of a template in a block of the document, 1 where a phrase stands, else 0.
+    score is the largest containment of a template in a block that tells its license, 1 where a phrase stands, else 0.
+    met_labels and met_score are those of every block that meets a template, also where neighbours' words stand in it.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     own = own.withColumn("row", F.struct(F.coalesce("doc_id", F.lit(-1)).alias("id"), F.xxhash64("text").alias("text")))
     based = phrases(own, given).drop("text")
-    found = template_matches(own, templates, containment).groupBy("row").agg(F.collect_set("label").alias("added"), F.max("containment").alias("best"))
+    found = template_matches(own, templates, containment).groupBy("row").agg(F.collect_set(F.when(F.col("containment").isNotNull(), F.col("label"))).alias("added"), F.max("containment").alias("best"), F.collect_set("label").alias("met_labels"), F.max("met").alias("met"))
     found = stored(found, "licenses")
     joined = based.join(found, "row", "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("added", F.array().cast("array<string>")))))
     score = F.when(F.size("base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0)))
-    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"))
+    return joined.select("doc_id", "n_words", "n_base", "first_word", "last_word", F.array_join("base", ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"), score.alias("score"), F.array_join(F.array_sort(F.coalesce("met_labels", F.array().cast("array<string>"))), ",").alias("met_labels"), F.coalesce("met", F.lit(0.0)).alias("met_score"))

@@ -54,13 +54,15 @@ p AS (SELECT doc_id, len(w) AS n_words, {places} FROM d),
 l AS MATERIALIZED (SELECT doc_id, w, list_distinct(w) AS dw FROM d),
 c AS (SELECT doc_id, w, t.* FROM l JOIN t ON len(list_intersect(dw, tw)) >= need),
 b AS (SELECT doc_id, label, tw, need, must, bar, w[i + 1 : i + span] AS block FROM (SELECT *, unnest(range(len(w))) AS i FROM c) WHERE list_contains(tw, w[i + 1])),
-m AS (SELECT doc_id, label, max(len(list_intersect(list_distinct(block), tw)) / len(tw)) AS c FROM b WHERE len(list_intersect(list_distinct(block), tw)) >= need AND list_has_all(block, must) AND NOT list_has_any(block, bar) GROUP BY ALL),
-a AS (SELECT doc_id, list(label) AS added, max(c) AS best FROM m GROUP BY ALL),
+m AS (SELECT doc_id, label, max(s) AS met, max(s) FILTER (tells) AS c FROM
+  (SELECT doc_id, label, need, tw, len(list_intersect(list_distinct(block), tw)) AS n, n / len(tw) AS s, list_has_all(block, must) AND NOT list_has_any(block, bar) AS tells FROM b) WHERE n >= need GROUP BY ALL),
+a AS (SELECT doc_id, coalesce(list(label) FILTER (c IS NOT NULL), []) AS added, max(c) AS best, list_sort(list_distinct(list(label))) AS met_labels, max(met) AS met FROM m GROUP BY doc_id),
 q AS (SELECT doc_id, n_words, {every} AS every, {base} AS base FROM p)
 SELECT doc_id, n_words, CAST(len(every) AS BIGINT) AS n_base, list_min(every) AS first_word, list_max(every) AS last_word,
   array_to_string(base, ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(base, coalesce(added, [])))), ',') AS labels,
-  CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score
+  CASE WHEN len(base) > 0 THEN 1.0::DOUBLE ELSE coalesce(best, 0.0)::DOUBLE END AS score,
+  coalesce(array_to_string(met_labels, ','), '') AS met_labels, coalesce(met, 0.0)::DOUBLE AS met_score
 FROM q LEFT JOIN a USING (doc_id)"""
 
 

@@ -17,14 +17,18 @@ def brute(doc_id, text):
         own = [i for i in range(len(w)) if w[i : i + len(p)] == p]
         at += own
         base |= {label} if own else set()
-    best, added = 0.0, set()
+    best, added, most, met = 0.0, set(), 0.0, set()
     for label, own, span, must, bar in licenses.rules():
         for i in range(len(w)):
             block = set(w[i : i + span])
-            if w[i] in own and len(block & set(own)) >= math.ceil(0.8 * len(own) - 1e-9) and block >= set(must) and not block & set(bar):
+            if w[i] not in own or len(block & set(own)) < math.ceil(0.8 * len(own) - 1e-9):
+                continue
+            met.add(label)
+            most = max(most, len(block & set(own)) / len(own))
+            if block >= set(must) and not block & set(bar):
                 added.add(label)
                 best = max(best, len(block & set(own)) / len(own))
-    return (doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), 1.0 if base else best)
+    return (doc_id, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | added)), 1.0 if base else best, ",".join(sorted(met)), most)
 
 
 def test_equals_brute_force(spark):
@@ -39,6 +43,7 @@ def test_equals_brute_force(spark):
     rows = [(i, t, "l", 1, 1.0) for i, t in enumerate(texts)] + [(None, cc, "l", 1, 1.0), (3, cc, "l", 1, 1.0), (3, cc, "l", 1, 1.0)]
     got = licenses.license_scan(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(str(brute(r[0], r[1])) for r in rows)
+    assert any(set(r.met_labels.split(",")) - set(r.labels.split(",")) - {""} for r in got)  # blocks that neighbours' words bar are told too
     assert licenses.license_scan(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -68,3 +73,13 @@ def test_neighbouring_licenses_are_told_apart(spark):
     got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     # "cc by nc" stands in the third, so its base label stays
     assert [got[i] for i in range(len(rows))] == list(given.values())
+
+
+def test_very_long_text(spark):
+    """A million characters of a template's frequent words around two notices."""
+    cc = licenses.TEMPLATES["cc-by"][0]
+    text = "the software is a work of this license " * 12_000 + cc + " the of a and" * 30_000 + " Licensed under CC BY-NC 4.0"
+    rows = [(1, text, "l", 1, 1.0), (2, "short", "l", 1, 1.0)]
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert len(text) > 800_000 and got[1].labels == "cc-by,cc-by-nc" and got[1].score == 1.0 and got[2].labels == ""
+    assert got[1].n_words == len([w for w in re.split(SEPS, text) if w])
