@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from rejoinder.operators.staged import written
+
 #: Rows sampled for each bound.
 OVERSAMPLE = 32
 
@@ -19,13 +21,15 @@ OVERSAMPLE = 32
 def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Column:
     """The number of the range that a row's order columns lie in; ranges are in order and of about equal size.
 
-    Bounds come from a sample of at most OVERSAMPLE rows for each of the parts, those with the smallest hash.
+    Bounds come from a sample of at most OVERSAMPLE rows for each of the parts, those with the smallest hash of their
+    place in the table: rows that repeat a value are drawn each for itself, so a frequent value counts as it weighs. The
+    sample is a job of its own; which rows it takes changes where ranges end, never what is computed from them.
     """
     spark = df.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = df.select(*order)
-    hashed = own.orderBy(F.xxhash64(*order), *order).limit(OVERSAMPLE * parts)
-    rows = hashed.orderBy(*order).collect()
+    drawn = own.withColumn("__draw", F.xxhash64(F.monotonically_increasing_id())).orderBy("__draw").limit(OVERSAMPLE * parts)
+    rows = drawn.select(*order).orderBy(*order).collect()
     cuts = [rows[i] for i in range(OVERSAMPLE, len(rows), OVERSAMPLE)]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
     if not cuts:
@@ -41,9 +45,13 @@ def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Colu
 
 
 def running(df: DataFrame, order: list[str], amount: str | None = None, by: list[str] | None = None, name: str = "before") -> DataFrame:
-    """Adds what comes before each row in the order (rows, or the sum of amount), in all or within its ``by``."""
+    """Adds what comes before each row in the order (rows, or the sum of amount), in all or within its ``by``.
+
+    The input is written once; its sample, the ranges' sums and its rows are read from there.
+    """
     by = by or []
-    own = df.withColumns({"__b": bucket_of(df, [*by, *order]), "__g": F.struct(*by) if by else F.lit(0)})
+    staged = written(df, "running")
+    own = staged.withColumns({"__b": bucket_of(staged, [*by, *order]), "__g": F.struct(*by) if by else F.lit(0)})
     n = F.sum(amount) if amount else F.count("*")
     sizes = own.groupBy("__g", "__b").agg(n.alias("__n"))
     bases = sizes.select("__g", "__b", F.coalesce(F.sum("__n").over(W.partitionBy("__g").orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("__base"))  # a row per range

@@ -1,7 +1,8 @@
 """Builders of intervention triples: what someone wrote, the correction by another, what the first wrote next.
 
-Each builder deals rows once by the key that its pairs share and finds neighbours with window frames; none joins a
-key's rows with each other. Frames are cut by unique tie-break ids, so results don't depend on the order of input.
+Each builder finds neighbours by a segmented scan (``carry``) over ranges of key and order, so that a key with any share
+of all rows is worked on by many tasks; none joins a key's rows with each other. Orders end in unique tie-break ids, so
+results don't depend on the order of input.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.functions import text as t
+from rejoinder.operators.carry import Nearest, carried
 from rejoinder.operators.ranges import running
 
 HOURS_48 = 48 * 3_600_000_000
@@ -39,15 +41,14 @@ def reply_chain(utterances: DataFrame) -> DataFrame:
     parents = u.select(F.col("utterance_id").alias("reply_to"), F.col("utterance_id").alias("pre_id"), F.col("speaker").alias("pre_speaker"))
     replies = u.filter(F.col("reply_to").isNotNull() & F.col("timestamp").isNotNull()).join(parents, "reply_to").filter(F.col("pre_speaker") != F.col("speaker"))
     # what each speaker said, with what they said next in case the first later one is the parent itself
-    order = W.partitionBy("conversation_id", "who").orderBy("timestamp", "id")
     said = u.filter(F.col("timestamp").isNotNull()).select("conversation_id", F.col("speaker").alias("who"), F.col("timestamp").cast("long").alias("timestamp"), F.col("utterance_id").cast("string").alias("id"))
-    said = said.withColumn("said", F.struct("id", F.lead("id").over(order).alias("next")))
+    line = ["conversation_id", "who"]
+    said = carried(said, line, ["timestamp", "id"], next=Nearest(F.col("id"), "after"))
     asked = replies.select("conversation_id", F.col("pre_speaker").alias("who"), F.col("timestamp").cast("long").alias("timestamp"), F.col("utterance_id").cast("string").alias("id"), F.col("pre_id").cast("string").alias("pre_id"), F.lit(None).cast("struct<id:string,next:string>").alias("said"))
-    both = asked.unionByName(said.select("conversation_id", "who", "timestamp", "id", F.lit(None).cast("string").alias("pre_id"), "said"))
-    # from the latest on: replies stand before what was said at the same time, so what came last so far is strictly later
-    back = W.partitionBy("conversation_id", "who").orderBy(F.desc("timestamp"), F.col("said").isNotNull(), F.desc("id")).rowsBetween(W.unboundedPreceding, -1)
-    first = F.last("said", ignorenulls=True).over(back)
-    found = both.withColumn("first", first).filter("pre_id is not null and first is not null")
+    both = asked.unionByName(said.select("conversation_id", "who", "timestamp", "id", F.lit(None).cast("string").alias("pre_id"), F.struct("id", "next").alias("said")))
+    # replies stand behind what was said at the same time, so what comes after is strictly later
+    found = carried(both, line, ["timestamp"], first=Nearest(F.col("said"), "after", [F.col("said").isNull(), F.col("id")]))
+    found = found.filter("pre_id is not null and first is not null")
     post = F.when(F.col("first.id") == F.col("pre_id"), F.col("first.next")).otherwise(F.col("first.id"))
     found = found.select(F.col("id").alias("utterance_id"), post.alias("post_id")).filter("post_id is not null")
     return replies.withColumn("utterance_id", F.col("utterance_id").cast("string")).join(found, "utterance_id")
@@ -71,10 +72,9 @@ def reddit_triples(utterances: DataFrame) -> DataFrame:
 
 def owner_next(comments: DataFrame, thread: str, order: list[str], author: str, owner: str, payload: list[str]) -> DataFrame:
     """Comments by others with the owner's next comment by position (struct next: payload), null without one."""
-    # from the last on, so that the frame only grows
-    back = W.partitionBy(thread).orderBy(*[F.col(c).desc_nulls_last() for c in order]).rowsBetween(W.unboundedPreceding, -1)
     own = F.when(F.col(author) == F.col(owner), F.struct(*payload))
-    return comments.withColumn("next", F.last(own, ignorenulls=True).over(back)).filter(F.col(author).isNotNull() & (F.col(author).cast("string") != "") & (F.col(author) != F.col(owner)))
+    placed = carried(comments, [thread], order, next=Nearest(own, "after"))
+    return placed.filter(F.col(author).isNotNull() & (F.col(author).cast("string") != "") & (F.col(author) != F.col(owner)))
 
 
 def first_n(df: DataFrame, key: str, order: list[str], n: int = MAX_PER_POST) -> DataFrame:
@@ -99,17 +99,16 @@ def stackexchange_triples(posts: DataFrame, comments: DataFrame, cap: int = MAX_
 def as_of(events: DataFrame, rows: DataFrame, key: str, back_us: int = HOURS_48) -> DataFrame:
     """events with the latest row strictly before, at most back_us ago (pre), and the first strictly after (post).
 
-    Both sides: key and us (microseconds); rows: id and any payload. One shuffle and one sort by key; no range join.
+    Both sides: key and us (microseconds); rows: id and any payload. One shuffle by ranges of key and us; no range join.
     """
     payload = [c for c in rows.columns if c not in (key, "us", "id")]
     kept = rows.select(key, "us", F.struct("us", "id", *payload).alias("row"))
     asked = events.select(key, "us", F.struct(*[c for c in events.columns if c not in (key, "us")]).alias("event"))
     both = asked.select("*", F.lit(None).cast(kept.schema["row"].dataType).alias("row")).unionByName(kept.select(key, "us", F.lit(None).cast(asked.schema["event"].dataType).alias("event"), "row"))
-    # events stand before rows of their own time, either way; frames only grow, whatever a key's share of all rows
-    of_row, every = F.col("row").isNotNull(), (W.unboundedPreceding, -1)
-    before = F.last("row", ignorenulls=True).over(W.partitionBy(key).orderBy("us", of_row, "row.id").rowsBetween(*every))
-    post = F.last("row", ignorenulls=True).over(W.partitionBy(key).orderBy(F.desc("us"), of_row, F.desc("row.id")).rowsBetween(*every))
-    found = both.select(key, "us", "event", before.alias("pre"), post.alias("post")).filter("event is not null")
+    # events stand before rows of their own time for what was before, and behind them for what comes after
+    of_row = F.col("row").isNotNull()
+    found = carried(both, [key], ["us"], pre=Nearest(F.col("row"), "before", [of_row, F.col("row.id")]), post=Nearest(F.col("row"), "after", [~of_row, F.col("row.id")]))
+    found = found.filter("event is not null").drop("row")
     near = F.when(F.col("us") - F.col("pre.us") <= F.lit(back_us), F.col("pre"))
     return found.select(key, "us", "event.*", near.alias("pre"), "post")
 
@@ -117,8 +116,8 @@ def as_of(events: DataFrame, rows: DataFrame, key: str, back_us: int = HOURS_48)
 def talk_events(talk: DataFrame, cap: int = 10_000) -> DataFrame:
     """Interventions on user talk pages: target, us, intervention texts; the text added since the revision before."""
     rows = talk.filter(F.col("namespace") == 3).withColumn("at", F.try_to_timestamp("timestamp")).filter(F.col("at").isNotNull() & F.col("text_content").isNotNull())
-    line = W.partitionBy("page_id").orderBy("at", "revision_id")
-    rows = rows.withColumn("before", F.coalesce(F.lag("text_content").over(line), F.lit("")))
+    rows = carried(rows, ["page_id"], ["at", "revision_id"], before=Nearest(F.col("text_content")))
+    rows = rows.withColumn("before", F.coalesce("before", F.lit("")))
     actor, target = t.first_truthy("contributor_username", "contributor_id", "contributor_ip"), t.talk_target("page_title")
     rows = rows.withColumns({"target": target, "actor": actor}).filter(F.col("target").isNotNull() & F.col("actor").isNotNull() & (F.col("actor") != F.col("target")) & t.is_intervention("edit_comment", "text_content"))
     comment = F.coalesce("edit_comment", F.lit(""))
@@ -142,13 +141,11 @@ def wikipedia_triples(talk: DataFrame, edits: DataFrame) -> DataFrame:
 
 def turn_pairs(rows: DataFrame, thread: str, order: list[str], author: str, payload: list[str]) -> DataFrame:
     """Adjacent rows by different authors (row, then next) with the first author's next row after those two (post)."""
-    line = W.partitionBy(thread).orderBy(*order)
-    placed = rows.filter(F.col(author).isNotNull()).withColumns({"__at": F.row_number().over(line), "__size": F.count("*").over(W.partitionBy(thread))}).filter("__size >= 3")
-    me = F.struct(F.col("__at").alias("at"), F.col(author).alias("author"), *payload)
-    placed = placed.withColumn("next", F.lead(me).over(line))
-    # an author's own next rows: the first if it lies beyond the pair, and it does, as the pair's second is another's
-    own = F.lead(me).over(W.partitionBy(thread, author).orderBy("__at"))
-    return placed.withColumn("post", own).filter((F.col("next.author") != F.col(author)) & F.col("post").isNotNull()).drop("__at", "__size")
+    me = F.struct(F.col(author).alias("author"), *payload)
+    placed = carried(rows.filter(F.col(author).isNotNull()), [thread], order, next=Nearest(me, "after"))
+    # the author's own next row lies beyond the pair, as the pair's second is another's
+    placed = carried(placed, [thread, author], order, post=Nearest(me, "after"))
+    return placed.filter((F.col("next.author") != F.col(author)) & F.col("post").isNotNull())
 
 
 def wikipedia_triples_legacy(talk: DataFrame, cap: int = 2000) -> DataFrame:

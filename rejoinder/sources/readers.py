@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.functions import text as t
+from rejoinder.sources.keyed import keyed_json
 
 UTTERANCES = (
     "id string, conversation_id string, speaker string, text string, `reply-to` string, timestamp long, "
@@ -28,16 +30,11 @@ HISTORY = [
 ]
 #: Kinds of history rows that are moderation (fixed values).
 MODERATION = (10, 11, 12, 13, 14, 15, 19, 20)
-PAGES = "title string, ns string, id string, revision array<struct<id: string, parentid: string, timestamp: string, contributor: struct<username: string, id: string, ip: string>, comment: string, text: struct<_VALUE: string, _bytes: string>, sha1: string>>"
+HEADER = "title string, ns string, id string"
+REVISION = "id string, parentid string, timestamp string, contributor struct<username: string, id: string, ip: string>, comment string, text struct<_VALUE: string, _bytes: string>, sha1 string"
 FORM = "record_id string, rater_id string, empathy string, constructiveness string, respect string, social_cohesion string, intervention_style string, confidence_tier1 string, confidence_style string, notes string"
 
 
-def keyed_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON object of objects as rows (id, meta)."""
-    whole = spark.read.text(path, wholetext=True)
-    return whole.select(F.explode(F.from_json("value", schema)).alias("id", "v")).select("id", "v.meta")
-
-
 def conversations(spark: SparkSession, path: str) -> DataFrame:
     return keyed_json(spark, path, CONVERSATIONS).select("id", F.col("meta.pair_id").alias("conv_pair_id"), F.col("meta.has_removed_comment").alias("conv_has_removed_comment"), F.col("meta.split").alias("conv_split"))
 
@@ -95,8 +92,24 @@ def post_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _revisions(spark: SparkSession, path: str) -> DataFrame:
-    pages = spark.read.format("xml").option("rowTag", "page").schema(PAGES).load(path)
-    return pages.select(F.col("id").alias("page_id"), F.col("title").alias("page_title"), F.expr("try_cast(ns as int)").alias("namespace"), F.explode("revision").alias("r"))
+    """A row for each revision with its page's header, however many revisions a page has.
+
+    The dump is read as text that is split behind each revision, so a page's revisions lie in any number of splits. A
+    revision that follows a page's begin has its header; the others take the last header before them, in their split by
+    a window, or else that of the last split with one, by a scan over a row a split.
+    """
+    text = spark.read.option("lineSep", "</revision>").text(path)
+    lead = F.regexp_extract("value", r"(?s).*<page(?:\s[^>]*)?>(.*?)<revision[\s>]", 1)
+    head = F.when(F.col("value").contains("<page"), F.from_xml(F.concat(F.lit("<page>"), lead, F.lit("</page>")), HEADER))
+    rows = text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), head.alias("head"), "value")
+    rows = rows.filter(F.col("value").rlike(r"<revision[\s>]"))
+    ends = rows.groupBy("path", "block").agg(F.max_by("head", F.when(F.col("head").isNotNull(), F.col("at"))).alias("head"))
+    before = F.last("head", ignorenulls=True).over(W.partitionBy("path").orderBy("block").rowsBetween(W.unboundedPreceding, -1))
+    into = ends.select("path", "block", before.alias("into"))
+    here = F.last("head", ignorenulls=True).over(W.partitionBy("path", "block").orderBy("at"))
+    placed = rows.withColumn("head", here).join(into, ["path", "block"]).withColumn("head", F.coalesce("head", "into"))
+    body = F.concat(F.lit("<revision"), F.substring_index("value", "<revision", -1), F.lit("</revision>"))
+    return placed.select(F.col("head.id").alias("page_id"), F.col("head.title").alias("page_title"), F.expr("try_cast(head.ns as int)").alias("namespace"), F.from_xml(body, REVISION).alias("r"))
 
 
 def _flat(rows: DataFrame, *lead, text) -> DataFrame:
