@@ -85,13 +85,44 @@ class Retry:
         return None, error
 
 
-def scored(records: DataFrame, ask: Callable[[str], str], retry: Retry | None = None) -> DataFrame:
-    """record_id and the scorer's raw reply (or error) for each record: SCORES, then parsed."""
+@dataclass
+class Pace:
+    """Calls of one lane, at least ``interval`` seconds apart from begin to begin."""
+
+    interval: float
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    due: float = 0.0
+
+    def __call__(self) -> None:
+        now = self.clock()
+        if now < self.due:
+            self.sleep(self.due - now)
+        self.due = max(now, self.due) + self.interval
+
+
+def scored(records: DataFrame, ask: Callable[[str], str], retry: Retry | None = None, per_second: float | None = None, lanes: int | None = None) -> DataFrame:
+    """record_id and the scorer's raw reply (or error) for each record: SCORES, then parsed.
+
+    per_second bounds the calls of the whole job, retries included, whatever the number of cores: records are dealt to
+    ``lanes`` partitions (as many as there are cores if not given), no more of which can run at once, and each lane has
+    an even share of the rate.
+    """
     retry = retry or Retry()
+    if per_second:
+        lanes = lanes or records.sparkSession.sparkContext.defaultParallelism
+        records = records.repartition(lanes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pace = Pace(lanes / per_second) if per_second else None
+
+        def paced(p: str) -> str:
+            if pace:
+                pace()
+            return ask(p)
+
         for b in batches:
-            replies = [retry(ask, p) for p in b["prompt"]]
+            replies = [retry(paced, p) for p in b["prompt"]]
             yield pd.DataFrame({
                 "record_id": b["record_id"], "raw_response": [r for r, _ in replies], "label_error": [e for _, e in replies],
                 "input_tokens": [len(p) // 4 for p in b["prompt"]], "output_tokens": [len(r or "") // 4 for r, _ in replies],

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from rejoinder.operators import scoring
 from rejoinder.sources import readers, sinks
-from rejoinder.streaming.scoring_stream import score_stream
 
 
 def test_keyed_json_and_utterances(spark, tmp_path):
@@ -64,14 +63,3 @@ def test_sinks(spark, tmp_path):
     sinks.write_table(df, str(tmp_path / "csv"))
     assert "adj_empathy" in sinks.adjudication_sheet(df, ["empathy"]).columns
     assert readers.first_existing(spark, str(tmp_path / "no"), path) == path
-
-
-def test_scoring_stream_resumes(spark, tmp_path):
-    cols = ["record_id", "platform", "intervention_type", "intervener_role", "pre_intervention_text", "intervention_text", "post_intervention_text"]
-    schema = ", ".join(f"{c} string" for c in cols)
-    out = str(tmp_path / "out")
-    for k in range(2):
-        spark.createDataFrame([(f"r{i}", *["x"] * 6) for i in range(k * 2, k * 2 + 3)], schema).write.mode("append").parquet(str(tmp_path / "in"))
-        q = score_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "check"), scoring.stub_scorer)
-        q.awaitTermination(120)
-    assert sorted(r.record_id for r in spark.read.parquet(out).collect()) == ["r0", "r1", "r2", "r3", "r4"]
