@@ -4,10 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 # Fixed values of the domain.
 MIN_TEXT = 20
@@ -23,6 +21,8 @@ TALK_PREFIX = "User talk:"
 #: White space of any script: the class is spelled out, as matching by property takes several times as long.
 _NO_BLANK = r"\x09-\x0D\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 SPACE = f"[ {_NO_BLANK}]"
+#: The same, each by itself.
+BLANKS = " " + "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 #: Runs of white space other than a single blank.
 RUN = f"[{_NO_BLANK}]{SPACE}*| {SPACE}+"
 
@@ -33,7 +33,7 @@ def col(x: Column | str) -> Column:
 
 def strip(x: Column | str) -> Column:
     """Without leading and trailing white space of any script."""
-    return F.regexp_replace(col(x), f"^{SPACE}+|(?<!{SPACE}){SPACE}+$", "")
+    return F.btrim(col(x), F.lit(BLANKS))
 
 
 def clean(x: Column | str) -> Column:
@@ -124,35 +124,6 @@ def html_text(x: Column | str) -> Column:
     return clean(t)
 
 
-@F.pandas_udf(StringType())
-def html_text_exact(pages: pd.Series) -> pd.Series:
-    """As html_text, by an HTML parser: every entity, and text nodes stripped one by one."""
-    from html.parser import HTMLParser
-
-    class Texts(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.found, self.skip = [], 0
-
-        def handle_starttag(self, tag, attrs):
-            self.skip += tag in ("script", "style")
-
-        def handle_endtag(self, tag):
-            self.skip -= tag in ("script", "style") and self.skip > 0
-
-        def handle_data(self, data):
-            if not self.skip and data.strip():
-                self.found.append(data.strip())
-
-    def one(page):
-        p = Texts()
-        p.feed(page or "")
-        p.close()
-        return " ".join(p.found)
-
-    return pages.map(one)
-
-
 def tag_list(x: Column | str) -> Column:
     """'<a><b>' gives 'a b'."""
     return F.regexp_replace(F.replace(F.coalesce(col(x), F.lit("")), F.lit("><"), F.lit(" ")), "^[<>]+|[<>]+$", "")

@@ -18,19 +18,19 @@ from rejoinder.operators.staged import written
 OVERSAMPLE = 32
 
 
-def bucket_of(df: DataFrame, order: list[str], parts: int | None = None) -> Column:
+def bucket_of(df: DataFrame, order: list[str], parts: int | None = None, oversample: int = OVERSAMPLE) -> Column:
     """The number of the range that a row's order columns lie in; ranges are in order and of about equal size.
 
-    Bounds come from a sample of at most OVERSAMPLE rows for each of the parts, those with the smallest hash of their
+    Bounds come from a sample of at most ``oversample`` rows for each of the parts, those with the smallest hash of their
     place in the table: rows that repeat a value are drawn each for itself, so a frequent value counts as it weighs. The
     sample is a job of its own; which rows it takes changes where ranges end, never what is computed from them.
     """
     spark = df.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     own = df.select(*order)
-    drawn = own.withColumn("__draw", F.xxhash64(F.monotonically_increasing_id())).orderBy("__draw").limit(OVERSAMPLE * parts)
+    drawn = own.withColumn("__draw", F.xxhash64(F.monotonically_increasing_id())).orderBy("__draw").limit(oversample * parts)
     rows = drawn.select(*order).orderBy(*order).collect()
-    cuts = [rows[i] for i in range(OVERSAMPLE, len(rows), OVERSAMPLE)]
+    cuts = [rows[i] for i in range(oversample, len(rows), oversample)]
     cuts = [c for i, c in enumerate(cuts) if i == 0 or c != cuts[i - 1]]
     if not cuts:
         return F.lit(0)

@@ -545,7 +545,7 @@ def parse_scores(tab):
 
 
 _STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
-_PROMPT = "'Corrected on ' || source || ' by a peer, in the form of a reframe.'" + "".join(f" || chr(10) || chr(10) || '## {h}' || chr(10) || {_STRIPPED.format(f'substr(text, {at}, 200)')}" for h, at in (("Written before", 1), ("The correction", 201), ("Written after, to be scored", 401))) + " || chr(10)"
+_PROMPT = "'Corrected on ' || source || ' by a peer, in the form of a reframe.'" + "".join(f" || chr(10) || chr(10) || '## {h}' || chr(10) || {_STRIPPED.format(x)}" for h, x in (("Written before", "substr(text, 1, length(text) // 3)"), ("The correction", "substr(text, length(text) // 3 + 1, length(text) // 3)"), ("Written after, to be scored", "substr(text, 2 * (length(text) // 3) + 1)"))) + " || chr(10)"
 
 
 @query(f"""
@@ -553,7 +553,8 @@ WITH p AS (SELECT doc_id, {_PROMPT} AS p FROM documents), s AS (SELECT doc_id::V
 SELECT record_id, {', '.join(f'x AS {d}' for d in scoring.DIMENSIONS)}, round(0.5 + (marks % 5) / 10.0, 6)::DOUBLE AS confidence, invalid_triple FROM s""")
 def score_stub(tab):
     d = tab("documents")
-    records = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("platform"), F.lit("reframe").alias("intervention_type"), F.lit("peer").alias("intervener_role"), F.substring("text", 1, 200).alias("pre_intervention_text"), F.substring("text", 201, 200).alias("intervention_text"), F.substring("text", 401, 200).alias("post_intervention_text"))
+    n = F.floor(F.length("text") / 3).cast("int")
+    records = d.select(F.col("doc_id").cast("string").alias("record_id"), F.col("source").alias("platform"), F.lit("reframe").alias("intervention_type"), F.lit("peer").alias("intervener_role"), F.substring("text", F.lit(1), n).alias("pre_intervention_text"), F.substring("text", n + 1, n).alias("intervention_text"), F.substring("text", 2 * n + 1, F.length("text")).alias("post_intervention_text"))
     return scoring.scored(records, scoring.stub_scorer).select("record_id", *scoring.DIMENSIONS, F.round("confidence", 6).alias("confidence"), "invalid_triple")
 
 

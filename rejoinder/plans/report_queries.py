@@ -57,7 +57,7 @@ def together(parts: list[DataFrame]) -> DataFrame:
 
 RECORDS = """(SELECT ['reddit', 'stackexchange', 'wikipedia'][doc_id % 3 + 1] AS platform, printf('%s_%06d', ['reddit', 'stackexchange', 'wikipedia'][doc_id % 3 + 1], doc_id) AS record_id, CASE WHEN doc_id % 29 = 0 THEN 'AutoModerator' WHEN doc_id % 4 = 0 THEN 'u' || (doc_id // 40) ELSE source || '-' || (doc_id % 5) END AS user_id,
  ['warning', 'restriction', 'positive_reinforcement', 'reframe'][doc_id // 3 % 4 + 1] AS intervention_type, doc_id * 90000 AS seconds, ((doc_id * 37) % 3000 - 20)::DOUBLE AS response_time_minutes,
- substr(text, 1, 200) AS pre, substr(text, 201, 150) AS mid, CASE WHEN doc_id % 11 = 0 THEN ' [Deleted] ' ELSE substr(text, 351, 200) END AS post, doc_id % 50 AS post_score,
+ substr(text, 1, length(text) // 3) AS pre, substr(text, length(text) // 3 + 1, length(text) // 3) AS mid, CASE WHEN doc_id % 11 = 0 THEN ' [Deleted] ' ELSE substr(text, 2 * (length(text) // 3) + 1) END AS post, doc_id % 50 AS post_score,
  CASE WHEN doc_id % 50 = 7 THEN -1 ELSE 1 + (n_chars % 9) / 2.0 END::DOUBLE AS empathy, CASE WHEN doc_id % 50 = 7 THEN -1 ELSE 1 + (n_chars // 9 % 9) / 2.0 END::DOUBLE AS constructiveness, CASE WHEN doc_id % 50 = 7 THEN -1 ELSE 1 + (doc_id * 5 % 9) / 2.0 END::DOUBLE AS respect,
  CASE WHEN doc_id % 50 = 7 THEN -1 ELSE 1 + ((n_chars + doc_id) % 9) / 2.0 END::DOUBLE AS social_cohesion, doc_id % 40 = 3 AS invalid_triple, (doc_id % 101) / 100.0::DOUBLE AS confidence, doc_id FROM documents)"""
 
@@ -66,7 +66,7 @@ def records(tab) -> DataFrame:
     """RECORDS under the names that reports expect."""
     d, i, n = tab("documents"), F.col("doc_id"), F.col("n_chars")
     platform, kind = F.array(*map(F.lit, PLATFORMS)), F.array(*map(F.lit, KINDS))
-    broken = i % 50 == 7
+    broken, third = i % 50 == 7, F.floor(F.length("text") / 3).cast("int")  # each part is a third of the text, the last with the rest
 
     def score(x):
         return F.when(broken, F.lit(-1.0)).otherwise(1 + x / 2.0).cast("double")
@@ -75,7 +75,7 @@ def records(tab) -> DataFrame:
     return d.select(
         "platform", F.format_string("%s_%06d", "platform", i).alias("record_id"), F.when(i % 29 == 0, "AutoModerator").when(i % 4 == 0, F.concat(F.lit("u"), F.floor(i / 40).cast("string"))).otherwise(F.concat("source", F.lit("-"), (i % 5).cast("string"))).alias("user_id"),
         F.get(kind, (F.floor(i / 3) % 4).cast("int")).alias("intervention_type"), F.timestamp_seconds(i * 90000).alias("timestamp"), ((i * 37) % 3000 - 20).cast("double").alias("response_time_minutes"),
-        F.substring("text", 1, 200).alias("pre_intervention_text"), F.substring("text", 201, 150).alias("intervention_text"), F.when(i % 11 == 0, " [Deleted] ").otherwise(F.substring("text", 351, 200)).alias("post_intervention_text"),
+        F.substring("text", F.lit(1), third).alias("pre_intervention_text"), F.substring("text", third + 1, third).alias("intervention_text"), F.when(i % 11 == 0, " [Deleted] ").otherwise(F.substring("text", 2 * third + 1, F.length("text"))).alias("post_intervention_text"),
         F.concat(F.lit('{"post_score": "'), (i % 50).cast("string"), F.lit('", "accepted_answer_id": null}')).alias("platform_metadata"), score(n % 9).alias("empathy"), score(F.floor(n / 9) % 9).alias("constructiveness"), score(i * 5 % 9).alias("respect"), score((n + i) % 9).alias("social_cohesion"),
         (i % 40 == 3).alias("invalid_triple"), ((i % 101) / 100.0).cast("double").alias("confidence"), F.lit(None).cast("string").alias("label_error"), "doc_id",
     )
@@ -477,13 +477,13 @@ def scoring_cost(tab):
 
 @query(rf"""
 SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN source END AS target, CASE doc_id % 6 WHEN 1 THEN 'Talk' WHEN 3 THEN 'User talk' WHEN 5 THEN 'Wikipedia talk' ELSE (doc_id % 6)::VARCHAR END AS namespace,
- regexp_matches(lower(substr(text, 1, 300)), 'warn|vandal|block|spam|uw-|revert| rv |undid|undo|welcome|thanks|civil') OR regexp_matches(lower(text), '\{{\{{uw-|\{{\{{welcome|\{{\{{warning|\{{\{{bansummary|\{{\{{indef-block|\{{\{{blocked|wp:civil') AS is_intervention,
+ regexp_matches(lower(text), 'warn|vandal|block|spam|uw-|revert| rv |undid|undo|welcome|thanks|civil') OR regexp_matches(lower(text), '\{{\{{uw-|\{{\{{welcome|\{{\{{warning|\{{\{{bansummary|\{{\{{indef-block|\{{\{{blocked|wp:civil') AS is_intervention,
  md5(CASE WHEN doc_id % 4 = 0 THEN substr({CLEAN.format('text')}, 1, 1500) WHEN {CLEAN.format('text')} = '' THEN 'Edit summary: ' || source ELSE 'Edit summary: ' || source || chr(10) || chr(10) || 'Article excerpt:' || chr(10) || substr({CLEAN.format('text')}, 1, 1500) END) AS edit FROM documents""")
 def wiki_scalars(tab):
     d, i = tab("documents"), F.col("doc_id")
     title = F.when(i % 3 == 0, F.concat(F.lit("User talk:"), "source")).otherwise(F.concat(F.lit("Talk:"), "source"))
     comment = F.when(i % 4 == 0, F.lit(" \n")).otherwise(F.concat(F.lit("  "), "source"))
-    return d.select("doc_id", t.talk_target(title).alias("target"), t.namespace_name(i % 6).alias("namespace"), t.is_intervention(F.substring("text", 1, 300), "text").alias("is_intervention"), F.md5(t.article_edit(comment, "text")).alias("edit"))
+    return d.select("doc_id", t.talk_target(title).alias("target"), t.namespace_name(i % 6).alias("namespace"), t.is_intervention("text", "text").alias("is_intervention"), F.md5(t.article_edit(comment, "text")).alias("edit"))
 
 
 @query("""

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from rejoinder.functions import text as t
+from rejoinder.functions.html import html_nodes
 from rejoinder.sources.keyed import keyed_json
 
 UTTERANCES = (
@@ -70,7 +71,7 @@ def posts(spark: SparkSession, path: str) -> DataFrame:
     kind = F.coalesce(F.expr("try_cast(PostTypeId as int)"), F.lit(0))
     return xml_rows(spark, path, POSTS).filter(kind.isin(1, 2)).select(
         F.col("Id").alias("post_id"), kind.alias("post_type_id"), F.col("ParentId").alias("parent_id"), F.col("AcceptedAnswerId").alias("accepted_answer_id"), F.col("CreationDate").alias("creation_date"), F.col("Score").alias("score"), F.col("ViewCount").alias("view_count"),
-        F.coalesce("Body", F.lit("")).alias("body_html"), t.html_text("Body").alias("body_text"), F.col("OwnerUserId").alias("owner_user_id"), F.col("LastEditorUserId").alias("last_editor_user_id"), F.col("LastEditDate").alias("last_edit_date"), F.col("LastActivityDate").alias("last_activity_date"),
+        F.coalesce("Body", F.lit("")).alias("body_html"), html_nodes("Body").alias("body_text"), F.col("OwnerUserId").alias("owner_user_id"), F.col("LastEditorUserId").alias("last_editor_user_id"), F.col("LastEditDate").alias("last_edit_date"), F.col("LastActivityDate").alias("last_activity_date"),
         F.coalesce("Title", F.lit("")).alias("title"), t.tag_list("Tags").alias("tags"), F.col("AnswerCount").alias("answer_count"), F.col("CommentCount").alias("comment_count"), F.col("ClosedDate").alias("closed_date"), F.col("ContentLicense").alias("content_license"),
     )
 
@@ -148,8 +149,9 @@ def blank_to_null(df: DataFrame) -> DataFrame:
 
 
 def rating_form(spark: SparkSession, path: str, rater: str) -> DataFrame:
-    """A rater's CSV form; scores that aren't numbers become null, fields beyond the last column are dropped."""
-    form = blank_to_null(spark.read.option("header", True).option("mode", "PERMISSIVE").schema(FORM).csv(path))
+    """A rater's CSV form, whose cells may hold line ends; scores that aren't numbers become null, fields beyond the last
+    column are dropped."""
+    form = blank_to_null(spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').schema(FORM).csv(path))
     dims = ("empathy", "constructiveness", "respect", "social_cohesion")
     return form.withColumns({d: F.expr(f"try_cast({d} as double)") for d in dims} | {"rater": F.lit(rater), "intervention_style": F.lower("intervention_style")})
 

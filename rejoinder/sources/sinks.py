@@ -1,13 +1,17 @@
-"""Writers: parquet, CSV tables, JSON and text reports, and in-place column migration by a swap of folders."""
+"""Writers: parquet, versioned tables that are whole at every moment, CSV tables, JSON and text reports."""
 
 from __future__ import annotations
 
 import json
 import math
+import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: In a table's folder: that of the marks of its committed versions, and how folders of rows begin (hidden from a plain read).
+MARKS, DATA = "_versions", "_rows"
+
 
 def write_parquet(df: DataFrame, path: str, rows_per_file: int | None = None) -> None:
     writer = df.write.mode("overwrite")
@@ -52,24 +56,77 @@ def text_report(tables: dict[str, DataFrame], most: int = 10_000) -> str:
     return "\n".join(parts)
 
 
-def append_column(df_path: str, spark, column: str, value: Column, needs: list[str]) -> bool:
-    """Add a column to a stored table unless it is there or its inputs are missing. Written beside, then swapped.
+def _versions(spark: SparkSession, path: str):
+    """The table's file system and the numbers of its versions that are committed."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = [f.getPath().getName() for f in fs.listStatus(spark._jvm.org.apache.hadoop.fs.Path(path, MARKS))] if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(path, MARKS)) else []
+    return fs, sorted(int(m) for m in marks if m.isdigit())
+
 
-    If a call ended between the two renames of the swap, the next one ends the swap first: the new table is whole then.
+def write_version(df: DataFrame, path: str, rows_per_file: int | None = None) -> int:
+    """A new version of the table, whole or not at all; gives its number.
+
+    The rows go to a folder of a name that no one else has, and count from the one rename that puts a mark with the
+    version's number and that name in place. Two writers of one number can't both do that: the second one's rename finds
+    the mark there and raises. What a stopped writer left is never read.
+    """
+    spark = df.sparkSession
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs, known = _versions(spark, path)
+    number, folder = (known[-1] + 1 if known else 0), f"{DATA}-{uuid.uuid4().hex}"
+    writer = df.write.option("maxRecordsPerFile", rows_per_file) if rows_per_file else df.write
+    writer.parquet(f"{path}/{folder}")
+    draft, mark = path_of(f"{path}/{folder}.mark"), path_of(f"{path}/{MARKS}/{number:012d}")
+    out = fs.create(draft, True)
+    out.write(bytearray(folder.encode()))
+    out.close()
+    fs.mkdirs(path_of(path, MARKS))
+    if fs.exists(mark) or not fs.rename(draft, mark):
+        raise RuntimeError(f"version {number} of {path} was written by another")
+    return number
+
+
+def read_version(spark: SparkSession, path: str, number: int | None = None) -> DataFrame:
+    """The table as of a version, the last committed one if none is given."""
+    fs, known = _versions(spark, path)
+    if not known or (number is not None and number not in known):
+        raise FileNotFoundError(f"{path} has no version {'' if number is None else number}")
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MARKS}/{known[-1] if number is None else number:012d}")
+    file = fs.open(mark)
+    folder = bytes(file.readAllBytes()).decode()
+    file.close()
+    return spark.read.parquet(f"{path}/{folder}")
+
+
+def drop_versions(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Remove all but the last ``keep`` versions, marks first, then folders without a mark; only while no one writes."""
+    fs, known = _versions(spark, path)
+    path_of, gone = spark._jvm.org.apache.hadoop.fs.Path, known[: max(0, len(known) - keep)]
+    for n in gone:
+        fs.delete(path_of(f"{path}/{MARKS}/{n:012d}"), False)
+    kept = set()
+    for n in known[len(gone) :]:
+        file = fs.open(path_of(f"{path}/{MARKS}/{n:012d}"))
+        kept.add(bytes(file.readAllBytes()).decode())
+        file.close()
+    for f in fs.listStatus(path_of(path)):
+        name = f.getPath().getName()
+        if name.startswith(f"{DATA}-") and name not in kept:
+            fs.delete(f.getPath(), True)
+    return len(gone)
+
+
+def append_column(path: str, spark: SparkSession, column: str, value: Column, needs: list[str]) -> bool:
+    """A new version of the table with one more column, unless it is there or its inputs are missing.
+
+    A plain folder of Parquet files (without marks) is taken as it stands and becomes a table of versions beside it.
     """
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    old, new, aside = (jvm.org.apache.hadoop.fs.Path(p) for p in (df_path, f"{df_path}.next", f"{df_path}.old"))
-    fs = old.getFileSystem(conf)
-    if not fs.exists(old) and fs.exists(aside):
-        fs.rename(new if fs.exists(new) else aside, old)
-    fs.delete(aside, True)
-    df = spark.read.parquet(df_path)
+    _, known = _versions(spark, path)
+    df = read_version(spark, path) if known else spark.read.parquet(path)
     if column in df.columns or not set(needs) <= set(df.columns):
         return False
-    df.withColumn(column, value).write.mode("overwrite").parquet(f"{df_path}.next")
-    fs.rename(old, aside)
-    fs.rename(new, old)
-    fs.delete(aside, True)
+    write_version(df.withColumn(column, value), path)
     return True
 
 

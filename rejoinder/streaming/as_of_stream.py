@@ -65,8 +65,8 @@ class Neighbours(StatefulProcessor):
             elif len(left) < len(had):
                 state.put(left)
         known = set(self.handle.listTimers())
-        for t in wake - known:
-            self.handle.registerTimer(t)
+        if wake and min(wake) not in known:
+            self.handle.registerTimer(min(wake))  # when it rings all that the watermark has passed are ready
         if keep and not wait and (gone := (keep[-1][0] + self.back) // 1000 + 1) not in known:
             self.handle.registerTimer(gone)  # rows leave with the watermark too
         if out:
@@ -81,7 +81,7 @@ def as_of_stream(events: DataFrame, rows: DataFrame, key: str, at: str, id_: str
 
     Both streams have the columns key, at (a timestamp) and id_ (a text). pre is the latest row strictly before, at most
     ``back`` microseconds; post the first strictly after, at most ``ahead``; of rows at one time the largest id is the
-    latest, the smallest the first. What comes later than ``late`` behind the newest time seen is dropped, rows and
+    latest, the smallest the first. Times are after 1970 began. What comes later than ``late`` behind the newest time seen is dropped, rows and
     events alike; without such, the result is that of the batch join on the same rows, for all events whose horizon the
     watermark has passed. A key's state holds the rows of ``back`` before the watermark and the events that wait.
     """

@@ -58,7 +58,7 @@ def test_sinks(spark, tmp_path):
     from rejoinder.functions import text as t
 
     assert sinks.append_column(path, spark, "role", t.role("platform", "intervention_type"), ["platform", "intervention_type"]) and not sinks.append_column(path, spark, "role", F.lit(1), [])
-    assert {r.role for r in spark.read.parquet(path).collect()} == {"peer", "formal_authority"}
+    assert {r.role for r in sinks.read_version(spark, path).collect()} == {"peer", "formal_authority"}
     assert json.loads(sinks.json_report({"a": df}))["a"][1]["x"] is None and "reframe" in sinks.text_report({"a": df})
     sinks.write_table(df, str(tmp_path / "csv"))
     assert "adj_empathy" in sinks.adjudication_sheet(df, ["empathy"]).columns
