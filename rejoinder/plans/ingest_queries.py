@@ -316,6 +316,21 @@ def rating_forms(tab):
     return got.select("record_id", "rater", "empathy", "respect", "intervention_style", "confidence_tier1", "notes")
 
 
+@query("""
+SELECT 'mn_' || doc_id AS record_id, 'r2' AS rater, CASE WHEN doc_id % 4 < 3 THEN 1 + doc_id % 9 / 2.0 END::DOUBLE AS empathy, lower(nullif(source, '')) AS intervention_style, md5(regexp_replace(regexp_replace(text, '^ +| +$', '', 'g'), '^(nan|None)?$', '')) AS notes FROM documents""")
+def rating_workbooks(tab):
+    """Forms as workbooks: texts of any length as shared strings, numbers as numbers or as words."""
+    from rejoinder.sources.xlsx import write_workbooks
+
+    d, i = tab("documents"), F.col("doc_id")
+    path = scratch(d.sparkSession, "workbooks") + ".xlsx"
+    score = (1 + i % 9 / 2).cast("double")
+    form = d.select(joined("mn_", i).alias("Record_ID "), F.lit("TL").alias("rater_id"), F.when(i % 4 < 2, score.cast("string")).when(i % 4 == 2, F.format_string(" %.1f ", score)).otherwise("none").alias("empathy"), F.col("source").alias("intervention_style"), F.lit("extra").alias("comment of no one"), F.col("text").alias("Notes"))
+    write_workbooks(form, path, 2_000)
+    got = readers.rating_form(d.sparkSession, path, "r2")
+    return got.select("record_id", "rater", "empathy", "intervention_style", F.md5(F.coalesce("notes", F.lit(""))).alias("notes"))
+
+
 @query("""
 SELECT platform, count(*) AS n, count(*) FILTER (WHERE broken) AS failed FROM (SELECT CASE doc_id % 3 WHEN 0 THEN 'reddit' WHEN 1 THEN 'stackexchange' ELSE 'wikipedia' END AS platform, doc_id % 50 = 7 AS broken FROM documents) GROUP BY 1""")
 def platform_parts(tab):

@@ -580,3 +580,12 @@ def unified_comments(tab):
     comments = c.filter("turn > 0").select(F.format_string("%06d", "turn").alias("comment_id"), F.col("conv_id").cast("string").alias("post_id"), F.col("role").alias("user_id"), "text", at.alias("creation_date"))
     r = triples.stackexchange_triples(posts, comments)
     return r.select(F.get_json_object("platform_metadata", "$.post_id").alias("post_id"), "user_id", *[F.md5(x).alias(k) for k, x in (("pre", "pre_intervention_text"), ("mid", "intervention_text"), ("post", "post_intervention_text"))], F.round("response_time_minutes", 6).alias("minutes"))
+
+
+@query(f"""
+WITH a AS (SELECT platform, composite AS v FROM {ANALYSIS}), o AS (SELECT platform, count(*) AS n, min(v) AS lo, max(v) AS hi, var_samp(v) * pow(count(*), -0.4) AS h2 FROM a GROUP BY 1),
+p AS (SELECT *, lo + (hi - lo) * k / 99 AS x FROM o, range(100) AS r(k)), c AS (SELECT platform, v, count(*) AS m FROM a GROUP BY 1, 2)
+SELECT p.platform, k::INT AS k, round(x, 9) AS x, round(sum(m * exp(-pow(x - v, 2) / (2 * h2)) / sqrt(2 * pi() * h2)) / any_value(n), 9) AS density FROM p JOIN c USING (platform) GROUP BY 1, 2, 3""")
+def violin_densities(tab):
+    got = reports.densities(analysis(tab), "platform", "prosociality_composite")
+    return got.select("platform", "k", F.round("x", 9).alias("x"), F.round("density", 9).alias("density"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from rejoinder.functions import text as t
 from rejoinder.functions.html import html_nodes
 from rejoinder.sources.keyed import keyed_json
+from rejoinder.sources.xlsx import workbook_table
 
 UTTERANCES = (
     "id string, conversation_id string, speaker string, text string, `reply-to` string, timestamp long, "
@@ -149,9 +150,13 @@ def blank_to_null(df: DataFrame) -> DataFrame:
 
 
 def rating_form(spark: SparkSession, path: str, rater: str) -> DataFrame:
-    """A rater's CSV form, whose cells may hold line ends; scores that aren't numbers become null, fields beyond the last
-    column are dropped."""
-    form = blank_to_null(spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').schema(FORM).csv(path))
+    """A rater's form, CSV (whose cells may hold line ends) or, where the path ends in .xlsx, workbooks; scores that aren't
+    numbers become null, fields beyond the last column are dropped."""
+    if path.endswith(".xlsx"):
+        raw = workbook_table(spark, path, [c.split()[0] for c in FORM.split(", ")]).drop("path", "row")
+    else:
+        raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("multiLine", True).option("escape", '"').schema(FORM).csv(path)
+    form = blank_to_null(raw)
     dims = ("empathy", "constructiveness", "respect", "social_cohesion")
     return form.withColumns({d: F.expr(f"try_cast({d} as double)") for d in dims} | {"rater": F.lit(rater), "intervention_style": F.lower("intervention_style")})
 
