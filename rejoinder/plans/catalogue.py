@@ -193,8 +193,8 @@ SELECT doc_id, md5(c) AS cleaned, CASE WHEN len(w) > 0 THEN len(w) END AS words,
   round(coalesce(len(list_filter(w, lambda x: x = upper(x) AND x <> lower(x) AND length(x) >= 2)) / nullif(len(w), 0), 0), 6) AS caps_share, contains(text, '?') AS question FROM w""")
 def text_features(tab):
     d = tab("documents").select("doc_id", "text", t.clean("text").alias("c"))
-    d = d.withColumn("w", t.words_of("c"))  # once, as a projection of its own
-    return d.select("doc_id", F.md5("c").alias("cleaned"), t.count_of("w").alias("words"), t.char_count("text").alias("chars"), t.caps_abuse_of("w").alias("caps_abuse"), F.round(t.caps_share_of("w"), 6).alias("caps_share"), t.has_question("text").alias("question"))
+    d = d.withColumn("w", t.words_of("c")).withColumn("loud", t.shouted("w"))  # once each, as projections of their own
+    return d.select("doc_id", F.md5("c").alias("cleaned"), t.count_of("w").alias("words"), t.char_count("text").alias("chars"), t.caps_abuse_of("w", loud="loud").alias("caps_abuse"), F.round(t.caps_share_of("w", "loud"), 6).alias("caps_share"), t.has_question("text").alias("question"))
 
 
 @query(r"""
