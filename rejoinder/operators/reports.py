@@ -1,8 +1,9 @@
-"""Features of the analysis set and the tables of each report. All lazy; a report is a dict of result tables."""
+"""Features of the analysis set and the tables of each report, which are made when they are asked for."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -49,30 +50,55 @@ def main_and_wikipedia(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     return df.filter(F.col("platform") != "wikipedia"), df.filter(F.col("platform") == "wikipedia")
 
 
-def question(df: DataFrame, group: str, value: str = "prosociality_composite", dims: list[str] = DIMS) -> dict[str, DataFrame]:
+class Tables(Mapping):
+    """Result tables by name; one that is given as a function is made when it is first asked for."""
+
+    def __init__(self, given: dict):
+        self.given, self.made = given, {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.made:
+            x = self.given[name]
+            self.made[name] = x() if callable(x) else x
+        return self.made[name]
+
+    def __iter__(self):
+        return iter(self.given)
+
+    def __len__(self) -> int:
+        return len(self.given)
+
+
+def unpivoted(df: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """A row for each row and dimension: keys, dim, value."""
+    parts = F.explode(F.array(*[F.struct(F.lit(d).alias("dim"), F.col(d).cast("double").alias("value")) for d in dims])).alias("x")
+    return df.select(*keys, parts).select(*keys, "x.dim", "x.value")
+
+
+def question(df: DataFrame, group: str, value: str = "prosociality_composite", dims: list[str] = DIMS) -> Mapping[str, DataFrame]:
     """A group's effect on a value: test, test per dimension, pairs, descriptives and medians."""
-    per_dim = None
-    for d in dims:
-        row = stats.kruskal(df, group, d).withColumn("dim", F.lit(d))
-        per_dim = row if per_dim is None else per_dim.unionByName(row)
-    return {"kruskal": stats.kruskal(df, group, value), "kruskal_by_dim": per_dim, "pairs": stats.pairwise_mann_whitney(df, group, value), "descriptive": stats.descriptive(df, group, [value, *dims]), "medians": stats.medians(df, group, value)}
+    return Tables({
+        "kruskal": lambda: stats.kruskal(df, group, value), "kruskal_by_dim": lambda: stats.kruskal(unpivoted(df, [group], dims), group, "value", by=["dim"]).select("h", "k", "n", "p", "eta2", "effect", "stars", "dim"),
+        "pairs": lambda: stats.pairwise_mann_whitney(df, group, value), "descriptive": lambda: stats.descriptive(df, group, [value, *dims]), "medians": lambda: stats.medians(df, group, value),
+    })
 
 
-def research_questions(df: DataFrame) -> dict[str, DataFrame]:
+def research_questions(df: DataFrame) -> Mapping[str, DataFrame]:
     """All tables of the six questions: type, history, role, timing, platform, dimensions."""
     value, out = "prosociality_composite", {}
     timed = df.filter(F.col("response_time_minutes") > 0)
     for name, rows, group in (("rq1_type", df, "intervention_type"), ("rq2_tenure", df, "user_tenure_estimate_category"), ("rq2b_role", df, "intervener_role"), ("rq3_timing", timed, "response_time_category"), ("rq4_platform", df, "platform")):
         if group in df.columns:
-            out |= {f"{name}_{k}": v for k, v in question(rows, group).items()}
+            found = question(rows, group)
+            out |= {f"{name}_{k}": (lambda found=found, k=k: found[k]) for k in found}
     for d in (value, *DIMS):
-        out[f"rq2_prior_spearman_{d}"] = stats.spearman(df, "user_prior_interventions_in_sample", d)
-    out["rq3_response_spearman"] = stats.spearman(timed, "response_time_minutes", value)
+        out[f"rq2_prior_spearman_{d}"] = lambda d=d: stats.spearman(df, "user_prior_interventions_in_sample", d)
+    out["rq3_response_spearman"] = lambda: stats.spearman(timed, "response_time_minutes", value)
     if "intervener_role" in df.columns:
-        out["rq2b_role_by_type"] = stats.crosstab(df, "intervener_role", "intervention_type", value)
-    out["rq4_platform_by_type"] = stats.crosstab(df, "platform", "intervention_type", value)
-    out["rq5_correlations"], out["rq5_pca"] = stats.pearson_matrix(df, DIMS), stats.pca(df, DIMS)
-    return out
+        out["rq2b_role_by_type"] = lambda: stats.crosstab(df, "intervener_role", "intervention_type", value)
+    out["rq4_platform_by_type"] = lambda: stats.crosstab(df, "platform", "intervention_type", value)
+    out["rq5_correlations"], out["rq5_pca"] = lambda: stats.pearson_matrix(df, DIMS), lambda: stats.pca(df, DIMS)
+    return Tables(out)
 
 
 def sensitivity(df: DataFrame, groups: list[str], four: list[str] = DIMS, dropped: str = "respect") -> DataFrame:
@@ -99,19 +125,19 @@ def tier_d(df: DataFrame) -> DataFrame:
     return df.withColumns({"not_bot": ~t.is_bot("user_id"), "texts_ok": ok, "no_answer": silent}).withColumn("is_tier_d", F.col("not_bot") & F.col("texts_ok") & F.col("no_answer"))
 
 
-def tier_d_report(df: DataFrame, known: DataFrame | None = None) -> dict[str, DataFrame]:
+def tier_d_report(df: DataFrame, known: DataFrame | None = None) -> Mapping[str, DataFrame]:
     d = tier_d(df)
     fit = d.filter("not_bot and texts_ok")
     out = {
         "funnel": sampling.funnel(d, {"not_bot": F.col("not_bot"), "texts_ok": F.col("texts_ok"), "no_answer": F.col("no_answer")}),
         "rates": rates_by_sets(fit, ["platform", "intervention_type"], {"tier_d": F.col("is_tier_d")}),
-        "pre_lengths": stats.percentiles(fit.withColumn("len", F.length(TEXTS[0])), "len", [10, 25, 50, 75, 90], ["is_tier_d"]),
+        "pre_lengths": lambda: stats.percentiles(fit.withColumn("len", F.length(TEXTS[0])), "len", [10, 25, 50, 75, 90], ["is_tier_d"]),
         "caps": fit.withColumn("caps", t.caps_share(TEXTS[0])).groupBy("is_tier_d").agg(F.avg("caps").alias("mean_caps"), F.avg(t.word_count(TEXTS[0], 0)).alias("mean_words")),
-        "response_minutes": stats.percentiles(fit.filter(sampling.response_ok()), "response_time_minutes", [10, 25, 50, 75, 90], ["platform"]),
+        "response_minutes": lambda: stats.percentiles(fit.filter(sampling.response_ok()), "response_time_minutes", [10, 25, 50, 75, 90], ["platform"]),
     }
     if known is not None:
         out["known"] = marked(fit.filter("is_tier_d"), known, "record_id", "is_known").agg(F.count_if("is_known").alias("n_known"), F.count("*").alias("n"))
-    return out
+    return Tables(out)
 
 
 def rates_by_sets(df: DataFrame, keys: list[str], flags: dict[str, Column]) -> DataFrame:
@@ -135,7 +161,7 @@ def marked(df: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
     return df.join(own, key, "left").withColumn(name, F.coalesce(name, F.lit(False)))
 
 
-def audit(scores: DataFrame, sample: DataFrame, dims: list[str]) -> dict[str, DataFrame]:
+def audit(scores: DataFrame, sample: DataFrame, dims: list[str]) -> Mapping[str, DataFrame]:
     """Counts of malformed, invalid and valid scores, their spread, and whether to go on. Null keys are kept."""
     bad = F.lit(False)
     for d in dims:
@@ -151,19 +177,19 @@ def audit(scores: DataFrame, sample: DataFrame, dims: list[str]) -> dict[str, Da
     return {"rates": rates_by_sets(j, ["platform", "intervention_type"], flags), "distribution": spread, "confidence": stats.buckets(valid, "confidence", [0, 0.5, 0.7, 0.9, 1.001]), "gate": s.withColumn("issues", issues).withColumn("go", F.size("issues") == 0)}
 
 
-def label_checks(labelled: DataFrame, dims: list[str] = DIMS) -> dict[str, DataFrame]:
+def label_checks(labelled: DataFrame, dims: list[str] = DIMS) -> Mapping[str, DataFrame]:
     """Rates of invalid rows, histograms and correlations, and the rows to review."""
     mean = t.row_mean(*dims)
     ones = F.lit(True)
     for d in dims:
         ones = ones & (F.col(d) == 1.0)
     valid = labelled.filter(~F.coalesce("invalid_triple", F.lit(False)) & F.col("label_error").isNull()).withColumn("mean_score", mean)
-    return {
+    return Tables({
         "invalid": labelled.groupBy("platform", "intervention_type").agg(F.count("invalid_triple").alias("total"), F.sum(F.col("invalid_triple").cast("int")).alias("n_invalid")).withColumn("pct", 100.0 * F.col("n_invalid") / F.col("total")),
         "values": stats.unpivoted(valid, dims).groupBy("column", "value").count(), "correlations": stats.pearson_matrix(valid, dims), "confidence": stats.buckets(valid, "confidence", [0, 0.6, 0.7, 0.8, 0.9, 1.01]),
         "low_confidence": valid.filter("confidence < 0.65").orderBy("confidence", "record_id").limit(10), "respect_without_empathy": valid.filter("respect >= 4 and empathy <= 1.5").orderBy("record_id").limit(10),
         "high": valid.filter("mean_score >= 4.5").orderBy(F.desc("mean_score"), "record_id").limit(10), "all_ones": valid.filter(ones).agg(F.count("*").alias("n")),
-    }
+    })
 
 
 def wide_ratings(long: DataFrame, values: list[str]) -> DataFrame:
@@ -171,7 +197,7 @@ def wide_ratings(long: DataFrame, values: list[str]) -> DataFrame:
     return long.groupBy("record_id").pivot("rater", RATERS).agg(*[F.min(v).alias(v) for v in values])
 
 
-def confidence_report(long: DataFrame) -> dict[str, DataFrame]:
+def confidence_report(long: DataFrame) -> Mapping[str, DataFrame]:
     """Raters' confidence: by rater, against deviation, consensus, platform and style; and a row per record.
 
     long: record_id, rater, platform, intervention_style, dims, confidence_tier1, confidence_style.
@@ -191,11 +217,11 @@ def confidence_report(long: DataFrame) -> dict[str, DataFrame]:
     label = per.withColumn("group", sure)
     groups = label.unionByName(label.filter("group = 'all_low'").withColumn("group", F.lit("all_not_high")))
     style = c.withColumn("style", F.lower(F.trim("intervention_style")))
-    return {
-        "by_rater": counted("rater", "level"), "style_by_rater": counted("rater", "style_level"), "rater_test": stats.kruskal(c, "rater", "level"), "deviation": dev.groupBy("confidence_tier1").agg(F.avg("deviation").alias("mean_deviation"), F.count("deviation").alias("n")),
-        "deviation_test": stats.spearman(dev, "level", "deviation"), "consensus": groups.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(f"sd_{d}").alias(f"sd_{d}") for d in DIMS]), "by_platform": counted("platform", "level"), "platform_test": stats.kruskal(c, "platform", "level"),
-        "by_style": counted("style", "style_level", style), "style_test": stats.kruskal(style, "style", "style_level"), "records": per.select("record_id", "platform", "mean_conf_tier1_num", "min_conf_tier1", "cross_rater_composite_sd").orderBy("mean_conf_tier1_num", "record_id"),
-    }
+    return Tables({
+        "by_rater": counted("rater", "level"), "style_by_rater": counted("rater", "style_level"), "rater_test": lambda: stats.kruskal(c, "rater", "level"), "deviation": dev.groupBy("confidence_tier1").agg(F.avg("deviation").alias("mean_deviation"), F.count("deviation").alias("n")),
+        "deviation_test": lambda: stats.spearman(dev, "level", "deviation"), "consensus": groups.groupBy("group").agg(F.count("*").alias("n"), *[F.avg(f"sd_{d}").alias(f"sd_{d}") for d in DIMS]), "by_platform": counted("platform", "level"), "platform_test": lambda: stats.kruskal(c, "platform", "level"),
+        "by_style": counted("style", "style_level", style), "style_test": lambda: stats.kruskal(style, "style", "style_level"), "records": per.select("record_id", "platform", "mean_conf_tier1_num", "min_conf_tier1", "cross_rater_composite_sd").orderBy("mean_conf_tier1_num", "record_id"),
+    })
 
 
 def densities(df: DataFrame, group: str, value: str, points: int = 100) -> DataFrame:
@@ -216,11 +242,11 @@ def densities(df: DataFrame, group: str, value: str, points: int = 100) -> DataF
     return met.groupBy(group, "k", "x", "size", one.alias("one")).agg(F.sum(F.col("n") * F.when(~one, kernel)).alias("sum")).select(group, "k", "x", F.when(F.col("one"), 1.0).otherwise(F.col("sum") / F.col("size")).alias("density"))
 
 
-def figure_tables(df: DataFrame, pairs: DataFrame) -> dict[str, DataFrame]:
+def figure_tables(df: DataFrame, pairs: DataFrame) -> Mapping[str, DataFrame]:
     """What the figures plot: densities and quantiles per platform, intervals per type and role, and Bland-Altman points."""
     from rejoinder.operators.agreement import bland_altman
 
-    return {
-        "densities": densities(df, "platform", "prosociality_composite"), "violins": stats.percentiles(df, "prosociality_composite", [5, 25, 50, 75, 95], ["platform"]), "type_intervals": stats.interval_95(df, "intervention_type", "prosociality_composite"),
+    return Tables({
+        "densities": densities(df, "platform", "prosociality_composite"), "violins": lambda: stats.percentiles(df, "prosociality_composite", [5, 25, 50, 75, 95], ["platform"]), "type_intervals": stats.interval_95(df, "intervention_type", "prosociality_composite"),
         "role_intervals": stats.interval_95(df, "intervener_role", "prosociality_composite"), "bland_altman": bland_altman(pairs, ["record_id", "dim"]),
-    }
+    })

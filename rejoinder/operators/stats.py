@@ -44,27 +44,31 @@ def quantiles(df: DataFrame, value: str, qs: dict[str, float], by: list[str] | N
     return got.select(*[F.col("__g")[f"__by{i}"].alias(c) for i, c in enumerate(by)], "n", *qs)
 
 
-def _counted(df: DataFrame, group: str, value: str, least: int) -> DataFrame:
-    """Counts by group and value of the groups with ``least`` values or more, with each value's overall count."""
-    own = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null and not isnan(v)")
-    counts = own.groupBy("g", "v").agg(F.count("*").alias("n"))
-    sizes = counts.groupBy("g").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
-    return counts.join(sizes, "g")
+def _counted(df: DataFrame, group: str, value: str, least: int, by: list[str] | None = None) -> DataFrame:
+    """Counts by group and value (of each by) of the groups with ``least`` values or more, and the groups' sizes."""
+    by = by or []
+    own = df.select(*by, F.col(group).alias("g"), F.col(value).cast("double").alias("v")).filter("g is not null and v is not null and not isnan(v)")
+    counts = own.groupBy(*by, "g", "v").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy(*by, "g").agg(F.sum("n").alias("size")).filter(F.col("size") >= least)
+    return counts.join(sizes, [*by, "g"])
 
 
-def kruskal(df: DataFrame, group: str, value: str, least: int = 3) -> DataFrame:
-    """One row: h (corrected for ties), k, n, p, eta2, effect. All null where there are under two groups or one value."""
-    counts = _counted(df, group, value, least)
-    values = counts.groupBy("v").agg(F.sum("n").alias("n"))
-    ranked = value_ranks(values, "v").select("v", "rank")
-    groups = counts.join(ranked, "v").groupBy("g").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("m"))
-    ties = values.agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
-    total = groups.agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count("*").alias("k")).crossJoin(ties)  # one row each
+def kruskal(df: DataFrame, group: str, value: str, least: int = 3, by: list[str] | None = None) -> DataFrame:
+    """One row (of each ``by``, which isn't null): h (corrected for ties), k, n, p, eta2, effect. All null where there
+    are under two groups or one value. All tests by ``by`` are one pass over the rows."""
+    by = by or []
+    counts = _counted(df, group, value, least, by)
+    values = counts.groupBy(*by, "v").agg(F.sum("n").alias("n"))
+    ranked = value_ranks(values, "v", by=by).select(*by, "v", "rank")
+    groups = counts.join(ranked, [*by, "v"]).groupBy(*by, "g").agg(F.sum(F.col("n") * F.col("rank")).alias("r"), F.sum("n").alias("m"))
+    ties = values.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("ties"))
+    total = groups.groupBy(*by).agg(F.sum(F.col("r") * F.col("r") / F.col("m")).alias("q"), F.sum("m").alias("n"), F.count("*").alias("k"))
+    total = total.join(ties, by) if by else total.crossJoin(ties)  # one row each
     n = F.col("n").cast("double")
     raw = 12 / (n * (n + 1)) * F.col("q") - 3 * (n + 1)
     fix = 1 - F.col("ties") / (n * n * n - n)
     h = F.when((F.col("k") >= 2) & (fix > 0), raw / fix)
-    out = total.select(h.alias("h"), F.col("k").cast("int").alias("k"), F.col("n").cast("long").alias("n"))
+    out = total.select(*by, h.alias("h"), F.col("k").cast("int").alias("k"), F.col("n").cast("long").alias("n"))
     eta = F.when(F.col("n") > F.col("k"), (F.col("h") - F.col("k") + 1) / (F.col("n") - F.col("k")))
     return out.withColumn("p", special.chi2_p("h", F.col("k") - 1)).withColumn("eta2", eta).withColumn("effect", t.effect_label("eta2")).withColumn("stars", t.stars("p"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def _plain(x):
     return x if isinstance(x, str | int | float | bool | None) else str(x)
 
 
-def json_report(tables: dict[str, DataFrame], most: int = 10_000) -> str:
+def json_report(tables: Mapping[str, DataFrame], most: int = 10_000) -> str:
     """Result tables as one JSON text; raises if one has over ``most`` rows."""
     out = {}
     for name, df in tables.items():
@@ -44,7 +45,7 @@ def json_report(tables: dict[str, DataFrame], most: int = 10_000) -> str:
     return json.dumps(out, indent=2, ensure_ascii=False)
 
 
-def text_report(tables: dict[str, DataFrame], most: int = 10_000) -> str:
+def text_report(tables: Mapping[str, DataFrame], most: int = 10_000) -> str:
     """Result tables in columns of fixed width."""
     parts = []
     for name, rows in json.loads(json_report(tables, most)).items():
