@@ -232,9 +232,12 @@ def draw(doc_id: Column, seed: str = "mix") -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(doc_id.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET, capped: bool = False, targets: dict[str, dict[str, float]] | None = None, texts: bool = True) -> DataFrame:
+def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float = BUDGET, capped: bool = False, targets: dict[str, dict[str, float]] | None = None, texts: bool = True, shares: bool = False) -> DataFrame:
     """docs with their cells' columns, __probability and __kept. budget, capped and targets: as in mixed_cells.
 
+    shares: also the asked and the achieved token share of the row's value in each margin (asked_source, achieved_source
+    and so on), which differ where a value hasn't the tokens for its target.
+
     texts: whether the texts are wanted. Without them the cells' columns are computed once and written; with them
     they are computed again rather than writing all texts.
     """
@@ -244,7 +247,11 @@ def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float =
         own = stored(own.drop("text"), "tokens")
     keys = ("source", "lang", "topic")
     cells = mixed_cells(own.select(*[F.col(to[k]).alias(f"__{k}") for k in (*keys, "tokens")]), powers, budget, capped, targets)
-    known = cells.select(*[F.col(f"__{k}").alias(to[k]) for k in keys], F.col("probability").alias(to["probability"]))
+    told = []
+    for k in keys if shares else ():
+        own_margin = margins(cells).filter(F.col("margin") == k).select(F.col("value").alias(f"__{k}"), F.col("target").alias(f"asked_{k}"), F.coalesce("achieved", F.lit(0.0)).alias(f"achieved_{k}"))
+        cells, told = cells.join(own_margin, f"__{k}"), [*told, f"asked_{k}", f"achieved_{k}"]
+    known = cells.select(*[F.col(f"__{k}").alias(to[k]) for k in keys], F.col("probability").alias(to["probability"]), *told)
     if cells.count() <= SMALL:
         known = F.broadcast(known)
     joined = own.join(known, [to[k] for k in keys], "left")

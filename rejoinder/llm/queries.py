@@ -93,8 +93,9 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 
 @query
 def op6_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.sampled(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), texts=False)
-    return mixed.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"))
+    mixed = mixing.sampled(documents(spark, sf_dir).select("doc_id", "text", "source", "lang"), texts=False, shares=True)
+    told = [F.round(f"{kind}_{k}", 6).alias(f"{kind}_{k}") for k in ("source", "lang", "topic") for kind in ("asked", "achieved")]
+    return mixed.select("doc_id", F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic"), F.col("__tokens").alias("n_tokens"), F.round("__probability", 6).alias("probability"), F.col("__kept").alias("kept"), *told)
 
 
 def _mixing_sql(documents: str = "documents", rounds: int = 60) -> str:
@@ -117,10 +118,12 @@ w AS MATERIALIZED (SELECT doc_id, source, lang, CASE WHEN contains(x, ' | ') THE
 g AS MATERIALIZED (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM w GROUP BY ALL), total AS (SELECT sum(tokens) AS whole FROM g){shares},
 k AS (SELECT g.*, t_source, t_lang, t_topic, whole FROM g JOIN s_source USING (source) JOIN s_lang USING (lang) JOIN s_topic USING (topic), total),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM r{3 * rounds})
+p AS (SELECT source, lang, topic, tokens, CASE WHEN tokens > 0 THEN least(1.0, weight / tokens) ELSE 1.0 END AS probability FROM r{3 * rounds}),
+q AS (SELECT source, lang, topic, probability, {", ".join(f"round(coalesce(t_{c}.t, 0), 6) AS asked_{c}, round(coalesce(sum(e) OVER (PARTITION BY {c}) / nullif(sum(e) OVER (), 0), 0), 6) AS achieved_{c}" for c in names)}
+  FROM (SELECT *, tokens * round(probability, 9) AS e FROM p) {" ".join(f"LEFT JOIN (SELECT {c}, t FROM a_{c}) t_{c} USING ({c})" for c in names)})
 SELECT doc_id, source, lang, topic, n_tokens::BIGINT AS n_tokens, round(probability, 6) AS probability,
-  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < round(probability, 9) AS kept
-FROM w JOIN p USING (source, lang, topic)"""
+  ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0 < round(probability, 9) AS kept, {", ".join(f"asked_{c}, achieved_{c}" for c in names)}
+FROM w JOIN q USING (source, lang, topic)"""
 
 
 ORACLE["op6_raked_mixture"] = _mixing_sql()

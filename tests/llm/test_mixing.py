@@ -61,3 +61,17 @@ def test_given_targets_are_met(spark):
     given = {"source": {"a": 2, "b": 1, "c": 1, "gone": 5}, "lang": {"en": 0.4, "de": 0.6}}
     got = mixing.margins(mixing.mixed_cells(own, {}, 0.5, targets=given)).toPandas().set_index(["margin", "value"])["achieved"]
     assert abs(got["source", "a"] - 0.5) < 1e-6 and abs(got["source", "c"] - 0.25) < 1e-6 and abs(got["lang", "de"] - 0.6) < 1e-6
+
+
+def test_asked_and_achieved_shares_stand_in_the_rows(spark):
+    rows = [(i, "w " * (250 if i % 40 else 5), "a" if i % 3 else "b", ("en", "de")[i % 7 % 2], 1, "q") for i in range(1200)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mixing.sampled(docs, {"source": 0.8, "lang": 0.8, "topic": 0.1}, 0.7, texts=False, shares=True).toPandas()
+    weight = got["__tokens"] * got["__probability"]
+    for k in ("source", "lang", "topic"):
+        for value, own in got.groupby(f"__{k}"):
+            assert own[f"asked_{k}"].nunique() == own[f"achieved_{k}"].nunique() == 1
+            assert abs(own[f"achieved_{k}"].iloc[0] - weight[own.index].sum() / weight.sum()) < 1e-6, value
+    assert abs(got.drop_duplicates("__topic")["asked_topic"].sum() - 1) < 1e-9
+    notes = got[got["__topic"] == "notes"].iloc[0]
+    assert notes["achieved_topic"] < 0.5 * notes["asked_topic"] and (got["asked_source"] - got["achieved_source"]).abs().max() < 1e-6
