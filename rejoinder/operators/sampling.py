@@ -59,20 +59,36 @@ def draw(key: Column | str, seed: str | int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), t.col(key).cast("string")))
 
 
-def ranked(df: DataFrame, strata: list[str], key: str, seed: str | int = 42, first: Column | None = None, rank: str = "__r", size: str = "__n") -> DataFrame:
-    """Adds each row's rank in its stratum (by first, draw, key) and the stratum's size.
-
-    Draws are uniform, so rows are dealt by stratum and the first digits of their draw and ranked there; the counts
-    of these buckets (4,096 a stratum at most, or twice with first) give what comes before. No task holds a stratum.
+def first_rows(df: DataFrame, strata: list[str], key: str, seed: str | int = 42, first: Column | None = None, **ranks: Column) -> DataFrame:
+    """Adds __n, a stratum's size, and for each name whether a row is among its stratum's first so many rows.
+
+    Rows of a stratum are in order of first, draw and key. ranks: numbers of rows, from __n and columns that are alike in
+    a stratum. Only ids are ranked: draws are uniform, so counts by stratum and the first digits of the draw (4,096 a
+    stratum at most, or twice with ``first``) tell in which of these a wanted place lies, and there the row that has it is
+    found. Its order is the stratum's cut-off, to which every row is then compared; rows aren't dealt by stratum at all.
+    Cut-offs are a row for each stratum. Rows that share a key stand or fall together.
     """
-    own = df.withColumns({"__s": F.struct(*strata), "__f": first if first is not None else F.lit(0), "__d": draw(key, seed)})
-    own = own.withColumn("__b", F.substring("__d", 1, 3))
-    counts = own.groupBy("__s", "__f", "__b").agg(F.count("*").alias("__m"))
+    order = F.struct((first if first is not None else F.lit(0)).alias("f"), draw(key, seed).alias("d"), F.col(key).alias("k"))
+    own = df.withColumns({"__s": F.struct(*strata), "__at": order})
+    ids = own.select("__s", "__at", F.substring("__at.d", 1, 3).alias("__b"), F.col("__at.f").alias("__f"))
+    counts = ids.groupBy("__s", "__f", "__b").agg(F.count("*").alias("__m"))
     every = W.partitionBy("__s")
     before = F.coalesce(F.sum("__m").over(every.orderBy("__f", "__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    counts = counts.select("__s", "__f", "__b", before.alias("__before"), F.sum("__m").over(every).alias(size))
-    here = F.row_number().over(W.partitionBy("__s", "__f", "__b").orderBy("__d", key))
-    return own.withColumn("__here", here).join(counts, ["__s", "__f", "__b"]).withColumn(rank, F.col("__before") + F.col("__here")).drop("__s", "__f", "__d", "__b", "__before", "__here")
+    counts = counts.select("__s", "__f", "__b", "__m", before.alias("__before"), F.sum("__m").over(every).alias("__n"))
+    alike = [c for c in df.columns if c in ("target",)]
+    if alike:
+        counts = counts.join(own.groupBy("__s").agg(*[F.max(c).alias(c) for c in alike]), "__s")
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), rank.cast("long").alias("rank")) for name, rank in ranks.items()])).alias("__w")
+    wanted = counts.select("*", each).select("__s", "__f", "__b", "__n", F.col("__w.name").alias("__name"), F.col("__w.rank").alias("__rank"), F.col("__before"), F.col("__m"))
+    places = wanted.filter((F.col("__rank") > F.col("__before")) & (F.col("__rank") <= F.col("__before") + F.col("__m"))).select("__s", "__f", "__b", "__name", (F.col("__rank") - F.col("__before")).alias("__need"))
+    line = W.partitionBy("__s", "__f", "__b", "__name").orderBy("__at")
+    found = ids.join(places, ["__s", "__f", "__b"]).withColumn("__here", F.row_number().over(line)).filter("__here = __need")
+    ends = found.groupBy("__s").agg(*[F.max(F.when(F.col("__name") == name, F.col("__at"))).alias(f"__end_{name}") for name in ranks])
+    sizes = wanted.groupBy("__s").agg(F.first("__n").alias("__n"), *[F.max(F.when(F.col("__name") == name, F.col("__rank"))).alias(f"__rank_{name}") for name in ranks])
+    cuts = sizes.join(ends, "__s", "left")
+    out = own.join(cuts, "__s")
+    inside = {name: (F.col(f"__rank_{name}") >= F.col("__n")) | F.coalesce(F.col("__at") <= F.col(f"__end_{name}"), F.lit(False)) for name in ranks}
+    return out.withColumns(inside).drop("__s", "__at", *[f"__{kind}_{name}" for name in ranks for kind in ("rank", "end")])
 
 
 def shuffled(df: DataFrame, key: str, seed: str | int = 42) -> DataFrame:
@@ -80,7 +96,7 @@ def shuffled(df: DataFrame, key: str, seed: str | int = 42) -> DataFrame:
 
 
 def sample_n(df: DataFrame, strata: list[str], n: int | Column, key: str, seed: str | int = 42) -> DataFrame:
-    return ranked(df, strata, key, seed).filter(F.col("__r") <= n).drop("__r", "__n")
+    return first_rows(df, strata, key, seed, __in=F.lit(n) if isinstance(n, int) else n).filter("__in").drop("__in", "__n")
 
 
 def rich() -> Column:
@@ -91,7 +107,7 @@ def quota_sample(df: DataFrame, targets: DataFrame, strata: list[str], key: str,
     """Up to each stratum's target (columns strata, target): preferred rows first, others to fill up."""
     known = df.join(F.broadcast(targets), strata)  # a row per listed stratum
     order = F.when(F.coalesce(preferred, F.lit(False)), 0).otherwise(1)
-    return ranked(known, strata, key, seed, order).filter(F.col("__r") <= F.col("target")).drop("__r", "__n", "target")
+    return first_rows(known, strata, key, seed, order, __in=F.col("target")).filter("__in").drop("__in", "__n", "target")
 
 
 def target_table(spark, targets: dict = TARGETS, names=("platform", "intervention_type")) -> DataFrame:
@@ -111,30 +127,32 @@ def proportional_targets(counts: DataFrame, strata: list[str], total: int) -> Da
 
 def proportional_sample(df: DataFrame, strata: list[str], total: int, key: str, seed: str | int = 42) -> DataFrame:
     targets = proportional_targets(df.groupBy(*strata).agg(F.count("*").alias("n")), strata, total)
-    return ranked(df.join(targets, strata), strata, key, seed).filter(F.col("__r") <= F.col("target")).drop("__r", "__n", "target")
+    return first_rows(df.join(targets, strata), strata, key, seed, __in=F.col("target")).filter("__in").drop("__in", "__n", "target")
 
 
 def holdout(df: DataFrame, strata: list[str], share: float, key: str, seed: str | int = 42, least: int = 5) -> DataFrame:
     """Adds is_holdout: round(n * share) rows of each stratum, halves to even; none of strata under ``least`` rows."""
     n = F.col("__n")
     take = F.when(n >= least, F.bround(n * share)).otherwise(0)
-    return ranked(df, strata, key, seed).withColumn("is_holdout", F.col("__r") <= take).drop("__r", "__n")
+    return first_rows(df, strata, key, seed, is_holdout=take).drop("__n")
 
 
 def split_801010(df: DataFrame, strata: list[str], key: str, seed: str | int = 42) -> DataFrame:
     """Adds split: a tenth each for val and test, one at least; strata under three rows are all train."""
-    n, r = F.col("__n"), F.col("__r")
+    n = F.col("__n")
     tenth = F.greatest(F.lit(1), F.bround(n * 0.1)).cast("long")
     tight = tenth * 2 >= n
     val = F.when(tight, F.greatest(F.lit(1), F.floor((n - 1) / 2))).otherwise(tenth)
     test = F.when(tight, F.greatest(F.lit(1), n - 1 - val)).otherwise(tenth)
-    return ranked(df, strata, key, seed).withColumn("split", F.when(n < 3, "train").when(r <= val, "val").when(r <= val + test, "test").otherwise("train")).drop("__r", "__n")
+    cut = first_rows(df, strata, key, seed, __val=val, __both=val + test)
+    return cut.withColumn("split", F.when(n < 3, "train").when(F.col("__val"), "val").when(F.col("__both"), "test").otherwise("train")).drop("__val", "__both", "__n")
 
 
 def split_8020(df: DataFrame, strata: list[str], key: str, seed: str | int = 42) -> DataFrame:
     n = F.col("__n")
     take = F.greatest(F.lit(1), F.bround(n * 0.2))
-    return ranked(df, strata, key, seed).withColumn("split", F.when(n < 3, "train").when(F.col("__r") <= take, "val").otherwise("train")).drop("__r", "__n")
+    cut = first_rows(df, strata, key, seed, __val=take)
+    return cut.withColumn("split", F.when(n < 3, "train").when(F.col("__val"), "val").otherwise("train")).drop("__val", "__n")
 
 
 def overlaps(df: DataFrame, key: str, split: str = "split") -> DataFrame:
