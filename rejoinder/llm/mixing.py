@@ -247,10 +247,12 @@ def sampled(docs: DataFrame, powers: dict[str, float] = TEMPER, budget: float =
         own = stored(own.drop("text"), "tokens")
     keys = ("source", "lang", "topic")
     cells = mixed_cells(own.select(*[F.col(to[k]).alias(f"__{k}") for k in (*keys, "tokens")]), powers, budget, capped, targets)
-    told = []
-    for k in keys if shares else ():
-        own_margin = margins(cells).filter(F.col("margin") == k).select(F.col("value").alias(f"__{k}"), F.col("target").alias(f"asked_{k}"), F.coalesce("achieved", F.lit(0.0)).alias(f"achieved_{k}"))
-        cells, told = cells.join(own_margin, f"__{k}"), [*told, f"asked_{k}", f"achieved_{k}"]
+    told = [f"{kind}_{k}" for k in keys for kind in ("asked", "achieved")] if shares else []
+    if shares:
+        expected = F.col("tokens") * F.col("probability")
+        whole = cells.agg(F.sum(expected)).first()[0] or 0.0
+        achieved = {f"achieved_{k}": F.coalesce(F.sum(expected).over(W.partitionBy(f"__{k}")) / F.lit(whole), F.lit(0.0)) if whole else F.lit(0.0) for k in keys}
+        cells = stored(cells.withColumns(achieved).withColumnsRenamed({f"target_{k}": f"asked_{k}" for k in keys}), "shares", wave=True)
     known = cells.select(*[F.col(f"__{k}").alias(to[k]) for k in keys], F.col("probability").alias(to["probability"]), *told)
     if cells.count() <= SMALL:
         known = F.broadcast(known)
