@@ -12,7 +12,7 @@ again until nothing changes; this drops no run. What stays is one string with a
 4. Leaves below the marks are all occurrences; those of one period at consecutive places merge into one run.
 
 Squares whose half is itself a power are left out (a shorter period stands for them), which bounds occurrences by
-n log n. A text is one task's work, in memory of about half a KB for each word that stays after the first step.
+n log n. A text is one task's work, in memory of about 0.8 KB for each word that stays after the first step.
 
 Defined cases: a null or empty text has no words and no runs; a very long text is one string like any other; rows that
 share a doc_id, and null doc_ids, are judged each for itself; an empty table gives no rows; extra columns are ignored,
