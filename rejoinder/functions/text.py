@@ -20,15 +20,17 @@ NAMESPACES = {1: "Talk", 3: "User talk", 5: "Wikipedia talk"}
 TALK_PREFIX = "User talk:"
 #: White space of any script, each character by itself.
 BLANKS = " " + "".join(chr(c) for c in (*range(0x09, 0x0E), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
+#: Space separators alone (Unicode's Zs), which are what SQL's trim takes: no tabs and line ends.
+SPACES = " " + "".join(chr(c) for c in (0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000))
 
 
 def col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def strip(x: Column | str) -> Column:
-    """Without leading and trailing white space of any script."""
-    return F.btrim(col(x), F.lit(BLANKS))
+def strip(x: Column | str, blanks: str = BLANKS) -> Column:
+    """Without leading and trailing white space of any script, or without other characters."""
+    return F.btrim(col(x), F.lit(blanks))
 
 
 def clean(x: Column | str) -> Column:
@@ -126,10 +128,13 @@ def tag_list(x: Column | str) -> Column:
     return F.regexp_replace(F.replace(F.coalesce(col(x), F.lit("")), F.lit("><"), F.lit(" ")), "^[<>]+|[<>]+$", "")
 
 
-def added_content(before: Column | str, after: Column | str, cap: int = 3000) -> Column:
-    """What an edit appended: the tail beyond the old length if over MIN_TEXT characters longer, else the new text."""
+def added_content(before: Column | str, after: Column | str, cap: int = 3000, blanks: str = BLANKS) -> Column:
+    """What an edit appended: the tail beyond the old length if over MIN_TEXT characters longer, else the new text.
+
+    blanks: characters that a tail neither begins nor ends with.
+    """
     old, new = F.coalesce(col(before), F.lit("")), F.coalesce(col(after), F.lit(""))
-    tail = strip(F.substring(new, F.length(old) + 1, F.length(new)))
+    tail = strip(F.substring(new, F.length(old) + 1, F.length(new)), blanks)
     grown = (F.length(old) > 0) & (F.length(new) > F.length(old) + MIN_TEXT)
     return F.substring(F.when(grown, tail).otherwise(new), 1, cap)
 

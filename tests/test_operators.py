@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rejoinder.operators import agreement, reports, sampling, scoring, stats, triples
+from rejoinder.plans import catalogue
 
 HOUR = 3_600_000_000
 LONG = "a text of more than twenty characters"
@@ -179,3 +180,17 @@ def test_ranks_do_not_depend_on_how_rows_are_dealt(spark):
     assert sorted(map(tuple, stats.percentiles(nulls, "v", [50], ["g"]).collect()), key=str) == sorted([("x", 0, None), (None, 2, 2.0)], key=str)
     own = spark.createDataFrame([(i, None if i % 2 else "x") for i in range(40)], "id long, g string")
     assert {r.g: r["n"] for r in sampling.split_801010(own, ["g"], "id").filter("split = 'val'").groupBy("g").agg(F.count("*").alias("n")).collect()} == {None: 2, "x": 2}
+
+
+def test_added_content_equals_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    tails = ["\nand a new line at both ends\n", "\t\x0b\x1c\x85other blanks \r", "   　spaces of all kinds    ", " \n mixed \n ", None, ""]
+    rows = []
+    for i, tail in enumerate(tails):
+        before = f"what stood there before, number {i}"
+        rows += [(i, 0, "user", before), (i, 1, "user", tail and before + tail + "z" * 30 + tail), (i, 2, "user", "\nshorter\n"), (i, None, "user", "at no known turn, so behind all others, " * 3)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalogue.queries()["lag_added_content"](spark, str(tmp_path)).collect()
+    sql = catalogue.oracle_sql()["lag_added_content"]
+    want = duckdb.sql(sql.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == len(rows)
