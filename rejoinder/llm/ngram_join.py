@@ -15,7 +15,10 @@ the first that both carry, and pairs are bounded by up to CARRIED groups where t
 Links between copies are not expanded. Documents with one and the same set are a class with one representative.
 For each representative its likeliest partner (that which leads most of its keys) is verified first; the components
 of these links are then known, and the trees search only pairs that lie in different components, which is all that
-can still change a component. A key whose documents are all in one component needs no tree.
+can still change a component. A key whose documents are all in one component needs no tree. Before they search, the
+trees of more than one leaf propose for each representative the one nearest to it in another component, in rounds for
+as long as a good part of these prove to be links: of many near copies nearly all are then in one component, whichever
+leads them, and their pairs don't come out.
 
 Defined cases: a null text is empty; without words a document has no set and is linked with nothing; with fewer
 words than a shingle takes, the whole sequence is the one shingle; a very long text is one set like any other, whose words are
@@ -51,6 +54,8 @@ TOGETHER = 64
 #: Slots of the frequency table and of its parts: 4 MB in all, whatever the input.
 SLOTS, SLOT_PART = 1 << 19, 1 << 13
 LEAF = 32
+#: Proposals of a round for each link that makes another round worth while.
+YIELD = 4
 #: Bytes of text that are cut to words at once.
 STEP = 1 << 19
 SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary, fine binary"
@@ -245,20 +250,28 @@ class CountVectorTree:
 
     def search(self, point: np.ndarray, size: int, numerator: int, denominator: int) -> np.ndarray:
         """Indices of all points whose overlap bound with this one can reach the threshold."""
+        return self.bounds(point, size, numerator, denominator)[0]
+
+    def bounds(self, point: np.ndarray, size: int, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
+        """What ``search`` finds, and the overlap bound of each."""
         near = np.flatnonzero((self.small * numerator <= size * denominator) & (self.large * denominator >= size * numerator))
         near = near[(numerator + denominator) * np.minimum(self.high[near], point).sum(1, dtype=np.int64) >= numerator * (self.small[near] + size)]
         own = (near[:, None] * LEAF + np.arange(LEAF)).ravel()
         own = own[own < len(self.sizes)]
-        fits = (numerator + denominator) * np.minimum(self.points[own], point).sum(1, dtype=np.int64) >= numerator * (self.sizes[own] + size)
-        return self.order[own[fits]]
+        met = np.minimum(self.points[own], point).sum(1, dtype=np.int64)
+        fits = (numerator + denominator) * met >= numerator * (self.sizes[own] + size)
+        return self.order[own[fits]], met[fits]
 
 
-def _tree_pairs(numerator: int, denominator: int):
+def _tree_pairs(numerator: int, denominator: int, nearest: bool = False):
     """Over rows (key, x, y, part, id, n, label, before, point) sorted by key, x, y: the pairs of each key that its tree leaves.
 
     A pair that meets at an earlier key of both (one that both carry) is left to that key, so that two documents
     that share many keys come out about once. Of a key that is dealt over several trees (x, y are numbers of parts of
     its rows) each finds the pairs between its two parts. Trees of one leaf are searched together.
+
+    nearest: for each row of a tree the one row (id, other, met: the share of their sizes that their bound is) of
+    another label that it is nearest to, if any can reach the threshold. Trees of one leaf propose none.
     """
 
     def met_before(before: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -298,10 +311,24 @@ def _tree_pairs(numerator: int, denominator: int):
             a, b = ids[i[fits]], ids[j[fits]]
             return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
+        def best(box: CountVectorTree, first: int, end: int) -> pa.RecordBatch:
+            """The nearest row of another label of each row, the one with the smallest id of several."""
+            out = []
+            for i in range(first, end):
+                hit, met = box.bounds(points[i], int(sizes[i]), numerator, denominator)
+                hit = hit + first
+                other = apart(np.full(len(hit), i), hit)
+                if other.any():
+                    hit, share = hit[other], met[other] / (sizes[hit[other]] + sizes[i])
+                    at = np.lexsort((ids[hit], -share))[0]
+                    out.append((int(ids[i]), int(ids[hit[at]]), float(share[at])))
+            own = list(zip(*out, strict=True)) or [(), (), ()]
+            return pa.RecordBatch.from_arrays([pa.array(own[0], pa.int64()), pa.array(own[1], pa.int64()), pa.array(own[2], pa.float64())], names=["id", "other", "met"])
+
         ends = np.append(starts[1:], len(ids))
         tree = np.repeat(np.arange(len(starts)), ends - starts)
         leaf = (ends - starts <= LEAF)[tree]
-        for d in range(1, LEAF):
+        for d in range(1, 1 if nearest else LEAF):
             i = np.flatnonzero((tree[:-d] == tree[d:]) & leaf[:-d])
             if not len(i):
                 break
@@ -319,6 +346,9 @@ def _tree_pairs(numerator: int, denominator: int):
             if end - first <= LEAF:
                 continue
             box, held, n = CountVectorTree(points[first:end], sizes[first:end]), [], 0
+            if nearest:
+                yield best(box, first, end)
+                continue
             for i in range(first, end):
                 hit = box.search(points[i], int(sizes[i]), numerator, denominator) + first
                 hit = hit[hit > i]
@@ -418,6 +448,29 @@ def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, nu
     return rows.select("a", "task", "role", "id", "shingles").mapInArrow(trimmed(check), "a long, b long")
 
 
+def _labelled(met: DataFrame, known: DataFrame) -> DataFrame:
+    """key, id and label, the component so far."""
+    return met.select("key", "id").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+
+def _mixed_keys(labelled: DataFrame) -> DataFrame:
+    """The keys whose rows aren't all of one label."""
+    return labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
+
+
+def _nearest(met: DataFrame, known: DataFrame, points: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, int]:
+    """Pairs (a, b) of each id of met (key, id) with what is nearest to it in another component, and how many."""
+    labelled = stored(_labelled(met, known), "labelled", wave=True)
+    rows = labelled.join(_mixed_keys(labelled), "key").withColumn("before", F.array().cast("array<long>")).join(points.drop("fine"), "id")
+    rows = _tree_rows(stored(rows.select("key", "id", "n", "label", "before", "point"), "treerows"))
+    trees = rows.repartition(shuffle_partitions(met.sparkSession), "key", "x", "y").sortWithinPartitions("key", "x", "y")
+    found = trees.mapInArrow(trimmed(_tree_pairs(numerator, denominator, True)), "id long, other long, met double")
+    best = found.groupBy("id").agg(F.max_by("other", F.struct("met", -F.col("other"))).alias("other"))
+    pairs = stored(best.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct(), "nearest", wave=True)
+    pairs = stored(_bounded(pairs, points, numerator, denominator), "pairs", wave=True)
+    return pairs, pairs.count()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """A row per document: row, doc_id, n_shingles, component_id, and class_row (equal for documents with one set)."""
     spark = docs.sparkSession
@@ -441,14 +494,25 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     bound = _bounded(stored(partner.select(F.col("lead").alias("a"), F.col("id").alias("b")), "partners", wave=True), points, numerator, denominator)
     links = stored(_verified(stored(bound, "pairs", wave=True), docs, reps, words, numerator, denominator), "links", wave=True)
 
-    # what the trees must still tell apart
+    # keys of more than a leaf: what is nearest is linked first, whichever row leads
+    crowded = stored(met.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > LEAF).select("key"), "crowded", wave=True)
+    crowd = None if crowded.isEmpty() else stored(met.select("key", "id").join(crowded, "key"), "crowd", wave=True)
     known = stored(components(links), "known", wave=True)
-    labelled = met.select("key", "id").join(known.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = stored(labelled, "labelled", wave=True)
+    while crowd is not None:
+        near, n = _nearest(crowd, known, points, numerator, denominator)
+        more = stored(_verified(near, docs, reps, words, numerator, denominator), "links", wave=True)
+        found = more.count()
+        if found:
+            links = stored(links.unionByName(more), "links", wave=True)
+            known = stored(components(links), "known", wave=True)
+        if YIELD * found <= n:
+            break
+
+    # what the trees must still tell apart
+    labelled = stored(_labelled(met, known), "labelled", wave=True)
     release(spark)
-    mixed_keys = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
     before = F.collect_list("key").over(W.partitionBy("id").orderBy("key").rowsBetween(-BEFORE, -1))
-    rows = labelled.join(mixed_keys, "key").withColumn("before", before).join(points.drop("fine"), "id").select("key", "id", "n", "label", "before", "point")
+    rows = labelled.join(_mixed_keys(labelled), "key").withColumn("before", before).join(points.drop("fine"), "id").select("key", "id", "n", "label", "before", "point")
     rows = _tree_rows(stored(rows, "treerows"))
     open_ = rows.repartition(parts, "key", "x", "y").sortWithinPartitions("key", "x", "y").mapInArrow(trimmed(_tree_pairs(numerator, denominator)), "a long, b long").distinct()
     more = _verified(stored(_bounded(stored(open_, "open", wave=True), points, numerator, denominator), "pairs", wave=True), docs, reps, words, numerator, denominator)

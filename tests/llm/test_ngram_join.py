@@ -86,6 +86,21 @@ def test_a_key_over_several_trees_loses_no_pair(spark, monkeypatch):
     assert sorted(map(str, [(r.doc_id, r.n_shingles, r.component_id) for r in got])) == sorted(map(str, brute(rows)))
 
 
+def test_pairs_of_near_copies_do_not_grow_with_their_square(spark, monkeypatch):
+    rnd = random.Random(4)
+    base, rows = [f"w{i}" for i in range(150)], []
+    for i in range(400):  # those with most edits lead, and are linked with few others
+        own = list(base)
+        for at in rnd.sample(range(150), max(1, 7 - i // 40)):
+            own[at] = f"x{rnd.randrange(10**6)}"
+        rows.append((i, " ".join(own), 1, "k", 2))
+    seen, real = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *more: seen.append(pairs.count()) or real(pairs, *more))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
+    assert sum(seen) < 12 * len(rows), seen
+
+
 def test_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
