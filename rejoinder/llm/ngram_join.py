@@ -20,6 +20,10 @@ trees of more than one leaf propose for each representative the one nearest to i
 as long as a good part of these prove to be links: of many near copies nearly all are then in one component, whichever
 leads them, and their pairs don't come out.
 
+Points are what trees cost on disk, so only rows that can meet there get one. Keys, labels and set sizes alone are
+grouped first: a pair of a key of up to a leaf is left to the smallest such key at which it meets, in sizes that can
+reach the threshold, and the rows of other keys stay as they are.
+
 Defined cases: a null text is empty; without words a document has no set and is linked with nothing; with fewer
 words than a shingle takes, the whole sequence is the one shingle; a very long text is one set like any other, whose words are
 found in steps; rows with the same doc_id are told apart by row,
@@ -29,6 +33,7 @@ and components are named by the smallest doc_id in them (null only if all are nu
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +61,8 @@ SLOTS, SLOT_PART = 1 << 19, 1 << 13
 LEAF = 32
 #: Proposals of a round for each link that makes another round worth while.
 YIELD = 4
+#: Pairs for each row of a key that may be listed before the key's rows are taken as they are.
+LISTED = 8
 #: Bytes of text that are cut to words at once.
 STEP = 1 << 19
 SKETCH = "row long, doc_id long, n long, sig1 long, sig2 long, keys array<long>, point binary, fine binary"
@@ -458,6 +465,58 @@ def _mixed_keys(labelled: DataFrame) -> DataFrame:
     return labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x <> y").select("key")
 
 
+def _partners(numerator: int, denominator: int):
+    """Over rows (key, id, n, label) sorted by key: the pairs (key, id, other) of each key that labels and sizes leave.
+
+    Of a key with more than LEAF rows, or with more than LISTED such pairs for each of them, all rows come out with a
+    null for other, so what comes out is in proportion to the rows. No more than a leaf of an open key is held.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = [np.empty(0, dtype=np.int64)] * 4, None  # crowded: a key of which rows have gone out
+        for batch in chain(batches, [None]):
+            columns = held if batch is None else [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("key", "id", "n", "label"), strict=True)]
+            key, ids, sizes, labels = columns
+            if not len(key):
+                continue
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            group = np.cumsum(new) - 1
+            rows = np.bincount(group)
+            many = rows > LEAF
+            many[0] |= crowded == int(key[0])
+            end = len(key) if batch is None or many[-1] else int(np.flatnonzero(new)[-1])
+            crowded = int(key[-1]) if many[-1] else None
+            held = [x[end:] for x in columns]
+            first, second = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)]
+            for d in range(1, LEAF):
+                i = np.flatnonzero((group[: max(0, end - d)] == group[d:end]) & ~many[group[: max(0, end - d)]])
+                if not len(i):
+                    break
+                j = i + d
+                fits = (labels[i] != labels[j]) & (denominator * np.minimum(sizes[i], sizes[j]) >= numerator * np.maximum(sizes[i], sizes[j]))
+                first.append(i[fits]), second.append(j[fits])
+            i, j = np.concatenate(first), np.concatenate(second)
+            many |= np.bincount(group[i], minlength=len(rows)) > LISTED * rows
+            apart = ~many[group[i]]
+            i, j = i[apart], j[apart]
+            whole = np.flatnonzero(many[group[:end]])
+            other = pa.concat_arrays([pa.array(np.maximum(ids[i], ids[j])), pa.nulls(len(whole), pa.int64())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([key[i], key[whole]])), pa.array(np.concatenate([np.minimum(ids[i], ids[j]), ids[whole]])), other], names=["key", "id", "other"])
+
+    return listed
+
+
+def _may_meet(met: DataFrame, known: DataFrame, points: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """The rows (key, id) of met that trees must hold, so that each pair that is still apart meets in one."""
+    sized = _labelled(met, known).join(points.select("id", "n"), "id").select("key", "id", "n", "label")
+    sized = sized.repartition(shuffle_partitions(met.sparkSession), "key").sortWithinPartitions("key")
+    found = stored(sized.mapInArrow(trimmed(_partners(numerator, denominator)), "key long, id long, other long"), "partners", wave=True)
+    pairs = found.filter("other is not null").groupBy("id", "other").agg(F.min("key").alias("key"))
+    own = pairs.select("key", F.explode(F.array("id", "other")).alias("id")).distinct()
+    return own.unionByName(found.filter("other is null").select("key", "id"))
+
+
 def _nearest(met: DataFrame, known: DataFrame, points: DataFrame, numerator: int, denominator: int) -> tuple[DataFrame, int]:
     """Pairs (a, b) of each id of met (key, id) with what is nearest to it in another component, and how many."""
     labelled = stored(_labelled(met, known), "labelled", wave=True)
@@ -487,6 +546,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     # keys that two representatives or more share; each is led by its smallest
     keyed = sketch.select("row", "keys").join(others, "row", "left_anti").select(F.explode("keys").alias("key"), F.col("row").alias("id"))
     keyed = keyed.repartition(parts, "key").sortWithinPartitions("key", "id")
+    release(spark)
     met = stored(keyed.mapInArrow(trimmed(_shared_keys), "key long, id long, lead long"), "sharedkeys")
     del keyed
     release(spark)
@@ -497,9 +557,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
     # keys of more than a leaf: what is nearest is linked first, whichever row leads
     crowded = stored(met.groupBy("key").agg(F.count("*").alias("rows")).filter(F.col("rows") > LEAF).select("key"), "crowded", wave=True)
     crowd = None if crowded.isEmpty() else stored(met.select("key", "id").join(crowded, "key"), "crowd", wave=True)
+    near_points = None if crowd is None else stored(points.join(crowd.select("id").distinct(), "id", "left_semi"), "crowdpoints")
     known = stored(components(links), "known", wave=True)
     while crowd is not None:
-        near, n = _nearest(crowd, known, points, numerator, denominator)
+        near, n = _nearest(crowd, known, near_points, numerator, denominator)
         more = stored(_verified(near, docs, reps, words, numerator, denominator), "links", wave=True)
         found = more.count()
         if found:
@@ -509,7 +570,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, numerator: int = NUMERA
             break
 
     # what the trees must still tell apart
-    labelled = stored(_labelled(met, known), "labelled", wave=True)
+    labelled = stored(_labelled(_may_meet(met, known, points, numerator, denominator), known), "labelled", wave=True)
     release(spark)
     before = F.collect_list("key").over(W.partitionBy("id").orderBy("key").rowsBetween(-BEFORE, -1))
     rows = labelled.join(_mixed_keys(labelled), "key").withColumn("before", before).join(points.drop("fine"), "id").select("key", "id", "n", "label", "before", "point")

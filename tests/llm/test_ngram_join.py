@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from rejoinder.llm import ngram_join
 from rejoinder.llm.components import components
@@ -101,6 +102,42 @@ def test_pairs_of_near_copies_do_not_grow_with_their_square(spark, monkeypatch):
     assert sum(seen) < 12 * len(rows), seen
 
 
+def test_only_rows_that_can_meet_are_dealt_to_trees(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(40):  # a text, one that falls short of the threshold, and an excerpt: they share many keys
+        base = [f"w{i}x{k}" for k in range(200)]
+        other = list(base)
+        for at in (30, 60, 90, 120, 150, 180):
+            other[at] = f"y{rnd.randrange(10**6)}"
+        rows += [(3 * i, " ".join(base), 1, "k", 2), (3 * i + 1, " ".join(other), 1, "k", 2), (3 * i + 2, " ".join(base[:120]), 1, "k", 2)]
+    seen, real = [], ngram_join._tree_rows
+    monkeypatch.setattr(ngram_join, "_tree_rows", lambda rows, most=ngram_join.TREE: seen.append(rows.count()) or real(rows, most))
+    got = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA).coalesce(1)).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute(rows))
+    assert len(seen) == 1 and seen[0] <= 2 * len(rows), seen
+
+
+def test_partners_of_keys_over_several_batches():
+    rnd = random.Random(7)
+    rows = []
+    for key in range(60):
+        for id_ in rnd.sample(range(1000), rnd.choice([1, 2, 2, 3, 6, 16, 30, 33, 90])):
+            rows.append((key, id_, rnd.choice([1, 50, 60, 70, 90]), rnd.choice([id_, id_, 5])))
+    batches, at = [], 0
+    while at < len(rows):
+        end = at + rnd.choice([0, 1, 2, 7, 40])
+        batches.append(pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows[at:end]], pa.int64()) for c in range(4)], names=["key", "id", "n", "label"]))
+        at = end
+    out = [r for b in ngram_join._partners(80, 100)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert len(out) == len(set(out))
+    for key in range(60):
+        own = [r[1:] for r in rows if r[0] == key]
+        fits = {(min(x[0], y[0]), max(x[0], y[0])) for i, x in enumerate(own) for y in own[:i] if x[2] != y[2] and 100 * min(x[1], y[1]) >= 80 * max(x[1], y[1])}
+        whole = len(own) > ngram_join.LEAF or len(fits) > ngram_join.LISTED * len(own)
+        assert {(a, b) for k, a, b in out if k == key} == ({(r[0], None) for r in own} if whole else fits)
+
+
 def test_empty(spark):
     assert ngram_join.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
