@@ -128,15 +128,15 @@ def tag_list(x: Column | str) -> Column:
     return F.regexp_replace(F.replace(F.coalesce(col(x), F.lit("")), F.lit("><"), F.lit(" ")), "^[<>]+|[<>]+$", "")
 
 
-def added_content(before: Column | str, after: Column | str, cap: int = 3000, blanks: str = BLANKS) -> Column:
-    """What an edit appended: the tail beyond the old length if over MIN_TEXT characters longer, else the new text.
+def added_content(before: Column | str, after: Column | str, blanks: str = BLANKS) -> Column:
+    """What an edit appended, whole: the tail beyond the old length if over MIN_TEXT characters longer, else the new text.
 
     blanks: characters that a tail neither begins nor ends with.
     """
     old, new = F.coalesce(col(before), F.lit("")), F.coalesce(col(after), F.lit(""))
     tail = strip(F.substring(new, F.length(old) + 1, F.length(new)), blanks)
     grown = (F.length(old) > 0) & (F.length(new) > F.length(old) + MIN_TEXT)
-    return F.substring(F.when(grown, tail).otherwise(new), 1, cap)
+    return F.when(grown, tail).otherwise(new)
 
 
 def article_edit(comment: Column | str, text: Column | str, cap: int = 1500) -> Column:

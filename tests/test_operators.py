@@ -1,3 +1,4 @@
+import hashlib
 import json
 import time
 
@@ -194,3 +195,16 @@ def test_added_content_equals_its_sql(spark, tmp_path):
     sql = catalogue.oracle_sql()["lag_added_content"]
     want = duckdb.sql(sql.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want)) and len(want) == len(rows)
+
+
+def test_added_content_reads_texts_to_their_end(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    first = "é😀 what stood there first. " * 150  # over 3,000 characters, as are all tails and new texts but one
+    tail = "x" * 2990 + "  inner blanks about the place of an old cut  " + "ß" * 90_000
+    texts = {0: first, 1: first + " " + tail + "a ", 2: "shorter " + tail[:-1], 3: None, 4: tail + "b", 5: tail + "b" + "short but long enough by two"}
+    added = {0: first, 1: tail + "a", 2: "shorter " + tail[:-1], 3: "", 4: tail + "b", 5: "short but long enough by two"}
+    spark.createDataFrame([(1, k, "user", x) for k, x in texts.items()], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, catalogue.queries()["lag_added_content"](spark, str(tmp_path)).collect()))
+    assert got == [(1, k, len(x), hashlib.md5(x.encode()).hexdigest()) for k, x in added.items()]
+    sql = catalogue.oracle_sql()["lag_added_content"]
+    assert got == sorted(duckdb.sql(sql.replace("FROM conversations", f"FROM '{tmp_path}/conversations.parquet/*.parquet'")).fetchall())
